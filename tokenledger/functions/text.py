@@ -38,8 +38,25 @@ def is_falsy_str(c) -> Column:
     return c.isNull() | (c == "")
 
 
+def py_lstrip(c) -> Column:
+    return F.regexp_replace(_col(c), rf"^{WS}+", "")
+
+
+def py_rstrip(c) -> Column:
+    return F.regexp_replace(_col(c), rf"{WS}+\z", "")
+
+
 def sanitize_for_log(c, max_len: int = K.LOG_MAX_LEN) -> Column:
-    """null/empty -> ''; else strip, newline -> space, first ``max_len`` code points."""
+    """null/empty -> ''; else strip, newline -> space, first ``max_len`` code points.
+
+    Equal to stripping the whole text first, but cheaper on long texts: after
+    the left strip, the right strip can change the first ``max_len`` characters
+    only when everything after them is whitespace, which a search for the first
+    non-space character of the remainder decides.
+    """
     c = _col(c)
-    body = F.substring(F.replace(py_strip(c), F.lit("\n"), F.lit(" ")), 1, max_len)
-    return F.when(is_falsy_str(c), F.lit("")).otherwise(body)
+    left = py_lstrip(c)
+    head = F.substring(left, 1, max_len)
+    tail_has_text = F.substring(left, max_len + 1, 2147483647).rlike(f"[^{WS_INNER}]")
+    body = F.when(tail_has_text, head).otherwise(py_rstrip(head))
+    return F.when(is_falsy_str(c), F.lit("")).otherwise(F.replace(body, F.lit("\n"), F.lit(" ")))

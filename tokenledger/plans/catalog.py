@@ -339,3 +339,125 @@ def q_seed_tenants(spark, sf):
                                            F.size("allowed_models").alias("n_allowed_models"),
                                            F.lit("seed").alias("origin"))
     return TN.seed_if_absent(existing, seed)
+
+
+# ---------------------------------------------------------------- P7, P8
+def _planted(spark, sf):
+    return FX.scan_text_from_conversations(read_table(spark, sf, "conversations"))
+
+
+@register("scan_turns", _with(O.planted_cte()) + f"""
+SELECT conv_id, turn, {O.scan_sql('text')} AS pattern FROM st""")
+def q_scan_turns(spark, sf):
+    from tokenledger.operators.text_ops import scan_turns
+    return scan_turns(_planted(spark, sf)).select("conv_id", "turn", "pattern")
+
+
+_SCAN_CONV_SQL = _with(O.planted_cte(), f"""
+sc AS (SELECT conv_id, turn, {O.scan_sql('text')} AS pattern FROM st)""") + """
+SELECT conv_id, arg_min(pattern, turn) FILTER (WHERE pattern IS NOT NULL) AS pattern,
+       MIN(turn) FILTER (WHERE pattern IS NOT NULL) AS first_hit_turn, COUNT(*) AS n_turns
+FROM sc GROUP BY conv_id"""
+
+
+@register("scan_conversations", _SCAN_CONV_SQL)
+def q_scan_conversations(spark, sf):
+    from tokenledger.operators.text_ops import first_hit, scan_turns
+    return first_hit(scan_turns(_planted(spark, sf)), "conv_id", "turn")
+
+
+@register("scan_message_arrays", _with(O.planted_cte(), f"""
+sc AS (SELECT conv_id, turn, {O.scan_sql('text')} AS pattern FROM st)""") + """
+SELECT conv_id, arg_min(pattern, turn) FILTER (WHERE pattern IS NOT NULL) AS pattern
+FROM sc GROUP BY conv_id""")
+def q_scan_message_arrays(spark, sf):
+    """P8 array form: one request row per conversation, scanned in message order."""
+    from tokenledger.functions.injection import scan_messages
+    t = _planted(spark, sf)
+    msgs = (t.groupBy("conv_id")
+            .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_m"))
+            .select("conv_id", F.transform("_m", lambda m: F.struct(
+                m["role"].alias("role"), m["text"].alias("content"),
+                F.lit(None).cast("string").alias("name"))).alias("messages")))
+    return msgs.select("conv_id", scan_messages("messages").alias("pattern"))
+
+
+# ---------------------------------------------------------------- P6
+@register("prompt_text", """
+SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS prompt_text FROM conversations GROUP BY conv_id""")
+def q_prompt_text(spark, sf):
+    from tokenledger.operators.text_ops import ordered_string_agg
+    return ordered_string_agg(read_table(spark, sf, "conversations"), "conv_id", "turn", "text", "\n",
+                              out_col="prompt_text")
+
+
+# ---------------------------------------------------------------- P11, P12
+def _messages(spark, sf):
+    return FX.messages_from_conversations(read_table(spark, sf, "conversations"), FX.tenant_config(spark))
+
+
+@register("prompt_isolation", _with(O.tenants_cte(), O.message_turns_cte(), f"""
+iso AS (SELECT conv_id, tenant_id, {O.isolate_sql('messages', 'ov')} AS m FROM msgs)""") + """
+SELECT conv_id, tenant_id, len(m) AS n_messages, m[1].role AS first_role, m[1].content AS first_content,
+       len(list_filter(m, lambda x: x.role = 'system')) AS n_system,
+       array_to_string(list_transform(m, lambda x: x.content), chr(10)) AS prompt_text
+FROM iso""")
+def q_prompt_isolation(spark, sf):
+    from tokenledger.functions.messages import isolate_system_prompt, prompt_text
+    m = _messages(spark, sf).withColumn("m", isolate_system_prompt("messages", "system_prompt_override"))
+    return m.select("conv_id", "tenant_id", F.size("m").alias("n_messages"),
+                    F.get("m", 0)["role"].alias("first_role"), F.get("m", 0)["content"].alias("first_content"),
+                    F.size(F.filter("m", lambda x: x["role"] == "system")).alias("n_system"),
+                    prompt_text("m").alias("prompt_text"))
+
+
+@register("message_split", _with(O.tenants_cte(), O.message_turns_cte(), """
+norm AS (SELECT conv_id, list_transform(messages, lambda x: {'role': COALESCE(x.role, 'user'),
+                                                        'content': COALESCE(x.content, '')}) AS m FROM msgs)""") + """
+SELECT conv_id,
+       COALESCE(list_filter(m, lambda x: x.role = 'system')[-1].content, '') AS system_text,
+       len(list_filter(m, lambda x: x.role <> 'system')) AS n_turns,
+       array_to_string(list_transform(list_filter(m, lambda x: x.role <> 'system'),
+                                      lambda x: x.role || ':' || x.content), '|') AS turns_text
+FROM norm""")
+def q_message_split(spark, sf):
+    from tokenledger.functions.messages import split_system
+    m = _messages(spark, sf)
+    system_text, turns = split_system("messages")
+    return m.select("conv_id", system_text.alias("system_text"), F.size(turns).alias("n_turns"),
+                    F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit(":"), t["content"])), "|")
+                     .alias("turns_text"))
+
+
+# ---------------------------------------------------------------- P9
+@register("sanitize_log", f"""
+SELECT doc_id,
+       CASE WHEN text IS NULL OR text = '' THEN ''
+            ELSE replace(substring({O.strip_sql('text')}, 1, 500), chr(10), ' ') END AS sanitized
+FROM documents""")
+def q_sanitize_log(spark, sf):
+    from tokenledger.functions.text import sanitize_for_log
+    return read_table(spark, sf, "documents").select("doc_id", sanitize_for_log("text").alias("sanitized"))
+
+
+# ---------------------------------------------------------------- S1, S2
+@register("request_ingest", f"""
+SELECT conv_id AS request_id,
+       CASE conv_id % 5 WHEN 0 THEN 'default' WHEN 1 THEN '' ELSE 'tenant_' || CAST(conv_id % 10 AS VARCHAR) END
+         AS tenant_id,
+       CASE WHEN conv_id % 4 <> 0 THEN {O.model_case('conv_id')} ELSE 'gpt-4' END AS model,
+       CASE WHEN conv_id % 2 <> 0 THEN conv_id % 6 = 1 ELSE FALSE END AS stream,
+       CASE WHEN conv_id % 3 = 0 THEN CAST(conv_id % 10 AS DOUBLE) / 10 END AS temperature,
+       CASE WHEN conv_id % 3 = 1 THEN CAST(conv_id % 5 * 100 AS INTEGER) END AS max_tokens,
+       COUNT(*) AS n_messages,
+       conv_id % 17 <> 16 AS valid,
+       string_agg(text, chr(10) ORDER BY turn) AS prompt_text
+FROM conversations GROUP BY conv_id""")
+def q_request_ingest(spark, sf):
+    from tokenledger.functions.messages import prompt_text
+    from tokenledger.sources.requests import ingest_requests
+    raw = FX.request_json_from_conversations(read_table(spark, sf, "conversations"))
+    r = ingest_requests(raw, keep=("request_id",))
+    return r.select("request_id", "tenant_id", "model", "stream", "temperature", "max_tokens",
+                    F.size("messages").cast("bigint").alias("n_messages"), "valid",
+                    prompt_text("messages").alias("prompt_text"))

@@ -127,3 +127,67 @@ attempts AS (
          CAST(CASE WHEN event_id % 2 = 0 THEN {K_EXPR} ELSE 0 END AS INTEGER)
   FROM ev2 WHERE event_type = 'error' AND {fallback_case('provider', 'model')} IS NOT NULL
 )"""
+
+
+def sql_str(s: str | None) -> str:
+    """SQL literal; newlines spelled as chr(10)."""
+    if s is None:
+        return "NULL"
+    parts = [_q(p) for p in s.split("\n")]
+    return " || chr(10) || ".join(parts)
+
+
+# Python whitespace as an RE2 class (DuckDB), equal to str.strip()'s set.
+WS_RE2 = r"[\t\n\v\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+NONWS_RE2 = r"[^\t\n\v\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS_RE2}+|{WS_RE2}+\\z', '', 'g')"
+
+
+def blank_sql(x: str) -> str:
+    return f"({x} IS NULL OR NOT regexp_matches({x}, '{NONWS_RE2}'))"
+
+
+def scan_sql(x: str) -> str:
+    whens = " ".join(f"WHEN regexp_matches({x}, {_q(p)}, 'i') THEN {_q(p)}" for p in K.INJECTION_PATTERNS)
+    return f"(CASE WHEN {blank_sql(x)} THEN NULL {whens} END)"
+
+
+def planted_cte() -> str:
+    from tokenledger.plans.fixtures import PLANTED
+    arr = "[" + ", ".join(sql_str(p) for p in PLANTED) + "]"
+    return f"""
+st AS (
+  SELECT conv_id, turn, role,
+         CASE WHEN k < {len(PLANTED)} THEN text || ' ' || {arr}[k + 1] ELSE text END AS text
+  FROM (SELECT *, CAST((conv_id * 8 + turn) % 13 AS INTEGER) AS k FROM conversations)
+)"""
+
+
+def message_turns_cte() -> str:
+    return f"""
+mt AS (
+  SELECT c.conv_id, 'tenant_' || CAST(c.conv_id % 10 AS VARCHAR) AS tenant_id, c.turn,
+         CASE WHEN c.role = 'system' OR c.turn IN (3, 5) THEN 'system' ELSE c.role END AS role,
+         CASE WHEN c.turn = 5 AND c.conv_id % 3 = 0 THEN COALESCE(t.system_prompt_override, c.text)
+              ELSE c.text END AS content,
+         t.system_prompt_override AS ov
+  FROM conversations c LEFT JOIN tenant_config t ON t.tenant_id = 'tenant_' || CAST(c.conv_id % 10 AS VARCHAR)
+),
+msgs AS (
+  SELECT conv_id, tenant_id, any_value(ov) AS ov,
+         list({{'role': role, 'content': content}} ORDER BY turn) AS messages
+  FROM mt GROUP BY conv_id, tenant_id
+)"""
+
+
+def isolate_sql(msgs: str, ov: str) -> str:
+    nl2 = "chr(10) || chr(10)"
+    merged = (f"list_reduce(list_filter({msgs}, lambda x: COALESCE(x.role, '') = 'system'), "
+              f"lambda acc, x: CASE WHEN {strip_sql('COALESCE(x.content, %s)' % _q(''))} = '' "
+              f"OR contains(acc, {strip_sql('COALESCE(x.content, %s)' % _q(''))}) THEN acc "
+              f"ELSE acc || {nl2} || {strip_sql('COALESCE(x.content, %s)' % _q(''))} END, {strip_sql(ov)})")
+    return (f"(CASE WHEN {blank_sql(ov)} THEN {msgs} ELSE list_concat([{{'role': 'system', 'content': {merged}}}], "
+            f"list_filter({msgs}, lambda x: COALESCE(x.role, '') <> 'system')) END)")
