@@ -12,7 +12,8 @@ from tokenledger.operators.dimensions import fits_broadcast, lookup_join
 CONFIG_COLS = ["rate_limit_rpm", "allow_tool_calls", "system_prompt_override"]
 
 
-def with_tenant_config(requests: DataFrame, config: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+def with_tenant_config(requests: DataFrame, config: DataFrame, max_rows: int = 1_000_000,
+                       known_rows: int | None = None) -> DataFrame:
     """Attach the tenant row (if any) and a ``cfg_present`` flag.
 
     The config table is broadcast only when its row count is under ``max_rows``;
@@ -20,7 +21,7 @@ def with_tenant_config(requests: DataFrame, config: DataFrame, max_rows: int = 1
     """
     cols = [c for c in CONFIG_COLS if c in config.columns]
     cfg = config.select("tenant_id", *cols).withColumn("cfg_present", F.lit(True))
-    out = lookup_join(requests, cfg, "tenant_id", "left", max_rows=max_rows)
+    out = lookup_join(requests, cfg, "tenant_id", "left", max_rows=max_rows, known_rows=known_rows)
     return (out.withColumn("cfg_present", F.coalesce(F.col("cfg_present"), F.lit(False)))
                .withColumn("limit_rpm", F.coalesce(F.col("rate_limit_rpm"), F.lit(K.DEFAULT_RATE_LIMIT_RPM))))
 

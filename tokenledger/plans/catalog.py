@@ -311,7 +311,7 @@ def q_tenant_join_tools(spark, sf):
     req = ev.select(F.col("event_id").alias("request_id"), FX.tenant_of("user_id").alias("tenant_id"),
                     F.when(has_tools, F.concat(F.lit("fn_"), F.get_json_object("props", "$.k"))).alias("tools"),
                     F.when(has_tools, F.lit("auto")).alias("tool_choice"))
-    j = TN.with_tenant_config(req, FX.tenant_config(spark))
+    j = TN.with_tenant_config(req, FX.tenant_config(spark), known_rows=len(FX.TENANT_ROWS))
     return j.select("request_id", "tenant_id", "cfg_present", "limit_rpm",
                     TN.scope_tools(tools="tools").alias("tools"),
                     TN.scope_tools(tools="tool_choice").alias("tool_choice"),
@@ -393,7 +393,8 @@ def q_prompt_text(spark, sf):
 
 # ---------------------------------------------------------------- P11, P12
 def _messages(spark, sf):
-    return FX.messages_from_conversations(read_table(spark, sf, "conversations"), FX.tenant_config(spark))
+    return FX.messages_from_conversations(read_table(spark, sf, "conversations"), FX.tenant_config(spark),
+                                          known_rows=len(FX.TENANT_ROWS))
 
 
 @register("prompt_isolation", _with(O.tenants_cte(), O.message_turns_cte(), f"""
@@ -461,3 +462,119 @@ def q_request_ingest(spark, sf):
     return r.select("request_id", "tenant_id", "model", "stream", "temperature", "max_tokens",
                     F.size("messages").cast("bigint").alias("n_messages"), "valid",
                     prompt_text("messages").alias("prompt_text"))
+
+
+# ---------------------------------------------------------------- W1, W2, W3, P16
+RL_WINDOW_S = 3600          # FIXTURES §2.3: W=3600 s with ten tenants at sf0.01
+TTL_S = 7200
+
+
+def _rl_requests(spark, sf):
+    req = FX.requests_from_events(read_table(spark, sf, "events")).drop("stream")
+    return TN.with_tenant_config(req, FX.tenant_config(spark), known_rows=len(FX.TENANT_ROWS)).select("request_id", "ts", "tenant_id", "limit_rpm")
+
+
+_RL_REQ_SQL = f"req AS (SELECT event_id AS request_id, CAST(ts AS TIMESTAMP) AS ts, {O.TENANT_EXPR} AS tenant_id FROM events)"
+
+
+@register("rate_limit", "WITH RECURSIVE " + ",\n".join(
+    [O.tenants_cte(), _RL_REQ_SQL, O.limited_requests_cte("req").strip(), O.anchored_cte("seq", RL_WINDOW_S).strip()])
+    + """
+SELECT j.request_id, j.tenant_id, j.limit_rpm, COALESCE(rl.n, 0) AS window_count,
+       rl.anchor AS window_start_us, (j.limit_rpm <= 0 OR rl.n <= j.limit_rpm) AS allowed
+FROM jr j LEFT JOIN rl ON rl.request_id = j.request_id""")
+def q_rate_limit(spark, sf):
+    from tokenledger.operators.admission import rate_limit
+    r = rate_limit(_rl_requests(spark, sf), window_s=RL_WINDOW_S)
+    return r.select("request_id", "tenant_id", "limit_rpm", "window_count",
+                    F.unix_micros("window_start").alias("window_start_us"), "allowed")
+
+
+@register("rate_remaining", "WITH RECURSIVE " + ",\n".join(
+    [O.tenants_cte(), _RL_REQ_SQL, O.limited_requests_cte("req").strip(), O.anchored_cte("seq", RL_WINDOW_S).strip()])
+    + f""",
+state AS (SELECT rl.tenant_id, s.t, rl.anchor, rl.n FROM rl JOIN seq s ON s.request_id = rl.request_id),
+probes AS (SELECT tenant_id, epoch_us(ts + INTERVAL 20 MINUTE) AS t_us, limit_rpm FROM jr),
+joined AS (
+  SELECT p.tenant_id, p.t_us, p.limit_rpm,
+         CASE WHEN st.t IS NOT NULL AND p.t_us < st.anchor + {RL_WINDOW_S}::BIGINT * 1000000 THEN st.n ELSE 0 END
+           AS live_count
+  FROM probes p ASOF LEFT JOIN state st ON p.tenant_id = st.tenant_id AND p.t_us >= st.t
+)
+SELECT tenant_id, t_us, limit_rpm, CAST(live_count AS BIGINT) AS live_count,
+       CAST(CASE WHEN limit_rpm <= 0 THEN 0 ELSE greatest(0, limit_rpm - live_count) END AS BIGINT) AS remaining
+FROM joined""")
+def q_rate_remaining(spark, sf):
+    """W2 as-of: quota left 20 minutes after each request, per tenant."""
+    from tokenledger.operators.admission import rate_limit, remaining_as_of
+    req = _rl_requests(spark, sf)
+    counted = rate_limit(req, window_s=RL_WINDOW_S).filter(F.col("limit_rpm") > 0)
+    probes = req.select("tenant_id", (F.col("ts") + F.expr("INTERVAL 20 MINUTES")).alias("t"), "limit_rpm")
+    out = remaining_as_of(counted, probes, RL_WINDOW_S)
+    return out.select("tenant_id", F.unix_micros("t").alias("t_us"), "limit_rpm", "live_count", "remaining")
+
+
+@register("ttl_counter", f"""
+WITH e AS (SELECT event_id, user_id, epoch_us(CAST(ts AS TIMESTAMP)) AS t FROM events),
+g AS (
+  SELECT *, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w > {TTL_S}::BIGINT * 1000000 THEN 1 ELSE 0 END AS brk
+  FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+s AS (SELECT *, SUM(brk) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, sid ORDER BY t, event_id) AS counter,
+       MIN(t) OVER (PARTITION BY user_id, sid) AS session_start_us
+FROM s""")
+def q_ttl_counter(spark, sf):
+    from tokenledger.operators.admission import ttl_counter
+    ev = read_table(spark, sf, "events").select("event_id", "user_id", "ts")
+    out = ttl_counter(ev, "user_id", ttl_s=TTL_S)
+    return out.select("event_id", "user_id", "counter", F.unix_micros("session_start").alias("session_start_us"))
+
+
+@register("ttl_counter_forever", """
+SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS counter FROM events""")
+def q_ttl_counter_forever(spark, sf):
+    from tokenledger.operators.admission import ttl_counter
+    ev = read_table(spark, sf, "events").select("event_id", "user_id", "ts")
+    return ttl_counter(ev, "user_id", ttl_s=None).select("event_id", "user_id", "counter")
+
+
+def _admission_requests(spark, sf):
+    from tokenledger.functions.injection import scan_messages
+    t = _planted(spark, sf)
+    msgs = (t.groupBy("conv_id")
+            .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_m"))
+            .select(F.col("conv_id").alias("request_id"),
+                    (F.lit("2024-01-01 00:00:00").cast("timestamp")
+                     + F.make_dt_interval(mins=F.col("conv_id").cast("int"))).alias("ts"),
+                    F.concat(F.lit("tenant_"), (F.col("conv_id") % 10).cast("string")).alias("tenant_id"),
+                    (F.col("conv_id") % 11 == 0).alias("stream"),
+                    F.transform("_m", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"),
+                                                         F.lit(None).cast("string").alias("name"))).alias("messages")))
+    msgs = msgs.withColumn("scan_hit", scan_messages("messages"))
+    return TN.with_tenant_config(msgs, FX.tenant_config(spark), known_rows=len(FX.TENANT_ROWS))
+
+
+@register("admission", "WITH RECURSIVE " + ",\n".join([
+    O.tenants_cte(), O.planted_cte().strip(),
+    f"sc AS (SELECT conv_id, turn, {O.scan_sql('text')} AS pattern FROM st)",
+    """areq AS (
+  SELECT conv_id AS request_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(conv_id AS BIGINT)) AS ts,
+         'tenant_' || CAST(conv_id % 10 AS VARCHAR) AS tenant_id, conv_id % 11 = 0 AS stream,
+         arg_min(pattern, turn) FILTER (WHERE pattern IS NOT NULL) AS scan_hit
+  FROM sc GROUP BY conv_id)""",
+    "nonstream AS (SELECT * FROM areq WHERE NOT stream)",
+    O.limited_requests_cte("nonstream").strip(),
+    O.anchored_cte("seq", RL_WINDOW_S).strip()]) + """
+SELECT a.request_id, a.tenant_id,
+       CASE WHEN a.stream THEN 501
+            WHEN j.limit_rpm > 0 AND rl.n > j.limit_rpm THEN 429
+            WHEN a.scan_hit IS NOT NULL THEN 400 ELSE 200 END AS status,
+       CASE WHEN a.stream THEN 'streaming not supported'
+            WHEN j.limit_rpm > 0 AND rl.n > j.limit_rpm THEN 'rate limit exceeded'
+            WHEN a.scan_hit IS NOT NULL THEN 'injection: ' || a.scan_hit END AS reason,
+       CASE WHEN a.stream THEN NULL ELSE COALESCE(rl.n, 0) END AS window_count
+FROM areq a LEFT JOIN jr j ON j.request_id = a.request_id LEFT JOIN rl ON rl.request_id = a.request_id""")
+def q_admission(spark, sf):
+    from tokenledger.operators.admission import admit
+    out = admit(_admission_requests(spark, sf), window_s=RL_WINDOW_S)
+    return out.select("request_id", "tenant_id", "status", "reason", "window_count")

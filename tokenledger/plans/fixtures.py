@@ -149,12 +149,13 @@ def scan_text_from_conversations(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", "role", text.alias("text"))
 
 
-def message_turns(conversations: DataFrame, config: DataFrame) -> DataFrame:
+def message_turns(conversations: DataFrame, config: DataFrame, known_rows: int | None = None) -> DataFrame:
     """§2.5 per turn: role forced to 'system' on turns 3 and 5; content at turn 5
     is the tenant's override when conv_id % 3 = 0 (to test de-duplication)."""
     tenant = F.concat(F.lit("tenant_"), (F.col("conv_id") % N_TENANTS).cast("string"))
     turns = conversations.select("conv_id", "turn", "role", "text", tenant.alias("tenant_id"))
-    turns = lookup_join(turns, config.select("tenant_id", "system_prompt_override"), "tenant_id", "left")
+    turns = lookup_join(turns, config.select("tenant_id", "system_prompt_override"), "tenant_id", "left",
+                        known_rows=known_rows)
     role = F.when((F.col("role") == "system") | F.col("turn").isin(3, 5), F.lit("system")).otherwise(F.col("role"))
     content = F.when((F.col("turn") == 5) & (F.col("conv_id") % 3 == 0),
                      F.coalesce(F.col("system_prompt_override"), F.col("text"))).otherwise(F.col("text"))
@@ -162,13 +163,14 @@ def message_turns(conversations: DataFrame, config: DataFrame) -> DataFrame:
                         "system_prompt_override")
 
 
-def messages_from_conversations(conversations: DataFrame, config: DataFrame) -> DataFrame:
+def messages_from_conversations(conversations: DataFrame, config: DataFrame,
+                                known_rows: int | None = None) -> DataFrame:
     """§2.5: one request row per conversation with its ordered message array.
 
     A conversation is one request body, so its array is bounded by the request
     size; building it is a per-request grouping.
     """
-    t = message_turns(conversations, config)
+    t = message_turns(conversations, config, known_rows)
     return (t.groupBy("conv_id", "tenant_id", "system_prompt_override")
              .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("_m"))
              .select("conv_id", "tenant_id", "system_prompt_override",

@@ -191,3 +191,32 @@ def isolate_sql(msgs: str, ov: str) -> str:
               f"ELSE acc || {nl2} || {strip_sql('COALESCE(x.content, %s)' % _q(''))} END, {strip_sql(ov)})")
     return (f"(CASE WHEN {blank_sql(ov)} THEN {msgs} ELSE list_concat([{{'role': 'system', 'content': {merged}}}], "
             f"list_filter({msgs}, lambda x: COALESCE(x.role, '') <> 'system')) END)")
+
+
+def anchored_cte(seq: str, window_s: int) -> str:
+    """W1 as a recursive CTE over ``seq(tenant_id, request_id, t, rn)`` (t in us)."""
+    w = f"{int(window_s)}::BIGINT * 1000000"
+    return f"""
+rl AS (
+  SELECT tenant_id, rn, request_id, t AS anchor, CAST(1 AS BIGINT) AS n FROM {seq} WHERE rn = 1
+  UNION ALL
+  SELECT s.tenant_id, s.rn, s.request_id,
+         CASE WHEN s.t >= r.anchor + {w} THEN s.t ELSE r.anchor END,
+         CASE WHEN s.t >= r.anchor + {w} THEN CAST(1 AS BIGINT) ELSE r.n + 1 END
+  FROM rl r JOIN {seq} s ON s.tenant_id = r.tenant_id AND s.rn = r.rn + 1
+)"""
+
+
+def limited_requests_cte(source: str) -> str:
+    """``source(request_id, ts, tenant_id)`` joined to the tenant limits and
+    ranked per tenant (limit > 0 only)."""
+    return f"""
+jr AS (
+  SELECT r.*, COALESCE(c.rate_limit_rpm, 60) AS limit_rpm
+  FROM {source} r LEFT JOIN tenant_config c ON r.tenant_id = c.tenant_id
+),
+seq AS (
+  SELECT tenant_id, request_id, epoch_us(ts) AS t,
+         row_number() OVER (PARTITION BY tenant_id ORDER BY ts, request_id) AS rn
+  FROM jr WHERE limit_rpm > 0
+)"""
