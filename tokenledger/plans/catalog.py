@@ -578,3 +578,98 @@ def q_admission(spark, sf):
     from tokenledger.operators.admission import admit
     out = admit(_admission_requests(spark, sf), window_s=RL_WINDOW_S)
     return out.select("request_id", "tenant_id", "status", "reason", "window_count")
+
+
+# ---------------------------------------------------------------- V1-V4, J4, J5, W4-W6
+def _emb(spark, sf):
+    return read_table(spark, sf, "embeddings")
+
+
+@register("cosine_pairs", _with(O.EMB_CTE) + f"""
+SELECT query_id, ROUND({O.sim_sql('q', 'self_vec')}, 6) AS sim_self,
+       ROUND({O.sim_sql('q', 'next_vec')}, 6) AS sim_next
+FROM qv""")
+def q_cosine_pairs(spark, sf):
+    from tokenledger.functions.vectors import cosine
+    q = FX.queries_from_embeddings(_emb(spark, sf))
+    return q.select("query_id", F.round(cosine("embedding", "self_vec"), 6).alias("sim_self"),
+                    F.round(cosine("embedding", "next_vec"), 6).alias("sim_next"))
+
+
+@register("index_retention", _with(O.EMB_CTE) + """
+SELECT response_id, seq FROM idx""")
+def q_index_retention(spark, sf):
+    from tokenledger.operators.similarity import retained_index
+    emb = _emb(spark, sf)
+    return retained_index(FX.index_from_embeddings(emb), FX.index_as_of(emb)).select("response_id", "seq")
+
+
+_MATCH_SQL = f""",
+pairs AS (
+  SELECT qv.query_id, idx.response_id, idx.seq, {O.sim_sql('qv.q', 'idx.v')} AS sim
+  FROM qv, idx),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, seq) AS rk
+  FROM pairs WHERE sim >= 0.95),
+best AS (
+  SELECT qv.query_id, r.response_id, r.seq, r.sim
+  FROM qv LEFT JOIN ranked r ON r.query_id = qv.query_id AND r.rk = 1)"""
+
+
+@register("semantic_match", _with(O.EMB_CTE) + _MATCH_SQL + """
+SELECT query_id, response_id, seq, ROUND(sim, 6) AS sim FROM best""")
+def q_semantic_match(spark, sf):
+    from tokenledger.operators.similarity import best_match, retained_index
+    emb = _emb(spark, sf)
+    idx = retained_index(FX.index_from_embeddings(emb), FX.index_as_of(emb))
+    m = best_match(FX.queries_from_embeddings(emb), idx)
+    return m.select("query_id", "response_id", "seq", F.round("sim", 6).alias("sim"))
+
+
+@register("semantic_lookup", _with(O.EMB_CTE) + _MATCH_SQL + """,
+alive AS (
+  SELECT i.response_id, to_json({'id': i.response_id, 'object': 'chat.completion'}) AS value
+  FROM idx_all i, asof_t a
+  WHERE i.inserted_at <= a.as_of AND a.as_of < i.inserted_at + INTERVAL 1 HOUR)
+SELECT b.query_id, b.response_id, al.response_id IS NOT NULL AS hit,
+       CASE WHEN al.response_id IS NOT NULL THEN b.response_id END AS served_id
+FROM best b LEFT JOIN alive al ON al.response_id = b.response_id""")
+def q_semantic_lookup(spark, sf):
+    """V2 + J5 + W6: a match whose response expired is a miss."""
+    from tokenledger.operators.similarity import best_match, lookup_responses, retained_index
+    emb = _emb(spark, sf)
+    as_of = FX.index_as_of(emb)
+    idx = retained_index(FX.index_from_embeddings(emb), as_of)
+    m = best_match(FX.queries_from_embeddings(emb), idx)
+    out = lookup_responses(m, FX.responses_from_embeddings(emb), as_of)
+    return out.select("query_id", "response_id", "hit",
+                      F.when(F.col("hit"), F.get_json_object("response", "$.id")).alias("served_id"))
+
+
+@register("saved_calls", _with(O.EMB_CTE) + """,
+reqs AS (
+  SELECT query_id AS request_id, ts, q AS v FROM qv
+  UNION ALL
+  SELECT vec_id + 1000000000, TIMESTAMP '2024-01-01 00:00:30' + to_minutes(CAST(vec_id AS BIGINT)), v FROM emb),
+pairs AS (
+  SELECT a.request_id, b.request_id AS match_id, b.ts AS mts, """ + O.sim_sql('a.v', 'b.v') + """ AS sim
+  FROM reqs a JOIN reqs b
+    ON (b.ts < a.ts OR (b.ts = a.ts AND b.request_id < a.request_id))
+   AND a.ts - b.ts <= INTERVAL 1 HOUR),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sim DESC, mts, match_id) AS rk
+  FROM pairs WHERE sim >= 0.95)
+SELECT r.request_id, k.match_id, ROUND(k.sim, 6) AS match_sim
+FROM reqs r LEFT JOIN ranked k ON k.request_id = r.request_id AND k.rk = 1""")
+def q_saved_calls(spark, sf):
+    """V4: calls a cache could have served from a request of the previous hour.
+    Requests: the prompts plus a repeat of every stored vector 30 s after it."""
+    from tokenledger.operators.similarity import similar_earlier
+    emb = _emb(spark, sf)
+    q = FX.queries_from_embeddings(emb).select(F.col("query_id").alias("request_id"), "ts", "embedding")
+    rep = emb.select((F.col("vec_id") + 1_000_000_000).alias("request_id"),
+                     (F.lit("2024-01-01 00:00:30").cast("timestamp")
+                      + F.make_dt_interval(mins=F.col("vec_id").cast("int"))).alias("ts"),
+                     F.col("embedding").cast("array<double>").alias("embedding"))
+    out = similar_earlier(q.unionByName(rep))
+    return out.select("request_id", "match_id", F.round("match_sim", 6).alias("match_sim"))

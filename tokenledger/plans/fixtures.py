@@ -205,3 +205,51 @@ def request_json_from_conversations(conversations: DataFrame) -> DataFrame:
                 .when(cid % 5 == 2, F.create_map(F.lit("x-tenant-id"), tenant))
                 .otherwise(F.create_map(F.lit("X-Tenant-ID"), tenant)))
     return msgs.select(cid.alias("request_id"), body.alias("body"), headers.alias("headers"))
+
+
+# §2.6: similarity inputs from `embeddings`.
+INDEX_EPOCH = "2024-01-01 00:00:00"
+
+
+def index_from_embeddings(embeddings: DataFrame) -> DataFrame:
+    """Index entries: response 'r<vec_id>', seq = vec_id, written vec_id minutes
+    after the epoch."""
+    return embeddings.select(
+        F.concat(F.lit("r"), F.col("vec_id").cast("string")).alias("response_id"),
+        F.col("vec_id").alias("seq"),
+        F.col("embedding").cast("array<double>").alias("embedding"),
+        (F.lit(INDEX_EPOCH).cast("timestamp") + F.make_dt_interval(mins=F.col("vec_id").cast("int")))
+         .alias("inserted_at"))
+
+
+def responses_from_embeddings(embeddings: DataFrame) -> DataFrame:
+    """One stored response per index entry, written with it."""
+    idx = index_from_embeddings(embeddings)
+    return idx.select("response_id", F.to_json(F.struct(F.col("response_id").alias("id"),
+                                                         F.lit("chat.completion").alias("object"))).alias("value"),
+                      F.col("inserted_at").alias("written_at"))
+
+
+def queries_from_embeddings(embeddings: DataFrame) -> DataFrame:
+    """Prompts (1 - 0.1k) v_i + 0.1k v_(i+1 mod n), k = vec_id % 5, asked vec_id
+    minutes after the epoch. The neighbour comes from an equi-join on the
+    derived key (n is one scalar aggregate)."""
+    n = embeddings.agg(F.max("vec_id")).first()[0] + 1
+    a = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    b = embeddings.select(F.col("vec_id").alias("nid"), F.col("embedding").cast("array<double>").alias("w"))
+    j = a.join(b, F.pmod(a["vec_id"] + 1, F.lit(n)) == b["nid"], "inner")
+    k = (F.col("vec_id") % 5).cast("double")
+    wa = F.lit(1.0) - F.lit(0.1) * k
+    wb = F.lit(0.1) * k
+    q = F.zip_with("v", "w", lambda x, y: wa * x + wb * y)
+    return j.select(F.col("vec_id").alias("query_id"), q.alias("embedding"), F.col("v").alias("self_vec"),
+                    F.col("w").alias("next_vec"),
+                    (F.lit(INDEX_EPOCH).cast("timestamp") + F.make_dt_interval(mins=F.col("vec_id").cast("int")))
+                     .alias("ts"))
+
+
+def index_as_of(embeddings: DataFrame):
+    """as_of = last write + 1 minute (a scalar)."""
+    import datetime as _dt
+    m = embeddings.agg(F.max("vec_id")).first()[0]
+    return _dt.datetime(2024, 1, 1) + _dt.timedelta(minutes=int(m) + 1)

@@ -220,3 +220,39 @@ seq AS (
          row_number() OVER (PARTITION BY tenant_id ORDER BY ts, request_id) AS rn
   FROM jr WHERE limit_rpm > 0
 )"""
+
+
+def sim_sql(a: str, b: str) -> str:
+    return (f"(list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))"
+            f" + 1e-9))")
+
+
+EMB_CTE = """
+emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+nmax AS (SELECT MAX(vec_id) + 1 AS n FROM embeddings),
+qv AS (
+  SELECT a.vec_id AS query_id, a.v AS self_vec, b.v AS next_vec,
+         list_transform(list_zip(a.v, b.v),
+           lambda p: (1.0::DOUBLE - 0.1::DOUBLE * CAST(a.vec_id % 5 AS DOUBLE)) * p[1]
+                     + 0.1::DOUBLE * CAST(a.vec_id % 5 AS DOUBLE) * p[2]) AS q,
+         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(a.vec_id AS BIGINT)) AS ts
+  FROM emb a JOIN emb b ON b.vec_id = (a.vec_id + 1) % (SELECT n FROM nmax)
+),
+idx_all AS (
+  SELECT 'r' || CAST(vec_id AS VARCHAR) AS response_id, vec_id AS seq, v,
+         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(vec_id AS BIGINT)) AS inserted_at
+  FROM emb
+),
+asof_t AS (SELECT MAX(inserted_at) + INTERVAL 1 MINUTE AS as_of FROM idx_all),
+sess AS (
+  SELECT *, CASE WHEN lag(inserted_at) OVER (ORDER BY inserted_at, seq) IS NULL
+                   OR inserted_at - lag(inserted_at) OVER (ORDER BY inserted_at, seq) >= INTERVAL 7 DAY
+                 THEN 1 ELSE 0 END AS brk
+  FROM idx_all WHERE inserted_at <= (SELECT as_of FROM asof_t)
+),
+cur AS (
+  SELECT * FROM sess
+  WHERE (inserted_at, seq) >= (SELECT MAX((inserted_at, seq)) FROM sess WHERE brk = 1)
+    AND (SELECT as_of FROM asof_t) < (SELECT MAX(inserted_at) FROM sess) + INTERVAL 7 DAY
+),
+idx AS (SELECT response_id, seq, v, inserted_at FROM cur ORDER BY seq DESC LIMIT 500)"""
