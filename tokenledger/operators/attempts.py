@@ -95,6 +95,12 @@ def audit_rows(resolved: DataFrame, cache_hits: DataFrame | None = None) -> Data
     return rows.withColumn("event_date", F.to_date("created_at"))
 
 
+def cacheable_flag(outcome: str = "outcome", prompt: str = "prompt_text", include_errors: bool = False):
+    """P21 as a column: non-empty prompt text and a cached outcome."""
+    ok = ["primary", "fallback"] + (["error_logged"] if include_errors else [])
+    return F.coalesce(F.col(outcome).isin(*ok) & (F.length(F.col(prompt)) > 0), F.lit(False))
+
+
 def cacheable(resolved_with_text: DataFrame, include_errors: bool = False) -> DataFrame:
     """Responses that would be written to the semantic cache: non-empty
     prompt text, successful calls (failed calls only with ``include_errors``, D7)."""

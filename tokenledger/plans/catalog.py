@@ -673,3 +673,128 @@ def q_saved_calls(spark, sf):
                      F.col("embedding").cast("array<double>").alias("embedding"))
     out = similar_earlier(q.unionByName(rep))
     return out.select("request_id", "match_id", F.round("match_sim", 6).alias("match_sim"))
+
+
+# ---------------------------------------------------------------- P13, P14, P15, P21
+_TURN_EV_SQL = f"""
+te AS (
+  SELECT c.conv_id, c.turn, c.role, c.text, e.event_id AS request_id,
+         CAST(floor(e.value * 10) AS BIGINT) AS ptok, CAST({O.K_EXPR} AS BIGINT) AS ctok
+  FROM conversations c JOIN events e ON e.event_id = c.conv_id * 8 + c.turn)"""
+
+
+@register("normalize_responses", _with(_TURN_EV_SQL) + """
+SELECT request_id, 'msg_' || CAST(request_id AS VARCHAR) AS id, 'claude-3-haiku-20240307' AS model,
+       CASE (conv_id + turn) % 5 WHEN 2 THEN '' WHEN 3 THEN text || '[' || role || ']' ELSE text END AS content,
+       CASE WHEN (conv_id + turn) % 5 = 1 THEN 0 ELSE ptok END AS prompt_tokens,
+       CASE WHEN (conv_id + turn) % 5 = 1 THEN 0 ELSE ctok END AS completion_tokens,
+       CASE WHEN (conv_id + turn) % 5 = 1 THEN 0 ELSE ptok + ctok END AS total_tokens,
+       'stop' AS finish_reason, CAST(0 AS BIGINT) AS created
+FROM te""")
+def q_normalize_responses(spark, sf):
+    from tokenledger.functions.responses import normalize_b
+    r = FX.responses_b(read_table(spark, sf, "conversations"), read_table(spark, sf, "events"))
+    n = r.select("request_id", normalize_b("response").alias("n"))
+    return n.select("request_id", "n.id", "n.model", F.col("n.choices")[0]["message"]["content"].alias("content"),
+                    "n.usage.prompt_tokens", "n.usage.completion_tokens", "n.usage.total_tokens",
+                    F.col("n.choices")[0]["finish_reason"].alias("finish_reason"), "n.created")
+
+
+@register("native_usage", _with(_TURN_EV_SQL) + """
+SELECT request_id,
+       CASE WHEN (conv_id + turn) % 4 = 2 THEN '' ELSE 'chatcmpl_' || CAST(request_id AS VARCHAR) END AS id,
+       CASE (conv_id + turn) % 4 WHEN 2 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS n_choices,
+       CASE WHEN (conv_id + turn) % 4 IN (1, 2) THEN 0 ELSE ptok END AS prompt_tokens,
+       CASE WHEN (conv_id + turn) % 4 IN (1, 2) THEN 0 ELSE ctok END AS completion_tokens
+FROM te""")
+def q_native_usage(spark, sf):
+    from tokenledger.functions.responses import native_usage
+    r = FX.responses_a(read_table(spark, sf, "conversations"), read_table(spark, sf, "events"))
+    u = r.select("request_id", native_usage("response").alias("u"))
+    return u.select("request_id", "u.id", "u.n_choices", "u.prompt_tokens", "u.completion_tokens")
+
+
+@register("payload_shape", _with(O.tenants_cte(), O.message_turns_cte(), f"""
+p AS (
+  SELECT conv_id, messages, {O.model_case('conv_id')} AS model,
+         CASE WHEN conv_id % 3 = 0 THEN CAST(conv_id % 10 AS DOUBLE) / 10 END AS temperature,
+         CASE WHEN conv_id % 3 = 1 THEN CAST(conv_id % 5 * 100 AS INTEGER) END AS max_tokens
+  FROM msgs)""") + f"""
+SELECT conv_id AS request_id, {O.provider_case('model')} AS provider,
+       CASE WHEN {O.provider_case('model')} = 'anthropic'
+            THEN CASE WHEN max_tokens IS NULL OR max_tokens = 0 THEN 1024 ELSE max_tokens END
+            ELSE max_tokens END AS max_tokens_sent,
+       temperature IS NOT NULL AS has_temperature,
+       CASE WHEN {O.provider_case('model')} = 'anthropic'
+            THEN COALESCE(list_filter(messages, lambda x: COALESCE(x.role, 'user') = 'system')[-1].content, '')
+       END AS system_sent,
+       CASE WHEN {O.provider_case('model')} = 'anthropic'
+            THEN len(list_filter(messages, lambda x: COALESCE(x.role, 'user') <> 'system'))
+            ELSE len(messages) END AS n_messages_sent
+FROM p""")
+def q_payload_shape(spark, sf):
+    """P13 (+P12): the outbound payload per provider, checked field by field."""
+    from tokenledger.functions.messages import split_system
+    from tokenledger.functions.routing import payload_a, payload_b
+    m = _messages(spark, sf)
+    cid = F.col("conv_id")
+    m = m.select("conv_id", "messages",
+                 F.element_at(F.array(*[F.lit(x) for x in FX.FIXTURE_MODELS]), (cid % 7 + 1).cast("int")).alias("model"),
+                 F.when(cid % 3 == 0, (cid % 10).cast("double") / 10).alias("temperature"),
+                 F.when(cid % 3 == 1, (cid % 5 * 100).cast("int")).alias("max_tokens"))
+    system, turns = split_system("messages")
+    prov = provider_of("model")
+    payload = F.when(prov == "anthropic", payload_b("model", system, turns, "temperature", "max_tokens")) \
+               .otherwise(payload_a("model", "messages", "temperature", "max_tokens"))
+    p = m.select("conv_id", prov.alias("provider"), payload.alias("payload"))
+    return p.select(F.col("conv_id").alias("request_id"), "provider",
+                    F.get_json_object("payload", "$.max_tokens").cast("int").alias("max_tokens_sent"),
+                    F.get_json_object("payload", "$.temperature").isNotNull().alias("has_temperature"),
+                    F.get_json_object("payload", "$.system").alias("system_sent"),
+                    F.json_array_length(F.get_json_object("payload", "$.messages")).cast("bigint")
+                     .alias("n_messages_sent"))
+
+
+@register("cacheable_responses", _with(O.ATTEMPTS_CTE, _RESOLVED_SQL, """
+pt AS (
+  SELECT conv_id, CASE WHEN conv_id % 9 = 0 THEN '' ELSE string_agg(text, chr(10) ORDER BY turn) END AS prompt_text
+  FROM conversations GROUP BY conv_id)""") + """
+SELECT r.request_id, r.outcome,
+       COALESCE(r.outcome IN ('primary', 'fallback') AND length(p.prompt_text) > 0, FALSE) AS cacheable,
+       COALESCE(r.outcome IN ('primary', 'fallback', 'error_logged') AND length(p.prompt_text) > 0, FALSE)
+         AS cacheable_with_errors
+FROM resolved r LEFT JOIN pt p ON p.conv_id = r.request_id""")
+def q_cacheable_responses(spark, sf):
+    """Which responses would be stored in the cache (D7 both ways)."""
+    from tokenledger.operators.text_ops import ordered_string_agg
+    resolved = AT.resolve_attempts(FX.attempts_from_events(read_table(spark, sf, "events")))
+    pt = ordered_string_agg(read_table(spark, sf, "conversations"), "conv_id", "turn", "text", "\n", "prompt_text")
+    pt = pt.withColumn("prompt_text", F.when(F.col("conv_id") % 9 == 0, F.lit("")).otherwise(F.col("prompt_text")))
+    j = resolved.join(pt.withColumnRenamed("conv_id", "request_id"), "request_id", "left")
+    return j.select("request_id", "outcome", AT.cacheable_flag().alias("cacheable"),
+                    AT.cacheable_flag(include_errors=True).alias("cacheable_with_errors"))
+
+
+# ---------------------------------------------------------------- S8, S9
+KV_AS_OF = "2024-01-30 12:00:00"
+
+
+@register("kv_latest_live", f"""
+WITH w AS (
+  SELECT 'k' || CAST(user_id % 20 AS VARCHAR) AS key,
+         CASE WHEN event_type = 'error' THEN 'upstream timeout ' || CAST(event_id AS VARCHAR) ELSE props END AS value,
+         CAST(ts AS TIMESTAMP) AS written_at,
+         CASE WHEN event_type = 'click' THEN 600 ELSE 3600 END AS ttl_seconds, event_id
+  FROM events WHERE CAST(ts AS TIMESTAMP) <= TIMESTAMP '{KV_AS_OF}'),
+l AS (SELECT key, arg_max(value, (written_at, event_id)) AS value, arg_max(ttl_seconds, (written_at, event_id)) AS ttl,
+             MAX(written_at) AS written_at FROM w GROUP BY key)
+SELECT key, CASE WHEN json_valid(value) THEN CAST(json_extract(value, '$.k') AS INTEGER) END AS k,
+       CASE WHEN json_valid(value) THEN NULL ELSE value END AS raw, epoch_us(written_at) AS written_us
+FROM l WHERE TIMESTAMP '{KV_AS_OF}' < written_at + to_seconds(CAST(ttl AS BIGINT))""")
+def q_kv_latest_live(spark, sf):
+    """S9 writes derived from events, S8 read at a fixed instant."""
+    from tokenledger.sources.kv import kv_latest_live, kv_write
+    store = kv_write(None, FX.kv_writes_from_events(read_table(spark, sf, "events")))
+    out = kv_latest_live(store, KV_AS_OF)
+    return out.select("key", F.try_variant_get("json", "$.k", "int").alias("k"), "raw",
+                      F.unix_micros("written_at").alias("written_us"))

@@ -253,3 +253,60 @@ def index_as_of(embeddings: DataFrame):
     import datetime as _dt
     m = embeddings.agg(F.max("vec_id")).first()[0]
     return _dt.datetime(2024, 1, 1) + _dt.timedelta(minutes=int(m) + 1)
+
+
+# §2.7: provider responses built from conversation text and event token counts.
+def _turn_events(conversations: DataFrame, events: DataFrame) -> DataFrame:
+    ev = events.select(F.col("event_id"), F.floor(F.col("value") * 10).cast("bigint").alias("ptok"),
+                       _k().cast("bigint").alias("ctok"))
+    t = conversations.select("conv_id", "turn", "role", "text",
+                             (F.col("conv_id") * 8 + F.col("turn")).alias("event_id"))
+    return t.join(ev, "event_id", "inner").withColumnRenamed("event_id", "request_id")
+
+
+def responses_b(conversations: DataFrame, events: DataFrame) -> DataFrame:
+    """Provider-B JSON: variant (conv_id + turn) % 5 -> 0 text + tool block,
+    1 no usage, 2 no text block, 3 two text blocks, 4 plain."""
+    t = _turn_events(conversations, events)
+    v = (F.col("conv_id") + F.col("turn")) % 5
+    blk = lambda typ, txt: F.struct(F.lit(typ).alias("type"), txt.alias("text"))
+    none = F.lit(None).cast("string")
+    content = (F.when(v == 0, F.array(blk("text", F.col("text")), blk("tool_use", none)))
+                .when(v == 2, F.array(blk("tool_use", none)))
+                .when(v == 3, F.array(blk("text", F.col("text")),
+                                      blk("text", F.concat(F.lit("["), F.col("role"), F.lit("]")))))
+                .otherwise(F.array(blk("text", F.col("text")))))
+    usage = F.when(v != 1, F.struct(F.col("ptok").alias("input_tokens"), F.col("ctok").alias("output_tokens")))
+    body = F.to_json(F.struct(
+        F.concat(F.lit("msg_"), F.col("request_id").cast("string")).alias("id"),
+        F.lit("claude-3-haiku-20240307").alias("model"), content.alias("content"), usage.alias("usage")))
+    return t.select("request_id", body.alias("response"))
+
+
+def responses_a(conversations: DataFrame, events: DataFrame) -> DataFrame:
+    """Provider-A JSON: variant (conv_id + turn) % 4 -> 0 plain, 1 usage null,
+    2 no response at all, 3 two choices."""
+    t = _turn_events(conversations, events)
+    u = (F.col("conv_id") + F.col("turn")) % 4
+    choice = lambda i: F.struct(F.lit(i).alias("index"),
+                                F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content"))
+                                 .alias("message"), F.lit("stop").alias("finish_reason"))
+    choices = F.when(u == 3, F.array(choice(0), choice(1))).otherwise(F.array(choice(0)))
+    usage = F.when(u != 1, F.struct(F.col("ptok").alias("prompt_tokens"), F.col("ctok").alias("completion_tokens"),
+                                    (F.col("ptok") + F.col("ctok")).alias("total_tokens")))
+    body = F.to_json(F.struct(F.concat(F.lit("chatcmpl_"), F.col("request_id").cast("string")).alias("id"),
+                              F.lit("chat.completion").alias("object"), choices.alias("choices"),
+                              usage.alias("usage")))
+    return t.select("request_id", F.when(u != 2, body).alias("response"))
+
+
+def kv_writes_from_events(events: DataFrame) -> DataFrame:
+    """S9 writes: key 'k<user_id % 20>', JSON props (non-JSON text for error
+    events), written at ts, ttl 600 s for click events else 3600 s."""
+    return events.select(
+        F.concat(F.lit("k"), (F.col("user_id") % 20).cast("string")).alias("key"),
+        F.when(F.col("event_type") == "error", F.concat(F.lit("upstream timeout "), F.col("event_id").cast("string")))
+         .otherwise(F.col("props")).alias("value"),
+        F.col("ts").cast("timestamp").alias("written_at"),
+        F.when(F.col("event_type") == "click", F.lit(600)).otherwise(F.lit(3600)).alias("ttl_seconds"),
+        F.col("event_id").alias("write_id"))
