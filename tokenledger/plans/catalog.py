@@ -798,3 +798,66 @@ def q_kv_latest_live(spark, sf):
     out = kv_latest_live(store, KV_AS_OF)
     return out.select("key", F.try_variant_get("json", "$.k", "int").alias("k"), "raw",
                       F.unix_micros("written_at").alias("written_us"))
+
+
+# ---------------------------------------------------------------- ST1-ST5, S4, S5
+def _staged_events(spark, sf, name):
+    """Events split into four time-ordered files (derived, under the checkpoint
+    folder) and read back as a file stream, one file per micro-batch."""
+    import uuid
+    from tokenledger.session import scratch_path
+    from tokenledger.streaming.jobs import file_stream, stage_time_ordered
+    ev = read_table(spark, sf, "events")
+    glob = stage_time_ordered(ev, "ts", scratch_path(spark, f"staged/{name}/{uuid.uuid4().hex}"))
+    return file_stream(spark, glob, ev.schema)
+
+
+@register("stream_usage", _with(O.AUDIT_CTE) + O.rollup_sql("audit"))
+def q_stream_usage(spark, sf):
+    """ST3 + S5: streaming rollup upserted per micro-batch = batch rollup."""
+    from tokenledger.streaming.jobs import run_usage_upserts
+    audit = FX.audit_from_events(_staged_events(spark, sf, "stream_usage"))
+    return run_usage_upserts(audit, spark, "stream_usage").select(*R.KEYS, *R.COUNTERS)
+
+
+@register("stream_audit_append", _with(O.AUDIT_CTE) + """
+SELECT request_id, CAST(created_at AS DATE) AS event_date, tenant_id, provider, model, prompt_tokens,
+       completion_tokens, total_tokens, latency_ms, cost_usd, cache_hit, error_message
+FROM audit""")
+def q_stream_audit_append(spark, sf):
+    """ST2 + S4: audit stream appended to a date-partitioned Parquet table."""
+    from tokenledger.streaming.jobs import run_to_parquet
+    audit = FX.audit_from_events(_staged_events(spark, sf, "stream_audit")).withColumn(
+        "event_date", F.to_date("created_at"))
+    out = run_to_parquet(audit, spark, "stream_audit_append")
+    return out.select("request_id", "event_date", "tenant_id", "provider", "model", "prompt_tokens",
+                      "completion_tokens", "total_tokens", "latency_ms", "cost_usd", "cache_hit", "error_message")
+
+
+@register("stream_rate_limit", ORACLE["rate_limit"])
+def q_stream_rate_limit(spark, sf):
+    """ST1 + ST4: W1 as keyed streaming state = the batch rate_limit."""
+    from tokenledger.streaming.jobs import run_to_parquet, stream_rate_limit
+    ev = _staged_events(spark, sf, "stream_rl")
+    req = FX.requests_from_events(ev).drop("stream")
+    s = stream_rate_limit(req, FX.tenant_config(spark), window_s=RL_WINDOW_S, known_rows=len(FX.TENANT_ROWS))
+    out = run_to_parquet(s, spark, "stream_rate_limit")
+    return out.select("request_id", "tenant_id", "limit_rpm", "window_count",
+                      F.unix_micros("window_start").alias("window_start_us"), "allowed")
+
+
+@register("stream_ttl_counter", f"""
+WITH e AS (SELECT event_id, user_id, epoch_us(CAST(ts AS TIMESTAMP)) AS t FROM events),
+g AS (
+  SELECT *, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w > {TTL_S}::BIGINT * 1000000 THEN 1 ELSE 0 END AS brk
+  FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+s AS (SELECT *, SUM(brk) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+SELECT event_id, CAST(user_id AS VARCHAR) AS user_id,
+       row_number() OVER (PARTITION BY user_id, sid ORDER BY t, event_id) AS counter
+FROM s""")
+def q_stream_ttl_counter(spark, sf):
+    """ST5: W3 as keyed streaming state = the batch ttl_counter."""
+    from tokenledger.streaming.jobs import run_to_parquet, stream_ttl_counter
+    ev = _staged_events(spark, sf, "stream_ttl")
+    out = run_to_parquet(stream_ttl_counter(ev, "user_id", TTL_S), spark, "stream_ttl_counter")
+    return out.select("event_id", "user_id", "counter")
