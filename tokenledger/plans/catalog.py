@@ -861,3 +861,56 @@ def q_stream_ttl_counter(spark, sf):
     ev = _staged_events(spark, sf, "stream_ttl")
     out = run_to_parquet(stream_ttl_counter(ev, "user_id", TTL_S), spark, "stream_ttl_counter")
     return out.select("event_id", "user_id", "counter")
+
+
+# ---------------------------------------------------------------- J2 (table form), V3
+@register("price_lookup", _with(f"""
+m AS (SELECT {O.model_case()} AS model, COUNT(*) AS requests,
+             SUM(CAST(floor(value * 10) AS BIGINT)) AS prompt_tokens FROM events GROUP BY 1)""") + f"""
+SELECT model, {O.provider_case('model')} AS provider, requests,
+       {O.price_case('model', O.provider_case('model'), 0)} AS price_in,
+       {O.price_case('model', O.provider_case('model'), 1)} AS price_out,
+       CAST(prompt_tokens AS DECIMAL(20,0)) * {O.price_case('model', O.provider_case('model'), 0)} AS prompt_cost_per_1k
+FROM m""")
+def q_price_lookup(spark, sf):
+    """J2 in table form: per-model traffic joined to the price dimension, with
+    the provider default row when the model is not listed."""
+    from tokenledger.functions.pricing import PRICE_TYPE, price_table
+    from tokenledger.operators.dimensions import lookup_join
+    m = (read_table(spark, sf, "events")
+         .groupBy(FX.fixture_model().alias("model"))
+         .agg(F.count(F.lit(1)).alias("requests"),
+              F.sum(F.floor(F.col("value") * 10).cast("bigint")).alias("prompt_tokens"))
+         .withColumn("provider", provider_of("model")))
+    prices = price_table(spark)
+    listed = prices.filter(F.col("model").isNotNull())
+    defaults = prices.filter(F.col("model").isNull()).select(
+        "provider", F.col("price_in").alias("d_in"), F.col("price_out").alias("d_out"))
+    j = lookup_join(m, listed, ["provider", "model"], "left", known_rows=8)
+    j = lookup_join(j, defaults, "provider", "left", known_rows=2)
+    pin = F.coalesce("price_in", "d_in").cast(PRICE_TYPE)
+    pout = F.coalesce("price_out", "d_out").cast(PRICE_TYPE)
+    return j.select("model", "provider", "requests", pin.alias("price_in"), pout.alias("price_out"),
+                    (F.col("prompt_tokens").cast("decimal(20,0)") * pin).alias("prompt_cost_per_1k"))
+
+
+INDEX_SPLIT_MIN = 300      # entries written in the first 300 minutes form the existing index
+
+
+@register("index_append", _with(O.EMB_CTE) + f""",
+old AS (SELECT response_id, seq FROM idx_all WHERE inserted_at < TIMESTAMP '2024-01-01 00:00:00' + INTERVAL {INDEX_SPLIT_MIN} MINUTE),
+new AS (
+  SELECT 'r' || substr(sha256(CAST(seq + 1000000 AS VARCHAR)), 1, 16) AS response_id,
+         (SELECT COALESCE(MAX(seq), -1) FROM old) + row_number() OVER (ORDER BY inserted_at, seq + 1000000) AS seq
+  FROM idx_all WHERE inserted_at >= TIMESTAMP '2024-01-01 00:00:00' + INTERVAL {INDEX_SPLIT_MIN} MINUTE)
+SELECT response_id, seq FROM old UNION ALL SELECT response_id, seq FROM new""")
+def q_index_append(spark, sf):
+    """V3: later writes appended to the index with ids derived from the request
+    id and ``seq`` continuing after the existing maximum."""
+    from tokenledger.operators.similarity import append_entries
+    idx = FX.index_from_embeddings(_emb(spark, sf))
+    split = F.lit(FX.INDEX_EPOCH).cast("timestamp") + F.expr(f"INTERVAL {INDEX_SPLIT_MIN} MINUTES")
+    old = idx.filter(F.col("inserted_at") < split)
+    new = idx.filter(F.col("inserted_at") >= split).select(
+        (F.col("seq") + 1_000_000).alias("request_id"), "embedding", "inserted_at")
+    return append_entries(old, new).select("response_id", "seq")
