@@ -81,14 +81,14 @@ def _loop_ttl(rows, ttl):
     return out
 
 
-@pytest.mark.parametrize("ttl", [None, 60, 600])
-def test_ttl_counter_matches_loop(spark, ttl):
+@pytest.mark.parametrize("ttl,cap", [(None, 10**6), (60, 10**6), (600, 10**6), (None, 20), (60, 20), (600, 20)])
+def test_ttl_counter_matches_loop(spark, ttl, cap):
     rows = [(t, ts, i) for t, ts, i, _ in _random_requests(7, n=300)]
     rows.append(("g", T0, 10_000))
     rows.append(("g", T0 + dt.timedelta(seconds=60), 10_001))     # gap == ttl keeps counting
     rows.append(("g", T0 + dt.timedelta(seconds=120, microseconds=1), 10_002))
     df = spark.createDataFrame(rows, "k string, ts timestamp, event_id long")
-    got = {r["event_id"]: r["counter"] for r in ttl_counter(df, "k", ttl_s=ttl, bucket_s=90).collect()}
+    got = {r["event_id"]: r["counter"] for r in ttl_counter(df, "k", ttl_s=ttl, bucket_s=90, max_key_rows=cap).collect()}
     assert got == _loop_ttl(rows, ttl)
 
 

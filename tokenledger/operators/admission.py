@@ -10,9 +10,10 @@ The anchor chain is a sequential recurrence, so the plan is:
    requests are ``window`` or more apart: such a request always opens a
    window, so segments are independent. That scan is bucketed by time, so a hot
    tenant is spread over many tasks (see ``sequences``).
-2. Segments up to ``max_segment_rows`` rows (all of them in practice) are
-   hash-partitioned by segment, sorted, and run the recurrence in one pass per
-   partition (``mapInPandas``, Arrow batches, state carried across batches).
+2. Segments up to ``max_segment_rows`` rows are hash-partitioned by segment,
+   sorted, and run the recurrence in one pass per partition (``mapInPandas``,
+   Arrow batches, state carried across batches). A key that has at most
+   ``max_segment_rows`` rows in total skips step 1: the whole key is one segment.
 3. Longer segments (a tenant that never pauses for ``window``) are solved
    exactly without a single task holding the segment: each row's successor
    anchor ``nxt(i)`` (first row at or after ts_i + window) is found with a
@@ -39,7 +40,7 @@ US = 1_000_000
 MAX_SEGMENT_ROWS = 1_000_000
 
 
-def _partition_fn(keys: list[str], tie: str, window_us: int):
+def _partition_fn(keys: list[str], tie: str, window_us: int, passthrough: bool = False):
     """Anchored windows over one partition sorted by (keys, segment, ts, tie).
 
     Segments are contiguous in the partition; the state (anchor, count) carries
@@ -71,6 +72,12 @@ def _partition_fn(keys: list[str], tie: str, window_us: int):
                     n += 1
                 counts[i], anchors[i] = n, anchor
             last_key = (seg[-1], *(pdf[k].iat[m - 1] for k in keys))
+            if passthrough:
+                out = pdf.drop(columns=["_seg"])
+                out["window_count"] = np.asarray(counts, dtype=np.int64)
+                out["anchor_us"] = np.asarray(anchors, dtype=np.int64)
+                yield out
+                continue
             out = {k: pdf[k].to_numpy() for k in keys}
             out[tie] = pdf[tie].to_numpy()
             out["window_count"] = np.asarray(counts, dtype=np.int64)
@@ -133,8 +140,9 @@ def rate_limit(requests: DataFrame, window_s: int = K.RATE_WINDOW_SECONDS, keys=
 
     Ties on ``ts`` break by ``tie``. A request exactly ``window_s`` after the
     anchor opens a new window (half-open windows). A null limit reads as the
-    default 60 (D6); limit <= 0 bypasses the counter. Only a narrow projection
-    (keys, tie, ts) is shuffled; counts are joined back to the input rows.
+    default 60 (D6); limit <= 0 bypasses the counter. Keys under the cap carry
+    their columns through one sorted pass; hot keys shuffle a narrow projection
+    (keys, tie, ts) through the segmented path and join the counts back.
     """
     keys = list(keys)
     window_us = int(window_s * US)
@@ -144,19 +152,60 @@ def rate_limit(requests: DataFrame, window_s: int = K.RATE_WINDOW_SECONDS, keys=
               .withColumn("window_count", F.lit(0).cast("bigint"))
               .withColumn("window_start", F.lit(None).cast("timestamp")))
     counted = base.filter(eff_limit > 0)
-    narrow = counted.select(*keys, tie, "_ts_us")
-    seg = gap_segments(narrow, keys, "_ts_us", tie, window_us, inclusive=True, bucket_s=bucket_s, with_len=True)
-    seg = seg.select(*keys, tie, "_ts_us", "_grank", "_bucket", F.col("seg_start.grank").alias("_seg"), "seg_len")
-    out_cols = [*keys, tie, "window_count", "anchor_us"]
+    cold, hot = split_by_key_size(counted, keys, max_segment_rows)
+    parts = []
+    if cold is not None:
+        # keys small enough for one task: one shuffle, one pass, columns carried through
+        c = cold.withColumn("_seg", F.lit(0).cast("bigint"))
+        schema = cold.schema.add("window_count", LongType()).add("anchor_us", LongType())
+        parts.append(c.repartition(*keys).sortWithinPartitions(*keys, "_ts_us", tie)
+                      .mapInPandas(_partition_fn(keys, tie, window_us, passthrough=True), schema))
+    if hot is not None:
+        counts = _segmented(hot.select(*keys, tie, "_ts_us"), keys, tie, window_us, bucket_s, max_segment_rows)
+        parts.append(hot.join(counts, [*keys, tie], "inner"))
+    res = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    res = res.withColumn("window_start", F.timestamp_micros("anchor_us")).drop("anchor_us")
+    res = res.unionByName(bypass)
+    return (res.withColumn("allowed", (eff_limit <= 0) | (F.col("window_count") <= eff_limit))
+               .drop("_ts_us"))
+
 
-    small = seg.filter(F.col("seg_len") <= max_segment_rows).select(*keys, "_seg", "_ts_us", tie)
-    schema = small.select(*keys, tie).schema.add("window_count", LongType()).add("anchor_us", LongType())
-    counts = (small.repartition(*keys, "_seg").sortWithinPartitions(*keys, "_seg", "_ts_us", tie)
+MAX_HOT_KEYS = 100_000
+
+
+def split_by_key_size(df: DataFrame, keys: list[str], max_rows: int):
+    """(cold, hot): rows of keys with at most ``max_rows`` rows, and the rest.
+    ``hot`` is None when no key is over; ``cold`` is None when the hot-key list
+    is itself too long to ship (then every key takes the distributed path).
+    The per-key count is a partial aggregate (one small shuffle)."""
+    hot = (df.groupBy(*keys).count().filter(F.col("count") > max_rows)
+           .select(*keys).limit(MAX_HOT_KEYS + 1).collect())
+    if not hot:
+        return df, None
+    if len(hot) > MAX_HOT_KEYS:
+        return None, df
+    hot_df = F.broadcast(df.sparkSession.createDataFrame(hot, df.select(*keys).schema))  # <= MAX_HOT_KEYS rows
+    return df.join(hot_df, keys, "left_anti"), df.join(hot_df, keys, "left_semi")
+
+
+def _per_segment(df: DataFrame, keys: list[str], tie: str, window_us: int) -> DataFrame:
+    """Run the recurrence with one sorted pass per partition; ``_seg`` marks
+    independent segments (constant when whole keys are the unit)."""
+    schema = df.select(*keys, tie).schema.add("window_count", LongType()).add("anchor_us", LongType())
+    return (df.select(*keys, "_seg", "_ts_us", tie)
+              .repartition(*keys, "_seg").sortWithinPartitions(*keys, "_seg", "_ts_us", tie)
               .mapInPandas(_partition_fn(keys, tie, window_us), schema))
 
-    big = seg.filter(F.col("seg_len") > max_segment_rows)
-    if (_any_key_over(narrow, keys, max_segment_rows)
-            and _has_rows(seg, F.col("seg_len") > max_segment_rows)):
+
+def _segmented(narrow: DataFrame, keys: list[str], tie: str, window_us: int, bucket_s: int,
+               max_segment_rows: int) -> DataFrame:
+    """Keys too large for one task: bucketed gap segmentation, then one pass per
+    segment, and pointer doubling for segments still over the cap."""
+    seg = gap_segments(narrow, keys, "_ts_us", tie, window_us, inclusive=True, bucket_s=bucket_s, with_len=True)
+    seg = seg.select(*keys, tie, "_ts_us", "_grank", "_bucket", F.col("seg_start.grank").alias("_seg"), "seg_len")
+    counts = _per_segment(seg.filter(F.col("seg_len") <= max_segment_rows), keys, tie, window_us)
+    if _has_rows(seg, F.col("seg_len") > max_segment_rows):
+        big = seg.filter(F.col("seg_len") > max_segment_rows)
         anchors = _anchors_by_doubling(big, keys, "_seg", window_us)
         marked = big.join(anchors.withColumn("_is_anchor", F.lit(True)).withColumnRenamed("g", "_grank"),
                           [*keys, "_grank"], "left")
@@ -165,19 +214,8 @@ def rate_limit(requests: DataFrame, window_s: int = K.RATE_WINDOW_SECONDS, keys=
                                    F.struct(F.col("_grank").alias("g"), F.col("_ts_us").alias("t"))), "_anchor")
         big_out = marked.select(*keys, tie, (F.col("_grank") - F.col("_anchor.g") + 1).alias("window_count"),
                                 F.col("_anchor.t").alias("anchor_us"))
-        counts = counts.unionByName(big_out.select(*out_cols))
-
-    res = counted.join(counts, [*keys, tie], "inner").withColumn(
-        "window_start", F.timestamp_micros("anchor_us")).drop("anchor_us")
-    res = res.unionByName(bypass)
-    return (res.withColumn("allowed", (eff_limit <= 0) | (F.col("window_count") <= eff_limit))
-               .drop("_ts_us"))
-
-
-def _any_key_over(df: DataFrame, keys: list[str], max_rows: int) -> bool:
-    """Cheap necessary condition for a long segment: some key has more than
-    ``max_rows`` rows (a partial count per key, one small shuffle)."""
-    return df.groupBy(*keys).count().filter(F.col("count") > max_rows).limit(1).count() > 0
+        counts = counts.unionByName(big_out.select(*keys, tie, "window_count", "anchor_us"))
+    return counts
 
 
 def _has_rows(df: DataFrame, cond) -> bool:
@@ -224,24 +262,60 @@ def remaining_as_of(limited: DataFrame, probes: DataFrame, window_s: int, keys=(
                        .otherwise(F.greatest(F.lit(0), F.col(limit_col) - live)).cast("bigint").alias("remaining"))
 
 
+def _ttl_fn(key: str, ttl_us: int | None):
+    """Counter with refreshed expiry over partitions sorted by (key, ts, tie)."""
+    def fn(batches):
+        last_key, last_t, n, start = None, None, 0, None
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            keys = pdf[key].tolist()
+            ts = pdf["_ts_us"].to_numpy(dtype=np.int64).tolist()
+            counts, starts = [0] * len(ts), [0] * len(ts)
+            for i, (k, t) in enumerate(zip(keys, ts)):
+                if k != last_key or (ttl_us is not None and t - last_t > ttl_us):
+                    n, start = 0, t
+                n += 1
+                last_key, last_t = k, t
+                counts[i], starts[i] = n, start
+            out = pdf.copy()
+            out["counter"] = np.asarray(counts, dtype=np.int64)
+            out["_start_us"] = np.asarray(starts, dtype=np.int64)
+            yield out
+    return fn
+
+
 def ttl_counter(events: DataFrame, key: str, ts: str = "ts", tie: str = "event_id",
-                ttl_s: int | None = None, bucket_s: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                ttl_s: int | None = None, bucket_s: int = DEFAULT_BUCKET_SECONDS,
+                max_key_rows: int = MAX_SEGMENT_ROWS) -> DataFrame:
     """Counter whose expiry is refreshed on every increment.
 
     With a ttl the count restarts after a gap strictly longer than ttl (a gap
     equal to ttl keeps counting); without a ttl it never restarts. Adds
-    ``counter`` and ``session_start``.
+    ``counter`` and ``session_start``. Keys with at most ``max_key_rows`` rows
+    take one sorted pass per partition; hotter keys take the bucketed scan.
     """
     base = events.withColumn("_ts_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    if ttl_s is None:
-        d = with_neighbours(with_bucket(base, "_ts_us", bucket_s), [key], "_ts_us", tie)
-        return (d.withColumn("counter", F.col("_grank").cast("bigint"))
-                 .withColumn("session_start", F.lit(None).cast("timestamp"))
-                 .drop("_ts_us", "_bucket", "_prev_ts", "_next_ts", "_grank"))
-    d = gap_segments(base, [key], "_ts_us", tie, int(ttl_s * US), inclusive=False, bucket_s=bucket_s)
-    return (d.withColumn("counter", F.col("seg_rank").cast("bigint"))
-             .withColumn("session_start", F.timestamp_micros(F.col("seg_start.ts")))
-             .drop("_ts_us", "_bucket", "_prev_ts", "_next_ts", "_grank", "seg_start", "seg_rank"))
+    cold, hot = split_by_key_size(base, [key], max_key_rows)
+    parts = []
+    if cold is not None:
+        schema = cold.schema.add("counter", LongType()).add("_start_us", LongType())
+        c = (cold.repartition(key).sortWithinPartitions(key, "_ts_us", tie)
+             .mapInPandas(_ttl_fn(key, None if ttl_s is None else int(ttl_s * US)), schema))
+        parts.append(c.withColumn("session_start", F.when(F.lit(ttl_s is not None),
+                                                           F.timestamp_micros("_start_us")))
+                      .drop("_start_us", "_ts_us"))
+    if hot is not None:
+        if ttl_s is None:
+            d = with_neighbours(with_bucket(hot, "_ts_us", bucket_s), [key], "_ts_us", tie)
+            d = (d.withColumn("counter", F.col("_grank").cast("bigint"))
+                  .withColumn("session_start", F.lit(None).cast("timestamp")))
+        else:
+            d = gap_segments(hot, [key], "_ts_us", tie, int(ttl_s * US), inclusive=False, bucket_s=bucket_s)
+            d = (d.withColumn("counter", F.col("seg_rank").cast("bigint"))
+                  .withColumn("session_start", F.timestamp_micros(F.col("seg_start.ts"))))
+        parts.append(d.select(*events.columns, "counter", "session_start"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def admit(requests: DataFrame, window_s: int = K.RATE_WINDOW_SECONDS, scan_col: str = "scan_hit",

@@ -38,8 +38,10 @@ def with_neighbours(df: DataFrame, keys: list[str], ts_us: str, tie: str) -> Dat
     rows = (df.withColumn("_rn", F.row_number().over(w))
               .withColumn("_lag", F.lag(ts_us).over(w))
               .withColumn("_lead", F.lead(ts_us).over(w)))
-    stats = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"),
-                                                F.min(ts_us).alias("_min_ts"), F.max(ts_us).alias("_max_ts"))
+    # summaries come from the input, not the windowed rows: same values, and the
+    # summary branch does not repeat the window
+    stats = df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"),
+                                              F.min(ts_us).alias("_min_ts"), F.max(ts_us).alias("_max_ts"))
     ws = Window.partitionBy(*keys).orderBy("_bucket")
     stats = stats.select(
         *keys, "_bucket",
@@ -61,10 +63,12 @@ def carry_last(df: DataFrame, keys: list[str], ts_us: str, tie: str, value: Colu
     Needs ``_bucket``."""
     order = [F.col(ts_us).desc(), F.col(tie).desc()] if reverse else [F.col(ts_us), F.col(tie)]
     w = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("_v", value).withColumn("_in", F.last("_v", ignorenulls=True).over(w))
+    marked = df.withColumn("_v", value)
+    rows = marked.withColumn("_in", F.last("_v", ignorenulls=True).over(w))
     pos = F.struct(F.col(ts_us), F.col(tie))
     pick = F.min_by if reverse else F.max_by
-    stats = rows.groupBy(*keys, "_bucket").agg(pick(F.col("_v"), F.when(F.col("_v").isNotNull(), pos)).alias("_bl"))
+    stats = marked.groupBy(*keys, "_bucket").agg(pick(F.col("_v"), F.when(F.col("_v").isNotNull(), pos))
+                                                 .alias("_bl"))
     ws = Window.partitionBy(*keys).orderBy(F.col("_bucket").desc() if reverse else F.col("_bucket"))
     stats = stats.select(*keys, "_bucket",
                          F.last("_bl", ignorenulls=True).over(ws.rowsBetween(Window.unboundedPreceding, -1))
