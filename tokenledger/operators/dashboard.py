@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenledger import constants as K
+from tokenledger.functions.timeutil import ts_lit
 
 
 def _check_range(name: str, value: int, bounds: tuple[int, int]) -> None:
@@ -70,7 +71,7 @@ def cache_stats(audit: DataFrame, as_of, days: int = 7, tenant_id: str | None =
     places, 0 when there are no rows (D9)."""
     _check_range("days", days, K.USAGE_DAYS_RANGE)
     start = _as_date(as_of) - dt.timedelta(days=days)
-    df = audit.filter(F.col("created_at") >= F.lit(dt.datetime.combine(start, dt.time())))
+    df = audit.filter(F.col("created_at") >= ts_lit(start))
     if tenant_id:
         df = df.filter(F.col("tenant_id") == tenant_id)
     agg = df.agg(F.count_if(F.col("cache_hit")).alias("cache_hits"),

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from tokenledger import constants as K
+from tokenledger.functions.timeutil import ts_lit
 from tokenledger.operators.sequences import carry_last, with_bucket, with_neighbours
 
 US = 1_000_000
@@ -79,7 +80,7 @@ def retained_index(index: DataFrame, as_of, max_entries: int = K.MAX_INDEX_ENTRI
     and only the last ``max_entries`` entries are kept (W4, a top-k:
     TakeOrderedAndProject, never a global sort).
     """
-    as_of_ts = F.lit(as_of).cast("timestamp")
+    as_of_ts = ts_lit(as_of)
     live = index.filter(F.col(ts) <= as_of_ts).withColumn("_ts_us", F.unix_micros(F.col(ts)))
     # the latest session start: the last write whose predecessor is ttl or more before it
     d = with_neighbours(with_bucket(live.withColumn("_k", F.lit(0)), "_ts_us", 86400), ["_k"], "_ts_us", seq)
@@ -147,7 +148,7 @@ def lookup_responses(matches: DataFrame, responses: DataFrame, as_of,
     a dead response is a miss. ``responses`` (response_id, value, written_at);
     only responses written in the last ``ttl_s`` can be alive, so that filter
     runs before the join and bounds the right side."""
-    as_of_ts = F.lit(as_of).cast("timestamp")
+    as_of_ts = ts_lit(as_of)
     alive = (responses.filter((F.col("written_at") <= as_of_ts)
                               & (as_of_ts < F.col("written_at") + F.make_dt_interval(secs=F.lit(ttl_s))))
              .select("response_id", F.col("value").alias("response"), F.lit(True).alias("_alive")))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenledger import constants as K
+from tokenledger.functions.timeutil import ts_lit
 
 
 def kv_write(store: DataFrame | None, writes: DataFrame, value_col: str = "value", ttl_s: int | None = None,
@@ -33,7 +34,7 @@ def kv_latest_live(store: DataFrame, as_of) -> DataFrame:
     Output: key, json (VARIANT, null when the value is not valid JSON), raw (the
     text when it is not JSON), written_at.
     """
-    as_of_ts = F.lit(as_of).cast("timestamp")
+    as_of_ts = ts_lit(as_of)
     order = F.struct("written_at", *(["write_id"] if "write_id" in store.columns else []))
     latest = (store.filter(F.col("written_at") <= as_of_ts)
               .groupBy("key")
