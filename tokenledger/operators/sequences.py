@@ -27,8 +27,14 @@ from pyspark.sql import functions as F
 DEFAULT_BUCKET_SECONDS = 3600
 
 
+def floor_div(c: Column, width: int) -> Column:
+    """Exact integer floor(c / width) for BIGINT ``c`` (no double rounding at
+    bucket edges, right for negative values too)."""
+    return ((c - F.pmod(c, F.lit(width))) / F.lit(width)).cast("bigint")
+
+
 def with_bucket(df: DataFrame, ts_us: str, bucket_s: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
-    return df.withColumn("_bucket", F.floor(F.col(ts_us) / F.lit(bucket_s * 1_000_000)).cast("bigint"))
+    return df.withColumn("_bucket", floor_div(F.col(ts_us), int(bucket_s * 1_000_000)))
 
 
 def with_neighbours(df: DataFrame, keys: list[str], ts_us: str, tie: str) -> DataFrame:
@@ -102,3 +108,51 @@ def gap_segments(df: DataFrame, keys: list[str], ts_us: str, tie: str, gap_us: i
         d = carry_last(d, keys, ts_us, tie, F.when(is_end, F.col("_grank")), "_seg_end", reverse=True)
         d = d.withColumn("seg_len", F.col("_seg_end") - F.col("seg_start.grank") + 1).drop("_seg_end")
     return d.drop("_brk")
+
+
+def last_k_per_key(df: DataFrame, keys: list[str], order_col: str, k: int,
+                   width: int = 1_000_000, max_broadcast_rows: int | None = None) -> DataFrame:
+    """Rows with the ``k`` largest ``order_col`` values per key (``order_col``
+    unique within a key, e.g. an append sequence).
+
+    Never a per-key window over all rows and never a single merge task:
+    ``order_col`` is cut into ranges of ``width`` values; a per-(key, range)
+    count (partial aggregate, one row per range) gives the rows after each
+    range, so whole ranges are kept or dropped from the summary, and only rows
+    of kept ranges are ranked, per (key, range): at most ``width`` rows a task.
+    """
+    from tokenledger.operators.dimensions import DEFAULT_BROADCAST_ROWS, lookup_join
+    d = df.withColumn("_r", floor_div(F.col(order_col).cast("bigint"), width))
+    s = d.groupBy(*keys, "_r").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys).orderBy(F.col("_r").desc())
+    s = s.withColumn("_after", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                                          F.lit(0)))
+    s = s.filter(F.col("_after") < k).select(*keys, "_r", "_after")
+    j = lookup_join(d, s, [*keys, "_r"], "inner", max_rows=max_broadcast_rows or DEFAULT_BROADCAST_ROWS)
+    rw = Window.partitionBy(*keys, "_r").orderBy(F.col(order_col).desc())
+    return (j.withColumn("_rk", F.row_number().over(rw))
+             .filter(F.col("_rk") <= F.lit(k) - F.col("_after"))
+             .drop("_r", "_after", "_rk"))
+
+
+def global_positions(df: DataFrame, order_cols: list, out: str = "_pos") -> DataFrame:
+    """1-based position of every row in one total order (``order_cols`` unique).
+
+    A range-partitioned sort (parallel), then per-partition offsets, the way
+    ``zipWithIndex`` numbers rows: the sorted rows are checkpointed to the
+    shared checkpoint folder so the partition sizes and the numbering come from
+    one evaluation; the offsets table has one row per sort partition (a bounded
+    broadcast).
+    """
+    tagged = (df.orderBy(*order_cols)
+                .withColumn("_pid", F.spark_partition_id())
+                .withColumn("_mid", F.monotonically_increasing_id())
+                .checkpoint())
+    sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_pid", F.coalesce(
+        F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_off"))
+    local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))      # row number inside the partition
+    return (tagged.join(F.broadcast(offsets), "_pid")
+                  .withColumn(out, F.col("_off") + local + 1)
+                  .drop("_pid", "_mid", "_off"))

@@ -17,26 +17,27 @@ and score whole Arrow batches of prompts against it with one matrix product.
 
 V4 (how many calls a cache could have saved) compares every request with the
 requests of the previous hour. Exact, without a single task holding an hour:
-requests are grouped into blocks of at most ``block_rows`` rows per hour,
-block pairs of the same and the previous hour are joined on the hour, and each
-pair is scored with a matrix product that emits only its best candidate per
-request; a ``max_by`` per request then keeps the overall best.
+requests are grouped into blocks of about ``block_rows`` rows per hour; a pair
+unit is one block and one block of the same or the previous hour, keyed by
+both block ids, so a busy hour's pairs spread over many tasks. Each pair is
+scored with a matrix product that emits only its best candidate per request;
+a ``max_by`` per request then keeps the overall best.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from tokenledger import constants as K
 from tokenledger.functions.timeutil import ts_lit
-from tokenledger.operators.sequences import carry_last, with_bucket, with_neighbours
+from tokenledger.operators.dimensions import lookup_join
+from tokenledger.operators.sequences import floor_div, global_positions, last_k_per_key
 
 US = 1_000_000
 
@@ -71,26 +72,43 @@ def _stack(vectors) -> np.ndarray:
 
 # ------------------------------------------------------------------ W4, W5
 def retained_index(index: DataFrame, as_of, max_entries: int = K.MAX_INDEX_ENTRIES,
-                   index_ttl_s: int = K.INDEX_TTL_SECONDS, seq: str = "seq", ts: str = "inserted_at") -> DataFrame:
+                   index_ttl_s: int = K.INDEX_TTL_SECONDS, seq: str = "seq", ts: str = "inserted_at",
+                   partition_cols=()) -> DataFrame:
     """The index as a reader sees it at ``as_of``.
 
     Writes after ``as_of`` are ignored. The index is rebuilt from empty by the
     first write at least ``index_ttl_s`` after the previous one (W5 session);
     it is empty when ``as_of`` is ``index_ttl_s`` or more after the last write;
-    and only the last ``max_entries`` entries are kept (W4, a top-k:
-    TakeOrderedAndProject, never a global sort).
+    and only the last ``max_entries`` entries are kept (W4). With
+    ``partition_cols`` (e.g. ``["tenant_id"]``) each key has its own index.
+
+    No row-level window over a key: two writes in one ``index_ttl_s``-wide time
+    bucket are less than the ttl apart, so a session break can only fall
+    between buckets, and a per-(key, bucket) summary (partial aggregate, one
+    row per bucket) finds the session start. W4 is ``last_k_per_key``.
     """
+    pc = list(partition_cols)
+    keys = pc or ["_k"]
+    ttl_us = int(index_ttl_s * US)
     as_of_ts = ts_lit(as_of)
-    live = index.filter(F.col(ts) <= as_of_ts).withColumn("_ts_us", F.unix_micros(F.col(ts)))
-    # the latest session start: the last write whose predecessor is ttl or more before it
-    d = with_neighbours(with_bucket(live.withColumn("_k", F.lit(0)), "_ts_us", 86400), ["_k"], "_ts_us", seq)
-    gap = F.col("_prev_ts").isNull() | (F.col("_ts_us") - F.col("_prev_ts") >= index_ttl_s * US)
-    bounds = d.agg(F.max(F.when(gap, F.struct(F.col("_ts_us"), F.col(seq)))).alias("start"),
-                   F.max("_ts_us").alias("last"))
-    as_of_us = F.unix_micros(as_of_ts)
-    alive = bounds.filter(as_of_us < F.col("last") + index_ttl_s * US).select("start")
-    cur = live.join(F.broadcast(alive), F.struct(F.col("_ts_us"), F.col(seq)) >= F.col("start"), "inner")
-    return cur.drop("start", "_ts_us").orderBy(F.col(seq).desc()).limit(max_entries)
+    live = index.filter(F.col(ts) <= as_of_ts)
+    if not pc:
+        live = live.withColumn("_k", F.lit(0))
+    live = live.withColumn("_ts_us", F.unix_micros(F.col(ts)))
+    pos = F.struct(F.col("_ts_us"), F.col(seq))
+    b = live.groupBy(*keys, floor_div(F.col("_ts_us"), ttl_us).alias("_b")).agg(
+        F.min(pos).alias("_first"), F.max("_ts_us").alias("_last"))
+    b = b.withColumn("_prev", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")))
+    brk = F.col("_prev").isNull() | (F.col("_first._ts_us") - F.col("_prev") >= ttl_us)
+    bounds = (b.groupBy(*keys).agg(F.max(F.when(brk, F.col("_first"))).alias("_start"),
+                                   F.max("_last").alias("_end"))
+               .filter(F.unix_micros(as_of_ts) < F.col("_end") + ttl_us)
+               .select(*keys, "_start"))
+    # one row per key: a literal single row without keys, else size-probed
+    cur = lookup_join(live, bounds, keys, "inner", known_rows=None if pc else 1)
+    cur = cur.filter(pos >= F.col("_start")).drop("_start", "_ts_us")
+    kept = last_k_per_key(cur, keys, seq, max_entries)
+    return kept if pc else kept.drop("_k")
 
 
 # ------------------------------------------------------------------ V2, J4
@@ -160,18 +178,18 @@ def lookup_responses(matches: DataFrame, responses: DataFrame, as_of,
 def append_entries(index: DataFrame, new: DataFrame, id_col: str = "request_id") -> DataFrame:
     """V3: append (response_id, embedding) for newly cached responses.
 
-    ``seq`` continues after the current maximum in (inserted_at, id) order; the
-    rank is a bucketed scan (no single-task global window). The response id is
-    derived from the request id so reruns are idempotent.
+    ``seq`` continues after the current maximum in (inserted_at, id) order. The
+    numbering is a range-partitioned sort plus per-partition offsets
+    (``global_positions``), so no single task numbers the rows. The response id
+    is derived from the request id so reruns are idempotent.
     """
     base = index.agg(F.max("seq")).first()[0]
     base = -1 if base is None else int(base)
     fresh = new.select(F.concat(F.lit("r"), F.sha2(F.col(id_col).cast("string"), 256).substr(1, 16))
                        .alias("response_id"), F.col("embedding").cast("array<double>").alias("embedding"),
-                       "inserted_at", id_col,
-                       F.unix_micros("inserted_at").alias("_ts_us"), F.lit(0).alias("_k"))
-    ranked = with_neighbours(with_bucket(fresh, "_ts_us", 86400), ["_k"], "_ts_us", id_col)
-    fresh = ranked.select("response_id", "embedding", "inserted_at", (F.lit(base) + F.col("_grank")).alias("seq"))
+                       "inserted_at", id_col)
+    ranked = global_positions(fresh, ["inserted_at", id_col])
+    fresh = ranked.select("response_id", "embedding", "inserted_at", (F.lit(base) + F.col("_pos")).alias("seq"))
     return index.select("response_id", "embedding", "inserted_at", "seq").unionByName(fresh)
 
 
@@ -184,17 +202,38 @@ def similar_earlier(requests: DataFrame, id_col: str = "request_id", ts: str = "
     r = (requests.select(F.col(id_col).cast("bigint").alias("id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"),
                          F.col(vec).cast("array<double>").alias("v"))
          .filter(F.col("v").isNotNull() & (F.size("v") > 0)))
-    r = r.withColumn("h", F.floor(F.col("t") / (window_s * US)).cast("bigint"))
-    counts = r.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("nb", F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows)).cast("int"))
-    blocks = (r.join(counts.select("h", "nb"), "h")
-                .withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-                .groupBy("h", "b")
-                .agg(F.collect_list(F.struct("id", "t", "v")).alias("rows")))
-    left = blocks.select(F.col("h").alias("lh"), F.col("b").alias("lb"), F.col("rows").alias("lrows"))
-    right = blocks.select(F.explode(F.array(F.col("h"), F.col("h") + 1)).alias("lh"),
-                          F.col("h").alias("rh"), F.col("b").alias("rb"), F.col("rows").alias("rrows"))
-    pairs = left.join(right, "lh")
+    r = r.withColumn("h", floor_div(F.col("t"), int(window_s * US)))
+    # blocks per hour; the hour table has one row per hour of the time span
+    # (bounded by the span, not the rows), size-probed before broadcasting
+    hours = r.groupBy("h").agg(F.count(F.lit(1)).alias("n")).select(
+        "h", F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows)).cast("int").alias("nb"))
+    blocks = (lookup_join(r, hours, "h", "inner")
+              .withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+              .groupBy("h", "b")
+              .agg(F.collect_list(F.struct("id", "t", "v")).alias("rows")))
+    # every block learns the block counts of its own and both neighbouring hours
+    for name, shift in (("nb_self", 0), ("nb_prev", -1), ("nb_next", 1)):
+        hn = hours.select((F.col("h") - F.lit(shift)).alias("h"), F.col("nb").alias(name))
+        blocks = lookup_join(blocks, hn, "h", "left")
+    blocks = blocks.fillna(0, ["nb_prev", "nb_next"])
+
+    def grid(hour: Column, count: str, h_name: str, b_name: str) -> Column:
+        return F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0), F.col(count) - 1),
+                                                    lambda x: F.struct(hour.alias(h_name), x.alias(b_name)))) \
+                .otherwise(F.array().cast(f"array<struct<{h_name}:bigint,{b_name}:int>>"))
+
+    # a pair unit is (left block, right block of the same or the previous
+    # hour): each side is copied once per partner block and the join key names
+    # the pair, so a busy hour's pairs spread over many tasks
+    left = (blocks.select(F.col("h").alias("lh"), F.col("b").alias("lb"), F.col("rows").alias("lrows"),
+                          F.explode(F.concat(grid(F.col("h"), "nb_self", "rh", "rb"),
+                                             grid(F.col("h") - 1, "nb_prev", "rh", "rb"))).alias("p"))
+                  .select("lh", "lb", "p.rh", "p.rb", "lrows"))
+    right = (blocks.select(F.col("h").alias("rh"), F.col("b").alias("rb"), F.col("rows").alias("rrows"),
+                           F.explode(F.concat(grid(F.col("h"), "nb_self", "lh", "lb"),
+                                              grid(F.col("h") + 1, "nb_next", "lh", "lb"))).alias("p"))
+                   .select("p.lh", "p.lb", "rh", "rb", "rrows"))
+    pairs = left.join(right, ["lh", "lb", "rh", "rb"], "inner")
     schema = StructType([StructField("id", LongType()), StructField("match_id", LongType()),
                          StructField("match_t", LongType()), StructField("match_sim", DoubleType())])
     win_us = window_s * US
