@@ -95,3 +95,42 @@ def test_similar_earlier_many_blocks(spark):
                 best = (key, j)
         want[i] = None if best is None else best[1]
     assert got == want and sum(v is not None for v in want.values()) > 50
+
+
+def test_best_match_per_tenant_paths_agree(spark, monkeypatch):
+    from tokenledger.operators import similarity as S
+    rnd = np.random.default_rng(9)
+    base = rnd.normal(size=(30, 6))
+    idx = spark.createDataFrame(
+        [(f"t{i % 3}" if i != 29 else None, f"r{i}", i, (base[i] / np.linalg.norm(base[i])).tolist())
+         for i in range(30)] + [("t0", "dup", 40, (base[0] / np.linalg.norm(base[0])).tolist())],
+        "tenant_id string, response_id string, seq long, embedding array<double>")
+    # tenant t0 is hot: most queries; some queries ask the wrong tenant or have no tenant
+    qrows = []
+    for j in range(200):
+        i = j % 30
+        tenant = "t0" if j % 2 == 0 else (f"t{i % 3}" if j % 5 else f"t{(i + 1) % 3}")
+        qrows.append((j, None if j % 17 == 0 else tenant, (base[i] + 0.01 * rnd.normal(size=6)).tolist()))
+    q = spark.createDataFrame(qrows, "query_id long, tenant_id string, embedding array<double>")
+
+    def run(**kw):
+        return {r["query_id"]: (r["tenant_id"], r["response_id"])
+                for r in S.best_match(q, idx, partition_cols=["tenant_id"], **kw).collect()}
+
+    shipped = run()
+    assert run(max_shipped_entries=0, group_rows=7) == shipped          # salted cogroup, hot keys listed
+    monkeypatch.setattr(S, "MAX_HOT_KEYS", 0)
+    assert run(max_shipped_entries=0, group_rows=7) == shipped          # uniform salt count
+    want = {}
+    for j, tenant, v in qrows:
+        best = None
+        for i in range(30):
+            owner = f"t{i % 3}" if i != 29 else None
+            if tenant is None or owner != tenant:
+                continue
+            e = base[i] / np.linalg.norm(base[i])
+            sim = float(np.dot(v, e) / (np.linalg.norm(v) * np.linalg.norm(e) + 1e-9))
+            if sim >= 0.95 and (best is None or sim > best[0]):
+                best = (sim, f"r{i}")
+        want[j] = (tenant, None if best is None else best[1])
+    assert shipped == want and sum(r is not None for _, r in want.values()) > 60

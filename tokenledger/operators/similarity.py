@@ -27,12 +27,13 @@ a ``max_by`` per request then keeps the overall best.
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from tokenledger import constants as K
 from tokenledger.functions.timeutil import ts_lit
@@ -112,50 +113,149 @@ def retained_index(index: DataFrame, as_of, max_entries: int = K.MAX_INDEX_ENTRI
 
 
 # ------------------------------------------------------------------ V2, J4
+MAX_SHIPPED_ENTRIES = 200_000      # whole retained index shipped to tasks up to this many entries
+MAX_HOT_KEYS = 100_000
+
+
+def _entry_block(ids, seqs, vectors):
+    """(ids, seqs, matrix) of one index, in seq order (ties keep the earliest)."""
+    order = np.argsort(np.asarray(seqs, dtype=np.int64), kind="stable")
+    return ([ids[i] for i in order], np.asarray(seqs, dtype=np.int64)[order],
+            _stack([vectors[i] for i in order]))
+
+
+_EMPTY_BLOCK = ([], np.zeros(0, dtype=np.int64), np.zeros((0, 0)))
+
+
+def _match_frame(pdf: pd.DataFrame, qid: str, qvec: str, block, threshold: float, keep=()) -> pd.DataFrame:
+    """Best entry of ``block`` per query row of ``pdf`` (one matrix product)."""
+    e_ids, e_seq, e = block
+    n = len(pdf)
+    pos = np.full(n, -1, dtype=np.int64)
+    sim = np.zeros(n)
+    vecs = pdf[qvec].tolist()
+    ok = np.asarray([v is not None and len(v) > 0 for v in vecs], dtype=bool)
+    if ok.any() and len(e_ids):
+        p, sc = best_in_block(_stack([v for v, g in zip(vecs, ok) if g]), e, threshold)
+        pos[ok], sim[ok] = p, sc
+    hit = pos >= 0
+    out = {c: pdf[c].to_numpy() for c in keep}
+    out[qid] = pdf[qid].to_numpy()
+    out["response_id"] = [e_ids[i] if h else None for i, h in zip(pos.tolist(), hit.tolist())]
+    out["seq"] = pd.array([int(e_seq[i]) if h else None for i, h in zip(pos.tolist(), hit.tolist())], dtype="Int64")
+    out["sim"] = np.where(hit, sim, np.nan)
+    return pd.DataFrame(out)
+
+
 def best_match(queries: DataFrame, index: DataFrame, qid: str = "query_id", qvec: str = "embedding",
-               threshold: float = K.SIMILARITY_THRESHOLD, max_index_rows: int = K.MAX_INDEX_ENTRIES) -> DataFrame:
+               threshold: float = K.SIMILARITY_THRESHOLD, max_index_rows: int = K.MAX_INDEX_ENTRIES,
+               partition_cols=(), max_shipped_entries: int = MAX_SHIPPED_ENTRIES,
+               group_rows: int = 200_000) -> DataFrame:
     """Per query, the best retained entry with sim >= threshold.
 
     ``index`` (response_id, seq, embedding) must be the retained index (W4 caps
-    it); its size is checked before it is shipped to the tasks. Output: qid,
-    response_id (null on no match), seq, sim.
+    it at ``max_index_rows`` entries, per key with ``partition_cols``). Output:
+    [partition_cols], qid, response_id (null on no match), seq, sim.
+
+    Without ``partition_cols`` (the reference: one global index) the index is
+    checked to hold at most ``max_index_rows`` rows and shipped to the tasks;
+    each Arrow batch of queries is scored with one matrix product.
+
+    With ``partition_cols`` (per-tenant isolation) a query only sees its own
+    key's index; entries or queries with a null key match nothing. The whole
+    retained index is shipped when a bounded probe shows at most
+    ``max_shipped_entries`` entries; otherwise each key's index is packed into
+    one row (at most ``max_index_rows`` entries) and cogrouped with the queries
+    on (key, salt): keys with more than ``group_rows`` queries get
+    ceil(n / group_rows) salts and their packed index is copied once per salt,
+    so no group holds more than about ``group_rows`` queries.
     """
     spark = queries.sparkSession
+    pc = list(partition_cols)
     idx = index.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)) \
-               .select("response_id", "seq", F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = idx.orderBy("seq").limit(max_index_rows + 1).collect()
-    if len(rows) > max_index_rows:
-        raise ValueError(f"index has more than {max_index_rows} entries; apply retained_index() first")
-    ids = [r["response_id"] for r in rows]
-    seqs = np.asarray([r["seq"] for r in rows], dtype=np.int64)
-    mat = _stack([r["embedding"] for r in rows])
-    bc = spark.sparkContext.broadcast((ids, seqs, mat))
+               .select(*pc, "response_id", "seq", F.col("embedding").cast("array<double>").alias("embedding"))
     qid_type = queries.schema[qid].dataType
-    schema = StructType([StructField(qid, qid_type), StructField("response_id", StringType()),
-                         StructField("seq", LongType()), StructField("sim", DoubleType())])
+    fields = [queries.schema[c] for c in pc] + [
+        StructField(qid, qid_type), StructField("response_id", StringType()),
+        StructField("seq", LongType()), StructField("sim", DoubleType())]
+    schema = StructType([StructField(f.name, f.dataType) for f in fields])
+    q = queries.select(*pc, qid, F.col(qvec).cast("array<double>").alias(qvec))
 
-    def score(batches):
-        e_ids, e_seq, e = bc.value
-        for pdf in batches:
-            n = len(pdf)
-            pos = np.full(n, -1, dtype=np.int64)
-            sim = np.zeros(n)
-            vecs = pdf[qvec].tolist()
-            ok = np.asarray([v is not None and len(v) > 0 for v in vecs], dtype=bool)
-            if ok.any() and len(e_ids):
-                q = _stack([v for v, g in zip(vecs, ok) if g])
-                p, s = best_in_block(q, e, threshold)
-                pos[ok], sim[ok] = p, s
-            hit = pos >= 0
-            yield pd.DataFrame({
-                qid: pdf[qid].to_numpy(),
-                "response_id": [e_ids[p] if h else None for p, h in zip(pos.tolist(), hit.tolist())],
-                "seq": pd.array([int(e_seq[p]) if h else None for p, h in zip(pos.tolist(), hit.tolist())],
-                                dtype="Int64"),
-                "sim": np.where(hit, sim, np.nan),
-            })
-
-    out = queries.select(qid, F.col(qvec).cast("array<double>").alias(qvec)).mapInPandas(score, schema)
+    if not pc:
+        rows = idx.orderBy("seq").limit(max_index_rows + 1).collect()
+        if len(rows) > max_index_rows:
+            raise ValueError(f"index has more than {max_index_rows} entries; apply retained_index() first")
+        bc = spark.sparkContext.broadcast(_entry_block([r["response_id"] for r in rows], [r["seq"] for r in rows],
+                                                       [r["embedding"] for r in rows]))
+
+        def score(batches):
+            for pdf in batches:
+                yield _match_frame(pdf, qid, qvec, bc.value, threshold)
+        out = q.mapInPandas(score, schema)
+        return out.withColumn("sim", F.when(F.col("response_id").isNotNull(), F.col("sim")))
+
+    for c in pc:
+        idx = idx.filter(F.col(c).isNotNull())
+    if idx.limit(max_shipped_entries + 1).count() <= max_shipped_entries:
+        grouped: dict = {}
+        for r in idx.collect():                                 # <= max_shipped_entries rows
+            grouped.setdefault(tuple(r[c] for c in pc), []).append(r)
+        too_big = [k for k, v in grouped.items() if len(v) > max_index_rows]
+        if too_big:
+            raise ValueError(f"index of key {too_big[0]} has more than {max_index_rows} entries; "
+                             "apply retained_index(partition_cols=...) first")
+        bc = spark.sparkContext.broadcast({k: _entry_block([r["response_id"] for r in v], [r["seq"] for r in v],
+                                                           [r["embedding"] for r in v])
+                                           for k, v in grouped.items()})
+
+        def score_keyed(batches):
+            blocks = bc.value
+            for pdf in batches:
+                if len(pdf) == 0:
+                    continue
+                parts = [_match_frame(g, qid, qvec, blocks.get(k if isinstance(k, tuple) else (k,), _EMPTY_BLOCK),
+                                      threshold, keep=pc)
+                         for k, g in pdf.groupby(pc if len(pc) > 1 else pc[0], dropna=False, sort=False)]
+                yield pd.concat(parts, ignore_index=True)
+        out = q.mapInPandas(score_keyed, schema)
+        return out.withColumn("sim", F.when(F.col("response_id").isNotNull(), F.col("sim")))
+
+    # shuffle path: salted cogroup of queries with packed per-key indexes
+    counts = q.groupBy(*pc).agg(F.count(F.lit(1)).alias("_n"))
+    hot = (counts.filter(F.col("_n") > group_rows)
+           .select(*pc, F.ceil(F.col("_n") / group_rows).cast("int").alias("_ns"))
+           .limit(MAX_HOT_KEYS + 1).collect())
+    if len(hot) <= MAX_HOT_KEYS:
+        salts = spark.createDataFrame(hot, StructType([queries.schema[c] for c in pc]
+                                                      + [StructField("_ns", IntegerType())]))
+        q = lookup_join(q, salts, pc, "left", known_rows=len(hot))
+        packed_ns = lambda df: lookup_join(df, salts, pc, "left", known_rows=len(hot))
+    else:       # too many hot keys to list: one salt count for every key
+        top = counts.agg(F.max("_n")).first()[0]
+        ns = max(1, math.ceil(top / group_rows))
+        q = q.withColumn("_ns", F.lit(ns))
+        packed_ns = lambda df: df.withColumn("_ns", F.lit(ns))
+    q = q.withColumn("_salt", F.pmod(F.xxhash64(qid), F.coalesce(F.col("_ns"), F.lit(1)))).drop("_ns")
+    packed = packed_ns(idx.groupBy(*pc).agg(F.collect_list(F.struct("response_id", "seq", "embedding"))
+                                            .alias("_entries")))
+    packed = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_ns"), F.lit(1)) - 1)))
+    packed = packed.drop("_ns")
+
+    def score_group(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if len(left) == 0:
+            return pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
+        block = _EMPTY_BLOCK
+        if len(right):
+            entries = list(right["_entries"].iloc[0])
+            if len(entries) > max_index_rows:
+                raise ValueError(f"an index key has more than {max_index_rows} entries; "
+                                 "apply retained_index(partition_cols=...) first")
+            block = _entry_block([e["response_id"] for e in entries], [e["seq"] for e in entries],
+                                 [e["embedding"] for e in entries])
+        return _match_frame(left, qid, qvec, block, threshold, keep=pc)
+
+    out = (q.groupBy(*pc, "_salt").cogroup(packed.groupBy(*pc, "_salt"))
+            .applyInPandas(score_group, schema))
     return out.withColumn("sim", F.when(F.col("response_id").isNotNull(), F.col("sim")))
 
 

@@ -646,6 +646,52 @@ def q_semantic_lookup(spark, sf):
                       F.when(F.col("hit"), F.get_json_object("response", "$.id")).alias("served_id"))
 
 
+# V2 with per-tenant isolation: entries belong to tenant vec_id % 3; a quarter of
+# the prompts (vec_id % 4 = 3) are asked by the tenant of the next vector, so
+# their global best match lies in another tenant's index and must not be seen.
+_TENANT_SQL = """
+tidx_all AS (SELECT *, 'tenant_' || CAST(seq % 3 AS VARCHAR) AS tenant_id FROM idx_all),
+tsess AS (
+  SELECT *, CASE WHEN lag(inserted_at) OVER w IS NULL OR inserted_at - lag(inserted_at) OVER w >= INTERVAL 7 DAY
+                 THEN 1 ELSE 0 END AS brk
+  FROM tidx_all WHERE inserted_at <= (SELECT as_of FROM asof_t)
+  WINDOW w AS (PARTITION BY tenant_id ORDER BY inserted_at, seq)),
+tb AS (SELECT tenant_id, MAX((inserted_at, seq)) FILTER (WHERE brk = 1) AS st, MAX(inserted_at) AS last
+       FROM tsess GROUP BY tenant_id),
+tcur AS (
+  SELECT s.* FROM tsess s JOIN tb ON s.tenant_id = tb.tenant_id
+  WHERE (s.inserted_at, s.seq) >= tb.st AND (SELECT as_of FROM asof_t) < tb.last + INTERVAL 7 DAY),
+tidx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY seq DESC) AS rn FROM tcur)
+         WHERE rn <= 500),
+tq AS (SELECT query_id, q,
+              'tenant_' || CAST((query_id + CASE WHEN query_id % 4 = 3 THEN 1 ELSE 0 END) % 3 AS VARCHAR) AS tenant_id
+       FROM qv),
+tpairs AS (
+  SELECT tq.query_id, i.response_id, i.seq, """ + O.sim_sql('tq.q', 'i.v') + """ AS sim
+  FROM tq JOIN tidx i ON i.tenant_id = tq.tenant_id),
+tranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, seq) AS rk FROM tpairs WHERE sim >= 0.95)"""
+
+
+@register("semantic_match_tenant", _with(O.EMB_CTE) + ",\n" + _TENANT_SQL.strip() + """
+SELECT tq.tenant_id, tq.query_id, r.response_id, r.seq, ROUND(r.sim, 6) AS sim
+FROM tq LEFT JOIN tranked r ON r.query_id = tq.query_id AND r.rk = 1""")
+def q_semantic_match_tenant(spark, sf):
+    """V2 + W4/W5 per tenant (``partition_cols``): each tenant keeps and
+    searches only its own index."""
+    from tokenledger.operators.similarity import best_match, retained_index
+    emb = _emb(spark, sf)
+    idx = FX.index_from_embeddings(emb).withColumn(
+        "tenant_id", F.concat(F.lit("tenant_"), (F.col("seq") % 3).cast("string")))
+    kept = retained_index(idx, FX.index_as_of(emb), partition_cols=["tenant_id"])
+    qid = F.col("query_id")
+    q = FX.queries_from_embeddings(emb).withColumn(
+        "tenant_id", F.concat(F.lit("tenant_"),
+                              ((qid + F.when(qid % 4 == 3, 1).otherwise(0)) % 3).cast("string")))
+    m = best_match(q, kept, partition_cols=["tenant_id"])
+    return m.select("tenant_id", "query_id", "response_id", "seq", F.round("sim", 6).alias("sim"))
+
+
 @register("saved_calls", _with(O.EMB_CTE) + """,
 reqs AS (
   SELECT query_id AS request_id, ts, q AS v FROM qv
