@@ -118,9 +118,9 @@ def test_best_match_per_tenant_paths_agree(spark, monkeypatch):
                 for r in S.best_match(q, idx, partition_cols=["tenant_id"], **kw).collect()}
 
     shipped = run()
-    assert run(max_shipped_entries=0, group_rows=7) == shipped          # salted cogroup, hot keys listed
+    assert run(max_shipped_values=0, group_rows=7) == shipped          # salted cogroup, hot keys listed
     monkeypatch.setattr(S, "MAX_HOT_KEYS", 0)
-    assert run(max_shipped_entries=0, group_rows=7) == shipped          # uniform salt count
+    assert run(max_shipped_values=0, group_rows=7) == shipped          # uniform salt count
     want = {}
     for j, tenant, v in qrows:
         best = None

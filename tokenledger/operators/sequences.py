@@ -111,7 +111,7 @@ def gap_segments(df: DataFrame, keys: list[str], ts_us: str, tie: str, gap_us: i
 
 
 def last_k_per_key(df: DataFrame, keys: list[str], order_col: str, k: int,
-                   width: int = 1_000_000, max_broadcast_rows: int | None = None) -> DataFrame:
+                   width: int = 1_000_000, known_rows: int | None = None) -> DataFrame:
     """Rows with the ``k`` largest ``order_col`` values per key (``order_col``
     unique within a key, e.g. an append sequence).
 
@@ -121,14 +121,15 @@ def last_k_per_key(df: DataFrame, keys: list[str], order_col: str, k: int,
     range, so whole ranges are kept or dropped from the summary, and only rows
     of kept ranges are ranked, per (key, range): at most ``width`` rows a task.
     """
-    from tokenledger.operators.dimensions import DEFAULT_BROADCAST_ROWS, lookup_join
+    from tokenledger.operators.dimensions import lookup_join
     d = df.withColumn("_r", floor_div(F.col(order_col).cast("bigint"), width))
     s = d.groupBy(*keys, "_r").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy(F.col("_r").desc())
     s = s.withColumn("_after", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                                           F.lit(0)))
     s = s.filter(F.col("_after") < k).select(*keys, "_r", "_after")
-    j = lookup_join(d, s, [*keys, "_r"], "inner", max_rows=max_broadcast_rows or DEFAULT_BROADCAST_ROWS)
+    # the kept summary has at most k rows per key (each kept range holds a row)
+    j = lookup_join(d, s, [*keys, "_r"], "inner", known_rows=known_rows)
     rw = Window.partitionBy(*keys, "_r").orderBy(F.col(order_col).desc())
     return (j.withColumn("_rk", F.row_number().over(rw))
              .filter(F.col("_rk") <= F.lit(k) - F.col("_after"))

@@ -108,12 +108,13 @@ def retained_index(index: DataFrame, as_of, max_entries: int = K.MAX_INDEX_ENTRI
     # one row per key: a literal single row without keys, else size-probed
     cur = lookup_join(live, bounds, keys, "inner", known_rows=None if pc else 1)
     cur = cur.filter(pos >= F.col("_start")).drop("_start", "_ts_us")
-    kept = last_k_per_key(cur, keys, seq, max_entries)
+    # without keys at most max_entries ranges survive the summary filter
+    kept = last_k_per_key(cur, keys, seq, max_entries, known_rows=None if pc else max_entries)
     return kept if pc else kept.drop("_k")
 
 
 # ------------------------------------------------------------------ V2, J4
-MAX_SHIPPED_ENTRIES = 200_000      # whole retained index shipped to tasks up to this many entries
+MAX_SHIPPED_VALUES = 16_000_000   # whole retained index shipped to tasks up to 16M doubles (128 MB)
 MAX_HOT_KEYS = 100_000
 
 
@@ -149,7 +150,7 @@ def _match_frame(pdf: pd.DataFrame, qid: str, qvec: str, block, threshold: float
 
 def best_match(queries: DataFrame, index: DataFrame, qid: str = "query_id", qvec: str = "embedding",
                threshold: float = K.SIMILARITY_THRESHOLD, max_index_rows: int = K.MAX_INDEX_ENTRIES,
-               partition_cols=(), max_shipped_entries: int = MAX_SHIPPED_ENTRIES,
+               partition_cols=(), max_shipped_values: int = MAX_SHIPPED_VALUES,
                group_rows: int = 200_000) -> DataFrame:
     """Per query, the best retained entry with sim >= threshold.
 
@@ -163,8 +164,8 @@ def best_match(queries: DataFrame, index: DataFrame, qid: str = "query_id", qvec
 
     With ``partition_cols`` (per-tenant isolation) a query only sees its own
     key's index; entries or queries with a null key match nothing. The whole
-    retained index is shipped when a bounded probe shows at most
-    ``max_shipped_entries`` entries; otherwise each key's index is packed into
+    retained index is shipped when one aggregate shows entries x width of
+    at most ``max_shipped_values`` doubles; otherwise each key's index is packed into
     one row (at most ``max_index_rows`` entries) and cogrouped with the queries
     on (key, salt): keys with more than ``group_rows`` queries get
     ceil(n / group_rows) salts and their packed index is copied once per salt,
@@ -196,9 +197,11 @@ def best_match(queries: DataFrame, index: DataFrame, qid: str = "query_id", qvec
 
     for c in pc:
         idx = idx.filter(F.col(c).isNotNull())
-    if idx.limit(max_shipped_entries + 1).count() <= max_shipped_entries:
+    # one aggregate gives the shipped size: entries x vector width (in doubles)
+    n_entries, width = idx.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    if n_entries * (width or 0) <= max_shipped_values:
         grouped: dict = {}
-        for r in idx.collect():                                 # <= max_shipped_entries rows
+        for r in idx.collect():                                 # bounded by max_shipped_values
             grouped.setdefault(tuple(r[c] for c in pc), []).append(r)
         too_big = [k for k, v in grouped.items() if len(v) > max_index_rows]
         if too_big:
@@ -296,25 +299,29 @@ def append_entries(index: DataFrame, new: DataFrame, id_col: str = "request_id")
 # ------------------------------------------------------------------ V4
 def similar_earlier(requests: DataFrame, id_col: str = "request_id", ts: str = "ts", vec: str = "embedding",
                     window_s: int = 3600, threshold: float = K.SIMILARITY_THRESHOLD,
-                    block_rows: int = 2048) -> DataFrame:
+                    block_rows: int = 2048, max_hours: int = 1_000_000) -> DataFrame:
     """V4: per request, the most similar earlier request within ``window_s``
     (sim >= threshold; ties -> earliest). Output: id, match_id, match_sim."""
     r = (requests.select(F.col(id_col).cast("bigint").alias("id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"),
                          F.col(vec).cast("array<double>").alias("v"))
          .filter(F.col("v").isNotNull() & (F.size("v") > 0)))
     r = r.withColumn("h", floor_div(F.col("t"), int(window_s * US)))
-    # blocks per hour; the hour table has one row per hour of the time span
-    # (bounded by the span, not the rows), size-probed before broadcasting
+    # blocks per hour. The hour table has one row per hour of the time span
+    # (bounded by the span, not the rows): fetched once under a row cap and
+    # used as a literal broadcast; past the cap the joins are left to Catalyst.
     hours = r.groupBy("h").agg(F.count(F.lit(1)).alias("n")).select(
         "h", F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows)).cast("int").alias("nb"))
-    blocks = (lookup_join(r, hours, "h", "inner")
+    hour_rows = hours.limit(max_hours + 1).collect()
+    if len(hour_rows) <= max_hours:
+        hours = F.broadcast(r.sparkSession.createDataFrame(hour_rows, "h bigint, nb int"))
+    blocks = (r.join(hours, "h", "inner")
               .withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
               .groupBy("h", "b")
               .agg(F.collect_list(F.struct("id", "t", "v")).alias("rows")))
     # every block learns the block counts of its own and both neighbouring hours
     for name, shift in (("nb_self", 0), ("nb_prev", -1), ("nb_next", 1)):
-        hn = hours.select((F.col("h") - F.lit(shift)).alias("h"), F.col("nb").alias(name))
-        blocks = lookup_join(blocks, hn, "h", "left")
+        blocks = blocks.join(hours.select((F.col("h") - F.lit(shift)).alias("h"), F.col("nb").alias(name)),
+                             "h", "left")
     blocks = blocks.fillna(0, ["nb_prev", "nb_next"])
 
     def grid(hour: Column, count: str, h_name: str, b_name: str) -> Column:
