@@ -331,7 +331,12 @@ def admit(requests: DataFrame, window_s: int = K.RATE_WINDOW_SECONDS, scan_col:
                 .withColumn("window_start", F.lit(None).cast("timestamp"))
                 .withColumn("allowed", F.lit(None).cast("boolean")))
     counted = rate_limit(requests.filter(~F.col("stream")), window_s=window_s, **kw)
-    both = counted.unionByName(streamed)
+    return admission_decision(counted.unionByName(streamed), scan_col)
+
+
+def admission_decision(df: DataFrame, scan_col: str = "scan_hit") -> DataFrame:
+    """P16's ordered rule on rows carrying ``stream``, ``allowed`` (W1) and the
+    scan hit: stream -> 501, over the limit -> 429, injection -> 400, else 200."""
     status = (F.when(F.col("stream"), F.lit(501))
                .when(~F.col("allowed"), F.lit(429))
                .when(F.col(scan_col).isNotNull(), F.lit(400))
@@ -339,4 +344,4 @@ def admit(requests: DataFrame, window_s: int = K.RATE_WINDOW_SECONDS, scan_col:
     reason = (F.when(F.col("stream"), F.lit("streaming not supported"))
                .when(~F.col("allowed"), F.lit("rate limit exceeded"))
                .when(F.col(scan_col).isNotNull(), F.concat(F.lit("injection: "), F.col(scan_col))))
-    return both.withColumn("status", status).withColumn("reason", reason)
+    return df.withColumn("status", status).withColumn("reason", reason)

@@ -538,8 +538,9 @@ def q_ttl_counter_forever(spark, sf):
     return ttl_counter(ev, "user_id", ttl_s=None).select("event_id", "user_id", "counter")
 
 
-def _admission_requests(spark, sf):
-    from tokenledger.functions.injection import scan_messages
+def _admission_base(spark, sf):
+    """Request rows (request_id, ts, tenant_id, stream, messages) built from the
+    planted conversations."""
     t = _planted(spark, sf)
     msgs = (t.groupBy("conv_id")
             .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_m"))
@@ -550,7 +551,12 @@ def _admission_requests(spark, sf):
                     (F.col("conv_id") % 11 == 0).alias("stream"),
                     F.transform("_m", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"),
                                                          F.lit(None).cast("string").alias("name"))).alias("messages")))
-    msgs = msgs.withColumn("scan_hit", scan_messages("messages"))
+    return msgs
+
+
+def _admission_requests(spark, sf):
+    from tokenledger.functions.injection import scan_messages
+    msgs = _admission_base(spark, sf).withColumn("scan_hit", scan_messages("messages"))
     return TN.with_tenant_config(msgs, FX.tenant_config(spark), known_rows=len(FX.TENANT_ROWS))
 
 
@@ -892,6 +898,21 @@ def q_stream_rate_limit(spark, sf):
                       F.unix_micros("window_start").alias("window_start_us"), "allowed")
 
 
+@register("stream_admission", ORACLE["admission"])
+def q_stream_admission(spark, sf):
+    """ST1 + ST4: admission (scan, isolation, tool scoping, keyed W1 state,
+    P16) over a request stream = the batch admission."""
+    import uuid
+    from tokenledger.session import scratch_path
+    from tokenledger.streaming.jobs import file_stream, run_to_parquet, stage_time_ordered, stream_admission
+    base = _admission_base(spark, sf)
+    glob = stage_time_ordered(base, "ts", scratch_path(spark, f"staged/stream_admission/{uuid.uuid4().hex}"))
+    s = stream_admission(file_stream(spark, glob, base.schema), FX.tenant_config(spark), window_s=RL_WINDOW_S,
+                         known_rows=len(FX.TENANT_ROWS))
+    out = run_to_parquet(s, spark, "stream_admission")
+    return out.select("request_id", "tenant_id", "status", "reason", "window_count")
+
+
 @register("stream_ttl_counter", f"""
 WITH e AS (SELECT event_id, user_id, epoch_us(CAST(ts AS TIMESTAMP)) AS t FROM events),
 g AS (

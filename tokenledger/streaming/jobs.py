@@ -1,7 +1,8 @@
 """Structured Streaming jobs (ST1-ST5).
 
 ST1  requests -> tenant config (stream-static, ST4) -> anchored rate window
-     per tenant as keyed state (applyInPandasWithState) -> counts / allowed
+     per tenant as keyed state (applyInPandasWithState) -> counts / allowed;
+     with the scan, prompt isolation and tool scoping -> admission status
 ST2  audit stream -> Parquet file sink partitioned by event date (S4)
 ST3  audit stream -> usage rollup deltas -> idempotent upsert (foreachBatch, S5)
 ST5  TTL counter per key as keyed state
@@ -22,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tokenledger import constants as K
 from tokenledger.session import scratch_path
@@ -55,7 +57,9 @@ def run_available(query) -> None:
 
 
 # ------------------------------------------------------------------ keyed state
-def _anchored_state_fn(window_us: int, key: str, tie: str):
+def _anchored_state_fn(window_us: int, key: str, tie: str, extra=()):
+    """W1 per key over one micro-batch, state (anchor, n) carried across
+    batches; ``extra`` columns ride along with their rows."""
     def fn(k, batches, state):
         anchor, n = state.get if state.exists else (None, 0)
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["_ts_us", tie], kind="stable")
@@ -69,9 +73,11 @@ def _anchored_state_fn(window_us: int, key: str, tie: str):
             counts.append(n)
             anchors.append(anchor)
         state.update((int(anchor), int(n)))
-        yield pd.DataFrame({key: pdf[key].to_numpy(), tie: pdf[tie].to_numpy(),
-                            "window_count": np.asarray(counts, dtype=np.int64),
-                            "anchor_us": np.asarray(anchors, dtype=np.int64)})
+        out = {key: pdf[key].to_numpy(), tie: pdf[tie].to_numpy(),
+               "window_count": np.asarray(counts, dtype=np.int64),
+               "anchor_us": np.asarray(anchors, dtype=np.int64)}
+        out.update({c: pdf[c].to_numpy() for c in extra})
+        yield pd.DataFrame(out)
     return fn
 
 
@@ -115,6 +121,46 @@ def stream_rate_limit(requests: DataFrame, config: DataFrame, window_s: int = K.
     return out.unionByName(bypass)
 
 
+def stream_admission(requests: DataFrame, config: DataFrame, window_s: int = K.RATE_WINDOW_SECONDS,
+                     key: str = "tenant_id", tie: str = "request_id", known_rows: int | None = None) -> DataFrame:
+    """ST1 (+ST4): admission over a request stream.
+
+    ``requests`` is a streaming DataFrame with key, tie, ``ts``, ``stream`` and
+    ``messages`` (and optionally ``tools``). Stream-static join to the tenant
+    config (J1); the message scan (P8), system prompt isolation (P11, then P6
+    prompt text) and tool scoping (P10) are column expressions evaluated before
+    the keyed W1 state and carried through it; P16 decides. Streamed requests
+    (501) never reach the counter; tenants with limit <= 0 bypass it.
+    """
+    from tokenledger.functions.injection import scan_messages
+    from tokenledger.functions.messages import isolate_system_prompt, prompt_text
+    from tokenledger.operators.admission import admission_decision
+    from tokenledger.operators.tenants import scope_tools, with_tenant_config
+    j = with_tenant_config(requests, config, known_rows=known_rows)
+    j = j.select(key, tie, "stream", "limit_rpm", F.unix_micros(F.col("ts").cast("timestamp")).alias("_ts_us"),
+                 scan_messages("messages").alias("scan_hit"),
+                 prompt_text(isolate_system_prompt("messages", "system_prompt_override")).alias("prompt_text"),
+                 (scope_tools(tools="tools") if "tools" in requests.columns
+                  else F.lit(None).cast("string")).alias("tools"))
+    extra = ["stream", "limit_rpm", "scan_hit", "prompt_text", "tools"]
+    base = j.filter(~F.col("stream"))
+    state_out = StructType([j.schema[key], j.schema[tie], StructField("window_count", LongType()),
+                            StructField("anchor_us", LongType())] + [j.schema[c] for c in extra])
+    counted = (base.filter(F.col("limit_rpm") > 0).groupBy(key).applyInPandasWithState(
+        _anchored_state_fn(window_s * US, key, tie, extra), outputStructType=state_out,
+        stateStructType="anchor long, n long", outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
+        .withColumn("allowed", F.col("window_count") <= F.col("limit_rpm"))
+        .withColumn("window_start", F.timestamp_micros("anchor_us")).drop("anchor_us"))
+    bypass = (base.filter(F.col("limit_rpm") <= 0).drop("_ts_us")
+              .withColumn("window_count", F.lit(0).cast("bigint")).withColumn("allowed", F.lit(True))
+              .withColumn("window_start", F.lit(None).cast("timestamp")))
+    streamed = (j.filter(F.col("stream")).drop("_ts_us")
+                .withColumn("window_count", F.lit(None).cast("bigint"))
+                .withColumn("allowed", F.lit(None).cast("boolean"))
+                .withColumn("window_start", F.lit(None).cast("timestamp")))
+    return admission_decision(counted.unionByName(bypass).unionByName(streamed))
+
+
 def stream_ttl_counter(events: DataFrame, key: str, ttl_s: int | None, tie: str = "event_id") -> DataFrame:
     """ST5: streaming W3, one counter value per event."""
     e = events.withColumn("_ts_us", F.unix_micros(F.col("ts").cast("timestamp"))).select(
