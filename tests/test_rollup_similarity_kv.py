@@ -83,3 +83,15 @@ def test_kv_latest_live(spark):
                               "key string, value string, written_at timestamp, ttl_seconds int")
     out = {r["key"]: r for r in kv_latest_live(kv_write(None, w), T0 + dt.timedelta(minutes=5)).collect()}
     assert set(out) == {"a"} and out["a"]["raw"] == "not json" and out["a"]["json"] is None
+
+
+def test_drift_counts_multiplicity(spark):
+    rows = [(T0, "t", "openai", "gpt-4", 1, 2, 5, Decimal("0.1"), False, None),
+            (T0, "u", "openai", "gpt-4", 1, 2, 5, Decimal("0.1"), False, None)]
+    audit = spark.createDataFrame(rows, AUDIT)
+    good = R.usage_rollup(audit)
+    t_row = good.filter("tenant_id = 't'")
+    wrong = t_row.withColumn("errors", F.lit(9).cast("bigint"))
+    stored = t_row.unionByName(t_row).unionByName(wrong)          # t twice, a wrong t row, u missing
+    got = sorted((r["tenant_id"], r["side"], r["errors"]) for r in R.rollup_drift(audit, stored).collect())
+    assert got == [("t", "stored", 0), ("t", "stored", 9), ("u", "facts", 0)]

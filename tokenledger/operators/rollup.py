@@ -56,10 +56,16 @@ def rollup_drift(audit: DataFrame, usage: DataFrame) -> DataFrame:
     """Rows where the stored rollup and the rollup of the facts disagree.
 
     ``side='facts'`` rows are in the recomputed rollup but not stored,
-    ``side='stored'`` rows the other way round.
+    ``side='stored'`` rows the other way round (both ``EXCEPT ALL``). One
+    aggregate instead of two set differences: every row counts +1 from the
+    facts and -1 from the store, grouped on all columns (nulls compare equal,
+    as in ``EXCEPT ALL``), and a non-zero net is emitted |net| times.
     """
     cols = KEYS + COUNTERS
-    facts = usage_rollup(audit).select(*cols)
-    stored = usage.select(*cols)
-    return (facts.exceptAll(stored).withColumn("side", F.lit("facts"))
-            .unionByName(stored.exceptAll(facts).withColumn("side", F.lit("stored"))))
+    facts = usage_rollup(audit).select(*cols, F.lit(1).alias("_d"))
+    stored = usage.select(*cols, F.lit(-1).alias("_d"))
+    net = (facts.unionByName(stored).groupBy(*cols).agg(F.sum("_d").alias("_net"))
+           .filter(F.col("_net") != 0))
+    return net.select(*cols, F.when(F.col("_net") > 0, F.lit("facts")).otherwise(F.lit("stored")).alias("side"),
+                      F.explode(F.array_repeat(F.lit(0), F.abs(F.col("_net")).cast("int"))).alias("_rep")) \
+              .drop("_rep")

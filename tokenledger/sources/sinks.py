@@ -37,11 +37,13 @@ def audit_stream_sink(audit_stream: DataFrame, path: str, checkpoint: str, trigg
 
 def upsert_usage(spark: SparkSession, delta: DataFrame, deltas_path: str, usage_path: str, batch_id: int) -> None:
     """Add a rollup delta to the usage table, idempotently per batch_id."""
+    delta = delta.persist()          # written and read for its dates: evaluate the batch once
     d = delta.withColumn("batch_id", F.lit(int(batch_id)))
     # per-write option: foreachBatch runs on a cloned session, so a session conf set here would not apply
     d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
      .partitionBy("date", "batch_id").parquet(deltas_path)
     dates = [r["date"] for r in delta.select("date").distinct().collect()]   # touched days: a handful per batch
+    delta.unpersist()
     if not dates:
         return
     all_deltas = spark.read.parquet(deltas_path).filter(F.col("date").isin(dates)).drop("batch_id")
