@@ -95,3 +95,20 @@ def test_drift_counts_multiplicity(spark):
     stored = t_row.unionByName(t_row).unionByName(wrong)          # t twice, a wrong t row, u missing
     got = sorted((r["tenant_id"], r["side"], r["errors"]) for r in R.rollup_drift(audit, stored).collect())
     assert got == [("t", "stored", 0), ("t", "stored", 9), ("u", "facts", 0)]
+
+
+def test_partitioned_audit_prunes_dates(spark):
+    import uuid
+    from tokenledger.session import scratch_path
+    from tokenledger.sources.sinks import append_audit
+    rows = [(T0 + dt.timedelta(days=d), "t", "cache" if d % 2 else "openai", "gpt-4", 0, 0, None, None,
+             bool(d % 2), None) for d in range(10)]
+    path = scratch_path(spark, f"test_audit/{uuid.uuid4().hex}")
+    append_audit(spark.createDataFrame(rows, AUDIT), path)
+    audit = spark.read.parquet(path)
+    as_of = (T0 + dt.timedelta(days=9)).date()
+    stats = D.cache_stats(audit, as_of, days=3)
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan and "event_date" in plan.split("PartitionFilters")[1]
+    r = stats.first()
+    assert (r["cache_hits"], r["total_requests"]) == (2, 4)      # days 6..9 of the ten written

@@ -72,6 +72,10 @@ def cache_stats(audit: DataFrame, as_of, days: int = 7, tenant_id: str | None =
     _check_range("days", days, K.USAGE_DAYS_RANGE)
     start = _as_date(as_of) - dt.timedelta(days=days)
     df = audit.filter(F.col("created_at") >= ts_lit(start))
+    if "event_date" in audit.columns:
+        # same rows (event_date = UTC date of created_at); lets a table written
+        # partitioned by event_date skip whole partitions
+        df = df.filter(F.col("event_date") >= F.lit(start))
     if tenant_id:
         df = df.filter(F.col("tenant_id") == tenant_id)
     agg = df.agg(F.count_if(F.col("cache_hit")).alias("cache_hits"),

@@ -877,11 +877,16 @@ SELECT request_id, CAST(created_at AS DATE) AS event_date, tenant_id, provider,
        completion_tokens, total_tokens, latency_ms, cost_usd, cache_hit, error_message
 FROM audit""")
 def q_stream_audit_append(spark, sf):
-    """ST2 + S4: audit stream appended to a date-partitioned Parquet table."""
-    from tokenledger.streaming.jobs import run_to_parquet
-    audit = FX.audit_from_events(_staged_events(spark, sf, "stream_audit")).withColumn(
-        "event_date", F.to_date("created_at"))
-    out = run_to_parquet(audit, spark, "stream_audit_append")
+    """ST2 + S4: audit stream appended to a Parquet table partitioned by
+    event_date (file sink, exactly-once through its checkpoint)."""
+    import uuid
+    from tokenledger.session import scratch_path
+    from tokenledger.sources.sinks import audit_stream_sink
+    from tokenledger.streaming.jobs import run_available
+    audit = FX.audit_from_events(_staged_events(spark, sf, "stream_audit"))
+    base = scratch_path(spark, f"streams/stream_audit_append/{uuid.uuid4().hex}")
+    run_available(audit_stream_sink(audit, f"{base}/audit", f"{base}/_checkpoint"))
+    out = spark.read.parquet(f"{base}/audit")          # partitioned by event_date
     return out.select("request_id", "event_date", "tenant_id", "provider", "model", "prompt_tokens",
                       "completion_tokens", "total_tokens", "latency_ms", "cost_usd", "cache_hit", "error_message")
 
