@@ -46,3 +46,16 @@ def test_stream_admission(spark):
                       .alias("p")).collect())
     assert {r["request_id"]: r["p"] for r in want} == {k: r["prompt_text"] for k, r in out.items()}
     assert out[1]["prompt_text"] == "Be brief.\n\nStay safe.\nhi"
+
+
+def test_staging_one_file_per_chunk(spark):
+    import glob as G
+    from tokenledger.streaming.jobs import stage_time_ordered
+    df = spark.range(400).select(F.col("id"), (F.lit("2024-01-01").cast("timestamp")
+                                               + F.make_dt_interval(secs=F.col("id").cast("int"))).alias("ts"))
+    path = scratch_path(spark, f"test_stage/{uuid.uuid4().hex}")
+    pattern = stage_time_ordered(df.repartition(8), "ts", path, n_files=4)
+    files = sorted(G.glob(pattern))
+    assert len(files) == 4
+    spans = [spark.read.parquet(f).agg(F.min("id"), F.max("id")).first() for f in files]
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))      # chunks are consecutive time ranges

@@ -24,6 +24,8 @@ _LOCAL_DEFAULTS = {
     "spark.python.unix.domain.socket.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # commit a changelog per micro-batch instead of uploading a snapshot each time
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 

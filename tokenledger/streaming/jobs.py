@@ -32,8 +32,11 @@ US = 1_000_000
 
 
 def stage_time_ordered(df: DataFrame, ts: str, path: str, n_files: int = 4) -> str:
-    """Write ``df`` as ``n_files`` time-ordered chunks (one job per chunk, so
-    file modification times follow event time). Returns a glob for readStream."""
+    """Write ``df`` as ``n_files`` time-ordered chunks, one file each and one
+    job per chunk, so file modification times follow event time. This stages
+    derived test input to replay as arrivals; it is not part of the stream
+    operators. Returns a glob for readStream."""
+    df = df.persist()                     # one evaluation for the bounds and the n_files writes
     bounds = df.select(F.min(F.unix_micros(F.col(ts).cast("timestamp"))).alias("lo"),
                        F.max(F.unix_micros(F.col(ts).cast("timestamp"))).alias("hi")).first()
     lo, hi = int(bounds["lo"]), int(bounds["hi"]) + 1
@@ -42,7 +45,11 @@ def stage_time_ordered(df: DataFrame, ts: str, path: str, n_files: int = 4) -> s
         a, b = lo + i * step, min(hi, lo + (i + 1) * step)
         chunk = df.filter((F.unix_micros(F.col(ts).cast("timestamp")) >= a)
                           & (F.unix_micros(F.col(ts).cast("timestamp")) < b))
-        chunk.write.mode("overwrite").parquet(f"{path}/chunk_{i:04d}")
+        # exactly one file per chunk: the file source takes one file per trigger
+        # in modification-time order, so a chunk split over several files could
+        # arrive out of time order
+        chunk.coalesce(1).write.mode("overwrite").parquet(f"{path}/chunk_{i:04d}")
+    df.unpersist()
     return f"{path}/chunk_*/*.parquet"
 
 
