@@ -4,6 +4,7 @@ per micro-batch) against the batch operators and the sequential rule."""
 import datetime as dt
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from tokenledger.functions.messages import isolate_system_prompt, prompt_text
@@ -20,7 +21,22 @@ def _m(*pairs):
     return [(r, c, None) for r, c in pairs]
 
 
-def test_stream_admission(spark):
+PROVIDERS = ["org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
+             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"]
+
+
+@pytest.mark.parametrize("provider", PROVIDERS)
+def test_stream_admission(spark, provider):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, provider)          # captured by the query's checkpoint at its first batch
+    try:
+        _check_stream_admission(spark)
+    finally:
+        spark.conf.set(key, before)
+
+
+def _check_stream_admission(spark):
     cfg = spark.createDataFrame([("a", 2, False, "Be brief."), ("z", 0, True, None)], CFG)
     rows = [
         (1, T0, "a", False, _m(("system", "Stay safe."), ("user", "hi")), "t1"),

@@ -22,9 +22,11 @@ _LOCAL_DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
     # Python workers talk to the JVM over a socket file, not a TCP port.
     "spark.python.unix.domain.socket.enabled": "true",
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    # commit a changelog per micro-batch instead of uploading a snapshot each time
+    # State store: Spark's default (in-memory, checkpointed) provider locally.
+    # The keyed state here is one small record per key. On a cluster with very
+    # many keys set the RocksDB provider there, with changelog checkpointing
+    # (``...stateStore.rocksdb.changelogCheckpointing.enabled``); enabling it
+    # below only takes effect when RocksDB is chosen.
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
