@@ -26,7 +26,6 @@ a ``max_by`` per request then keeps the overall best.
 
 from __future__ import annotations
 
-import datetime as dt
 import math
 
 import numpy as np
