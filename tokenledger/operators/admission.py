@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tokenledger import constants as K
+from tokenledger.operators.kernels import anchored_windows, refreshed_counter
 from tokenledger.operators.sequences import (DEFAULT_BUCKET_SECONDS, carry_last, gap_segments,
                                              with_bucket, with_neighbours)
 
@@ -44,11 +45,11 @@ def _partition_fn(keys: list[str], tie: str, window_us: int, passthrough: bool =
     """Anchored windows over one partition sorted by (keys, segment, ts, tie).
 
     Segments are contiguous in the partition; the state (anchor, count) carries
-    across Arrow batches, so a segment may span batches. One O(1) step per row.
+    across Arrow batches, so a segment may span batches. Each batch is one
+    numpy pass (``anchored_windows``: a step per window, not per row).
     """
     def fn(batches):
-        last_key = None
-        anchor, n = 0, 0
+        last_key, carry = None, None
         for pdf in batches:
             m = len(pdf)
             if m == 0:
@@ -59,30 +60,17 @@ def _partition_fn(keys: list[str], tie: str, window_us: int, passthrough: bool =
             for k in keys:
                 col = pdf[k].to_numpy()
                 new[1:] |= col[1:] != col[:-1]
-            first_key = (seg[0], *(pdf[k].iat[0] for k in keys))
-            new[0] = first_key != last_key
-            ts = pdf["_ts_us"].to_numpy(dtype=np.int64).tolist()
-            flags = new.tolist()
-            counts, anchors = [0] * m, [0] * m
-            for i in range(m):
-                t = ts[i]
-                if flags[i] or t >= anchor + window_us:
-                    anchor, n = t, 1
-                else:
-                    n += 1
-                counts[i], anchors[i] = n, anchor
+            new[0] = (seg[0], *(pdf[k].iat[0] for k in keys)) != last_key
+            counts, anchors, carry = anchored_windows(pdf["_ts_us"].to_numpy(dtype=np.int64), new,
+                                                      window_us, carry)
             last_key = (seg[-1], *(pdf[k].iat[m - 1] for k in keys))
             if passthrough:
                 out = pdf.drop(columns=["_seg"])
-                out["window_count"] = np.asarray(counts, dtype=np.int64)
-                out["anchor_us"] = np.asarray(anchors, dtype=np.int64)
-                yield out
-                continue
-            out = {k: pdf[k].to_numpy() for k in keys}
-            out[tie] = pdf[tie].to_numpy()
-            out["window_count"] = np.asarray(counts, dtype=np.int64)
-            out["anchor_us"] = np.asarray(anchors, dtype=np.int64)
-            yield pd.DataFrame(out)
+            else:
+                out = pd.DataFrame({**{k: pdf[k].to_numpy() for k in keys}, tie: pdf[tie].to_numpy()})
+            out["window_count"] = counts
+            out["anchor_us"] = anchors
+            yield out
     return fn
 
 
@@ -263,24 +251,23 @@ def remaining_as_of(limited: DataFrame, probes: DataFrame, window_s: int, keys=(
 
 
 def _ttl_fn(key: str, ttl_us: int | None):
-    """Counter with refreshed expiry over partitions sorted by (key, ts, tie)."""
+    """Counter with refreshed expiry over partitions sorted by (key, ts, tie);
+    each Arrow batch is one numpy pass (``refreshed_counter``)."""
     def fn(batches):
-        last_key, last_t, n, start = None, None, 0, None
+        last_key, carry = None, None
         for pdf in batches:
-            if len(pdf) == 0:
+            m = len(pdf)
+            if m == 0:
                 continue
-            keys = pdf[key].tolist()
-            ts = pdf["_ts_us"].to_numpy(dtype=np.int64).tolist()
-            counts, starts = [0] * len(ts), [0] * len(ts)
-            for i, (k, t) in enumerate(zip(keys, ts)):
-                if k != last_key or (ttl_us is not None and t - last_t > ttl_us):
-                    n, start = 0, t
-                n += 1
-                last_key, last_t = k, t
-                counts[i], starts[i] = n, start
+            keys = pdf[key].to_numpy()
+            new = np.empty(m, dtype=bool)
+            new[1:] = keys[1:] != keys[:-1]
+            new[0] = keys[0] != last_key
+            counts, starts, carry = refreshed_counter(pdf["_ts_us"].to_numpy(dtype=np.int64), new, ttl_us, carry)
+            last_key = keys[-1]
             out = pdf.copy()
-            out["counter"] = np.asarray(counts, dtype=np.int64)
-            out["_start_us"] = np.asarray(starts, dtype=np.int64)
+            out["counter"] = counts
+            out["_start_us"] = starts
             yield out
     return fn
 

@@ -26,6 +26,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tokenledger import constants as K
+from tokenledger.operators.kernels import anchored_windows, refreshed_counter
 from tokenledger.session import scratch_path
 
 US = 1_000_000
@@ -68,21 +69,13 @@ def _anchored_state_fn(window_us: int, key: str, tie: str, extra=()):
     """W1 per key over one micro-batch, state (anchor, n) carried across
     batches; ``extra`` columns ride along with their rows."""
     def fn(k, batches, state):
-        anchor, n = state.get if state.exists else (None, 0)
+        carry = state.get if state.exists else None
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["_ts_us", tie], kind="stable")
-        ts = pdf["_ts_us"].to_numpy(dtype=np.int64).tolist()
-        counts, anchors = [], []
-        for t in ts:
-            if anchor is None or t >= anchor + window_us:
-                anchor, n = t, 1
-            else:
-                n += 1
-            counts.append(n)
-            anchors.append(anchor)
-        state.update((int(anchor), int(n)))
-        out = {key: pdf[key].to_numpy(), tie: pdf[tie].to_numpy(),
-               "window_count": np.asarray(counts, dtype=np.int64),
-               "anchor_us": np.asarray(anchors, dtype=np.int64)}
+        new = np.zeros(len(pdf), dtype=bool)
+        new[0] = carry is None
+        counts, anchors, carry = anchored_windows(pdf["_ts_us"].to_numpy(dtype=np.int64), new, window_us, carry)
+        state.update(carry)
+        out = {key: pdf[key].to_numpy(), tie: pdf[tie].to_numpy(), "window_count": counts, "anchor_us": anchors}
         out.update({c: pdf[c].to_numpy() for c in extra})
         yield pd.DataFrame(out)
     return fn
@@ -90,18 +83,16 @@ def _anchored_state_fn(window_us: int, key: str, tie: str, extra=()):
 
 def _ttl_state_fn(ttl_us: int | None, key: str, tie: str):
     def fn(k, batches, state):
-        last, n = state.get if state.exists else (None, 0)
+        carry = None
+        if state.exists:
+            last, n = state.get
+            carry = (last, n, 0)
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["_ts_us", tie], kind="stable")
-        out = []
-        for t in pdf["_ts_us"].to_numpy(dtype=np.int64).tolist():
-            if ttl_us is not None and last is not None and t - last > ttl_us:
-                n = 0
-            n += 1
-            last = t
-            out.append(n)
-        state.update((int(last), int(n)))
-        yield pd.DataFrame({key: pdf[key].to_numpy(), tie: pdf[tie].to_numpy(),
-                            "counter": np.asarray(out, dtype=np.int64)})
+        new = np.zeros(len(pdf), dtype=bool)
+        new[0] = carry is None
+        counts, _, (last, n, _) = refreshed_counter(pdf["_ts_us"].to_numpy(dtype=np.int64), new, ttl_us, carry)
+        state.update((last, n))
+        yield pd.DataFrame({key: pdf[key].to_numpy(), tie: pdf[tie].to_numpy(), "counter": counts})
     return fn
 
 
