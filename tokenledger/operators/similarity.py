@@ -316,7 +316,12 @@ def similar_earlier(requests: DataFrame, id_col: str = "request_id", ts: str = "
     blocks = (r.join(hours, "h", "inner")
               .withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
               .groupBy("h", "b")
-              .agg(F.collect_list(F.struct("id", "t", "v")).alias("rows")))
+              .agg(F.array_sort(F.collect_list(F.struct("t", "id", "v"))).alias("_rows"))
+              # flat columns, JVM-side, from the one sorted list (so they stay aligned):
+              # tasks reshape numpy arrays instead of building a Python object per request
+              .select("h", "b", F.transform("_rows", lambda x: x["id"]).alias("ids"),
+                      F.transform("_rows", lambda x: x["t"]).alias("ts"),
+                      F.flatten(F.transform("_rows", lambda x: x["v"])).alias("flat")))
     # every block learns the block counts of its own and both neighbouring hours
     for name, shift in (("nb_self", 0), ("nb_prev", -1), ("nb_next", 1)):
         blocks = blocks.join(hours.select((F.col("h") - F.lit(shift)).alias("h"), F.col("nb").alias(name)),
@@ -331,14 +336,16 @@ def similar_earlier(requests: DataFrame, id_col: str = "request_id", ts: str = "
     # a pair unit is (left block, right block of the same or the previous
     # hour): each side is copied once per partner block and the join key names
     # the pair, so a busy hour's pairs spread over many tasks
-    left = (blocks.select(F.col("h").alias("lh"), F.col("b").alias("lb"), F.col("rows").alias("lrows"),
+    left = (blocks.select(F.col("h").alias("lh"), F.col("b").alias("lb"), F.col("ids").alias("lids"),
+                          F.col("ts").alias("lts"), F.col("flat").alias("lflat"),
                           F.explode(F.concat(grid(F.col("h"), "nb_self", "rh", "rb"),
                                              grid(F.col("h") - 1, "nb_prev", "rh", "rb"))).alias("p"))
-                  .select("lh", "lb", "p.rh", "p.rb", "lrows"))
-    right = (blocks.select(F.col("h").alias("rh"), F.col("b").alias("rb"), F.col("rows").alias("rrows"),
+                  .select("lh", "lb", "p.rh", "p.rb", "lids", "lts", "lflat"))
+    right = (blocks.select(F.col("h").alias("rh"), F.col("b").alias("rb"), F.col("ids").alias("rids"),
+                           F.col("ts").alias("rts"), F.col("flat").alias("rflat"),
                            F.explode(F.concat(grid(F.col("h"), "nb_self", "lh", "lb"),
                                               grid(F.col("h") + 1, "nb_next", "lh", "lb"))).alias("p"))
-                   .select("p.lh", "p.lb", "rh", "rb", "rrows"))
+                   .select("p.lh", "p.lb", "rh", "rb", "rids", "rts", "rflat"))
     pairs = left.join(right, ["lh", "lb", "rh", "rb"], "inner")
     schema = StructType([StructField("id", LongType()), StructField("match_id", LongType()),
                          StructField("match_t", LongType()), StructField("match_sim", DoubleType())])
@@ -347,15 +354,12 @@ def similar_earlier(requests: DataFrame, id_col: str = "request_id", ts: str = "
     def score(batches):
         for pdf in batches:
             out = []
-            for lrows, rrows in zip(pdf["lrows"], pdf["rrows"]):
-                lid = np.asarray([x["id"] for x in lrows], dtype=np.int64)
-                lt = np.asarray([x["t"] for x in lrows], dtype=np.int64)
-                rid = np.asarray([x["id"] for x in rrows], dtype=np.int64)
-                rt = np.asarray([x["t"] for x in rrows], dtype=np.int64)
-                order = np.lexsort((rid, rt))            # earliest first, so ties keep it
-                rid, rt = rid[order], rt[order]
-                e = _stack([rrows[i]["v"] for i in order])
-                q = _stack([x["v"] for x in lrows])
+            for lids, lts, lflat, rids, rts, rflat in zip(pdf["lids"], pdf["lts"], pdf["lflat"],
+                                                          pdf["rids"], pdf["rts"], pdf["rflat"]):
+                lid, lt = np.asarray(lids, dtype=np.int64), np.asarray(lts, dtype=np.int64)
+                rid, rt = np.asarray(rids, dtype=np.int64), np.asarray(rts, dtype=np.int64)
+                q = np.asarray(lflat, dtype=np.float64).reshape(len(lid), -1)
+                e = np.asarray(rflat, dtype=np.float64).reshape(len(rid), -1)   # (t, id) order: ties keep the earliest
                 earlier = (rt[None, :] < lt[:, None]) | ((rt[None, :] == lt[:, None]) & (rid[None, :] < lid[:, None]))
                 allowed = earlier & (lt[:, None] - rt[None, :] <= win_us)
                 pos, sim = best_in_block(q, e, threshold, allowed)
