@@ -112,3 +112,25 @@ def test_partitioned_audit_prunes_dates(spark):
     assert "PartitionFilters: [isnotnull(event_date" in plan and "event_date" in plan.split("PartitionFilters")[1]
     r = stats.first()
     assert (r["cache_hits"], r["total_requests"]) == (2, 4)      # days 6..9 of the ten written
+
+
+def test_upsert_usage_idempotent_per_batch(spark):
+    import uuid
+    from tokenledger.session import scratch_path
+    from tokenledger.sources.sinks import read_usage, upsert_usage
+    base = scratch_path(spark, f"test_upsert/{uuid.uuid4().hex}")
+    r1 = [(T0, "t", "openai", "gpt-4", 1, 2, 5, Decimal("0.1"), False, None),
+          (T0 + dt.timedelta(days=1), "t", "openai", "gpt-4", 3, 4, 5, Decimal("0.2"), False, "x")]
+    r2 = [(T0 + dt.timedelta(days=1), "t", "openai", "gpt-4", 10, 0, 5, Decimal("1.0"), True, None)]
+    d1 = R.usage_rollup(spark.createDataFrame(r1, AUDIT))
+    d2 = R.usage_rollup(spark.createDataFrame(r2, AUDIT))
+    upsert_usage(spark, d1, f"{base}/deltas", f"{base}/usage", 0)
+    upsert_usage(spark, d1, f"{base}/deltas", f"{base}/usage", 0)       # retried batch: no double count
+    upsert_usage(spark, d2, f"{base}/deltas", f"{base}/usage", 1)
+    got = _rows_of(read_usage(spark, f"{base}/usage"))
+    want = _rows_of(R.usage_rollup(spark.createDataFrame(r1 + r2, AUDIT)))
+    assert got == want and len(got) == 2
+
+
+def _rows_of(df):
+    return sorted(tuple(r) for r in df.select(*R.KEYS, *R.COUNTERS).collect())
