@@ -196,11 +196,15 @@ def best_match(queries: DataFrame, index: DataFrame, qid: str = "query_id", qvec
 
     for c in pc:
         idx = idx.filter(F.col(c).isNotNull())
-    # one aggregate gives the shipped size: entries x vector width (in doubles)
+    # one aggregate gives the shipped size: entries x vector width (in doubles);
+    # the retained index is kept for the size check and the collect only
+    idx = idx.persist()
     n_entries, width = idx.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     if n_entries * (width or 0) <= max_shipped_values:
         grouped: dict = {}
-        for r in idx.collect():                                 # bounded by max_shipped_values
+        rows = idx.collect()                                    # bounded by max_shipped_values
+        idx.unpersist()
+        for r in rows:
             grouped.setdefault(tuple(r[c] for c in pc), []).append(r)
         too_big = [k for k, v in grouped.items() if len(v) > max_index_rows]
         if too_big:
@@ -222,7 +226,9 @@ def best_match(queries: DataFrame, index: DataFrame, qid: str = "query_id", qvec
         out = q.mapInPandas(score_keyed, schema)
         return out.withColumn("sim", F.when(F.col("response_id").isNotNull(), F.col("sim")))
 
-    # shuffle path: salted cogroup of queries with packed per-key indexes
+    # shuffle path: salted cogroup of queries with packed per-key indexes (the
+    # plan below is lazy, so the cached copy is released rather than pinned)
+    idx.unpersist()
     counts = q.groupBy(*pc).agg(F.count(F.lit(1)).alias("_n"))
     hot = (counts.filter(F.col("_n") > group_rows)
            .select(*pc, F.ceil(F.col("_n") / group_rows).cast("int").alias("_ns"))
