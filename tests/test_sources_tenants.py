@@ -19,6 +19,7 @@ def test_ingest_defaults_and_quarantine(spark):
         (3, '{"messages": [{"content": "no role"}]}', {}),                  # missing role -> quarantine
         (4, '{"model": "gpt-4o"}', None),                                  # no messages -> quarantine
         (5, 'not json', {"X-TENANT-ID": "t5"}),
+        (6, '{"messages": []}', {"X-Tenant-ID": "first", "x-tenant-id": "second"}),   # no duplicate-key error
     ]
     got = {r["request_id"]: r for r in ingest_requests(spark.createDataFrame(rows, RAW)).collect()}
     assert got[1]["model"] == "gpt-4" and got[1]["stream"] is False and got[1]["tenant_id"] == "acme"
@@ -26,8 +27,9 @@ def test_ingest_defaults_and_quarantine(spark):
     assert got[3]["tenant_id"] == "default" and not got[3]["valid"]
     assert got[4]["tenant_id"] == "default" and not got[4]["valid"]
     assert got[5]["tenant_id"] == "t5" and not got[5]["valid"] and got[5]["raw_body"] == "not json"
+    assert got[6]["tenant_id"] in ("first", "second") and got[6]["valid"]
     ok, bad = split_valid(ingest_requests(spark.createDataFrame(rows, RAW)))
-    assert sorted(r["request_id"] for r in ok.collect()) == [1, 2]
+    assert sorted(r["request_id"] for r in ok.collect()) == [1, 2, 6]
     assert sorted(r["request_id"] for r in bad.collect()) == [3, 4, 5]
 
 

@@ -22,9 +22,10 @@ def tenant_from_headers(headers) -> Column:
     """The X-Tenant-ID header, or 'default' only when the header is absent
     (an empty value stays empty). Header names are matched case-insensitively."""
     h = F.col(headers) if isinstance(headers, str) else headers
-    lowered = F.map_from_entries(F.transform(F.map_entries(h), lambda e: F.struct(
-        F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
-    return F.coalesce(F.element_at(lowered, F.lit(K.TENANT_HEADER.lower())), F.lit(K.DEFAULT_TENANT))
+    # filter instead of re-keying the map: names differing only in case would
+    # be duplicate keys; the first matching entry wins
+    hits = F.filter(F.map_entries(h), lambda e: F.lower(e["key"]) == F.lit(K.TENANT_HEADER.lower()))
+    return F.coalesce(F.get(hits, 0)["value"], F.lit(K.DEFAULT_TENANT))
 
 
 def ingest_requests(raw: DataFrame, body_col: str = "body", headers_col: str | None = "headers",
