@@ -17,6 +17,11 @@ partitioning, so a whole scan costs one shuffle of the rows; the summaries are
 small. Order inside a key is ``(ts, tie)``; ``ts`` is in microseconds (BIGINT).
 A hot key's bucket holds (rate x bucket width) rows: pick ``bucket_s`` so that
 fits a task at peak rate.
+
+Two more order-based helpers follow the same rule (no task holds a whole key):
+``last_k_per_key`` (the k largest values of an append sequence per key, from a
+per-range count) and ``global_positions`` (1-based positions in one total
+order, from a range-partitioned sort and per-partition offsets).
 """
 
 from __future__ import annotations
