@@ -20,6 +20,7 @@ def test_ingest_defaults_and_quarantine(spark):
         (4, '{"model": "gpt-4o"}', None),                                  # no messages -> quarantine
         (5, 'not json', {"X-TENANT-ID": "t5"}),
         (6, '{"messages": []}', {"X-Tenant-ID": "first", "x-tenant-id": "second"}),   # no duplicate-key error
+        (7, '{"model": null, "messages": []}', {}),                       # explicit null: rejected
     ]
     got = {r["request_id"]: r for r in ingest_requests(spark.createDataFrame(rows, RAW)).collect()}
     assert got[1]["model"] == "gpt-4" and got[1]["stream"] is False and got[1]["tenant_id"] == "acme"
@@ -30,7 +31,7 @@ def test_ingest_defaults_and_quarantine(spark):
     assert got[6]["tenant_id"] in ("first", "second") and got[6]["valid"]
     ok, bad = split_valid(ingest_requests(spark.createDataFrame(rows, RAW)))
     assert sorted(r["request_id"] for r in ok.collect()) == [1, 2, 6]
-    assert sorted(r["request_id"] for r in bad.collect()) == [3, 4, 5]
+    assert sorted(r["request_id"] for r in bad.collect()) == [3, 4, 5, 7]
 
 
 def test_tool_scoping_and_limits(spark):

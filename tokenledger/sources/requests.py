@@ -2,8 +2,9 @@
 
 Raw requests are JSON bodies plus a header map. ``from_json`` parses them
 JVM-side with a fixed schema; absent fields take the request defaults. Rows that
-lack a required field (``messages``, or ``role`` in any message) are routed to
-a quarantine output instead of failing the job.
+lack a required field (``messages``, or ``role`` in any message), or give an
+explicit null for a non-optional field (``model``, ``stream``), are routed to a
+quarantine output instead of failing the job.
 """
 
 from __future__ import annotations
@@ -40,8 +41,15 @@ def ingest_requests(raw: DataFrame, body_col: str = "body", headers_col: str | N
     tenant = tenant_from_headers(headers_col) if headers_col else F.lit(K.DEFAULT_TENANT)
     parsed = raw.select(*keep_cols, tenant.alias("tenant_id"), p.alias("_r"), F.col(body_col).alias("_body"))
     r = F.col("_r")
+    # model and stream have defaults but are not optional: absent takes the
+    # default, an explicit JSON null is rejected (only the key list tells them apart)
+    keys = F.json_object_keys(F.col("_body"))
+    explicit_null = F.lit(False)
+    for f in ("model", "stream"):
+        explicit_null = explicit_null | (F.array_contains(keys, f) & r[f].isNull())
     valid = (r.isNotNull() & r["messages"].isNotNull()
-             & (F.size(F.filter(r["messages"], lambda m: m["role"].isNull())) == 0))
+             & (F.size(F.filter(r["messages"], lambda m: m["role"].isNull())) == 0)
+             & ~explicit_null)
     return parsed.select(
         *keep_cols, "tenant_id",
         F.coalesce(r["model"], F.lit(K.DEFAULT_MODEL)).alias("model"),
