@@ -6,6 +6,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tokenledger.operators.sequences import global_positions, last_k_per_key
@@ -74,7 +75,8 @@ def test_retained_index_per_tenant(spark):
         assert got == _loop_retained(rows, as_of, 20, 86400 * 2)
 
 
-def test_similar_earlier_many_blocks(spark):
+@pytest.mark.parametrize("slots", [1, 3, None])     # None: chosen from density (8 here)
+def test_similar_earlier_many_blocks(spark, slots):
     rnd = np.random.default_rng(5)
     base = rnd.normal(size=(12, 8))
     rows = []
@@ -82,7 +84,8 @@ def test_similar_earlier_many_blocks(spark):
         v = base[i % 12] + 0.05 * rnd.normal(size=8) * (i % 3)
         rows.append((i, T0 + dt.timedelta(seconds=int(rnd.integers(0, 3 * 3600))), v.tolist()))
     df = spark.createDataFrame(rows, "request_id long, ts timestamp, embedding array<double>")
-    got = {r["request_id"]: r["match_id"] for r in similar_earlier(df, block_rows=9).collect()}
+    got = {r["request_id"]: r["match_id"]
+           for r in similar_earlier(df, block_rows=9, slots_per_window=slots).collect()}
     want = {}
     for i, t, v in rows:
         best = None

@@ -17,11 +17,12 @@ and score whole Arrow batches of prompts against it with one matrix product.
 
 V4 (how many calls a cache could have saved) compares every request with the
 requests of the previous hour. Exact, without a single task holding an hour:
-requests are grouped into blocks of about ``block_rows`` rows per hour; a pair
-unit is one block and one block of the same or the previous hour, keyed by
-both block ids, so a busy hour's pairs spread over many tasks. Each pair is
-scored with a matrix product that emits only its best candidate per request;
-a ``max_by`` per request then keeps the overall best.
+time is cut into slots of window / k and requests into blocks of about
+``block_rows`` rows per slot; a pair unit is one block and one block of the
+same or one of the k previous slots, keyed by both block ids, so a busy slot's
+pairs spread over many tasks. Each pair is scored with a matrix product that
+emits only its best candidate per request; a ``max_by`` per request then keeps
+the overall best.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -304,22 +305,44 @@ def append_entries(index: DataFrame, new: DataFrame, id_col: str = "request_id")
 # ------------------------------------------------------------------ V4
 def similar_earlier(requests: DataFrame, id_col: str = "request_id", ts: str = "ts", vec: str = "embedding",
                     window_s: int = 3600, threshold: float = K.SIMILARITY_THRESHOLD,
-                    block_rows: int = 2048, max_hours: int = 1_000_000) -> DataFrame:
+                    block_rows: int = 2048, max_hours: int = 1_000_000,
+                    slots_per_window: int | None = None) -> DataFrame:
     """V4: per request, the most similar earlier request within ``window_s``
-    (sim >= threshold; ties -> earliest). Output: id, match_id, match_sim."""
+    (sim >= threshold; ties -> earliest). Output: id, match_id, match_sim.
+
+    Time is cut into slots of ceil(window / k): a request's partners lie in its
+    own and the k previous slots, so k + 1 slot widths are compared instead of
+    two windows. ``k`` (``slots_per_window``) defaults to the densest window's
+    rows / ``block_rows`` (1..8), so a slot still fills a block.
+    """
     r = (requests.select(F.col(id_col).cast("bigint").alias("id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"),
                          F.col(vec).cast("array<double>").alias("v"))
          .filter(F.col("v").isNotNull() & (F.size("v") > 0)))
-    r = r.withColumn("h", floor_div(F.col("t"), int(window_s * US)))
-    # blocks per hour. The hour table has one row per hour of the time span
-    # (bounded by the span, not the rows): fetched once under a row cap and
-    # used as a literal broadcast; past the cap the joins are left to Catalyst.
-    hours = r.groupBy("h").agg(F.count(F.lit(1)).alias("n")).select(
-        "h", F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows)).cast("int").alias("nb"))
-    hour_rows = hours.limit(max_hours + 1).collect()
-    if len(hour_rows) <= max_hours:
-        hours = F.broadcast(r.sparkSession.createDataFrame(hour_rows, "h bigint, nb int"))
-    blocks = (r.join(hours, "h", "inner")
+    spark = r.sparkSession
+    win_us = int(window_s * US)
+
+    # Slot tables have one row per slot of the time span (bounded by the span,
+    # not the rows): fetched under a row cap and used as literal broadcasts;
+    # past the cap the joins are left to Catalyst.
+    def slot_table(width: int):
+        t = (r.groupBy(floor_div(F.col("t"), width).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+              .select("h", "n", F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows)).cast("int").alias("nb")))
+        rows = t.limit(max_hours + 1).collect()
+        if len(rows) <= max_hours:
+            return spark.createDataFrame(rows, "h bigint, n bigint, nb int"), rows
+        return t, None
+
+    hours, hour_rows = slot_table(win_us)
+    k = slots_per_window
+    if k is None:
+        dense = max((row["n"] for row in hour_rows), default=0) if hour_rows is not None \
+            else hours.agg(F.max("n")).first()[0] or 0
+        k = int(min(8, max(1, dense // block_rows)))
+    width = -(-win_us // k)                                  # ceil: k slots cover a window
+    slots, slot_rows = (hours, hour_rows) if k == 1 else slot_table(width)
+    known = len(slot_rows) if slot_rows is not None else None
+    r = r.withColumn("h", floor_div(F.col("t"), width))
+    blocks = (lookup_join(r, slots.select("h", "nb"), "h", "inner", known_rows=known)
               .withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
               .groupBy("h", "b")
               .agg(F.array_sort(F.collect_list(F.struct("t", "id", "v"))).alias("_rows"))
@@ -328,30 +351,24 @@ def similar_earlier(requests: DataFrame, id_col: str = "request_id", ts: str = "
               .select("h", "b", F.transform("_rows", lambda x: x["id"]).alias("ids"),
                       F.transform("_rows", lambda x: x["t"]).alias("ts"),
                       F.flatten(F.transform("_rows", lambda x: x["v"])).alias("flat")))
-    # every block learns the block counts of its own and both neighbouring hours
-    for name, shift in (("nb_self", 0), ("nb_prev", -1), ("nb_next", 1)):
-        blocks = blocks.join(hours.select((F.col("h") - F.lit(shift)).alias("h"), F.col("nb").alias(name)),
-                             "h", "left")
-    blocks = blocks.fillna(0, ["nb_prev", "nb_next"])
-
-    def grid(hour: Column, count: str, h_name: str, b_name: str) -> Column:
-        return F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0), F.col(count) - 1),
-                                                    lambda x: F.struct(hour.alias(h_name), x.alias(b_name)))) \
-                .otherwise(F.array().cast(f"array<struct<{h_name}:bigint,{b_name}:int>>"))
-
-    # a pair unit is (left block, right block of the same or the previous
-    # hour): each side is copied once per partner block and the join key names
-    # the pair, so a busy hour's pairs spread over many tasks
-    left = (blocks.select(F.col("h").alias("lh"), F.col("b").alias("lb"), F.col("ids").alias("lids"),
-                          F.col("ts").alias("lts"), F.col("flat").alias("lflat"),
-                          F.explode(F.concat(grid(F.col("h"), "nb_self", "rh", "rb"),
-                                             grid(F.col("h") - 1, "nb_prev", "rh", "rb"))).alias("p"))
-                  .select("lh", "lb", "p.rh", "p.rb", "lids", "lts", "lflat"))
-    right = (blocks.select(F.col("h").alias("rh"), F.col("b").alias("rb"), F.col("ids").alias("rids"),
-                           F.col("ts").alias("rts"), F.col("flat").alias("rflat"),
-                           F.explode(F.concat(grid(F.col("h"), "nb_self", "lh", "lb"),
-                                              grid(F.col("h") + 1, "nb_next", "lh", "lb"))).alias("p"))
-                   .select("p.lh", "p.lb", "rh", "rb", "rids", "rts", "rflat"))
+    # partner slots: (left slot h, its block count, partner slot ph = h - j for
+    # j = 0..k, the partner's block count); at most k + 1 rows per slot
+    partners = (slots.select("h", F.col("nb").alias("lnb"), F.explode(F.sequence(F.lit(0), F.lit(k))).alias("j"))
+                     .select("h", "lnb", (F.col("h") - F.col("j")).alias("ph"))
+                     .join(slots.select(F.col("h").alias("ph"), F.col("nb").alias("pnb")), "ph"))
+    pknown = None if known is None else known * (k + 1)
+    # a pair unit is (left block, right block of a partner slot): each side is
+    # copied once per partner block and the join key names the pair, so a busy
+    # slot's pairs spread over many tasks
+    left = (lookup_join(blocks, partners.select("h", "ph", "pnb"), "h", "inner", known_rows=pknown)
+            .select(F.col("h").alias("lh"), F.col("b").alias("lb"), F.col("ph").alias("rh"),
+                    F.explode(F.sequence(F.lit(0), F.col("pnb") - 1)).alias("rb"),
+                    F.col("ids").alias("lids"), F.col("ts").alias("lts"), F.col("flat").alias("lflat")))
+    right = (lookup_join(blocks.withColumnRenamed("h", "ph"), partners.select("h", "lnb", "ph"), "ph", "inner",
+                         known_rows=pknown)
+             .select(F.col("h").alias("lh"), F.explode(F.sequence(F.lit(0), F.col("lnb") - 1)).alias("lb"),
+                     F.col("ph").alias("rh"), F.col("b").alias("rb"),
+                     F.col("ids").alias("rids"), F.col("ts").alias("rts"), F.col("flat").alias("rflat")))
     pairs = left.join(right, ["lh", "lb", "rh", "rb"], "inner")
     schema = StructType([StructField("id", LongType()), StructField("match_id", LongType()),
                          StructField("match_t", LongType()), StructField("match_sim", DoubleType())])
