@@ -105,3 +105,22 @@ def test_long_segment_by_pointer_doubling(spark):
     got = {r["request_id"]: (r["window_count"], r["allowed"])
            for r in rate_limit(df, window_s=60, max_segment_rows=50, bucket_s=300).collect()}
     assert got == _loop_anchored(rows, 60)
+
+
+def test_hot_paths_equal_default_on_driver_tables(spark):
+    """The bucketed / pointer-doubling paths, forced with small caps, give the
+    default path's answer on the sf0.01 tables (one 1,000-row segment per tenant)."""
+    from tokenledger.plans import catalog as C
+    from tokenledger.sources.tables import read_table
+    sf = "/root/testdata/sf0.01"
+    req = C._rl_requests(spark, sf)
+    cols = ["request_id", "window_count", "allowed"]
+    base = sorted(tuple(r) for r in rate_limit(req, window_s=3600).select(*cols).collect())
+    hot = sorted(tuple(r) for r in rate_limit(req, window_s=3600, max_segment_rows=200, bucket_s=900)
+                 .select(*cols).collect())
+    assert base == hot
+    ev = read_table(spark, sf, "events").select("event_id", "user_id", "ts")
+    a = sorted(tuple(r) for r in ttl_counter(ev, "user_id", ttl_s=7200).select("event_id", "counter").collect())
+    b = sorted(tuple(r) for r in ttl_counter(ev, "user_id", ttl_s=7200, max_key_rows=20, bucket_s=3600)
+               .select("event_id", "counter").collect())
+    assert a == b
