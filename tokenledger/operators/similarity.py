@@ -372,7 +372,6 @@ def similar_earlier(requests: DataFrame, id_col: str = "request_id", ts: str = "
     pairs = left.join(right, ["lh", "lb", "rh", "rb"], "inner")
     schema = StructType([StructField("id", LongType()), StructField("match_id", LongType()),
                          StructField("match_t", LongType()), StructField("match_sim", DoubleType())])
-    win_us = window_s * US
 
     def score(batches):
         for pdf in batches:
