@@ -134,3 +134,9 @@ def test_upsert_usage_idempotent_per_batch(spark):
 
 def _rows_of(df):
     return sorted(tuple(r) for r in df.select(*R.KEYS, *R.COUNTERS).collect())
+
+
+def test_dashboard_as_of_forms(spark):
+    audit = spark.createDataFrame([(T0, "t", "cache", "gpt-4", 0, 0, None, None, True, None)], AUDIT)
+    for as_of in ("2024-01-12", "2024-01-12 08:00:00", dt.date(2024, 1, 12), dt.datetime(2024, 1, 12, 8)):
+        assert D.cache_stats(audit, as_of, days=7).first()["cache_hits"] == 1

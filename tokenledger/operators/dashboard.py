@@ -28,7 +28,7 @@ def _as_date(as_of) -> dt.date:
         return as_of.date()
     if isinstance(as_of, dt.date):
         return as_of
-    return dt.date.fromisoformat(str(as_of))
+    return dt.datetime.fromisoformat(str(as_of)).date()     # "YYYY-MM-DD" or a full timestamp
 
 
 def usage_range(usage: DataFrame, as_of, days: int = 7, tenant_id: str | None = None) -> DataFrame:
