@@ -140,3 +140,32 @@ def test_dashboard_as_of_forms(spark):
     audit = spark.createDataFrame([(T0, "t", "cache", "gpt-4", 0, 0, None, None, True, None)], AUDIT)
     for as_of in ("2024-01-12", "2024-01-12 08:00:00", dt.date(2024, 1, 12), dt.datetime(2024, 1, 12, 8)):
         assert D.cache_stats(audit, as_of, days=7).first()["cache_hits"] == 1
+
+
+def test_dashboard_parameter_bounds(spark):
+    import pytest
+    audit = spark.createDataFrame([], AUDIT)
+    usage = R.usage_rollup(audit)
+    for bad in (0, 91):
+        with pytest.raises(ValueError):
+            D.usage_range(usage, "2024-01-30", days=bad)
+        with pytest.raises(ValueError):
+            D.cache_stats(audit, "2024-01-30", days=bad)
+    for bad in (0, 1001):
+        with pytest.raises(ValueError):
+            D.latency(audit, limit=bad)
+    for bad in (0, 201):
+        with pytest.raises(ValueError):
+            D.errors(audit, limit=bad)
+    D.usage_range(usage, "2024-01-30", days=90)
+    D.latency(audit, limit=1000)
+    D.errors(audit, limit=200)
+
+
+def test_index_oversize_is_rejected(spark):
+    import pytest
+    rows = [(f"r{i}", i, [1.0, 0.0], T0) for i in range(4)]
+    idx = spark.createDataFrame(rows, "response_id string, seq long, embedding array<double>, inserted_at timestamp")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        best_match(q, idx, max_index_rows=3)           # apply retained_index() first
