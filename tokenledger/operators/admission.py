@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, MapType, StructType
 
 from tokenledger import constants as K
 from tokenledger.operators.kernels import anchored_windows, refreshed_counter
@@ -143,11 +143,17 @@ def rate_limit(requests: DataFrame, window_s: int = K.RATE_WINDOW_SECONDS, keys=
     cold, hot = split_by_key_size(counted, keys, max_segment_rows)
     parts = []
     if cold is not None:
-        # keys small enough for one task: one shuffle, one pass, columns carried through
-        c = cold.withColumn("_seg", F.lit(0).cast("bigint"))
-        schema = cold.schema.add("window_count", LongType()).add("anchor_us", LongType())
-        parts.append(c.repartition(*keys).sortWithinPartitions(*keys, "_ts_us", tie)
-                      .mapInPandas(_partition_fn(keys, tie, window_us, passthrough=True), schema))
+        if _is_wide(cold, [*keys, tie, "_ts_us"]):
+            # nested columns (message arrays, ...) stay in the JVM: count on the
+            # narrow projection, join back on the unique (key, id)
+            c = cold.select(*keys, tie, "_ts_us").withColumn("_seg", F.lit(0).cast("bigint"))
+            parts.append(cold.join(_per_segment(c, keys, tie, window_us), [*keys, tie], "inner"))
+        else:
+            # keys small enough for one task: one shuffle, one pass, columns carried through
+            c = cold.withColumn("_seg", F.lit(0).cast("bigint"))
+            schema = cold.schema.add("window_count", LongType()).add("anchor_us", LongType())
+            parts.append(c.repartition(*keys).sortWithinPartitions(*keys, "_ts_us", tie)
+                          .mapInPandas(_partition_fn(keys, tie, window_us, passthrough=True), schema))
     if hot is not None:
         counts = _segmented(hot.select(*keys, tie, "_ts_us"), keys, tie, window_us, bucket_s, max_segment_rows)
         parts.append(hot.join(counts, [*keys, tie], "inner"))
@@ -161,6 +167,13 @@ def rate_limit(requests: DataFrame, window_s: int = K.RATE_WINDOW_SECONDS, keys=
 MAX_HOT_KEYS = 100_000
 
 
+def _is_wide(df: DataFrame, narrow: list[str]) -> bool:
+    """True when columns besides ``narrow`` hold nested or binary values, which
+    are costly to carry through a Python pass."""
+    nested = (ArrayType, MapType, StructType, BinaryType)
+    return any(isinstance(f.dataType, nested) for f in df.schema.fields if f.name not in narrow)
+
+
 def split_by_key_size(df: DataFrame, keys: list[str], max_rows: int):
     """(cold, hot): rows of keys with at most ``max_rows`` rows, and the rest.
     ``hot`` is None when no key is over; ``cold`` is None when the hot-key list
