@@ -124,3 +124,12 @@ def test_hot_paths_equal_default_on_driver_tables(spark):
     b = sorted(tuple(r) for r in ttl_counter(ev, "user_id", ttl_s=7200, max_key_rows=20, bucket_s=3600)
                .select("event_id", "counter").collect())
     assert a == b
+
+
+def test_rate_limit_wide_rows_take_the_narrow_pass(spark):
+    rows = _random_requests(5)
+    df = spark.createDataFrame([r + ([r[2], r[2] + 1],) for r in rows],
+                               "tenant_id string, ts timestamp, request_id long, limit_rpm int, payload array<long>")
+    out = rate_limit(df, window_s=60).collect()
+    assert {r["request_id"]: (r["window_count"], r["allowed"]) for r in out} == _loop_anchored(rows, 60)
+    assert all(r["payload"] == [r["request_id"], r["request_id"] + 1] for r in out)   # wide column intact
