@@ -133,3 +133,10 @@ def test_rate_limit_wide_rows_take_the_narrow_pass(spark):
     out = rate_limit(df, window_s=60).collect()
     assert {r["request_id"]: (r["window_count"], r["allowed"]) for r in out} == _loop_anchored(rows, 60)
     assert all(r["payload"] == [r["request_id"], r["request_id"] + 1] for r in out)   # wide column intact
+
+
+def test_ttl_counter_wide_rows(spark):
+    rows = [("u", T0 + dt.timedelta(seconds=s), i, [i]) for i, s in enumerate([0, 10, 100, 105, 400])]
+    df = spark.createDataFrame(rows, "user_id string, ts timestamp, event_id long, payload array<long>")
+    out = {r["event_id"]: (r["counter"], r["payload"]) for r in ttl_counter(df, "user_id", ttl_s=60).collect()}
+    assert out == {0: (1, [0]), 1: (2, [1]), 2: (1, [2]), 3: (2, [3]), 4: (1, [4])}

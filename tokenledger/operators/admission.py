@@ -299,9 +299,13 @@ def ttl_counter(events: DataFrame, key: str, ts: str = "ts", tie: str = "event_i
     cold, hot = split_by_key_size(base, [key], max_key_rows)
     parts = []
     if cold is not None:
-        schema = cold.schema.add("counter", LongType()).add("_start_us", LongType())
-        c = (cold.repartition(key).sortWithinPartitions(key, "_ts_us", tie)
+        wide = _is_wide(cold, [key, tie, "_ts_us"])
+        src = cold.select(key, tie, "_ts_us") if wide else cold      # nested columns stay in the JVM
+        schema = src.schema.add("counter", LongType()).add("_start_us", LongType())
+        c = (src.repartition(key).sortWithinPartitions(key, "_ts_us", tie)
              .mapInPandas(_ttl_fn(key, None if ttl_s is None else int(ttl_s * US)), schema))
+        if wide:
+            c = cold.join(c.drop("_ts_us"), [key, tie], "inner")
         parts.append(c.withColumn("session_start", F.when(F.lit(ttl_s is not None),
                                                            F.timestamp_micros("_start_us")))
                       .drop("_start_us", "_ts_us"))
