@@ -203,9 +203,12 @@ def _segmented(narrow: DataFrame, keys: list[str], tie: str, window_us: int, buc
     """Keys too large for one task: bucketed gap segmentation, then one pass per
     segment, and pointer doubling for segments still over the cap."""
     seg = gap_segments(narrow, keys, "_ts_us", tie, window_us, inclusive=True, bucket_s=bucket_s, with_len=True)
-    seg = seg.select(*keys, tie, "_ts_us", "_grank", "_bucket", F.col("seg_start.grank").alias("_seg"), "seg_len")
+    # written once to the shared checkpoint folder: the long-segment check and
+    # both branches below read it (no recomputation, nothing pinned in memory)
+    seg = seg.select(*keys, tie, "_ts_us", "_grank", "_bucket", F.col("seg_start.grank").alias("_seg"),
+                     "seg_len").checkpoint()
     counts = _per_segment(seg.filter(F.col("seg_len") <= max_segment_rows), keys, tie, window_us)
-    if _has_rows(seg, F.col("seg_len") > max_segment_rows):
+    if seg.filter(F.col("seg_len") > max_segment_rows).limit(1).count() > 0:
         big = seg.filter(F.col("seg_len") > max_segment_rows)
         anchors = _anchors_by_doubling(big, keys, "_seg", window_us)
         marked = big.join(anchors.withColumn("_is_anchor", F.lit(True)).withColumnRenamed("g", "_grank"),
@@ -219,13 +222,6 @@ def _segmented(narrow: DataFrame, keys: list[str], tie: str, window_us: int, buc
     return counts
 
 
-def _has_rows(df: DataFrame, cond) -> bool:
-    """Decide on the driver whether the exact long-segment path is needed. ``df``
-    is persisted first so the check's work is reused by the main plan."""
-    df.persist()
-    return df.filter(cond).limit(1).count() > 0
-
-
 def remaining(limit_col: str = "limit_rpm", count_col: str = "window_count"):
     """W2 on W1 output: ``max(0, limit - count)``; limit <= 0 yields 0."""
     return F.when(F.col(limit_col) <= 0, F.lit(0)).otherwise(
