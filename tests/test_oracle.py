@@ -22,6 +22,16 @@ def con():
     return c
 
 
+DUCK_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+              "boolean": "BOOLEAN", "date": "DATE", "float": "FLOAT"}
+
+
+def _same_type(spark_type: str, duck_type: str) -> bool:
+    if spark_type.startswith("decimal"):
+        return duck_type.replace(" ", "") == "DECIMAL" + spark_type[len("decimal"):]
+    return DUCK_TYPES.get(spark_type) == duck_type
+
+
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
@@ -30,6 +40,11 @@ def test_query_matches_oracle(spark, con, name):
     c2, r2 = canon([d[0] for d in rel.description], rel.fetchall())
     assert c1 == c2
     assert r1 == r2
+    typed = con.sql(E.oracle_sql()[name])
+    duck = dict(zip(typed.columns, map(str, typed.types)))
+    mismatched = [(f.name, f.dataType.simpleString(), duck[f.name]) for f in df.schema.fields
+                  if not _same_type(f.dataType.simpleString(), duck[f.name])]
+    assert not mismatched
 
 
 def test_every_query_has_an_oracle():

@@ -406,9 +406,9 @@ FROM iso""")
 def q_prompt_isolation(spark, sf):
     from tokenledger.functions.messages import isolate_system_prompt, prompt_text
     m = _messages(spark, sf).withColumn("m", isolate_system_prompt("messages", "system_prompt_override"))
-    return m.select("conv_id", "tenant_id", F.size("m").alias("n_messages"),
+    return m.select("conv_id", "tenant_id", F.size("m").cast("bigint").alias("n_messages"),
                     F.get("m", 0)["role"].alias("first_role"), F.get("m", 0)["content"].alias("first_content"),
-                    F.size(F.filter("m", lambda x: x["role"] == "system")).alias("n_system"),
+                    F.size(F.filter("m", lambda x: x["role"] == "system")).cast("bigint").alias("n_system"),
                     prompt_text("m").alias("prompt_text"))
 
 
@@ -425,7 +425,7 @@ def q_message_split(spark, sf):
     from tokenledger.functions.messages import split_system
     m = _messages(spark, sf)
     system_text, turns = split_system("messages")
-    return m.select("conv_id", system_text.alias("system_text"), F.size(turns).alias("n_turns"),
+    return m.select("conv_id", system_text.alias("system_text"), F.size(turns).cast("bigint").alias("n_turns"),
                     F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit(":"), t["content"])), "|")
                      .alias("turns_text"))
 
@@ -942,7 +942,8 @@ m AS (SELECT {O.model_case()} AS model, COUNT(*) AS requests,
 SELECT model, {O.provider_case('model')} AS provider, requests,
        {O.price_case('model', O.provider_case('model'), 0)} AS price_in,
        {O.price_case('model', O.provider_case('model'), 1)} AS price_out,
-       CAST(prompt_tokens AS DECIMAL(20,0)) * {O.price_case('model', O.provider_case('model'), 0)} AS prompt_cost_per_1k
+       CAST(CAST(prompt_tokens AS DECIMAL(20,0)) * {O.price_case('model', O.provider_case('model'), 0)} AS DECIMAL(30,5))
+         AS prompt_cost_per_1k
 FROM m""")
 def q_price_lookup(spark, sf):
     """J2 in table form: per-model traffic joined to the price dimension, with
@@ -963,7 +964,7 @@ def q_price_lookup(spark, sf):
     pin = F.coalesce("price_in", "d_in").cast(PRICE_TYPE)
     pout = F.coalesce("price_out", "d_out").cast(PRICE_TYPE)
     return j.select("model", "provider", "requests", pin.alias("price_in"), pout.alias("price_out"),
-                    (F.col("prompt_tokens").cast("decimal(20,0)") * pin).alias("prompt_cost_per_1k"))
+                    (F.col("prompt_tokens").cast("decimal(20,0)") * pin).cast("decimal(30,5)").alias("prompt_cost_per_1k"))
 
 
 INDEX_SPLIT_MIN = 300      # entries written in the first 300 minutes form the existing index
