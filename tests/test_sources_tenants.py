@@ -63,3 +63,13 @@ def test_kv_write_json_roundtrip(spark):
     out = kv_latest_live(kv_write(None, w, encode_json=True, ttl_s=60), t0 + dt.timedelta(seconds=59)).first()
     assert out["raw"] is None and out["json"] is not None
     assert kv_latest_live(kv_write(None, w, encode_json=True, ttl_s=60), t0 + dt.timedelta(seconds=60)).count() == 0
+
+
+def test_broadcast_cap_counts_bytes(spark):
+    from tokenledger.operators.dimensions import fits_broadcast, row_bytes
+    narrow = spark.range(10).selectExpr("id", "cast(id as string) AS s")
+    wide = spark.range(10).selectExpr("id", "array_repeat(cast(id as double), 3) AS v")
+    assert row_bytes(narrow.schema) == 28 and row_bytes(wide.schema) == 808
+    assert fits_broadcast(narrow) and fits_broadcast(wide)
+    assert not fits_broadcast(wide, max_bytes=808 * 9)          # 10 rows of 808 bytes > 9 rows' worth
+    assert fits_broadcast(wide, known_rows=9, max_bytes=808 * 9)
