@@ -70,6 +70,8 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
+    # read by the driver only: addPyFile serves it to executors through Spark's
+    # own file server, so no executor ever reads this driver-local folder
     path = os.path.join(tempfile.mkdtemp(prefix="tokenledger-pkg-"), "tokenledger.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, files in os.walk(pkg):
