@@ -14,6 +14,8 @@ Sub-packages:
   streaming  Structured Streaming jobs
 """
 
-from tokenledger.session import get_spark, checkpoint_dir  # noqa: F401
+from tokenledger.session import checkpoint_dir, get_spark, ship_package  # noqa: F401
 
-__all__ = ["get_spark", "checkpoint_dir"]
+# With a session of your own, call ship_package(spark) once so the Python
+# workers can import this package (get_spark does it for you).
+__all__ = ["get_spark", "checkpoint_dir", "ship_package"]
