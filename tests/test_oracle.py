@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from scripts.check_oracle import canon
+from scripts.check_oracle import canon, same_type
 from tokenledger.sources.tables import TABLES
 
 SF = os.environ.get("TOKENLEDGER_TEST_SF", "/root/testdata/sf0.001")
@@ -22,16 +22,6 @@ def con():
     return c
 
 
-DUCK_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
-              "boolean": "BOOLEAN", "date": "DATE", "float": "FLOAT"}
-
-
-def _same_type(spark_type: str, duck_type: str) -> bool:
-    if spark_type.startswith("decimal"):
-        return duck_type.replace(" ", "") == "DECIMAL" + spark_type[len("decimal"):]
-    return DUCK_TYPES.get(spark_type) == duck_type
-
-
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
@@ -43,7 +33,7 @@ def test_query_matches_oracle(spark, con, name):
     typed = con.sql(E.oracle_sql()[name])
     duck = dict(zip(typed.columns, map(str, typed.types)))
     mismatched = [(f.name, f.dataType.simpleString(), duck[f.name]) for f in df.schema.fields
-                  if not _same_type(f.dataType.simpleString(), duck[f.name])]
+                  if not same_type(f.dataType.simpleString(), duck[f.name])]
     assert not mismatched
 
 
