@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenledger.llm import mixing
+from tokenledger.llm import decontaminate, mixing, quality_rules, tokens
 from tokenledger.llm.staging import prepare
 
 
@@ -22,10 +22,27 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(sized, F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_cascade(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
+    "op4_token_counts": op4_token_counts,
+    "op5_decontaminate": op5_decontaminate,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLE: dict[str, str] = {
     "op2_mix_sources": mixing.ORACLE_SQL,
+    "op5_decontaminate": decontaminate.ORACLE_SQL,
 }
