@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenledger.llm import decontaminate, mixing, quality_fm, quality_rules, simhash, suffix_dedup, tokens, toxicity
+from tokenledger.llm import (decontaminate, licenses, mixing, quality_fm, quality_rules, secrets, simhash, suffix_dedup,
+                             tokens, toxicity)
 from tokenledger.llm.staging import prepare
 
 
@@ -39,10 +40,18 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents"), *secrets.holders())
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_cascade(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_token_counts": op4_token_counts,
     "op5_decontaminate": op5_decontaminate,
+    "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
+    "op8_licenses": op8_licenses,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
