@@ -233,6 +233,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM) -> DataFrame:
+    """The rows of ``docs`` whose text is not contaminated, unchanged.
+
+    The verdict depends on the text alone, so it is joined back by the text's SHA-256.
+    """
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    bad = decontaminate(docs.select(digest.alias("doc_id"), "text"), benchmark, window, k).filter("contaminated")
+    marked = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("whole"), digest.alias("_digest"))
+    return marked.join(bad.select(F.col("doc_id").alias("_digest")).distinct(), "_digest", "left_anti").select("whole.*")
+
+
 ORACLE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id,
                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -374,20 +374,40 @@ def links(unique: DataFrame, distance: int = DISTANCE, parts: int = PARTITIONS,
 
 def near_duplicate_groups(docs: DataFrame, k: int = SHINGLE, distance: int = DISTANCE, parts: int = PARTITIONS,
                           bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(rows, groups): doc_id and fp of every row; fp, component_id of every fingerprint."""
+    """(rows, groups): doc_id and fp of every row; fp, root (a fingerprint), component_id of every fingerprint."""
     rows = stage(with_fingerprint(docs.select("doc_id", "text"), k).select("doc_id", "fp"), "simhash-rows")
     unique = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-unique")
     edges = stage(links(unique, distance, parts, bucket_rows), "simhash-links")
     roots = components(edges, "u", "v").select(F.col("node").alias("fp"), "root")
     linked = unique.join(roots, "fp")
     lowest = linked.groupBy("root").agg(F.min("low").alias("lowest"))
-    joined = stage(linked.join(lowest, "root").select("fp", "lowest"), "simhash-groups")
-    groups = unique.join(joined, "fp", "left").select("fp", F.coalesce("lowest", "low").alias("component_id"))
+    joined = stage(linked.join(lowest, "root").select("fp", "root", "lowest"), "simhash-groups")
+    groups = unique.join(joined, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"),
+        F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("lowest")).alias("component_id"))
     return rows, groups
 
 
 def near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of ``docs`` (doc_id, text)."""
     rows, groups = near_duplicate_groups(docs, **options)
-    return rows.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+    return rows.join(groups.drop("root"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                                           "component_id")
+
+
+def keep_one(docs: DataFrame, **options: int) -> DataFrame:
+    """One row of every group of near duplicates: that of the smallest id (null ids last), with all its columns.
+
+    Rows of one id and fingerprint are told apart by their text, language, source and character count.
+    """
+    rows, groups = near_duplicate_groups(docs, **options)
+    last = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("fp").alias("fp"))
+    kept = (rows.join(groups, "fp").groupBy("root").agg(F.min(last).alias("k"))
+            .select(F.col("k.fp").alias("_fp"), F.coalesce(F.col("k.id").cast("string"), F.lit("null")).alias("_key")))
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("whole")
+    marked = with_fingerprint(docs.select(whole, "text"), options.get("k", SHINGLE)).select(
+        "whole", F.col("fp").alias("_fp"))
+    marked = marked.withColumn("_key", F.coalesce(F.col("whole.doc_id").cast("string"), F.lit("null")))
+    order = F.struct(*[F.col(f"whole.{c}") for c in ("text", "lang", "source", "n_chars")])
+    return (marked.join(kept, ["_fp", "_key"]).groupBy("_fp", "_key").agg(F.min_by("whole", order).alias("whole"))
+            .select("whole.*"))

@@ -267,6 +267,12 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(score, schema)
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, unchanged."""
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("whole"), "text")
+    return score_toxicity(whole, train(docs, labels)).filter(F.col("score") < threshold).select("whole.*")
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted, spans of every row of ``docs``."""
     model = train(docs, labels)
