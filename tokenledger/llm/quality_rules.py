@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenledger.llm.samples import some_texts
 from tokenledger.llm.textblocks import SPACE_WORD, Block, blocks
 
 SAMPLE_DOCS = 500
@@ -125,38 +126,25 @@ def base_failed(d: Doc) -> bool:
     return d.n_words < MIN_WORDS or 100 * d.n_repeat_words > REPEAT_PERCENT * d.n_words
 
 
-def rule_order(texts: DataFrame, rules: dict[str, Callable[[Doc], bool]] | None = None,
-               sample_docs: int = SAMPLE_DOCS) -> list[str]:
-    """Rule names by falling rejection per cost, both measured on a sample."""
+def rule_order(texts: list[str], rules: dict[str, Callable[[Doc], bool]] | None = None) -> list[str]:
+    """Rule names by falling rejection per cost, both measured on some texts."""
     rules = RULES if rules is None else rules
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent, hit, n = dict.fromkeys(rules, 0.0), dict.fromkeys(rules, 0), 0
-        for batch in batches:
-            for b in blocks(batch.column(0), SPACE_WORD):
-                for d in _docs(b):
-                    if base_failed(d):
-                        continue
-                    n += 1
-                    for name, rejects in rules.items():
-                        t = time.perf_counter()
-                        hit[name] += rejects(d)
-                        spent[name] += time.perf_counter() - t
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(rules), pa.string()), pa.array([hit[r] for r in rules], pa.int64()),
-             pa.array([spent[r] for r in rules], pa.float64()), pa.array([n] * len(rules), pa.int64())],
-            ["rule", "hit", "spent", "n"])
-
-    sample = texts.filter(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).limit(sample_docs)
-    rows = sample.coalesce(1).mapInArrow(measure, "rule string, hit long, spent double, n long").collect()
-    gain = {r["rule"]: (r["hit"] / r["spent"] if r["spent"] > 0 else 0.0, -r["spent"]) for r in rows}
-    return sorted(rules, key=lambda r: gain.get(r, (0.0, 0.0)), reverse=True)
+    spent, hit = dict.fromkeys(rules, 0.0), dict.fromkeys(rules, 0)
+    for b in blocks(pa.array(texts, pa.string()), SPACE_WORD):
+        for d in _docs(b):
+            if base_failed(d):
+                continue
+            for name, rejects in rules.items():
+                t = time.perf_counter()
+                hit[name] += rejects(d)
+                spent[name] += time.perf_counter() - t
+    return sorted(rules, key=lambda r: (hit[r] / max(spent[r], 1e-9), -spent[r]), reverse=True)
 
 
 def quality_cascade(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """doc_id, base counts, base_failed and kept of every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    order = rule_order(docs.select("text")) if order is None else order
+    order = rule_order(some_texts(docs, SAMPLE_DOCS)) if order is None else order
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def some_texts(docs: DataFrame, n: int, max_bytes: int = 65_536) -> list[str]:
+    """At most ``n`` texts of at most ``max_bytes`` bytes, spread by their hash over the first partitions.
+
+    Partitions are read only until there are enough, so this does not scan the table.
+    """
+    spread = F.pmod(F.xxhash64("text"), F.lit(16)) == 0
+    return [r["text"] for r in docs.select("text").filter((F.octet_length("text") <= max_bytes) & spread).take(n)]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int
                     ) -> tuple[pa.Table, dict[int, int]]:
     """(text, n_chars, label) of at most ``per_class`` training rows of each class,

@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenledger.llm.samples import some_texts
+
 SAMPLE_DOCS = 2_000
 TABLE_SIZE = 1 << 16
 CACHE_SIZE = 1 << 18
@@ -95,22 +97,12 @@ def _counter(key: object, tokenizer_json: str, table: dict[str, int]) -> Counter
     return _WORKER[key]
 
 
-def frequent_lengths(texts: DataFrame, tokenizer_json: str, sample_docs: int = SAMPLE_DOCS,
-                     table_size: int = TABLE_SIZE) -> dict[str, int]:
-    """Token counts of the ``table_size`` most frequent pre-tokens of a sample of
-    ``sample_docs`` texts (rows whose text hash is 0 modulo 16, read until enough)."""
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, seen = Counter2(tokenizer_json, {}), Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(counter.pieces(text) or ())
-        best = [p for p, _ in seen.most_common(table_size)]
-        yield pa.RecordBatch.from_arrays([pa.array(best, pa.string()),
-                                          pa.array([counter.whole(p) for p in best], pa.int64())], ["piece", "n"])
-
-    sample = texts.filter(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).limit(sample_docs)
-    found = sample.coalesce(1).mapInArrow(top, "piece string, n long")
-    return {r["piece"]: r["n"] for r in found.collect()}           # at most table_size rows
+def frequent_lengths(texts: list[str], tokenizer_json: str, table_size: int = TABLE_SIZE) -> dict[str, int]:
+    """Token counts of the ``table_size`` most frequent pre-tokens of some texts."""
+    counter, seen = Counter2(tokenizer_json, {}), Counter()
+    for text in texts:
+        seen.update(counter.pieces(text) or ())
+    return {piece: counter.whole(piece) for piece, _ in seen.most_common(table_size)}
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, sample_docs: int = SAMPLE_DOCS,
@@ -120,7 +112,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, sample
         tokenizer_json = f.read()
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sc = docs.sparkSession.sparkContext
-    table = frequent_lengths(docs.select("text"), tokenizer_json, sample_docs, table_size)
+    table = frequent_lengths(some_texts(docs, sample_docs), tokenizer_json, table_size)
     shared = sc.broadcast((tokenizer_json, table))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
