@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tokenledger.operators.admission import rate_limit, remaining, remaining_as_of, ttl_counter
+from tokenledger.operators.admission import admit, rate_limit, remaining, remaining_as_of, ttl_counter
+from tokenledger.operators.sequences import measured_bucket, with_bucket
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -140,3 +141,49 @@ def test_ttl_counter_wide_rows(spark):
     df = spark.createDataFrame(rows, "user_id string, ts timestamp, event_id long, payload array<long>")
     out = {r["event_id"]: (r["counter"], r["payload"]) for r in ttl_counter(df, "user_id", ttl_s=60).collect()}
     assert out == {0: (1, [0]), 1: (2, [1]), 2: (1, [2]), 3: (2, [3]), 4: (1, [4])}
+
+
+PAYLOADS = {"narrow": ("", lambda i: ()), "wide": (", payload array<long>", lambda i: ([i, i + 1],))}
+
+
+@pytest.mark.parametrize("kind", list(PAYLOADS))
+@pytest.mark.parametrize("cap", [10**6, 2])
+def test_every_request_row_comes_back(spark, kind, cap):
+    """Null keys, repeated ids, null limits and null ``stream``: rows in = rows out, on cold and hot paths."""
+    extra, payload = PAYLOADS[kind]
+    at = [(None, 0, 1), (None, 1, 1), (None, 70, 2), ("a", 0, 5), ("a", 0, 5), ("a", 0, 6), ("a", 61, 7), ("z", 3, 8)]
+    rows = [(k, T0 + dt.timedelta(seconds=s), i, None, None if i % 2 else False, None, *payload(i)) for k, s, i in at]
+    rows += [("a", T0, 9, 3, True, None, *payload(9)), ("z", T0, 10, 0, False, "x", *payload(10))]
+    df = spark.createDataFrame(rows, "tenant_id string, ts timestamp, request_id long, limit_rpm int, stream boolean, "
+                                     "scan_hit string" + extra)
+    out = admit(df, window_s=60, max_segment_rows=cap, bucket_s=20)
+    got = sorted(((r["tenant_id"] or "", r["request_id"], r["window_count"], r["status"]) for r in out.collect()), key=repr)
+    assert got == sorted([("", 1, 1, 200), ("", 1, 2, 200), ("", 2, 1, 200), ("a", 5, 1, 200), ("a", 5, 2, 200),
+                          ("a", 6, 3, 200), ("a", 7, 1, 200), ("z", 8, 1, 200), ("a", 9, None, 501),
+                          ("z", 10, 0, 400)], key=repr)
+    assert out.columns == [*df.columns, "window_count", "window_start", "allowed", "status", "reason"]
+    if extra:
+        assert all(r["payload"] == [r["request_id"], r["request_id"] + 1] for r in out.collect())
+
+
+@pytest.mark.parametrize("kind", list(PAYLOADS))
+@pytest.mark.parametrize("cap,ttl", [(10**6, 60), (2, 60), (10**6, None), (2, None)])
+def test_ttl_counter_with_null_and_large_integer_keys(spark, kind, cap, ttl):
+    extra, payload = PAYLOADS[kind]
+    big = 2**53
+    at = [(None, 0, 1), (None, 1, 2), (None, 2, 2), (big, 0, 3), (big + 1, 1, 4), (big, 2, 5), (big + 1, 200, 6)]
+    df = spark.createDataFrame([(k, T0 + dt.timedelta(seconds=s), i, *payload(i)) for k, s, i in at],
+                               "user_id long, ts timestamp, event_id long" + extra)
+    got = sorted(((r["user_id"] or 0, r["event_id"], r["counter"]) for r in
+                  ttl_counter(df, "user_id", ttl_s=ttl, max_key_rows=cap, bucket_s=30).collect()))
+    assert got == sorted([(0, 1, 1), (0, 2, 2), (0, 2, 3), (big, 3, 1), (big, 5, 2), (big + 1, 4, 1),
+                          (big + 1, 6, 1 if ttl else 2)])
+
+
+def test_bucket_width_follows_the_densest_hour(spark):
+    rows = [("hot", i * 3_600_000) for i in range(1000)] + [("hot", 7_200_000_000 + i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, t long")
+    width = measured_bucket(df, ["k"], "t", 3600, 50)
+    assert with_bucket(df, "t", width).groupBy("k", "_bucket").count().agg(F.max("count")).first()[0] <= 50
+    assert measured_bucket(df, ["k"], "t", 3600, 5000) == 3600
+    assert measured_bucket(df.limit(0), ["k"], "t", 3600, 50) == 3600

@@ -6,20 +6,24 @@ includes denied requests; tenants with limit <= 0 bypass the counter.
 
 The anchor chain is a sequential recurrence, so the plan is:
 
-1. ``gap_segments`` cuts each tenant's timeline wherever two consecutive
-   requests are ``window`` or more apart: such a request always opens a
-   window, so segments are independent. That scan is bucketed by time, so a hot
-   tenant is spread over many tasks (see ``sequences``).
-2. Segments up to ``max_segment_rows`` rows are hash-partitioned by segment,
-   sorted, and run the recurrence in one pass per partition (``mapInPandas``,
-   Arrow batches, state carried across batches). A key that has at most
-   ``max_segment_rows`` rows in total skips step 1: the whole key is one segment.
+1. One pass counts every key that fits a task: rows are hash-partitioned by key,
+   sorted, and each Arrow batch gets the two result columns appended
+   (``mapInArrow``), so nested columns, integers and nulls ride through as they
+   are. Rows that take no quota are dealt evenly and skipped by the kernel.
+2. Keys over ``max_segment_rows`` rows get a row id and a non-null text key and are
+   staged once. ``gap_segments`` cuts their timeline wherever two consecutive
+   requests are ``window`` or more apart: such a request always opens a window,
+   so segments are independent and take the same pass. That scan is bucketed by
+   time, and the bucket width follows the densest bucket (``measured_bucket``).
 3. Longer segments (a tenant that never pauses for ``window``) are solved
    exactly without a single task holding the segment: each row's successor
    anchor ``nxt(i)`` (first row at or after ts_i + window) is found with a
    bucketed as-of scan, and the chain from the segment start is expanded by
    pointer doubling -- O(log chain) joins, every level checkpointed to the
    shared checkpoint folder.
+
+Null keys are a key like any other. Requests equal in time and id count one
+after another.
 """
 
 from __future__ import annotations
@@ -27,82 +31,87 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, MapType, StructType
+from pyspark.sql.types import LongType
 
 from tokenledger import constants as K
 from tokenledger.operators.kernels import anchored_windows, refreshed_counter
-from tokenledger.operators.sequences import (DEFAULT_BUCKET_SECONDS, carry_last, gap_segments,
+from tokenledger.operators.sequences import (DEFAULT_BUCKET_SECONDS, carry_last, gap_segments, measured_bucket,
                                              with_bucket, with_neighbours)
 
 US = 1_000_000
 MAX_SEGMENT_ROWS = 1_000_000
 
 
-def _partition_fn(keys: list[str], tie: str, window_us: int, passthrough: bool = False):
-    """Anchored windows over one partition sorted by (keys, segment, ts, tie).
+def _new_groups(batch: pa.RecordBatch, names: list[str], last: tuple | None) -> tuple[np.ndarray, tuple]:
+    """(row starts a group, group of the last row); nulls equal nulls, values are compared exactly."""
+    new = np.zeros(batch.num_rows, dtype=bool)
+    for name in names:
+        code = batch.column(name).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
 
-    Segments are contiguous in the partition; the state (anchor, count) carries
-    across Arrow batches, so a segment may span batches. Each batch is one
-    numpy pass (``anchored_windows``: a step per window, not per row).
-    """
+    def group(i: int) -> tuple:
+        return tuple(batch.column(n)[i].as_py() for n in names)
+
+    new[0] = last is None or group(0) != last
+    return new, group(batch.num_rows - 1)
+
+
+def _append(names: list[str], kernel, out: tuple[str, str]):
+    """A ``mapInArrow`` function over partitions sorted by (names, ts, tie): the
+    kernel's two columns are appended to every batch. Groups are contiguous; the
+    kernel's state is carried across batches, so a group may span them."""
     def fn(batches):
-        last_key, carry = None, None
-        for pdf in batches:
-            m = len(pdf)
-            if m == 0:
+        last, carry = None, None
+        for batch in batches:
+            if batch.num_rows == 0:
                 continue
-            seg = pdf["_seg"].to_numpy()
-            new = np.empty(m, dtype=bool)
-            new[1:] = seg[1:] != seg[:-1]
-            for k in keys:
-                col = pdf[k].to_numpy()
-                new[1:] |= col[1:] != col[:-1]
-            new[0] = (seg[0], *(pdf[k].iat[0] for k in keys)) != last_key
-            counts, anchors, carry = anchored_windows(pdf["_ts_us"].to_numpy(dtype=np.int64), new,
-                                                      window_us, carry)
-            last_key = (seg[-1], *(pdf[k].iat[m - 1] for k in keys))
-            if passthrough:
-                out = pdf.drop(columns=["_seg"])
-            else:
-                out = pd.DataFrame({**{k: pdf[k].to_numpy() for k in keys}, tie: pdf[tie].to_numpy()})
-            out["window_count"] = counts
-            out["anchor_us"] = anchors
-            yield out
+            new, last = _new_groups(batch, names, last)
+            first, second, carry = kernel(batch.column("_ts_us").to_numpy(), new, carry)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.int64()), pa.array(second, pa.int64())],
+                                             [*batch.schema.names, *out])
     return fn
 
 
-def _successors(rows: DataFrame, keys: list[str], seg: str, window_us: int) -> DataFrame:
-    """nxt(g): grank of the first row in the same segment with ts >= ts_g + window.
+def _one_pass(df: DataFrame, names: list[str], tie: str, kernel, out: tuple[str, str]) -> DataFrame:
+    schema = df.schema
+    for c in out:
+        schema = schema.add(c, LongType())
+    return (df.repartition(*names).sortWithinPartitions(*names, "_ts_us", tie)
+            .mapInArrow(_append(names, kernel, out), schema))
 
-    Within a segment consecutive gaps are < window, so nxt lies in [p, p + window)
-    with p = ts_g + window: bucketing probes and rows by window width and copying
-    each row into its own and the previous bucket covers it exactly.
-    """
+
+def _windows(window_us: int):
+    return lambda ts, new, carry: anchored_windows(ts, new, window_us, carry)
+
+
+def _ttl(ttl_us: int | None):
+    return lambda ts, new, carry: refreshed_counter(ts, new, ttl_us, carry)
+
+
+def _successors(rows: DataFrame, keys: list[str], seg: str, window_us: int, bucket_s: float) -> DataFrame:
+    """nxt(g): grank of the first row in the same segment with ts >= ts_g + window,
+    as a bucketed carry over the union of rows and probes at ts_g + window."""
+    none = F.lit(None).cast("bigint")
     probes = rows.select(*keys, seg, (F.col("_ts_us") + window_us).alias("_t"), F.lit(0).alias("_kind"),
-                         F.col("_grank").alias("_src"), F.lit(None).cast("bigint").alias("_dst"))
-    b = F.floor(F.col("_t") / window_us).cast("bigint")
-    probes = probes.withColumn("_b", b)
+                         F.col("_grank").alias("_src"), none.alias("_dst"))
     targets = rows.select(*keys, seg, F.col("_ts_us").alias("_t"), F.lit(1).alias("_kind"),
-                          F.lit(None).cast("bigint").alias("_src"), F.col("_grank").alias("_dst"))
-    targets = targets.withColumn("_b", F.explode(F.array(b, b - 1)))
-    both = probes.unionByName(targets)
-    w = (Window.partitionBy(*keys, seg, "_b").orderBy("_t", "_kind", "_dst")
-         .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    found = both.withColumn("_nxt", F.first("_dst", ignorenulls=True).over(w))
+                          none.alias("_src"), F.col("_grank").alias("_dst"))
+    both = with_bucket(probes.unionByName(targets).withColumn("_ord", F.struct("_kind", "_dst")), "_t", bucket_s)
+    found = carry_last(both, [*keys, seg], "_t", "_ord", F.col("_dst"), "_nxt", reverse=True)
     return found.filter(F.col("_kind") == 0).select(*keys, F.col("_src").alias("g"), F.col("_nxt").alias("j"))
 
 
-def _anchors_by_doubling(rows: DataFrame, keys: list[str], seg: str, window_us: int) -> DataFrame:
+def _anchors_by_doubling(rows: DataFrame, keys: list[str], seg: str, window_us: int, bucket_s: float) -> DataFrame:
     """Anchor granks of long segments, exactly, by pointer doubling."""
     span = rows.groupBy(*keys, seg).agg(((F.max("_ts_us") - F.min("_ts_us")) / window_us + 2).alias("w"))
     max_chain = span.agg(F.max("w")).first()[0]
     if max_chain is None:
         return rows.sparkSession.createDataFrame([], rows.select(*keys, F.col("_grank").alias("g")).schema)
     levels_needed = max(1, math.ceil(math.log2(max_chain)))
-    level = _successors(rows, keys, seg, window_us).filter(F.col("j").isNotNull()).checkpoint()
+    level = _successors(rows, keys, seg, window_us, bucket_s).filter(F.col("j").isNotNull()).checkpoint()
     levels = [level]
     for _ in range(levels_needed - 1):
         a, b = level.alias("a"), level.alias("b")
@@ -122,95 +131,95 @@ def _anchors_by_doubling(rows: DataFrame, keys: list[str], seg: str, window_us:
 
 def rate_limit(requests: DataFrame, window_s: int = K.RATE_WINDOW_SECONDS, keys=("tenant_id",),
                ts: str = "ts", tie: str = "request_id", limit_col: str = "limit_rpm",
-               bucket_s: int = DEFAULT_BUCKET_SECONDS, max_segment_rows: int = MAX_SEGMENT_ROWS) -> DataFrame:
+               bucket_s: float = DEFAULT_BUCKET_SECONDS, max_segment_rows: int = MAX_SEGMENT_ROWS,
+               counted: Column | None = None) -> DataFrame:
     """Per request, ``window_count`` (count in its window after this request,
     0 when bypassed), ``window_start`` and ``allowed``.
 
     Ties on ``ts`` break by ``tie``. A request exactly ``window_s`` after the
     anchor opens a new window (half-open windows). A null limit reads as the
-    default 60 (D6); limit <= 0 bypasses the counter. Keys under the cap carry
-    their columns through one sorted pass; hot keys shuffle a narrow projection
-    (keys, tie, ts) through the segmented path and join the counts back.
+    default 60 (D6); limit <= 0 bypasses the counter. Rows for which ``counted``
+    is not true never reach the counter and get nulls in all three columns.
+    Every input row gives one output row, whatever its columns, key or id.
     """
     keys = list(keys)
     window_us = int(window_s * US)
     eff_limit = F.coalesce(F.col(limit_col), F.lit(K.DEFAULT_RATE_LIMIT_RPM))
-    base = requests.withColumn("_ts_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    bypass = (base.filter(eff_limit <= 0)
-              .withColumn("window_count", F.lit(0).cast("bigint"))
-              .withColumn("window_start", F.lit(None).cast("timestamp")))
-    counted = base.filter(eff_limit > 0)
-    cold, hot = split_by_key_size(counted, keys, max_segment_rows)
-    parts = []
-    if cold is not None:
-        if _is_wide(cold, [*keys, tie, "_ts_us"]):
-            # nested columns (message arrays, ...) stay in the JVM: count on the
-            # narrow projection, join back on the unique (key, id)
-            c = cold.select(*keys, tie, "_ts_us").withColumn("_seg", F.lit(0).cast("bigint"))
-            parts.append(cold.join(_per_segment(c, keys, tie, window_us), [*keys, tie], "inner"))
-        else:
-            # keys small enough for one task: one shuffle, one pass, columns carried through
-            c = cold.withColumn("_seg", F.lit(0).cast("bigint"))
-            schema = cold.schema.add("window_count", LongType()).add("anchor_us", LongType())
-            parts.append(c.repartition(*keys).sortWithinPartitions(*keys, "_ts_us", tie)
-                          .mapInPandas(_partition_fn(keys, tie, window_us, passthrough=True), schema))
+    reaches = F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))
+    base = requests.withColumns({"_ts_us": F.unix_micros(F.col(ts).cast("timestamp")), "_reaches": reaches})
+    takes = F.col("_reaches") & (eff_limit > 0)
+    hot_keys = hot_key_table(base.filter(takes), keys, max_segment_rows)
+    # rows that take no quota are dealt over 64 segments of their own
+    spread = -1 - F.pmod(F.xxhash64(F.col(tie), F.col("_ts_us")), F.lit(64))
+    cold, hot = split_hot(base, keys, hot_keys, takes)
+    out = ("window_count", "anchor_us")
+    res = _one_pass(cold.withColumn("_seg", F.when(takes, F.lit(0)).otherwise(spread).cast("bigint")),
+                    [*keys, "_seg"], tie, _windows(window_us), out).drop("_seg")
     if hot is not None:
-        counts = _segmented(hot.select(*keys, tie, "_ts_us"), keys, tie, window_us, bucket_s, max_segment_rows)
-        parts.append(hot.join(counts, [*keys, tie], "inner"))
-    res = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    res = res.withColumn("window_start", F.timestamp_micros("anchor_us")).drop("anchor_us")
-    res = res.unionByName(bypass)
-    return (res.withColumn("allowed", (eff_limit <= 0) | (F.col("window_count") <= eff_limit))
-               .drop("_ts_us"))
+        rows, narrow = numbered(hot, keys, tie)
+        counts = _segmented(narrow, ["_key"], "_tie", window_us, bucket_s, max_segment_rows)
+        res = res.unionByName(rows.join(counts.select(F.col("_tie._rid").alias("_rid"), *out), "_rid")
+                              .select(*base.columns, *out))
+    res = res.withColumns({
+        "window_count": F.when(takes, F.col("window_count")).when(F.col("_reaches"), F.lit(0)).cast("bigint"),
+        "window_start": F.when(takes, F.timestamp_micros("anchor_us"))})
+    return (res.withColumn("allowed", F.when(F.col("_reaches"), (eff_limit <= 0) | (F.col("window_count") <= eff_limit)))
+               .select(*requests.columns, "window_count", "window_start", "allowed"))
 
 
 MAX_HOT_KEYS = 100_000
 
 
-def _is_wide(df: DataFrame, narrow: list[str]) -> bool:
-    """True when columns besides ``narrow`` hold nested or binary values, which
-    are costly to carry through a Python pass."""
-    nested = (ArrayType, MapType, StructType, BinaryType)
-    return any(isinstance(f.dataType, nested) for f in df.schema.fields if f.name not in narrow)
-
-
-def split_by_key_size(df: DataFrame, keys: list[str], max_rows: int):
-    """(cold, hot): rows of keys with at most ``max_rows`` rows, and the rest.
-    ``hot`` is None when no key is over; ``cold`` is None when the hot-key list
-    is itself too long to ship (then every key takes the distributed path).
-    The per-key count is a partial aggregate (one small shuffle)."""
+def hot_key_table(df: DataFrame, keys: list[str], max_rows: int) -> list | None:
+    """Keys with more than ``max_rows`` rows; None when there are too many to ship
+    (then every key takes the distributed path). A partial aggregate."""
     hot = (df.groupBy(*keys).count().filter(F.col("count") > max_rows)
            .select(*keys).limit(MAX_HOT_KEYS + 1).collect())
-    if not hot:
-        return df, None
-    if len(hot) > MAX_HOT_KEYS:
-        return None, df
-    hot_df = F.broadcast(df.sparkSession.createDataFrame(hot, df.select(*keys).schema))  # <= MAX_HOT_KEYS rows
-    return df.join(hot_df, keys, "left_anti"), df.join(hot_df, keys, "left_semi")
+    return None if len(hot) > MAX_HOT_KEYS else hot
 
 
-def _per_segment(df: DataFrame, keys: list[str], tie: str, window_us: int) -> DataFrame:
-    """Run the recurrence with one sorted pass per partition; ``_seg`` marks
-    independent segments (constant when whole keys are the unit)."""
-    schema = df.select(*keys, tie).schema.add("window_count", LongType()).add("anchor_us", LongType())
-    return (df.select(*keys, "_seg", "_ts_us", tie)
-              .repartition(*keys, "_seg").sortWithinPartitions(*keys, "_seg", "_ts_us", tie)
-              .mapInPandas(_partition_fn(keys, tie, window_us), schema))
-
-
-def _segmented(narrow: DataFrame, keys: list[str], tie: str, window_us: int, bucket_s: int,
+def split_hot(df: DataFrame, keys: list[str], hot: list | None, takes: Column) -> tuple[DataFrame, DataFrame | None]:
+    """(cold, hot): rows that take the hot path are those of hot keys for which
+    ``takes`` holds; null keys match null keys."""
+    if hot == []:
+        return df, None
+    if hot is None:
+        return df.filter(~takes), df.filter(takes)
+    table = df.sparkSession.createDataFrame(hot, df.select(*keys).schema).select(
+        *[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_is_hot"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
+    marked = df.join(F.broadcast(table), same, "left")                 # <= MAX_HOT_KEYS rows
+    is_hot = F.coalesce(F.col("_is_hot"), F.lit(False)) & takes
+    return marked.filter(~is_hot).select(*df.columns), marked.filter(is_hot).select(*df.columns)
+
+
+def numbered(hot: DataFrame, keys: list[str], tie: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with a unique ``_rid``, their narrow twin): staged once in the shared
+    folder, so both branches see the same ids. The twin has a non-null text key
+    and a tie-breaker that no two rows share."""
+    rows = hot.withColumn("_rid", F.monotonically_increasing_id()).checkpoint()
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    return rows, rows.select(key.alias("_key"), "_ts_us", F.struct(F.col(tie).alias("tie"), "_rid").alias("_tie"))
+
+
+def _segmented(narrow: DataFrame, keys: list[str], tie: str, window_us: int, bucket_s: float,
                max_segment_rows: int) -> DataFrame:
     """Keys too large for one task: bucketed gap segmentation, then one pass per
     segment, and pointer doubling for segments still over the cap."""
+    bucket_s = measured_bucket(narrow, keys, "_ts_us", bucket_s, max_segment_rows)
     seg = gap_segments(narrow, keys, "_ts_us", tie, window_us, inclusive=True, bucket_s=bucket_s, with_len=True)
     # written once to the shared checkpoint folder: the long-segment check and
     # both branches below read it (no recomputation, nothing pinned in memory)
     seg = seg.select(*keys, tie, "_ts_us", "_grank", "_bucket", F.col("seg_start.grank").alias("_seg"),
                      "seg_len").checkpoint()
-    counts = _per_segment(seg.filter(F.col("seg_len") <= max_segment_rows), keys, tie, window_us)
+    short = seg.filter(F.col("seg_len") <= max_segment_rows).select(*keys, "_seg", "_ts_us", tie)
+    counts = _one_pass(short, [*keys, "_seg"], tie, _windows(window_us), ("window_count", "anchor_us"))
+    counts = counts.select(*keys, tie, "window_count", "anchor_us")
     if seg.filter(F.col("seg_len") > max_segment_rows).limit(1).count() > 0:
         big = seg.filter(F.col("seg_len") > max_segment_rows)
-        anchors = _anchors_by_doubling(big, keys, "_seg", window_us)
+        anchors = _anchors_by_doubling(big, keys, "_seg", window_us, bucket_s)
         marked = big.join(anchors.withColumn("_is_anchor", F.lit(True)).withColumnRenamed("g", "_grank"),
                           [*keys, "_grank"], "left")
         marked = carry_last(marked, keys, "_ts_us", tie,
@@ -218,7 +227,7 @@ def _segmented(narrow: DataFrame, keys: list[str], tie: str, window_us: int, buc
                                    F.struct(F.col("_grank").alias("g"), F.col("_ts_us").alias("t"))), "_anchor")
         big_out = marked.select(*keys, tie, (F.col("_grank") - F.col("_anchor.g") + 1).alias("window_count"),
                                 F.col("_anchor.t").alias("anchor_us"))
-        counts = counts.unionByName(big_out.select(*keys, tie, "window_count", "anchor_us"))
+        counts = counts.unionByName(big_out)
     return counts
 
 
@@ -259,30 +268,8 @@ def remaining_as_of(limited: DataFrame, probes: DataFrame, window_s: int, keys=(
                        .otherwise(F.greatest(F.lit(0), F.col(limit_col) - live)).cast("bigint").alias("remaining"))
 
 
-def _ttl_fn(key: str, ttl_us: int | None):
-    """Counter with refreshed expiry over partitions sorted by (key, ts, tie);
-    each Arrow batch is one numpy pass (``refreshed_counter``)."""
-    def fn(batches):
-        last_key, carry = None, None
-        for pdf in batches:
-            m = len(pdf)
-            if m == 0:
-                continue
-            keys = pdf[key].to_numpy()
-            new = np.empty(m, dtype=bool)
-            new[1:] = keys[1:] != keys[:-1]
-            new[0] = keys[0] != last_key
-            counts, starts, carry = refreshed_counter(pdf["_ts_us"].to_numpy(dtype=np.int64), new, ttl_us, carry)
-            last_key = keys[-1]
-            out = pdf.copy()
-            out["counter"] = counts
-            out["_start_us"] = starts
-            yield out
-    return fn
-
-
 def ttl_counter(events: DataFrame, key: str, ts: str = "ts", tie: str = "event_id",
-                ttl_s: int | None = None, bucket_s: int = DEFAULT_BUCKET_SECONDS,
+                ttl_s: int | None = None, bucket_s: float = DEFAULT_BUCKET_SECONDS,
                 max_key_rows: int = MAX_SEGMENT_ROWS) -> DataFrame:
     """Counter whose expiry is refreshed on every increment.
 
@@ -290,32 +277,25 @@ def ttl_counter(events: DataFrame, key: str, ts: str = "ts", tie: str = "event_i
     equal to ttl keeps counting); without a ttl it never restarts. Adds
     ``counter`` and ``session_start``. Keys with at most ``max_key_rows`` rows
     take one sorted pass per partition; hotter keys take the bucketed scan.
+    Null keys are one key; events equal in time and id count one after another.
     """
     base = events.withColumn("_ts_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    cold, hot = split_by_key_size(base, [key], max_key_rows)
-    parts = []
-    if cold is not None:
-        wide = _is_wide(cold, [key, tie, "_ts_us"])
-        src = cold.select(key, tie, "_ts_us") if wide else cold      # nested columns stay in the JVM
-        schema = src.schema.add("counter", LongType()).add("_start_us", LongType())
-        c = (src.repartition(key).sortWithinPartitions(key, "_ts_us", tie)
-             .mapInPandas(_ttl_fn(key, None if ttl_s is None else int(ttl_s * US)), schema))
-        if wide:
-            c = cold.join(c.drop("_ts_us"), [key, tie], "inner")
-        parts.append(c.withColumn("session_start", F.when(F.lit(ttl_s is not None),
-                                                           F.timestamp_micros("_start_us")))
-                      .drop("_start_us", "_ts_us"))
+    ttl_us = None if ttl_s is None else int(ttl_s * US)
+    cold, hot = split_hot(base, [key], hot_key_table(base, [key], max_key_rows), F.lit(True))
+    res = _one_pass(cold, [key], tie, _ttl(ttl_us), ("counter", "_start_us"))
     if hot is not None:
-        if ttl_s is None:
-            d = with_neighbours(with_bucket(hot, "_ts_us", bucket_s), [key], "_ts_us", tie)
-            d = (d.withColumn("counter", F.col("_grank").cast("bigint"))
-                  .withColumn("session_start", F.lit(None).cast("timestamp")))
+        rows, narrow = numbered(hot, [key], tie)
+        width = measured_bucket(narrow, ["_key"], "_ts_us", bucket_s, max_key_rows)
+        if ttl_us is None:
+            d = with_neighbours(with_bucket(narrow, "_ts_us", width), ["_key"], "_ts_us", "_tie")
+            d = d.select("_tie._rid", F.col("_grank").alias("counter"), F.lit(None).cast("bigint").alias("_start_us"))
         else:
-            d = gap_segments(hot, [key], "_ts_us", tie, int(ttl_s * US), inclusive=False, bucket_s=bucket_s)
-            d = (d.withColumn("counter", F.col("seg_rank").cast("bigint"))
-                  .withColumn("session_start", F.timestamp_micros(F.col("seg_start.ts"))))
-        parts.append(d.select(*events.columns, "counter", "session_start"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+            d = gap_segments(narrow, ["_key"], "_ts_us", "_tie", ttl_us, inclusive=False, bucket_s=width)
+            d = d.select("_tie._rid", F.col("seg_rank").alias("counter"), F.col("seg_start.ts").alias("_start_us"))
+        d = d.select("_rid", F.col("counter").cast("bigint").alias("counter"), "_start_us")
+        res = res.unionByName(rows.join(d, "_rid").select(*base.columns, "counter", "_start_us"))
+    start = F.timestamp_micros("_start_us") if ttl_us is not None else F.lit(None).cast("timestamp")
+    return res.select(*events.columns, "counter", start.alias("session_start"))
 
 
 def admit(requests: DataFrame, window_s: int = K.RATE_WINDOW_SECONDS, scan_col: str = "scan_hit",
@@ -324,20 +304,17 @@ def admit(requests: DataFrame, window_s: int = K.RATE_WINDOW_SECONDS, scan_col:
 
     stream -> 501 before the counter (uses no quota); over the limit -> 429;
     injection hit -> 400 (quota already used); else 200. ``requests`` must carry
-    ``stream``, ``limit_rpm`` and a precomputed ``scan_hit`` column.
+    ``stream`` (null: false), ``limit_rpm`` and a precomputed ``scan_hit`` column.
+    All rows go through one pass; streamed ones are skipped by the counter.
     """
-    streamed = (requests.filter(F.col("stream"))
-                .withColumn("window_count", F.lit(None).cast("bigint"))
-                .withColumn("window_start", F.lit(None).cast("timestamp"))
-                .withColumn("allowed", F.lit(None).cast("boolean")))
-    counted = rate_limit(requests.filter(~F.col("stream")), window_s=window_s, **kw)
-    return admission_decision(counted.unionByName(streamed), scan_col)
+    counted = ~F.coalesce(F.col("stream"), F.lit(False))
+    return admission_decision(rate_limit(requests, window_s=window_s, counted=counted, **kw), scan_col)
 
 
 def admission_decision(df: DataFrame, scan_col: str = "scan_hit") -> DataFrame:
     """P16's ordered rule on rows carrying ``stream``, ``allowed`` (W1) and the
     scan hit: stream -> 501, over the limit -> 429, injection -> 400, else 200."""
-    status = (F.when(F.col("stream"), F.lit(501))
+    status = (F.when(F.col("stream"), F.lit(501))                     # a null ``stream`` is false
                .when(~F.col("allowed"), F.lit(429))
                .when(F.col(scan_col).isNotNull(), F.lit(400))
                .otherwise(F.lit(200)))

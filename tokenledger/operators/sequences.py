@@ -15,8 +15,8 @@ scan is done in two levels:
 The row-level windows and joins all use the ``(key, bucket)`` hash
 partitioning, so a whole scan costs one shuffle of the rows; the summaries are
 small. Order inside a key is ``(ts, tie)``; ``ts`` is in microseconds (BIGINT).
-A hot key's bucket holds (rate x bucket width) rows: pick ``bucket_s`` so that
-fits a task at peak rate.
+A hot key's bucket holds (rate x bucket width) rows; ``measured_bucket`` narrows
+the width until the densest bucket fits a task.
 
 Two more order-based helpers follow the same rule (no task holds a whole key):
 ``last_k_per_key`` (the k largest values of an append sequence per key, from a
@@ -26,6 +26,8 @@ order, from a range-partitioned sort and per-partition offsets).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +40,20 @@ def floor_div(c: Column, width: int) -> Column:
     return ((c - F.pmod(c, F.lit(width))) / F.lit(width)).cast("bigint")
 
 
-def with_bucket(df: DataFrame, ts_us: str, bucket_s: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
-    return df.withColumn("_bucket", floor_div(F.col(ts_us), int(bucket_s * 1_000_000)))
+def measured_bucket(df: DataFrame, keys: list[str], ts_us: str, bucket_s: float, max_rows: int) -> float:
+    """A bucket width, at most ``bucket_s``, at which no (key, bucket) holds more
+    than ``max_rows`` rows, unless one microsecond alone does. The counts are
+    partial aggregates; one number a round reaches the driver."""
+    while True:
+        densest = (with_bucket(df, ts_us, bucket_s).groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("n"))
+                   .agg(F.max("n")).first()[0]) or 0
+        if densest <= max_rows or bucket_s <= 1e-6:
+            return bucket_s
+        bucket_s = max(1e-6, bucket_s / max(2, math.ceil(densest / max_rows)))
+
+
+def with_bucket(df: DataFrame, ts_us: str, bucket_s: float = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+    return df.withColumn("_bucket", floor_div(F.col(ts_us), max(1, int(bucket_s * 1_000_000))))
 
 
 def with_neighbours(df: DataFrame, keys: list[str], ts_us: str, tie: str) -> DataFrame:
@@ -89,7 +103,7 @@ def carry_last(df: DataFrame, keys: list[str], ts_us: str, tie: str, value: Colu
 
 
 def gap_segments(df: DataFrame, keys: list[str], ts_us: str, tie: str, gap_us: int,
-                 inclusive: bool = True, bucket_s: int = DEFAULT_BUCKET_SECONDS,
+                 inclusive: bool = True, bucket_s: float = DEFAULT_BUCKET_SECONDS,
                  with_len: bool = False) -> DataFrame:
     """Split each key's timeline where consecutive rows are ``gap_us`` or more
     apart (``inclusive``), or strictly more than ``gap_us`` apart.
