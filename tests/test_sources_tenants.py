@@ -34,6 +34,27 @@ def test_ingest_defaults_and_quarantine(spark):
     assert sorted(r["request_id"] for r in bad.collect()) == [3, 4, 5, 7]
 
 
+def test_ingest_checks_types_and_reads_numbers_leniently(spark):
+    m = '"messages": [{"role": "user", "content": "hi"}]'
+    bad = ['{"messages": [{"role": 7}]}', '{"messages": [{"role": "user", "content": [1]}]}', '{"messages": "x"}',
+           '{"messages": [{"role": "user", "content": 5}]}', '{"messages": [3]}', '{"messages": [null]}', "[]", "null", None,
+           f'{{{m}, "model": 3}}', f'{{{m}, "tools": "zz"}}', f'{{{m}, "tools": [1]}}', f'{{{m}, "max_tokens": "abc"}}',
+           f'{{{m}, "max_tokens": 5.5}}', f'{{{m}, "max_tokens": []}}', f'{{{m}, "stream": "maybe"}}', f'{{{m}, "stream": 2}}',
+           f'{{{m}, "stream": null}}', f'{{{m}, "temperature": "warm"}}', f'{{{m}, "tool_choice": 1}}',
+           '{"messages": [{"role": "user", "name": 1}]}']
+    good = [(f'{{{m}, "max_tokens": 5.0, "stream": 1}}', 5, True, None), (f'{{{m}, "max_tokens": " 7 "}}', 7, False, None),
+            (f'{{{m}, "max_tokens": null, "stream": "OFF", "temperature": "1e-1"}}', None, False, 0.1),
+            (f'{{{m}, "max_tokens": 3000000000, "stream": "Yes", "temperature": 2}}', 3_000_000_000, True, 2.0),
+            (f'{{{m}, "tools": [{{"a": 1}}], "tool_choice": "auto", "stream": false}}', None, False, None)]
+    rows = [(i, b, None) for i, b in enumerate([*bad, *[g[0] for g in good]])]
+    out = {r["request_id"]: r for r in ingest_requests(spark.createDataFrame(rows, RAW)).collect()}
+    assert len(out) == len(rows) and not any(out[i]["valid"] for i in range(len(bad)))
+    for i, (_, tokens, stream, temperature) in enumerate(good, len(bad)):
+        assert (out[i]["valid"], out[i]["max_tokens"], out[i]["stream"], out[i]["temperature"]) == (
+            True, tokens, stream, temperature)
+    assert out[len(rows) - 1]["tools"] == '[{"a":1}]' and out[len(rows) - 1]["tool_choice"] == "auto"
+
+
 def test_tool_scoping_and_limits(spark):
     cfg = spark.createDataFrame([("yes", 5, True, None), ("no", None, False, None), ("null", 0, None, None)],
                                 "tenant_id string, rate_limit_rpm int, allow_tool_calls boolean, "

@@ -294,8 +294,7 @@ def append_entries(index: DataFrame, new: DataFrame, id_col: str = "request_id")
     """
     base = index.agg(F.max("seq")).first()[0]
     base = -1 if base is None else int(base)
-    fresh = new.select(F.concat(F.lit("r"), F.sha2(F.col(id_col).cast("string"), 256).substr(1, 16))
-                       .alias("response_id"), F.col("embedding").cast("array<double>").alias("embedding"),
+    fresh = new.select(F.concat(F.lit("r"), F.sha2(F.col(id_col).cast("string"), 256)).alias("response_id"), F.col("embedding").cast("array<double>").alias("embedding"),
                        "inserted_at", id_col)
     ranked = global_positions(fresh, ["inserted_at", id_col])
     fresh = ranked.select("response_id", "embedding", "inserted_at", (F.lit(base) + F.col("_pos")).alias("seq"))

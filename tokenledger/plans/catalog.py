@@ -447,12 +447,14 @@ SELECT conv_id AS request_id,
        CASE conv_id % 5 WHEN 0 THEN 'default' WHEN 1 THEN '' ELSE 'tenant_' || CAST(conv_id % 10 AS VARCHAR) END
          AS tenant_id,
        CASE WHEN conv_id % 4 <> 0 THEN {O.model_case('conv_id')} ELSE 'gpt-4' END AS model,
-       CASE WHEN conv_id % 2 <> 0 THEN conv_id % 6 = 1 ELSE FALSE END AS stream,
-       CASE WHEN conv_id % 3 = 0 THEN CAST(conv_id % 10 AS DOUBLE) / 10 END AS temperature,
-       CASE WHEN conv_id % 3 = 1 THEN CAST(conv_id % 5 * 100 AS INTEGER) END AS max_tokens,
+       CASE WHEN conv_id % 2 <> 0 THEN conv_id % 6 = 1 ELSE conv_id % 23 = 4 END AS stream,
+       CASE WHEN conv_id % 3 = 0 THEN CAST(conv_id % 10 AS DOUBLE) / 10 WHEN conv_id % 23 = 5 THEN 0.5 END AS temperature,
+       CAST(CASE WHEN conv_id % 3 = 1 THEN conv_id % 5 * 100 WHEN conv_id % 23 = 2 THEN 700
+                 WHEN conv_id % 23 = 6 THEN 5 END AS BIGINT) AS max_tokens,
        COUNT(*) AS n_messages,
-       conv_id % 17 <> 16 AS valid,
-       string_agg(text, chr(10) ORDER BY turn) AS prompt_text
+       conv_id % 17 <> 16 AND conv_id % 23 NOT IN (1, 3, 9) AND NOT (conv_id % 23 = 8 AND conv_id % 4 = 0)
+         AND NOT (conv_id % 23 = 7 AND bool_or(role = 'user')) AS valid,
+       CASE WHEN conv_id % 23 = 9 THEN '' ELSE string_agg(text, chr(10) ORDER BY turn) END AS prompt_text
 FROM conversations GROUP BY conv_id""")
 def q_request_ingest(spark, sf):
     from tokenledger.functions.messages import prompt_text
@@ -732,7 +734,7 @@ _TURN_EV_SQL = f"""
 te AS (
   SELECT c.conv_id, c.turn, c.role, c.text, e.event_id AS request_id,
          CAST(floor(e.value * 10) AS BIGINT) AS ptok, CAST({O.K_EXPR} AS BIGINT) AS ctok
-  FROM conversations c JOIN events e ON e.event_id = c.conv_id * 8 + c.turn)"""
+  FROM conversations c LEFT JOIN events e ON e.event_id = c.conv_id * 8 + c.turn)"""
 
 
 @register("normalize_responses", _with(_TURN_EV_SQL) + """
@@ -973,7 +975,7 @@ INDEX_SPLIT_MIN = 300      # entries written in the first 300 minutes form the e
 @register("index_append", _with(O.EMB_CTE) + f""",
 old AS (SELECT response_id, seq FROM idx_all WHERE inserted_at < TIMESTAMP '2024-01-01 00:00:00' + INTERVAL {INDEX_SPLIT_MIN} MINUTE),
 new AS (
-  SELECT 'r' || substr(sha256(CAST(seq + 1000000 AS VARCHAR)), 1, 16) AS response_id,
+  SELECT 'r' || sha256(CAST(seq + 1000000 AS VARCHAR)) AS response_id,
          (SELECT COALESCE(MAX(seq), -1) FROM old) + row_number() OVER (ORDER BY inserted_at, seq + 1000000) AS seq
   FROM idx_all WHERE inserted_at >= TIMESTAMP '2024-01-01 00:00:00' + INTERVAL {INDEX_SPLIT_MIN} MINUTE)
 SELECT response_id, seq FROM old UNION ALL SELECT response_id, seq FROM new""")

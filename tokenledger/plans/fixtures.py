@@ -186,6 +186,10 @@ def request_json_from_conversations(conversations: DataFrame) -> DataFrame:
     conv_id % 2 = 0, stream=true when conv_id % 6 = 1; header absent when
     conv_id % 5 = 0, empty when conv_id % 5 = 1, lower-case name when 2.
     A message without role is planted when conv_id % 17 = 16 (quarantine).
+    By conv_id % 23: 1 tools not a list, 3 tool_choice a number, 7 numeric roles
+    of users, 8 numeric model (where it is omitted), 9 list contents (all
+    quarantined); 2 max_tokens "700", 4 stream "yes", 5 temperature " 0.5 ",
+    6 max_tokens 5.0 where these are omitted (all accepted).
     """
     cid = F.col("conv_id")
     msgs = (conversations.groupBy("conv_id")
@@ -204,7 +208,20 @@ def request_json_from_conversations(conversations: DataFrame) -> DataFrame:
                 .when(cid % 5 == 1, F.create_map(F.lit("X-Tenant-ID"), F.lit("")))
                 .when(cid % 5 == 2, F.create_map(F.lit("x-tenant-id"), tenant))
                 .otherwise(F.create_map(F.lit("X-Tenant-ID"), tenant)))
-    return msgs.select(cid.alias("request_id"), body.alias("body"), headers.alias("headers"))
+
+    def plus(text: str):
+        return F.concat(F.expr("substring(body, 1, length(body) - 1)"), F.lit("," + text + "}"))
+
+    planted, k = F.col("body"), cid % 23
+    for when, text in [(k == 1, '"tools":"zz"'), (k == 3, '"tool_choice":5'), ((k == 8) & (cid % 4 == 0), '"model":3'),
+                       ((k == 2) & (cid % 3 != 1), '"max_tokens":"700"'), ((k == 4) & (cid % 2 == 0), '"stream":"yes"'),
+                       ((k == 5) & (cid % 3 != 0), '"temperature":" 0.5 "'),
+                       ((k == 6) & (cid % 3 != 1), '"max_tokens":5.0')]:
+        planted = F.when(when, plus(text)).otherwise(planted)
+    planted = F.when(k == 7, F.replace(F.col("body"), F.lit('"role":"user"'), F.lit('"role":7'))).otherwise(planted)
+    planted = F.when(k == 9, F.regexp_replace("body", r'"content":("(?:[^"\\]|\\.)*")', r'"content":[$1]')).otherwise(planted)
+    return (msgs.withColumn("body", body)
+            .select(cid.alias("request_id"), planted.alias("body"), headers.alias("headers")))
 
 
 # §2.6: similarity inputs from `embeddings`.
@@ -261,7 +278,7 @@ def _turn_events(conversations: DataFrame, events: DataFrame) -> DataFrame:
                        _k().cast("bigint").alias("ctok"))
     t = conversations.select("conv_id", "turn", "role", "text",
                              (F.col("conv_id") * 8 + F.col("turn")).alias("event_id"))
-    return t.join(ev, "event_id", "inner").withColumnRenamed("event_id", "request_id")
+    return t.join(ev, "event_id", "left").withColumnRenamed("event_id", "request_id")
 
 
 def responses_b(conversations: DataFrame, events: DataFrame) -> DataFrame:
