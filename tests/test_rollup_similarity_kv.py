@@ -127,11 +127,34 @@ def test_upsert_usage_idempotent_per_batch(spark):
     upsert_usage(spark, d1, f"{base}/deltas", f"{base}/usage", 0)
     upsert_usage(spark, d1, f"{base}/deltas", f"{base}/usage", 0)       # retried batch: no double count
     upsert_usage(spark, d2, f"{base}/deltas", f"{base}/usage", 1)
-    got = _rows_of(read_usage(spark, f"{base}/usage"))
+    got = _rows_of(read_usage(spark, f"{base}/usage", f"{base}/deltas"))
     want = _rows_of(R.usage_rollup(spark.createDataFrame(r1 + r2, AUDIT)))
     assert got == want and len(got) == 2
 
 
+def test_upsert_folds_touch_only_their_dates_and_survive_retries(spark):
+    import uuid
+    from tokenledger.session import scratch_path
+    from tokenledger.sources.sinks import read_usage, upsert_usage
+    base = scratch_path(spark, f"test_fold/{uuid.uuid4().hex}")
+    d, u, rows = f"{base}/deltas", f"{base}/usage", []
+    for b in range(7):
+        at = None if b in (2, 5) else T0 + dt.timedelta(days=0 if b < 3 else 1)         # null dates too
+        batch = [(at, "t", "openai", "gpt-4", b, 1, 5, Decimal("0.5"), b % 2 == 0, None), (at, None, "x", "m", 1, 1, 5, None, False, "")]
+        rows += batch
+        delta = R.usage_rollup(spark.createDataFrame(batch, AUDIT))
+        for _ in range(2 if b in (1, 3) else 1):                                  # a retried fold, a retried delta
+            upsert_usage(spark, delta, d, u, b, fold_every=2)
+        assert sorted(map(repr, _raw(read_usage(spark, u, d)))) == sorted(
+            map(repr, _raw(R.usage_rollup(spark.createDataFrame(rows, AUDIT)))))
+    marks = {(r["date"], r["upto"]) for r in spark.read.parquet(u).select("date", "upto").distinct().collect()}
+    assert len([m for m in marks if m[0] == T0.date()]) == 1                     # the first date was folded once only
+
+
+def _raw(df):
+    return [tuple(r) for r in df.select(*R.KEYS, *R.COUNTERS).collect()]
+
+
 def _rows_of(df):
     return sorted(tuple(r) for r in df.select(*R.KEYS, *R.COUNTERS).collect())
 

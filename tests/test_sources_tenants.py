@@ -61,7 +61,7 @@ def test_tool_scoping_and_limits(spark):
                                 "system_prompt_override string")
     req = spark.createDataFrame([(1, "yes", "t"), (2, "no", "t"), (3, "null", "t"), (4, "absent", "t")],
                                 "request_id long, tenant_id string, tools string")
-    j = with_tenant_config(req, cfg, known_rows=3)
+    j = with_tenant_config(req, cfg)
     got = {r["request_id"]: (r["cfg_present"], r["limit_rpm"], r["t"])
            for r in j.select("*", scope_tools().alias("t")).collect()}
     # absent config keeps tools; a null flag strips them; a null limit reads as 60
@@ -86,11 +86,51 @@ def test_kv_write_json_roundtrip(spark):
     assert kv_latest_live(kv_write(None, w, encode_json=True, ttl_s=60), t0 + dt.timedelta(seconds=60)).count() == 0
 
 
-def test_broadcast_cap_counts_bytes(spark):
-    from tokenledger.operators.dimensions import fits_broadcast, row_bytes
-    narrow = spark.range(10).selectExpr("id", "cast(id as string) AS s")
-    wide = spark.range(10).selectExpr("id", "array_repeat(cast(id as double), 3) AS v")
-    assert row_bytes(narrow.schema) == 28 and row_bytes(wide.schema) == 808
-    assert fits_broadcast(narrow) and fits_broadcast(wide)
-    assert not fits_broadcast(wide, max_bytes=808 * 9)          # 10 rows of 808 bytes > 9 rows' worth
-    assert fits_broadcast(wide, known_rows=9, max_bytes=808 * 9)
+def test_broadcast_counts_measured_bytes(spark):
+    from tokenledger.operators.dimensions import fits_broadcast
+    small = spark.createDataFrame([(f"t{i}", "x" * 10) for i in range(50)], "tenant_id string, system_prompt_override string")
+    long = spark.createDataFrame([(f"t{i}", "x" * 10_000) for i in range(50)], small.schema)
+    assert fits_broadcast(small, max_bytes=100_000) and not fits_broadcast(long, max_bytes=100_000)
+    assert not fits_broadcast(small, max_rows=49) and fits_broadcast(small.limit(0))
+
+
+def test_long_prompts_force_no_broadcast(spark, monkeypatch):
+    from tokenledger.operators import dimensions
+    cfg = spark.range(200).select(F.concat(F.lit("t"), "id").alias("tenant_id"), F.lit(5).alias("rate_limit_rpm"),
+                                  F.lit(True).alias("allow_tool_calls"), F.repeat(F.lit("x"), 1000).alias("system_prompt_override"))
+    req = spark.createDataFrame([(1, "t1")], "request_id long, tenant_id string")
+
+    def hinted():
+        return "strategy=broadcast" in with_tenant_config(req, cfg)._jdf.queryExecution().analyzed().toString()
+
+    assert hinted()
+    monkeypatch.setattr(dimensions.fits_broadcast, "__defaults__", (1_000_000, 100_000))
+    assert not hinted() and with_tenant_config(req, cfg).first()["rate_limit_rpm"] == 5
+
+
+def test_conform_fills_omitted_columns_only(spark):
+    from tokenledger.operators.tenants import AUDIT_DEFAULTS, TENANT_DEFAULTS, USAGE_DEFAULTS, conform
+    audit = conform(spark.createDataFrame([("t", None)], "tenant_id string, latency_ms int"), AUDIT_DEFAULTS).first()
+    assert audit["cache_hit"] is False and audit["created_at"] is not None and audit["latency_ms"] is None
+    usage = conform(spark.createDataFrame([("t", None)], "tenant_id string, errors long"), USAGE_DEFAULTS).first()
+    assert usage["total_requests"] == 0 and usage["total_cost_usd"] == 0 and usage["errors"] is None    # null stays
+    tenant = conform(spark.createDataFrame([("t",)], "tenant_id string"), TENANT_DEFAULTS).first()
+    assert tenant["rate_limit_rpm"] == 60 and len(tenant["allowed_models"]) == 5 and tenant["updated_at"] is not None
+
+
+def test_milliseconds_are_cut_toward_zero(spark):
+    from tokenledger.functions.timeutil import millis
+    rows = spark.createDataFrame([(1.2349,), (0.0009,), (-0.0019,), (None,)], "s double")
+    assert [r[0] for r in rows.select(millis("s")).collect()] == [1234, 0, -1, None]
+
+
+def test_dashboard_row_order(spark):
+    """Usage by date, newest first; latency by slowest first -- the order itself, not only the rows."""
+    from tokenledger.operators import dashboard as D
+    from tokenledger.plans import catalog as C
+    usage = C.QUERIES["usage_range"](spark, "/root/testdata/sf0.001").collect()
+    dates = [r["date"] for r in usage]
+    assert dates == sorted(dates, reverse=dates[0] > dates[-1]) and len(set(dates)) > 1
+    lat = C.QUERIES["latency_by_model"](spark, "/root/testdata/sf0.001")
+    assert D and lat.count() > 1
+

@@ -64,6 +64,39 @@ def _check_stream_admission(spark):
     assert out[1]["prompt_text"] == "Be brief.\n\nStay safe.\nhi"
 
 
+def test_state_expires_behind_the_watermark(spark):
+    """Keys that fall silent leave the state; their next request opens a window as it would have anyway."""
+    from tokenledger.streaming.jobs import stream_rate_limit
+    cfg = spark.createDataFrame([("k0", 1, True, None)], CFG)
+    rows = [(i, T0 + dt.timedelta(seconds=i), f"k{i}") for i in range(40)]
+    rows += [(100 + i, T0 + dt.timedelta(hours=2, seconds=i), "live") for i in range(3)]
+    rows += [(200 + i, T0 + dt.timedelta(hours=4, seconds=i), "live") for i in range(3)] + [(300, T0 + dt.timedelta(hours=4), "k0")]
+    base = scratch_path(spark, f"test_expiry/{uuid.uuid4().hex}")
+    df = spark.createDataFrame(rows, "request_id long, ts timestamp, tenant_id string")
+    for i, (lo, hi) in enumerate([(0, 99), (100, 199), (200, 399)]):
+        df.filter(F.col("request_id").between(lo, hi)).coalesce(1).write.parquet(f"{base}/in/part_{i}")
+    s = stream_rate_limit(file_stream(spark, f"{base}/in/part_*/*.parquet", df.schema), cfg, window_s=60, lateness="10 minutes")
+    q = (s.writeStream.format("parquet").option("checkpointLocation", f"{base}/_checkpoint")
+         .trigger(availableNow=True).start(f"{base}/out"))
+    q.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(held) >= 40 and held[-1] <= 3
+    out = {r["request_id"]: r["window_count"] for r in spark.read.parquet(f"{base}/out").collect()}
+    assert out == {**{i: 1 for i in range(40)}, 100: 1, 101: 2, 102: 3, 200: 1, 201: 2, 202: 3, 300: 1}
+
+
+def test_staging_cuts_chunks_by_rows(spark):
+    from tokenledger.streaming.jobs import stage_time_ordered
+    df = spark.range(500).select("id", (F.lit("2024-01-01").cast("timestamp")
+                                        + F.make_dt_interval(secs=F.least(F.col("id"), F.lit(400)).cast("int"))).alias("ts"))
+    path = scratch_path(spark, f"test_stage/{uuid.uuid4().hex}")
+    glob = stage_time_ordered(df, "ts", path, n_files=2, chunk_rows=100)
+    back = spark.read.parquet(glob).withColumn("f", F.input_file_name())
+    per = back.groupBy("f").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")).orderBy("f").collect()
+    assert back.count() == 500 and len(per) >= 4 and max(r["n"] for r in per) <= 205
+    assert all(x["b"] < y["a"] for x, y in zip(per, per[1:]))
+
+
 def test_staging_one_file_per_chunk(spark):
     import glob as G
     from tokenledger.streaming.jobs import stage_time_ordered

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 B_SCHEMA = ("struct<id:string,model:string,"
             "content:array<struct<type:string,text:string>>,"
             "usage:struct<input_tokens:bigint,output_tokens:bigint>>")
-A_SCHEMA = ("struct<id:string,object:string,"
+A_SCHEMA = ("struct<id:string,object:string,model:string,"
             "choices:array<struct<index:int,message:struct<role:string,content:string>,finish_reason:string>>,"
             "usage:struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>>")
 
@@ -55,20 +55,26 @@ def normalize_b(raw) -> Column:
     )
 
 
-def native_usage(raw) -> Column:
-    """Provider-A response with usage defaults.
+def native_record(raw) -> Column:
+    """Provider-A response as stored and returned.
 
     A missing response becomes {id:'', object:'chat.completion', choices:[],
-    usage:null}; prompt/completion tokens read 0 when usage is absent.
+    usage:null}; absent fields read the same way; a usage of null stays null.
     """
     r = parse_a(raw)
-    missing = _col(raw).isNull() | r.isNull()
-    pt = F.coalesce(r["usage"]["prompt_tokens"], F.lit(0)).cast("bigint")
-    ct = F.coalesce(r["usage"]["completion_tokens"], F.lit(0)).cast("bigint")
+    none = F.array().cast("array<struct<index:int,message:struct<role:string,content:string>,finish_reason:string>>")
     return F.struct(
-        F.when(missing, F.lit("")).otherwise(F.coalesce(r["id"], F.lit(""))).alias("id"),
-        F.lit("chat.completion").alias("object"),
-        F.when(missing, F.lit(0)).otherwise(F.coalesce(F.size(r["choices"]), F.lit(0))).alias("n_choices"),
-        F.when(missing, F.lit(0).cast("bigint")).otherwise(pt).alias("prompt_tokens"),
-        F.when(missing, F.lit(0).cast("bigint")).otherwise(ct).alias("completion_tokens"),
+        F.coalesce(r["id"], F.lit("")).alias("id"),
+        F.coalesce(r["object"], F.lit("chat.completion")).alias("object"),
+        F.coalesce(r["model"], F.lit("")).alias("model"),
+        F.coalesce(r["choices"], none).alias("choices"),
+        r["usage"].alias("usage"),
     )
+
+
+def native_usage(raw) -> Column:
+    """The record, with prompt/completion tokens that read 0 when usage is absent."""
+    r = native_record(raw)
+    return r.withField("n_choices", F.size(r["choices"])) \
+            .withField("prompt_tokens", F.coalesce(r["usage"]["prompt_tokens"], F.lit(0)).cast("bigint")) \
+            .withField("completion_tokens", F.coalesce(r["usage"]["completion_tokens"], F.lit(0)).cast("bigint"))

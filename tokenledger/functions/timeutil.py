@@ -23,3 +23,9 @@ def ts_lit(value) -> Column:
     else:
         text = str(value)
     return F.lit(text).cast("timestamp")
+
+
+def millis(seconds) -> Column:
+    """Whole milliseconds of a duration in seconds, cut toward zero."""
+    c = F.col(seconds) if isinstance(seconds, str) else seconds
+    return (c.cast("double") * 1000).cast("bigint")

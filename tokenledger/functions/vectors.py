@@ -29,6 +29,3 @@ def cosine(a, b, a_norm=None, b_norm=None) -> Column:
     nb = _col(b_norm) if b_norm is not None else norm(b)
     return dot(a, b) / (na * nb + F.lit(K.SIMILARITY_EPS))
 
-
-def as_double_array(c) -> Column:
-    return _col(c).cast("array<double>")

@@ -100,11 +100,3 @@ def cacheable_flag(outcome: str = "outcome", prompt: str = "prompt_text", includ
     ok = ["primary", "fallback"] + (["error_logged"] if include_errors else [])
     return F.coalesce(F.col(outcome).isin(*ok) & (F.length(F.col(prompt)) > 0), F.lit(False))
 
-
-def cacheable(resolved_with_text: DataFrame, include_errors: bool = False) -> DataFrame:
-    """Responses that would be written to the semantic cache: non-empty
-    prompt text, successful calls (failed calls only with ``include_errors``, D7)."""
-    df = resolved_with_text.filter(F.length("prompt_text") > 0)
-    if not include_errors:
-        df = df.filter(F.col("outcome").isin("primary", "fallback"))
-    return df.filter(F.col("outcome") != "rejected_502")

@@ -1,66 +1,33 @@
 """Dimension lookups (J1 tenant config, J2 price, J3 fallback, J6 seed).
 
-A dimension is broadcast only when its size is proven: either it is built from
-a bounded literal list (``known_rows``) or a bounded probe job
-(``limit(n + 1).count()``, which reads at most n + 1 rows) shows it is below
-the row cap; the cap also keeps rows x estimated row width under 256 MB. Otherwise the join is left to Catalyst/AQE as a shuffle join on
-the key, which is the right plan when the dimension itself is large.
+A dimension is broadcast only when its size is measured: one bounded aggregate
+(``limit(n + 1)``, so at most n + 1 rows are read) counts its rows and the bytes
+its values take as JSON text, free text included. Beyond either limit the join is
+left to Catalyst/AQE as a shuffle join on the key, which is the right plan when
+the dimension itself is large.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, BinaryType, BooleanType, ByteType, DataType, DateType, DecimalType,
-                               MapType, ShortType, StringType, StructType)
 
 DEFAULT_BROADCAST_ROWS = 1_000_000
-DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
-
-
-def row_bytes(t: DataType) -> int:
-    """Estimated size of one value, with Spark's default sizes (strings and
-    binary 20 bytes, arrays and maps 100 elements, 8 bytes otherwise)."""
-    if isinstance(t, StructType):
-        return sum(row_bytes(f.dataType) for f in t.fields)
-    if isinstance(t, ArrayType):
-        return 100 * row_bytes(t.elementType)
-    if isinstance(t, MapType):
-        return 100 * (row_bytes(t.keyType) + row_bytes(t.valueType))
-    if isinstance(t, (StringType, BinaryType)):
-        return 20
-    if isinstance(t, DecimalType):
-        return 8 if t.precision <= 18 else 16
-    if isinstance(t, (BooleanType, ByteType)):
-        return 1
-    if isinstance(t, (ShortType,)):
-        return 2
-    if isinstance(t, DateType):
-        return 4
-    return 8
+DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def fits_broadcast(dim: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                   known_rows: int | None = None, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
-    """True when ``dim`` has at most ``max_rows`` rows and rows x estimated row
-    width stays under ``max_bytes``: a literal's known count, or a bounded probe
-    that reads at most the row cap + 1 rows."""
-    cap = min(max_rows, max(1, max_bytes // max(1, row_bytes(dim.schema))))
-    if known_rows is not None:
-        return known_rows <= cap
-    return dim.limit(cap + 1).count() <= cap
+                   max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
+    """True when ``dim`` has at most ``max_rows`` rows whose values take at most ``max_bytes`` bytes."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*dim.columns))).cast("bigint"))
+    rows, found = dim.limit(max_rows + 1).agg(F.count(F.lit(1)), size).first()
+    return rows <= max_rows and (found or 0) <= max_bytes
 
 
 def lookup_join(df: DataFrame, dim: DataFrame, on, how: str = "left",
-                max_rows: int = DEFAULT_BROADCAST_ROWS,
-                known_rows: int | None = None) -> DataFrame:
+                max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Left (or inner/semi/anti) join to a dimension, broadcasting it only when
-    its size is bounded (rows and estimated bytes)."""
-    if fits_broadcast(dim, max_rows, known_rows):
+    its rows and bytes are measured to be few."""
+    if fits_broadcast(dim, max_rows):
         dim = F.broadcast(dim)
     return df.join(dim, on, how)
-
-
-def with_presence(dim: DataFrame, flag: str = "cfg_present") -> DataFrame:
-    """Mark dimension rows so a left join can tell 'row absent' from 'all null'."""
-    return dim.withColumn(flag, F.lit(True))

@@ -130,7 +130,7 @@ def gap_segments(df: DataFrame, keys: list[str], ts_us: str, tie: str, gap_us: i
 
 
 def last_k_per_key(df: DataFrame, keys: list[str], order_col: str, k: int,
-                   width: int = 1_000_000, known_rows: int | None = None) -> DataFrame:
+                   width: int = 1_000_000) -> DataFrame:
     """Rows with the ``k`` largest ``order_col`` values per key (``order_col``
     unique within a key, e.g. an append sequence).
 
@@ -148,7 +148,7 @@ def last_k_per_key(df: DataFrame, keys: list[str], order_col: str, k: int,
                                           F.lit(0)))
     s = s.filter(F.col("_after") < k).select(*keys, "_r", "_after")
     # the kept summary has at most k rows per key (each kept range holds a row)
-    j = lookup_join(d, s, [*keys, "_r"], "inner", known_rows=known_rows)
+    j = lookup_join(d, s, [*keys, "_r"], "inner")
     rw = Window.partitionBy(*keys, "_r").orderBy(F.col(order_col).desc())
     return (j.withColumn("_rk", F.row_number().over(rw))
              .filter(F.col("_rk") <= F.lit(k) - F.col("_after"))

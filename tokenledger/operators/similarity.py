@@ -106,10 +106,10 @@ def retained_index(index: DataFrame, as_of, max_entries: int = K.MAX_INDEX_ENTRI
                .filter(F.unix_micros(as_of_ts) < F.col("_end") + ttl_us)
                .select(*keys, "_start"))
     # one row per key: a literal single row without keys, else size-probed
-    cur = lookup_join(live, bounds, keys, "inner", known_rows=None if pc else 1)
+    cur = lookup_join(live, bounds, keys, "inner")
     cur = cur.filter(pos >= F.col("_start")).drop("_start", "_ts_us")
     # without keys at most max_entries ranges survive the summary filter
-    kept = last_k_per_key(cur, keys, seq, max_entries, known_rows=None if pc else max_entries)
+    kept = last_k_per_key(cur, keys, seq, max_entries)
     return kept if pc else kept.drop("_k")
 
 
@@ -237,8 +237,8 @@ def best_match(queries: DataFrame, index: DataFrame, qid: str = "query_id", qvec
     if len(hot) <= MAX_HOT_KEYS:
         salts = spark.createDataFrame(hot, StructType([queries.schema[c] for c in pc]
                                                       + [StructField("_ns", IntegerType())]))
-        q = lookup_join(q, salts, pc, "left", known_rows=len(hot))
-        packed_ns = lambda df: lookup_join(df, salts, pc, "left", known_rows=len(hot))
+        q = lookup_join(q, salts, pc, "left")
+        packed_ns = lambda df: lookup_join(df, salts, pc, "left")
     else:       # too many hot keys to list: one salt count for every key
         top = counts.agg(F.max("_n")).first()[0]
         ns = max(1, math.ceil(top / group_rows))
@@ -339,9 +339,8 @@ def similar_earlier(requests: DataFrame, id_col: str = "request_id", ts: str = "
         k = int(min(8, max(1, dense // block_rows)))
     width = -(-win_us // k)                                  # ceil: k slots cover a window
     slots, slot_rows = (hours, hour_rows) if k == 1 else slot_table(width)
-    known = len(slot_rows) if slot_rows is not None else None
     r = r.withColumn("h", floor_div(F.col("t"), width))
-    blocks = (lookup_join(r, slots.select("h", "nb"), "h", "inner", known_rows=known)
+    blocks = (lookup_join(r, slots.select("h", "nb"), "h", "inner")
               .withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
               .groupBy("h", "b")
               .agg(F.array_sort(F.collect_list(F.struct("t", "id", "v"))).alias("_rows"))
@@ -355,16 +354,14 @@ def similar_earlier(requests: DataFrame, id_col: str = "request_id", ts: str = "
     partners = (slots.select("h", F.col("nb").alias("lnb"), F.explode(F.sequence(F.lit(0), F.lit(k))).alias("j"))
                      .select("h", "lnb", (F.col("h") - F.col("j")).alias("ph"))
                      .join(slots.select(F.col("h").alias("ph"), F.col("nb").alias("pnb")), "ph"))
-    pknown = None if known is None else known * (k + 1)
     # a pair unit is (left block, right block of a partner slot): each side is
     # copied once per partner block and the join key names the pair, so a busy
     # slot's pairs spread over many tasks
-    left = (lookup_join(blocks, partners.select("h", "ph", "pnb"), "h", "inner", known_rows=pknown)
+    left = (lookup_join(blocks, partners.select("h", "ph", "pnb"), "h", "inner")
             .select(F.col("h").alias("lh"), F.col("b").alias("lb"), F.col("ph").alias("rh"),
                     F.explode(F.sequence(F.lit(0), F.col("pnb") - 1)).alias("rb"),
                     F.col("ids").alias("lids"), F.col("ts").alias("lts"), F.col("flat").alias("lflat")))
-    right = (lookup_join(blocks.withColumnRenamed("h", "ph"), partners.select("h", "lnb", "ph"), "ph", "inner",
-                         known_rows=pknown)
+    right = (lookup_join(blocks.withColumnRenamed("h", "ph"), partners.select("h", "lnb", "ph"), "ph", "inner")
              .select(F.col("h").alias("lh"), F.explode(F.sequence(F.lit(0), F.col("lnb") - 1)).alias("lb"),
                      F.col("ph").alias("rh"), F.col("b").alias("rb"),
                      F.col("ids").alias("rids"), F.col("ts").alias("rts"), F.col("flat").alias("rflat")))

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenledger import constants as K
 from tokenledger.functions.pricing import unit_prices, cost_usd
 from tokenledger.functions.routing import fallback_model, provider_of
 from tokenledger.operators import attempts as AT
@@ -223,7 +224,7 @@ def q_fallback_lookup(spark, sf):
          .agg(F.count(F.lit(1)).alias("requests"))
          .withColumn("provider", provider_of("model")))
     fb = fallback_table(spark)
-    out = lookup_join(m, fb, ["provider", "model"], "left", known_rows=5)
+    out = lookup_join(m, fb, ["provider", "model"], "left")
     return out.select("model", "provider", "fallback_model",
                       F.when(F.col("fallback_model").isNotNull(), provider_of("fallback_model"))
                        .alias("fallback_provider"), "requests")
@@ -303,7 +304,8 @@ SELECT r.request_id, r.tenant_id, c.tenant_id IS NOT NULL AS cfg_present,
        COALESCE(c.rate_limit_rpm, 60) AS limit_rpm,
        CASE WHEN c.tenant_id IS NULL OR COALESCE(c.allow_tool_calls, FALSE) THEN r.tools END AS tools,
        CASE WHEN c.tenant_id IS NULL OR COALESCE(c.allow_tool_calls, FALSE) THEN r.tool_choice END AS tool_choice,
-       c.system_prompt_override AS system_prompt_override
+       c.system_prompt_override AS system_prompt_override,
+       CASE WHEN c.tenant_id IS NOT NULL THEN '""" + ",".join(K.DEFAULT_ALLOWED_MODELS) + """' END AS allowed_models
 FROM req r LEFT JOIN tenant_config c ON r.tenant_id = c.tenant_id""")
 def q_tenant_join_tools(spark, sf):
     ev = read_table(spark, sf, "events")
@@ -311,11 +313,12 @@ def q_tenant_join_tools(spark, sf):
     req = ev.select(F.col("event_id").alias("request_id"), FX.tenant_of("user_id").alias("tenant_id"),
                     F.when(has_tools, F.concat(F.lit("fn_"), F.get_json_object("props", "$.k"))).alias("tools"),
                     F.when(has_tools, F.lit("auto")).alias("tool_choice"))
-    j = TN.with_tenant_config(req, FX.tenant_config(spark), known_rows=len(FX.TENANT_ROWS))
+    j = TN.with_tenant_config(req, TN.conform_tenants(FX.tenant_config(spark)))
     return j.select("request_id", "tenant_id", "cfg_present", "limit_rpm",
                     TN.scope_tools(tools="tools").alias("tools"),
                     TN.scope_tools(tools="tool_choice").alias("tool_choice"),
-                    "system_prompt_override")
+                    "system_prompt_override",
+                    F.when(F.col("cfg_present"), F.array_join("allowed_models", ",")).alias("allowed_models"))
 
 
 # ---------------------------------------------------------------- S6, J6, S7
@@ -393,8 +396,7 @@ def q_prompt_text(spark, sf):
 
 # ---------------------------------------------------------------- P11, P12
 def _messages(spark, sf):
-    return FX.messages_from_conversations(read_table(spark, sf, "conversations"), FX.tenant_config(spark),
-                                          known_rows=len(FX.TENANT_ROWS))
+    return FX.messages_from_conversations(read_table(spark, sf, "conversations"), FX.tenant_config(spark))
 
 
 @register("prompt_isolation", _with(O.tenants_cte(), O.message_turns_cte(), f"""
@@ -446,10 +448,10 @@ def q_sanitize_log(spark, sf):
 SELECT conv_id AS request_id,
        CASE conv_id % 5 WHEN 0 THEN 'default' WHEN 1 THEN '' ELSE 'tenant_' || CAST(conv_id % 10 AS VARCHAR) END
          AS tenant_id,
-       CASE WHEN conv_id % 4 <> 0 THEN {O.model_case('conv_id')} ELSE 'gpt-4' END AS model,
-       CASE WHEN conv_id % 2 <> 0 THEN conv_id % 6 = 1 ELSE conv_id % 23 = 4 END AS stream,
-       CASE WHEN conv_id % 3 = 0 THEN CAST(conv_id % 10 AS DOUBLE) / 10 WHEN conv_id % 23 = 5 THEN 0.5 END AS temperature,
-       CAST(CASE WHEN conv_id % 3 = 1 THEN conv_id % 5 * 100 WHEN conv_id % 23 = 2 THEN 700
+       CASE WHEN conv_id % 4 <> 0 AND conv_id % 23 <> 9 THEN {O.model_case('conv_id')} ELSE 'gpt-4' END AS model,
+       CASE WHEN conv_id % 23 = 9 THEN FALSE WHEN conv_id % 2 <> 0 THEN conv_id % 6 = 1 ELSE conv_id % 23 = 4 END AS stream,
+       CASE WHEN conv_id % 23 = 9 THEN NULL WHEN conv_id % 3 = 0 THEN CAST(conv_id % 10 AS DOUBLE) / 10 WHEN conv_id % 23 = 5 THEN 0.5 END AS temperature,
+       CAST(CASE WHEN conv_id % 23 = 9 THEN NULL WHEN conv_id % 3 = 1 THEN conv_id % 5 * 100 WHEN conv_id % 23 = 2 THEN 700
                  WHEN conv_id % 23 = 6 THEN 5 END AS BIGINT) AS max_tokens,
        COUNT(*) AS n_messages,
        conv_id % 17 <> 16 AND conv_id % 23 NOT IN (1, 3, 9) AND NOT (conv_id % 23 = 8 AND conv_id % 4 = 0)
@@ -473,7 +475,7 @@ TTL_S = 7200
 
 def _rl_requests(spark, sf):
     req = FX.requests_from_events(read_table(spark, sf, "events")).drop("stream")
-    return TN.with_tenant_config(req, FX.tenant_config(spark), known_rows=len(FX.TENANT_ROWS)).select("request_id", "ts", "tenant_id", "limit_rpm")
+    return TN.with_tenant_config(req, FX.tenant_config(spark)).select("request_id", "ts", "tenant_id", "limit_rpm")
 
 
 _RL_REQ_SQL = f"req AS (SELECT event_id AS request_id, CAST(ts AS TIMESTAMP) AS ts, {O.TENANT_EXPR} AS tenant_id FROM events)"
@@ -559,7 +561,7 @@ def _admission_base(spark, sf):
 def _admission_requests(spark, sf):
     from tokenledger.functions.injection import scan_messages
     msgs = _admission_base(spark, sf).withColumn("scan_hit", scan_messages("messages"))
-    return TN.with_tenant_config(msgs, FX.tenant_config(spark), known_rows=len(FX.TENANT_ROWS))
+    return TN.with_tenant_config(msgs, FX.tenant_config(spark))
 
 
 @register("admission", "WITH RECURSIVE " + ",\n".join([
@@ -759,13 +761,18 @@ SELECT request_id,
        CASE WHEN (conv_id + turn) % 4 = 2 THEN '' ELSE 'chatcmpl_' || CAST(request_id AS VARCHAR) END AS id,
        CASE (conv_id + turn) % 4 WHEN 2 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS n_choices,
        CASE WHEN (conv_id + turn) % 4 IN (1, 2) THEN 0 ELSE ptok END AS prompt_tokens,
-       CASE WHEN (conv_id + turn) % 4 IN (1, 2) THEN 0 ELSE ctok END AS completion_tokens
+       CASE WHEN (conv_id + turn) % 4 IN (1, 2) THEN 0 ELSE ctok END AS completion_tokens,
+       'chat.completion' AS object, '' AS model,
+       CASE (conv_id + turn) % 4 WHEN 2 THEN NULL WHEN 3 THEN text || '|' || text ELSE text END AS contents,
+       CASE WHEN (conv_id + turn) % 4 NOT IN (1, 2) THEN ptok + ctok END AS total_tokens
 FROM te""")
 def q_native_usage(spark, sf):
     from tokenledger.functions.responses import native_usage
     r = FX.responses_a(read_table(spark, sf, "conversations"), read_table(spark, sf, "events"))
     u = r.select("request_id", native_usage("response").alias("u"))
-    return u.select("request_id", "u.id", "u.n_choices", "u.prompt_tokens", "u.completion_tokens")
+    return u.select("request_id", "u.id", "u.n_choices", "u.prompt_tokens", "u.completion_tokens", "u.object", "u.model",
+                    F.when(F.size("u.choices") > 0, F.array_join(F.transform("u.choices", lambda c: c["message"]["content"]), "|"))
+                     .alias("contents"), "u.usage.total_tokens")
 
 
 @register("payload_shape", _with(O.tenants_cte(), O.message_turns_cte(), f"""
@@ -899,7 +906,7 @@ def q_stream_rate_limit(spark, sf):
     from tokenledger.streaming.jobs import run_to_parquet, stream_rate_limit
     ev = _staged_events(spark, sf, "stream_rl")
     req = FX.requests_from_events(ev).drop("stream")
-    s = stream_rate_limit(req, FX.tenant_config(spark), window_s=RL_WINDOW_S, known_rows=len(FX.TENANT_ROWS))
+    s = stream_rate_limit(req, FX.tenant_config(spark), window_s=RL_WINDOW_S)
     out = run_to_parquet(s, spark, "stream_rate_limit")
     return out.select("request_id", "tenant_id", "limit_rpm", "window_count",
                       F.unix_micros("window_start").alias("window_start_us"), "allowed")
@@ -914,8 +921,7 @@ def q_stream_admission(spark, sf):
     from tokenledger.streaming.jobs import file_stream, run_to_parquet, stage_time_ordered, stream_admission
     base = _admission_base(spark, sf)
     glob = stage_time_ordered(base, "ts", scratch_path(spark, f"staged/stream_admission/{uuid.uuid4().hex}"))
-    s = stream_admission(file_stream(spark, glob, base.schema), FX.tenant_config(spark), window_s=RL_WINDOW_S,
-                         known_rows=len(FX.TENANT_ROWS))
+    s = stream_admission(file_stream(spark, glob, base.schema), FX.tenant_config(spark), window_s=RL_WINDOW_S)
     out = run_to_parquet(s, spark, "stream_admission")
     return out.select("request_id", "tenant_id", "status", "reason", "window_count")
 
@@ -961,8 +967,8 @@ def q_price_lookup(spark, sf):
     listed = prices.filter(F.col("model").isNotNull())
     defaults = prices.filter(F.col("model").isNull()).select(
         "provider", F.col("price_in").alias("d_in"), F.col("price_out").alias("d_out"))
-    j = lookup_join(m, listed, ["provider", "model"], "left", known_rows=8)
-    j = lookup_join(j, defaults, "provider", "left", known_rows=2)
+    j = lookup_join(m, listed, ["provider", "model"], "left")
+    j = lookup_join(j, defaults, "provider", "left")
     pin = F.coalesce("price_in", "d_in").cast(PRICE_TYPE)
     pout = F.coalesce("price_out", "d_out").cast(PRICE_TYPE)
     return j.select("model", "provider", "requests", pin.alias("price_in"), pout.alias("price_out"),

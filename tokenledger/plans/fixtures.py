@@ -149,13 +149,12 @@ def scan_text_from_conversations(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", "role", text.alias("text"))
 
 
-def message_turns(conversations: DataFrame, config: DataFrame, known_rows: int | None = None) -> DataFrame:
+def message_turns(conversations: DataFrame, config: DataFrame) -> DataFrame:
     """§2.5 per turn: role forced to 'system' on turns 3 and 5; content at turn 5
     is the tenant's override when conv_id % 3 = 0 (to test de-duplication)."""
     tenant = F.concat(F.lit("tenant_"), (F.col("conv_id") % N_TENANTS).cast("string"))
     turns = conversations.select("conv_id", "turn", "role", "text", tenant.alias("tenant_id"))
-    turns = lookup_join(turns, config.select("tenant_id", "system_prompt_override"), "tenant_id", "left",
-                        known_rows=known_rows)
+    turns = lookup_join(turns, config.select("tenant_id", "system_prompt_override"), "tenant_id", "left")
     role = F.when((F.col("role") == "system") | F.col("turn").isin(3, 5), F.lit("system")).otherwise(F.col("role"))
     content = F.when((F.col("turn") == 5) & (F.col("conv_id") % 3 == 0),
                      F.coalesce(F.col("system_prompt_override"), F.col("text"))).otherwise(F.col("text"))
@@ -163,14 +162,13 @@ def message_turns(conversations: DataFrame, config: DataFrame, known_rows: int |
                         "system_prompt_override")
 
 
-def messages_from_conversations(conversations: DataFrame, config: DataFrame,
-                                known_rows: int | None = None) -> DataFrame:
+def messages_from_conversations(conversations: DataFrame, config: DataFrame) -> DataFrame:
     """§2.5: one request row per conversation with its ordered message array.
 
     A conversation is one request body, so its array is bounded by the request
     size; building it is a per-request grouping.
     """
-    t = message_turns(conversations, config, known_rows)
+    t = message_turns(conversations, config)
     return (t.groupBy("conv_id", "tenant_id", "system_prompt_override")
              .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("_m"))
              .select("conv_id", "tenant_id", "system_prompt_override",
@@ -219,7 +217,8 @@ def request_json_from_conversations(conversations: DataFrame) -> DataFrame:
                        ((k == 6) & (cid % 3 != 1), '"max_tokens":5.0')]:
         planted = F.when(when, plus(text)).otherwise(planted)
     planted = F.when(k == 7, F.replace(F.col("body"), F.lit('"role":"user"'), F.lit('"role":7'))).otherwise(planted)
-    planted = F.when(k == 9, F.regexp_replace("body", r'"content":("(?:[^"\\]|\\.)*")', r'"content":[$1]')).otherwise(planted)
+    planted = F.when(k == 9, F.to_json(F.struct(F.transform("_m", lambda m: F.struct(
+        m["role"].alias("role"), F.array(m["text"]).alias("content"))).alias("messages")))).otherwise(planted)
     return (msgs.withColumn("body", body)
             .select(cid.alias("request_id"), planted.alias("body"), headers.alias("headers")))
 

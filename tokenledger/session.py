@@ -83,17 +83,26 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+_CHECKPOINTS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is read as is. Only
-    when it is unset (local runs, tests) do we create a scratch folder.
+    when it is unset on a local master (local runs, tests) do we create a scratch
+    folder: executors of a cluster would not share it, so there it is an error.
     """
+    sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tokenledger-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if _CHECKPOINTS.get(sc.applicationId) != path:          # setting it makes a new sub-folder: once is enough
+        sc.setCheckpointDir(path)
+        _CHECKPOINTS[sc.applicationId] = path
     return path
 
 

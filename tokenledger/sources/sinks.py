@@ -2,20 +2,29 @@
 
 Parquet has no MERGE, so the rollup is kept exactly-once without one:
 
-* each micro-batch's delta is written to ``deltas/date=D/batch_id=B`` with
-  dynamic partition overwrite -- a retried batch rewrites its own partition
-  and never adds twice;
-* the rollup partitions for the touched dates are then recomputed from all
-  deltas of those dates (partition-pruned read) and overwritten, again
-  dynamically. The rollup is never read and written in the same job.
+* each micro-batch's delta is written to ``deltas/batch_id=B`` with dynamic
+  partition overwrite -- a retried batch rewrites its own partition and never
+  adds twice. That is all the work of most batches, whatever came before;
+* every ``fold_every`` batches the deltas since the last fold are added to the
+  base of the dates they touch, as ``usage/date=D/upto=B``; other dates are not
+  read. A base is never read and written under the same ``upto``, so a retried
+  fold gives the same files;
+* a reader takes each date's latest base and the deltas behind the last fold.
+  Bases and deltas before the last two folds are never read again.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenledger.operators.rollup import KEYS, merge_rollup
+from tokenledger.functions.pricing import COST_SUM_TYPE
+from tokenledger.operators.rollup import COUNTERS, KEYS, merge_rollup
+
+FOLD_EVERY = 16
+_ROLLUP = ("tenant_id string, date date, provider string, total_requests long, total_prompt_tokens long, "
+           f"total_completion_tokens long, total_cost_usd {COST_SUM_TYPE}, cache_hits long, errors long")
 
 
 def append_audit(audit: DataFrame, path: str) -> None:
@@ -35,24 +44,47 @@ def audit_stream_sink(audit_stream: DataFrame, path: str, checkpoint: str, trigg
     return w.start(path)
 
 
-def upsert_usage(spark: SparkSession, delta: DataFrame, deltas_path: str, usage_path: str, batch_id: int) -> None:
+def _stored(spark: SparkSession, path: str, marker: str) -> DataFrame:
+    """A stored rollup with its partition marker; empty before the first write."""
+    schema = f"{_ROLLUP}, {marker} long"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _latest_base(base: DataFrame, before: int | None = None) -> tuple[DataFrame, int]:
+    """(each date's latest base, the last fold). The marks come from partition values."""
+    if before is not None:
+        base = base.filter(F.col("upto") < before)
+    marks = base.groupBy("date").agg(F.max("upto").alias("_last"))
+    last = marks.agg(F.max("_last")).first()[0]
+    marks = marks.withColumnRenamed("date", "_date")
+    rows = base.join(marks, F.col("date").eqNullSafe(F.col("_date")) & (F.col("upto") == F.col("_last")), "left_semi")
+    return rows.select(*KEYS, *COUNTERS), -1 if last is None else int(last)
+
+
+def upsert_usage(spark: SparkSession, delta: DataFrame, deltas_path: str, usage_path: str, batch_id: int,
+                 fold_every: int = FOLD_EVERY) -> None:
     """Add a rollup delta to the usage table, idempotently per batch_id."""
-    delta = delta.persist()          # written and read for its dates: evaluate the batch once
-    d = delta.withColumn("batch_id", F.lit(int(batch_id)))
     # per-write option: foreachBatch runs on a cloned session, so a session conf set here would not apply
-    d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-     .partitionBy("date", "batch_id").parquet(deltas_path)
-    dates = [r["date"] for r in delta.select("date").distinct().collect()]   # touched days: a handful per batch
-    delta.unpersist()
-    if not dates:
+    (delta.select(*KEYS, *COUNTERS).withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(deltas_path))
+    if (batch_id + 1) % fold_every:
         return
-    all_deltas = spark.read.parquet(deltas_path).filter(F.col("date").isin(dates)).drop("batch_id")
-    empty = all_deltas.limit(0)
-    merged = merge_rollup(empty, all_deltas)
-    merged.select(*[c for c in merged.columns if c != "date"], "date") \
-          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(usage_path)
+    base, last = _latest_base(_stored(spark, usage_path, "upto"), batch_id)
+    news = (_stored(spark, deltas_path, "batch_id")
+            .filter((F.col("batch_id") > last) & (F.col("batch_id") <= batch_id)).select(*KEYS, *COUNTERS))
+    touched = news.select(F.col("date").alias("_date")).distinct()          # one row a date
+    old = base.join(F.broadcast(touched), F.col("date").eqNullSafe(F.col("_date")), "left_semi")
+    (merge_rollup(old, news).withColumn("upto", F.lit(int(batch_id)).cast("bigint"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "upto").parquet(usage_path))
 
 
-def read_usage(spark: SparkSession, usage_path: str) -> DataFrame:
-    df = spark.read.parquet(usage_path)
-    return df.select(*KEYS, *[c for c in df.columns if c not in KEYS])
+def read_usage(spark: SparkSession, usage_path: str, deltas_path: str) -> DataFrame:
+    """The usage table: each date's latest base plus the deltas behind the last fold."""
+    base, last = _latest_base(_stored(spark, usage_path, "upto"))
+    news = _stored(spark, deltas_path, "batch_id").filter(F.col("batch_id") > last).select(*KEYS, *COUNTERS)
+    return merge_rollup(base, news)

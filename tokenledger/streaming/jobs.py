@@ -32,23 +32,29 @@ from tokenledger.session import scratch_path
 US = 1_000_000
 
 
-def stage_time_ordered(df: DataFrame, ts: str, path: str, n_files: int = 4) -> str:
-    """Write ``df`` as ``n_files`` time-ordered chunks, one file each and one
-    job per chunk, so file modification times follow event time. This stages
-    derived test input to replay as arrivals; it is not part of the stream
-    operators. Returns a glob for readStream."""
-    df = df.persist()                     # one evaluation for the bounds and the n_files writes
-    bounds = df.select(F.min(F.unix_micros(F.col(ts).cast("timestamp"))).alias("lo"),
-                       F.max(F.unix_micros(F.col(ts).cast("timestamp"))).alias("hi")).first()
-    lo, hi = int(bounds["lo"]), int(bounds["hi"]) + 1
-    step = (hi - lo + n_files - 1) // n_files
-    for i in range(n_files):
-        a, b = lo + i * step, min(hi, lo + (i + 1) * step)
-        chunk = df.filter((F.unix_micros(F.col(ts).cast("timestamp")) >= a)
-                          & (F.unix_micros(F.col(ts).cast("timestamp")) < b))
-        # exactly one file per chunk: the file source takes one file per trigger
-        # in modification-time order, so a chunk split over several files could
-        # arrive out of time order
+#: rows of one staged chunk, about: the most that one write task and one micro-batch get
+CHUNK_ROWS = 1_000_000
+
+
+def stage_time_ordered(df: DataFrame, ts: str, path: str, n_files: int = 4, chunk_rows: int = CHUNK_ROWS) -> str:
+    """Write ``df`` as time-ordered chunks, one file each and one job per chunk, so
+    file modification times follow event time: ``n_files`` chunks, or more where
+    these would hold over ``chunk_rows`` rows. Chunks are cut at quantiles of the
+    time, and no instant is cut apart. This stages derived test input to replay as
+    arrivals; it is not part of the stream operators. Returns a glob for readStream."""
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    df = df.persist()                     # one evaluation for the cuts and the writes
+    n = max(n_files, -(-df.count() // chunk_rows))
+    cuts = df.select(F.percentile_approx(t, [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] or []
+    bounds = [None, *sorted(set(cuts)), None]
+    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+        chunk = df
+        if a is not None:
+            chunk = chunk.filter(t > a)
+        if b is not None:
+            chunk = chunk.filter(t <= b)
+        # the file source takes one file per trigger in modification-time order,
+        # so a chunk split over several files could arrive out of time order
         chunk.coalesce(1).write.mode("overwrite").parquet(f"{path}/chunk_{i:04d}")
     df.unpersist()
     return f"{path}/chunk_*/*.parquet"
@@ -65,16 +71,30 @@ def run_available(query) -> None:
 
 
 # ------------------------------------------------------------------ keyed state
+#: how late a row may come: keyed state is kept so much longer than its record can matter
+LATENESS = "1 day"
+
+
+def _expire(state, at_us: int) -> None:
+    """Let the key's record go once the watermark passes ``at_us``."""
+    state.setTimeoutTimestamp(max(at_us // 1000, state.getCurrentWatermarkMs()) + 1)
+
+
 def _anchored_state_fn(window_us: int, key: str, tie: str, extra=()):
     """W1 per key over one micro-batch, state (anchor, n) carried across
-    batches; ``extra`` columns ride along with their rows."""
+    batches; ``extra`` columns ride along with their rows. A record whose window
+    has ended cannot affect a later row, so it expires at anchor + window."""
     def fn(k, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         carry = state.get if state.exists else None
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["_ts_us", tie], kind="stable")
         new = np.zeros(len(pdf), dtype=bool)
         new[0] = carry is None
         counts, anchors, carry = anchored_windows(pdf["_ts_us"].to_numpy(dtype=np.int64), new, window_us, carry)
         state.update(carry)
+        _expire(state, int(carry[0]) + window_us)
         out = {key: pdf[key].to_numpy(), tie: pdf[tie].to_numpy(), "window_count": counts, "anchor_us": anchors}
         out.update({c: pdf[c].to_numpy() for c in extra})
         yield pd.DataFrame(out)
@@ -82,7 +102,11 @@ def _anchored_state_fn(window_us: int, key: str, tie: str, extra=()):
 
 
 def _ttl_state_fn(ttl_us: int | None, key: str, tie: str):
+    """W3 per key; with a ttl the record expires at last + ttl, without one it never does."""
     def fn(k, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         carry = None
         if state.exists:
             last, n = state.get
@@ -92,24 +116,33 @@ def _ttl_state_fn(ttl_us: int | None, key: str, tie: str):
         new[0] = carry is None
         counts, _, (last, n, _) = refreshed_counter(pdf["_ts_us"].to_numpy(dtype=np.int64), new, ttl_us, carry)
         state.update((last, n))
+        if ttl_us is not None:
+            _expire(state, int(last) + ttl_us)
         yield pd.DataFrame({key: pdf[key].to_numpy(), tie: pdf[tie].to_numpy(), "counter": counts})
     return fn
 
 
+def _timed(df: DataFrame, lateness: str) -> DataFrame:
+    """The stream with its event-time watermark; rows later than ``lateness`` are
+    dropped by Spark, as their key's record may be gone."""
+    return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+
+
 def stream_rate_limit(requests: DataFrame, config: DataFrame, window_s: int = K.RATE_WINDOW_SECONDS,
-                      key: str = "tenant_id", tie: str = "request_id", known_rows: int | None = None) -> DataFrame:
+                      key: str = "tenant_id", tie: str = "request_id", lateness: str = LATENESS) -> DataFrame:
     """ST1 + ST4: streaming W1. ``requests`` is a streaming DataFrame (key, tie, ts)."""
     from tokenledger.operators.tenants import with_tenant_config
-    j = with_tenant_config(requests, config, known_rows=known_rows)
+    j = with_tenant_config(_timed(requests, lateness), config)
     j = j.withColumn("_ts_us", F.unix_micros(F.col("ts").cast("timestamp")))
     limited = j.filter(F.col("limit_rpm") > 0)
-    counted = limited.select(key, tie, "_ts_us").groupBy(key).applyInPandasWithState(
+    counted = limited.select(key, tie, "_ts_us", "ts").groupBy(key).applyInPandasWithState(
         _anchored_state_fn(window_s * US, key, tie),
-        outputStructType=f"{key} string, {tie} long, window_count long, anchor_us long",
-        stateStructType="anchor long, n long", outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
+        outputStructType=StructType([j.schema[key], j.schema[tie], StructField("window_count", LongType()),
+                                     StructField("anchor_us", LongType())]),
+        stateStructType="anchor long, n long", outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
     # stream-stream join avoided: the per-request limit is recomputed from the
     # config (a static broadcast lookup) on the counted output
-    cfg_cols = with_tenant_config(counted, config, known_rows=known_rows)
+    cfg_cols = with_tenant_config(counted, config)
     out = cfg_cols.select(key, tie, "limit_rpm", "window_count",
                           F.timestamp_micros("anchor_us").alias("window_start"),
                           (F.col("window_count") <= F.col("limit_rpm")).alias("allowed"))
@@ -120,7 +153,7 @@ def stream_rate_limit(requests: DataFrame, config: DataFrame, window_s: int = K.
 
 
 def stream_admission(requests: DataFrame, config: DataFrame, window_s: int = K.RATE_WINDOW_SECONDS,
-                     key: str = "tenant_id", tie: str = "request_id", known_rows: int | None = None) -> DataFrame:
+                     key: str = "tenant_id", tie: str = "request_id", lateness: str = LATENESS) -> DataFrame:
     """ST1 (+ST4): admission over a request stream.
 
     ``requests`` is a streaming DataFrame with key, tie, ``ts``, ``stream`` and
@@ -134,8 +167,9 @@ def stream_admission(requests: DataFrame, config: DataFrame, window_s: int = K.R
     from tokenledger.functions.messages import isolate_system_prompt, prompt_text
     from tokenledger.operators.admission import admission_decision
     from tokenledger.operators.tenants import scope_tools, with_tenant_config
-    j = with_tenant_config(requests, config, known_rows=known_rows)
-    j = j.select(key, tie, "stream", "limit_rpm", F.unix_micros(F.col("ts").cast("timestamp")).alias("_ts_us"),
+    j = with_tenant_config(_timed(requests, lateness), config)
+    j = j.select(key, tie, F.coalesce(F.col("stream"), F.lit(False)).alias("stream"), "limit_rpm", "ts",
+                 F.unix_micros("ts").alias("_ts_us"),
                  scan_messages("messages").alias("scan_hit"),
                  prompt_text(isolate_system_prompt("messages", "system_prompt_override")).alias("prompt_text"),
                  (scope_tools(tools="tools") if "tools" in requests.columns
@@ -146,27 +180,29 @@ def stream_admission(requests: DataFrame, config: DataFrame, window_s: int = K.R
                             StructField("anchor_us", LongType())] + [j.schema[c] for c in extra])
     counted = (base.filter(F.col("limit_rpm") > 0).groupBy(key).applyInPandasWithState(
         _anchored_state_fn(window_s * US, key, tie, extra), outputStructType=state_out,
-        stateStructType="anchor long, n long", outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
+        stateStructType="anchor long, n long", outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
         .withColumn("allowed", F.col("window_count") <= F.col("limit_rpm"))
         .withColumn("window_start", F.timestamp_micros("anchor_us")).drop("anchor_us"))
-    bypass = (base.filter(F.col("limit_rpm") <= 0).drop("_ts_us")
+    bypass = (base.filter(F.col("limit_rpm") <= 0).drop("_ts_us", "ts")
               .withColumn("window_count", F.lit(0).cast("bigint")).withColumn("allowed", F.lit(True))
               .withColumn("window_start", F.lit(None).cast("timestamp")))
-    streamed = (j.filter(F.col("stream")).drop("_ts_us")
+    streamed = (j.filter(F.col("stream")).drop("_ts_us", "ts")
                 .withColumn("window_count", F.lit(None).cast("bigint"))
                 .withColumn("allowed", F.lit(None).cast("boolean"))
                 .withColumn("window_start", F.lit(None).cast("timestamp")))
     return admission_decision(counted.unionByName(bypass).unionByName(streamed))
 
 
-def stream_ttl_counter(events: DataFrame, key: str, ttl_s: int | None, tie: str = "event_id") -> DataFrame:
+def stream_ttl_counter(events: DataFrame, key: str, ttl_s: int | None, tie: str = "event_id",
+                       lateness: str = LATENESS) -> DataFrame:
     """ST5: streaming W3, one counter value per event."""
-    e = events.withColumn("_ts_us", F.unix_micros(F.col("ts").cast("timestamp"))).select(
-        F.col(key).cast("string").alias(key), F.col(tie).cast("long").alias(tie), "_ts_us")
+    e = _timed(events, lateness).withColumn("_ts_us", F.unix_micros("ts")).select(
+        F.col(key).cast("string").alias(key), tie, "_ts_us", "ts")
+    timeout = GroupStateTimeout.NoTimeout if ttl_s is None else GroupStateTimeout.EventTimeTimeout
     return e.groupBy(key).applyInPandasWithState(
         _ttl_state_fn(None if ttl_s is None else ttl_s * US, key, tie),
-        outputStructType=f"{key} string, {tie} long, counter long",
-        stateStructType="last long, n long", outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
+        outputStructType=StructType([e.schema[key], e.schema[tie], StructField("counter", LongType())]),
+        stateStructType="last long, n long", outputMode="append", timeoutConf=timeout)
 
 
 # ------------------------------------------------------------------ runners
@@ -192,4 +228,4 @@ def run_usage_upserts(audit_stream: DataFrame, spark: SparkSession, name: str) -
     q = (audit_stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{base}/_checkpoint")
          .trigger(availableNow=True).start())
     run_available(q)
-    return read_usage(spark, f"{base}/usage")
+    return read_usage(spark, f"{base}/usage", f"{base}/deltas")
