@@ -75,8 +75,9 @@ def test_retained_index_per_tenant(spark):
         assert got == _loop_retained(rows, as_of, 20, 86400 * 2)
 
 
+@pytest.mark.parametrize("pivots", [1, 7])
 @pytest.mark.parametrize("slots", [1, 3, None])     # None: chosen from density (8 here)
-def test_similar_earlier_many_blocks(spark, slots):
+def test_similar_earlier_many_blocks(spark, slots, pivots):
     rnd = np.random.default_rng(5)
     base = rnd.normal(size=(12, 8))
     rows = []
@@ -85,7 +86,7 @@ def test_similar_earlier_many_blocks(spark, slots):
         rows.append((i, T0 + dt.timedelta(seconds=int(rnd.integers(0, 3 * 3600))), v.tolist()))
     df = spark.createDataFrame(rows, "request_id long, ts timestamp, embedding array<double>")
     got = {r["request_id"]: r["match_id"]
-           for r in similar_earlier(df, block_rows=9, slots_per_window=slots).collect()}
+           for r in similar_earlier(df, block_rows=9, slots_per_window=slots, n_pivots=pivots).collect()}
     want = {}
     for i, t, v in rows:
         best = None
@@ -100,6 +101,23 @@ def test_similar_earlier_many_blocks(spark, slots):
     assert got == want and sum(v is not None for v in want.values()) > 50
 
 
+def test_pivot_cells_copy_clustered_vectors_few_times(spark):
+    """A dense hour of clustered vectors: no pair is lost, and a vector is a query in few of the cells."""
+    from tokenledger.operators.similarity import assign_cells
+    rnd = np.random.default_rng(8)
+    base = rnd.normal(size=(40, 32))
+    m = base[rnd.integers(0, 40, 2000)] + 0.1 * rnd.normal(size=(2000, 32))
+    df = spark.createDataFrame([(i, i, 0, v.tolist()) for i, v in enumerate(m)], "id long, t long, h long, v array<double>")
+    rows = sorted(assign_cells(df, 64, 0.95).collect(), key=lambda r: r["id"])
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for i, j in np.argwhere(unit @ unit.T >= 0.95):
+        assert rows[j]["home"] in rows[i]["cells"]
+    n_cells = len({r["home"] for r in rows})
+    copies = np.mean([len(r["cells"]) for r in rows])
+    print(f"copies per vector {copies:.1f} of {n_cells} cells")
+    assert n_cells > 20 and copies < n_cells / 2
+
+
 def test_best_match_per_tenant_paths_agree(spark, monkeypatch):
     from tokenledger.operators import similarity as S
     rnd = np.random.default_rng(9)

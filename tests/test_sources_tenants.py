@@ -125,12 +125,20 @@ def test_milliseconds_are_cut_toward_zero(spark):
 
 
 def test_dashboard_row_order(spark):
-    """Usage by date, newest first; latency by slowest first -- the order itself, not only the rows."""
+    """The order itself, not only the rows."""
     from tokenledger.operators import dashboard as D
-    from tokenledger.plans import catalog as C
-    usage = C.QUERIES["usage_range"](spark, "/root/testdata/sf0.001").collect()
-    dates = [r["date"] for r in usage]
-    assert dates == sorted(dates, reverse=dates[0] > dates[-1]) and len(set(dates)) > 1
-    lat = C.QUERIES["latency_by_model"](spark, "/root/testdata/sf0.001")
-    assert D and lat.count() > 1
-
+    from tokenledger.operators import rollup as R
+    days = [dt.date(2024, 1, d) for d in (3, 9, 5)]
+    keys = [(t, d, p) for t in ("b", "a") for d in days for p in ("y", "x")]
+    usage = spark.createDataFrame([(*k, 1, 1, 1, 0, 0, 0) for k in keys], "tenant_id string, date date, provider string, "
+                                  + ", ".join(f"{c} long" for c in R.COUNTERS)).repartition(5)
+    got = [(r["date"], r["tenant_id"], r["provider"]) for r in D.usage_range(usage, "2024-01-09").collect()]
+    assert got == sorted(got, key=lambda r: (-r[0].toordinal(), r[1], r[2])) and len(got) == 12
+    one = [(r["date"], r["provider"]) for r in D.usage_range(usage, "2024-01-09", tenant_id="a").collect()]
+    assert one == sorted(one, key=lambda r: (-r[0].toordinal(), r[1])) and len(one) == 6
+    audit = spark.createDataFrame([("t", p, m, 5, "x") for p in ("q", "p") for m in ("n", "m", "o")],
+                                  "tenant_id string, provider string, model string, latency_ms int, error_message string")
+    for report in (D.latency, D.errors):
+        rows = [(r["provider"], r["model"]) for r in report(audit.repartition(4)).collect()]
+        assert rows == sorted(rows) and len(rows) == 6
+        assert [(r["provider"], r["model"]) for r in report(audit.repartition(4), limit=4).collect()] == rows[:4]

@@ -17,10 +17,11 @@ and score whole Arrow batches of prompts against it with one matrix product.
 
 V4 (how many calls a cache could have saved) compares every request with the
 requests of the previous hour. Exact, without a single task holding an hour:
-time is cut into slots of window / k and requests into blocks of about
-``block_rows`` rows per slot; a pair unit is one block and one block of the
-same or one of the k previous slots, keyed by both block ids, so a busy slot's
-pairs spread over many tasks. Each pair is scored with a matrix product that
+time is cut into slots of window / k, a slot into the cells of some pivots, and
+a cell into blocks of about ``block_rows`` rows; a request is compared only with
+cells that can hold a match. A pair unit is one query block and one entry block
+of a cell in the same or one of the k previous slots, keyed by both block ids, so
+a busy slot's pairs spread over many tasks. Each pair is scored with a matrix product that
 emits only its best candidate per request; a ``max_by`` per request then keeps
 the overall best.
 """
@@ -31,9 +32,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tokenledger import constants as K
 from tokenledger.functions.timeutil import ts_lit
@@ -65,10 +70,13 @@ def best_in_block(q: np.ndarray, e: np.ndarray, threshold: float, allowed: np.nd
     return pos.astype(np.int64), np.where(np.isfinite(best), best, 0.0)
 
 
-def _stack(vectors) -> np.ndarray:
-    if len(vectors) == 0:
-        return np.zeros((0, 0))
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that hold a vector, their matrix) of an Arrow list column, without a Python object a row."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    ok = pc.fill_null(pc.greater(pc.list_value_length(column), 0), False).to_numpy(zero_copy_only=False)
+    flat = column.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return ok, flat.reshape(int(ok.sum()), -1) if ok.any() else np.zeros((0, 0))
 
 
 # ------------------------------------------------------------------ W4, W5
@@ -116,36 +124,79 @@ def retained_index(index: DataFrame, as_of, max_entries: int = K.MAX_INDEX_ENTRI
 # ------------------------------------------------------------------ V2, J4
 MAX_SHIPPED_VALUES = 16_000_000   # whole retained index shipped to tasks up to 16M doubles (128 MB)
 MAX_HOT_KEYS = 100_000
+GROUP_BYTES = 64 * 1024 * 1024    # vectors of one cogrouped task group
 
 
-def _entry_block(ids, seqs, vectors):
+def _entry_block(ids: pa.Array, seqs: pa.Array, vectors: pa.Array):
     """(ids, seqs, matrix) of one index, in seq order (ties keep the earliest)."""
-    order = np.argsort(np.asarray(seqs, dtype=np.int64), kind="stable")
-    return ([ids[i] for i in order], np.asarray(seqs, dtype=np.int64)[order],
-            _stack([vectors[i] for i in order]))
+    order = np.argsort(seqs.to_numpy(zero_copy_only=False), kind="stable")
+    _, m = _matrix(vectors)
+    return [ids[int(i)].as_py() for i in order], seqs.to_numpy(zero_copy_only=False)[order], m[order]
+
+
+def _blocks(rows: pa.Table, keys: list[str], max_index_rows: int) -> dict:
+    """Entry blocks by key of a collected index."""
+    rows = rows.combine_chunks()
+    by: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(*[rows.column(k).to_pylist() for k in keys]) if keys else [()] * rows.num_rows):
+        by.setdefault(key, []).append(i)
+    out = {}
+    for key, at in by.items():
+        if len(at) > max_index_rows:
+            raise ValueError(f"index of key {key} has more than {max_index_rows} entries; "
+                             "apply retained_index(partition_cols=...) first")
+        part = rows.take(pa.array(at)).combine_chunks()
+        out[key] = _entry_block(*[part.column(c).combine_chunks() for c in ("response_id", "seq", "embedding")])
+    return out
+
+
+def _scorer(spark, blocks: dict, qid: str, qvec: str, keys: list[str], threshold: float):
+    """A ``mapInArrow`` function that scores query batches against a shipped index."""
+    shared = spark.sparkContext.broadcast(blocks)
+
+    def score(batches):
+        for batch in batches:
+            yield _match_batch(batch, qid, qvec, shared.value, keys, threshold)
+    return score
 
 
 _EMPTY_BLOCK = ([], np.zeros(0, dtype=np.int64), np.zeros((0, 0)))
 
 
-def _match_frame(pdf: pd.DataFrame, qid: str, qvec: str, block, threshold: float, keep=()) -> pd.DataFrame:
-    """Best entry of ``block`` per query row of ``pdf`` (one matrix product)."""
-    e_ids, e_seq, e = block
-    n = len(pdf)
-    pos = np.full(n, -1, dtype=np.int64)
-    sim = np.zeros(n)
-    vecs = pdf[qvec].tolist()
-    ok = np.asarray([v is not None and len(v) > 0 for v in vecs], dtype=bool)
-    if ok.any() and len(e_ids):
-        p, sc = best_in_block(_stack([v for v, g in zip(vecs, ok) if g]), e, threshold)
-        pos[ok], sim[ok] = p, sc
+def _match(ok: np.ndarray, q: np.ndarray, block, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(position in ``block`` or -1, similarity) of every query row (one matrix product)."""
+    pos, sim = np.full(len(ok), -1, dtype=np.int64), np.zeros(len(ok))
+    if ok.any() and len(block[0]):
+        pos[ok], sim[ok] = best_in_block(q, block[2], threshold)
+    return pos, sim
+
+
+def _match_columns(pos: np.ndarray, sim: np.ndarray, ids: list, seqs: list) -> list[pa.Array]:
     hit = pos >= 0
-    out = {c: pdf[c].to_numpy() for c in keep}
-    out[qid] = pdf[qid].to_numpy()
-    out["response_id"] = [e_ids[i] if h else None for i, h in zip(pos.tolist(), hit.tolist())]
-    out["seq"] = pd.array([int(e_seq[i]) if h else None for i, h in zip(pos.tolist(), hit.tolist())], dtype="Int64")
-    out["sim"] = np.where(hit, sim, np.nan)
-    return pd.DataFrame(out)
+    return [pa.array(ids, pa.string()), pa.array(seqs, pa.int64()), pa.array(np.where(hit, sim, 0.0), mask=~hit)]
+
+
+def _match_batch(batch: pa.RecordBatch, qid: str, qvec: str, blocks: dict, keys: list[str], threshold: float
+                 ) -> pa.RecordBatch:
+    """Best entry per query row; each key's rows are scored against that key's block."""
+    ok, q = _matrix(batch.column(qvec))
+    pos, sim = np.full(len(ok), -1, dtype=np.int64), np.zeros(len(ok))
+    ids, seqs = np.full(len(ok), None, dtype=object), np.full(len(ok), None, dtype=object)
+    row_of = np.cumsum(ok) - 1
+    code = np.zeros(len(ok), dtype=np.int64)
+    for k in keys:
+        c = batch.column(k).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        code = code * (int(c.max(initial=0)) + 1) + c
+    for value in np.unique(code):
+        at = np.flatnonzero(code == value)
+        block = blocks.get(tuple(batch.column(k)[int(at[0])].as_py() for k in keys), _EMPTY_BLOCK)
+        p, s = _match(ok[at], q[row_of[at[ok[at]]]] if ok[at].any() else q[:0], block, threshold)
+        pos[at], sim[at] = p, s
+        for i, j in zip(at[p >= 0].tolist(), p[p >= 0].tolist()):
+            ids[i], seqs[i] = block[0][j], int(block[1][j])
+    return pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], batch.column(qid),
+                                       *_match_columns(pos, sim, ids.tolist(), seqs.tolist())],
+                                      [*keys, qid, "response_id", "seq", "sim"])
 
 
 def best_match(queries: DataFrame, index: DataFrame, qid: str = "query_id", qvec: str = "embedding",
@@ -169,7 +220,7 @@ def best_match(queries: DataFrame, index: DataFrame, qid: str = "query_id", qvec
     one row (at most ``max_index_rows`` entries) and cogrouped with the queries
     on (key, salt): keys with more than ``group_rows`` queries get
     ceil(n / group_rows) salts and their packed index is copied once per salt,
-    so no group holds more than about ``group_rows`` queries.
+    so no group holds more than about ``group_rows`` queries, or 64 MB of vectors.
     """
     spark = queries.sparkSession
     pc = list(partition_cols)
@@ -183,17 +234,10 @@ def best_match(queries: DataFrame, index: DataFrame, qid: str = "query_id", qvec
     q = queries.select(*pc, qid, F.col(qvec).cast("array<double>").alias(qvec))
 
     if not pc:
-        rows = idx.orderBy("seq").limit(max_index_rows + 1).collect()
-        if len(rows) > max_index_rows:
+        rows = idx.orderBy("seq").limit(max_index_rows + 1).toArrow()
+        if rows.num_rows > max_index_rows:
             raise ValueError(f"index has more than {max_index_rows} entries; apply retained_index() first")
-        bc = spark.sparkContext.broadcast(_entry_block([r["response_id"] for r in rows], [r["seq"] for r in rows],
-                                                       [r["embedding"] for r in rows]))
-
-        def score(batches):
-            for pdf in batches:
-                yield _match_frame(pdf, qid, qvec, bc.value, threshold)
-        out = q.mapInPandas(score, schema)
-        return out.withColumn("sim", F.when(F.col("response_id").isNotNull(), F.col("sim")))
+        return q.mapInArrow(_scorer(spark, _blocks(rows, [], max_index_rows), qid, qvec, [], threshold), schema)
 
     for c in pc:
         idx = idx.filter(F.col(c).isNotNull())
@@ -202,34 +246,14 @@ def best_match(queries: DataFrame, index: DataFrame, qid: str = "query_id", qvec
     idx = idx.persist()
     n_entries, width = idx.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     if n_entries * (width or 0) <= max_shipped_values:
-        grouped: dict = {}
-        rows = idx.collect()                                    # bounded by max_shipped_values
+        rows = idx.toArrow()                                    # bounded by max_shipped_values
         idx.unpersist()
-        for r in rows:
-            grouped.setdefault(tuple(r[c] for c in pc), []).append(r)
-        too_big = [k for k, v in grouped.items() if len(v) > max_index_rows]
-        if too_big:
-            raise ValueError(f"index of key {too_big[0]} has more than {max_index_rows} entries; "
-                             "apply retained_index(partition_cols=...) first")
-        bc = spark.sparkContext.broadcast({k: _entry_block([r["response_id"] for r in v], [r["seq"] for r in v],
-                                                           [r["embedding"] for r in v])
-                                           for k, v in grouped.items()})
-
-        def score_keyed(batches):
-            blocks = bc.value
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                parts = [_match_frame(g, qid, qvec, blocks.get(k if isinstance(k, tuple) else (k,), _EMPTY_BLOCK),
-                                      threshold, keep=pc)
-                         for k, g in pdf.groupby(pc if len(pc) > 1 else pc[0], dropna=False, sort=False)]
-                yield pd.concat(parts, ignore_index=True)
-        out = q.mapInPandas(score_keyed, schema)
-        return out.withColumn("sim", F.when(F.col("response_id").isNotNull(), F.col("sim")))
+        return q.mapInArrow(_scorer(spark, _blocks(rows, pc, max_index_rows), qid, qvec, pc, threshold), schema)
 
     # shuffle path: salted cogroup of queries with packed per-key indexes (the
     # plan below is lazy, so the cached copy is released rather than pinned)
     idx.unpersist()
+    group_rows = max(1, min(group_rows, GROUP_BYTES // (8 * max(1, width))))
     counts = q.groupBy(*pc).agg(F.count(F.lit(1)).alias("_n"))
     hot = (counts.filter(F.col("_n") > group_rows)
            .select(*pc, F.ceil(F.col("_n") / group_rows).cast("int").alias("_ns"))
@@ -250,22 +274,20 @@ def best_match(queries: DataFrame, index: DataFrame, qid: str = "query_id", qvec
     packed = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_ns"), F.lit(1)) - 1)))
     packed = packed.drop("_ns")
 
-    def score_group(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if len(left) == 0:
-            return pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
-        block = _EMPTY_BLOCK
-        if len(right):
-            entries = list(right["_entries"].iloc[0])
+    def score_group(left: pa.Table, right: pa.Table) -> pa.Table:
+        blocks = {}
+        if right.num_rows and left.num_rows:
+            entries = right.column("_entries").combine_chunks().flatten()
             if len(entries) > max_index_rows:
                 raise ValueError(f"an index key has more than {max_index_rows} entries; "
                                  "apply retained_index(partition_cols=...) first")
-            block = _entry_block([e["response_id"] for e in entries], [e["seq"] for e in entries],
-                                 [e["embedding"] for e in entries])
-        return _match_frame(left, qid, qvec, block, threshold, keep=pc)
+            key = tuple(left.column(c)[0].as_py() for c in pc)
+            blocks[key] = _entry_block(*[entries.field(f) for f in ("response_id", "seq", "embedding")])
+        batches = [_match_batch(b, qid, qvec, blocks, pc, threshold) for b in left.to_batches() if b.num_rows]
+        return pa.Table.from_batches(batches) if batches else to_arrow_schema(schema).empty_table()
 
-    out = (q.groupBy(*pc, "_salt").cogroup(packed.groupBy(*pc, "_salt"))
-            .applyInPandas(score_group, schema))
-    return out.withColumn("sim", F.when(F.col("response_id").isNotNull(), F.col("sim")))
+    return (q.groupBy(*pc, "_salt").cogroup(packed.groupBy(*pc, "_salt"))
+            .applyInArrow(score_group, schema))
 
 
 # ------------------------------------------------------------------ J5, W6
@@ -302,10 +324,62 @@ def append_entries(index: DataFrame, new: DataFrame, id_col: str = "request_id")
 
 
 # ------------------------------------------------------------------ V4
+MAX_PIVOTS = 256
+
+
+def _cells(pivots: np.ndarray, radius: float):
+    """A ``mapInArrow`` function adding ``home`` (the nearest pivot's cell) and ``cells``: the cells that can
+    hold a vector within ``radius`` of this one (its distance to the cell's bounding hyperplane says so)."""
+    gap = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
+
+    def fn(batches):
+        for batch in batches:
+            _, m = _matrix(batch.column("v"))
+            size = np.linalg.norm(m, axis=1, keepdims=True)
+            dots = (m / np.where(size > 0, size, 1)) @ pivots.T
+            home = dots.argmax(axis=1)
+            reach = dots[np.arange(len(m)), home][:, None] - dots <= (radius + 1e-6) * gap[home] + 1e-9
+            reach[np.arange(len(m)), home] = True
+            row, cell = np.nonzero(reach)
+            bounds = np.append(0, np.cumsum(reach.sum(axis=1)))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(home.astype(np.int32)),
+                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(cell.astype(np.int32)))],
+                [*batch.schema.names, "home", "cells"])
+    return fn
+
+
+def assign_cells(r: DataFrame, n_pivots: int, threshold: float) -> DataFrame:
+    """Rows (id, t, h, v) with ``home`` and ``cells``, staged once in the shared folder.
+
+    The pivots are ``n_pivots`` vectors by id hash (at most MAX_PIVOTS reach the driver). Similarity of at least
+    ``threshold`` means a distance of at most sqrt(2 - 2 threshold) on unit vectors, so no pair is lost; zero
+    vectors match nothing.
+    """
+    rows = r.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("v").toArrow()
+    _, pivots = _matrix(rows.column("v"))
+    size = np.linalg.norm(pivots, axis=1, keepdims=True)
+    pivots = np.unique((pivots / np.where(size > 0, size, 1))[size[:, 0] > 0], axis=0)
+    if len(pivots) < 2 or threshold <= 0:
+        return r.withColumns({"home": F.lit(0), "cells": F.array(F.lit(0))}).checkpoint()
+    schema = StructType([*r.schema.fields, StructField("home", IntegerType()), StructField("cells", ArrayType(IntegerType()))])
+    return r.mapInArrow(_cells(pivots, math.sqrt(max(0.0, 2 - 2 * threshold))), schema).checkpoint()
+
+
+def _pack(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(h, c, b) blocks of rows as flat columns, from one sorted list (so they stay aligned)."""
+    return (lookup_join(rows, blocks, ["h", "c"], "inner")
+            .withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+            .groupBy("h", "c", "b").agg(F.array_sort(F.collect_list(F.struct("t", "id", "v"))).alias("_rows"))
+            .select("h", "c", "b", F.transform("_rows", lambda x: x["id"]).alias("ids"),
+                    F.transform("_rows", lambda x: x["t"]).alias("ts"),
+                    F.flatten(F.transform("_rows", lambda x: x["v"])).alias("flat")))
+
+
 def similar_earlier(requests: DataFrame, id_col: str = "request_id", ts: str = "ts", vec: str = "embedding",
                     window_s: int = 3600, threshold: float = K.SIMILARITY_THRESHOLD,
-                    block_rows: int = 2048, max_hours: int = 1_000_000,
-                    slots_per_window: int | None = None) -> DataFrame:
+                    block_rows: int = 2048, slots_per_window: int | None = None,
+                    n_pivots: int | None = None) -> DataFrame:
     """V4: per request, the most similar earlier request within ``window_s``
     (sim >= threshold; ties -> earliest). Output: id, match_id, match_sim.
 
@@ -313,88 +387,79 @@ def similar_earlier(requests: DataFrame, id_col: str = "request_id", ts: str = "
     own and the k previous slots, so k + 1 slot widths are compared instead of
     two windows. ``k`` (``slots_per_window``) defaults to the densest window's
     rows / ``block_rows`` (1..8), so a slot still fills a block.
+
+    Within a slot, requests lie in the cells of ``n_pivots`` pivots. Every request
+    is an entry of its own cell and a query in those cells that can hold a match
+    (``assign_cells``), so similar requests meet in few cells instead of with
+    every block of the window; how few depends on how the vectors cluster.
     """
-    r = (requests.select(F.col(id_col).cast("bigint").alias("id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"),
+    id_type = requests.schema[id_col].dataType
+    r = (requests.select(F.col(id_col).alias("id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"),
                          F.col(vec).cast("array<double>").alias("v"))
          .filter(F.col("v").isNotNull() & (F.size("v") > 0)))
-    spark = r.sparkSession
     win_us = int(window_s * US)
 
-    # Slot tables have one row per slot of the time span (bounded by the span,
-    # not the rows): fetched under a row cap and used as literal broadcasts;
-    # past the cap the joins are left to Catalyst.
-    def slot_table(width: int):
-        t = (r.groupBy(floor_div(F.col("t"), width).alias("h")).agg(F.count(F.lit(1)).alias("n"))
-              .select("h", "n", F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows)).cast("int").alias("nb")))
-        rows = t.limit(max_hours + 1).collect()
-        if len(rows) <= max_hours:
-            return spark.createDataFrame(rows, "h bigint, n bigint, nb int"), rows
-        return t, None
-
-    hours, hour_rows = slot_table(win_us)
-    k = slots_per_window
-    if k is None:
-        dense = max((row["n"] for row in hour_rows), default=0) if hour_rows is not None \
-            else hours.agg(F.max("n")).first()[0] or 0
-        k = int(min(8, max(1, dense // block_rows)))
+    def densest(width: int) -> int:
+        n = r.groupBy(floor_div(F.col("t"), width).alias("h")).count().agg(F.max("count")).first()[0]
+        return int(n or 0)
+
+    k = slots_per_window or int(min(8, max(1, densest(win_us) // block_rows)))
     width = -(-win_us // k)                                  # ceil: k slots cover a window
-    slots, slot_rows = (hours, hour_rows) if k == 1 else slot_table(width)
-    r = r.withColumn("h", floor_div(F.col("t"), width))
-    blocks = (lookup_join(r, slots.select("h", "nb"), "h", "inner")
-              .withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-              .groupBy("h", "b")
-              .agg(F.array_sort(F.collect_list(F.struct("t", "id", "v"))).alias("_rows"))
-              # flat columns, JVM-side, from the one sorted list (so they stay aligned):
-              # tasks reshape numpy arrays instead of building a Python object per request
-              .select("h", "b", F.transform("_rows", lambda x: x["id"]).alias("ids"),
-                      F.transform("_rows", lambda x: x["t"]).alias("ts"),
-                      F.flatten(F.transform("_rows", lambda x: x["v"])).alias("flat")))
-    # partner slots: (left slot h, its block count, partner slot ph = h - j for
-    # j = 0..k, the partner's block count); at most k + 1 rows per slot
-    partners = (slots.select("h", F.col("nb").alias("lnb"), F.explode(F.sequence(F.lit(0), F.lit(k))).alias("j"))
-                     .select("h", "lnb", (F.col("h") - F.col("j")).alias("ph"))
-                     .join(slots.select(F.col("h").alias("ph"), F.col("nb").alias("pnb")), "ph"))
-    # a pair unit is (left block, right block of a partner slot): each side is
+    if n_pivots is None:
+        n_pivots = int(min(MAX_PIVOTS, max(1, densest(width) // block_rows)))
+    r = assign_cells(r.withColumn("h", floor_div(F.col("t"), width)), n_pivots, threshold)
+    queries = r.select("id", "t", "v", "h", F.explode("cells").alias("c"))
+    entries = r.select("id", "t", "v", "h", F.col("home").alias("c"))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        nb = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows)).cast("int")
+        return rows.groupBy("h", "c").agg(nb.alias("nb"))
+
+    lslots, rslots = counted(queries).checkpoint(), counted(entries).checkpoint()
+    # partner cells: (query slot h, cell, its blocks, partner slot ph = h - j for j = 0..k, the partner's blocks)
+    partners = (lslots.select("h", "c", F.col("nb").alias("lnb"), F.explode(F.sequence(F.lit(0), F.lit(k))).alias("j"))
+                .select("h", "c", "lnb", (F.col("h") - F.col("j")).alias("ph"))
+                .join(rslots.select(F.col("h").alias("ph"), "c", F.col("nb").alias("pnb")), ["ph", "c"]))
+    # a pair unit is (query block, entry block of a partner cell): each side is
     # copied once per partner block and the join key names the pair, so a busy
     # slot's pairs spread over many tasks
-    left = (lookup_join(blocks, partners.select("h", "ph", "pnb"), "h", "inner")
-            .select(F.col("h").alias("lh"), F.col("b").alias("lb"), F.col("ph").alias("rh"),
+    left = (_pack(queries, lslots).join(partners.select("h", "c", "ph", "pnb"), ["h", "c"])
+            .select(F.col("h").alias("lh"), "c", F.col("b").alias("lb"), F.col("ph").alias("rh"),
                     F.explode(F.sequence(F.lit(0), F.col("pnb") - 1)).alias("rb"),
                     F.col("ids").alias("lids"), F.col("ts").alias("lts"), F.col("flat").alias("lflat")))
-    right = (lookup_join(blocks.withColumnRenamed("h", "ph"), partners.select("h", "lnb", "ph"), "ph", "inner")
-             .select(F.col("h").alias("lh"), F.explode(F.sequence(F.lit(0), F.col("lnb") - 1)).alias("lb"),
+    right = (_pack(entries, rslots).withColumnRenamed("h", "ph")
+             .join(partners.select("h", "c", "lnb", "ph"), ["ph", "c"])
+             .select(F.col("h").alias("lh"), "c", F.explode(F.sequence(F.lit(0), F.col("lnb") - 1)).alias("lb"),
                      F.col("ph").alias("rh"), F.col("b").alias("rb"),
                      F.col("ids").alias("rids"), F.col("ts").alias("rts"), F.col("flat").alias("rflat")))
-    pairs = left.join(right, ["lh", "lb", "rh", "rb"], "inner")
-    schema = StructType([StructField("id", LongType()), StructField("match_id", LongType()),
+    pairs = left.join(right, ["lh", "c", "lb", "rh", "rb"], "inner")
+    schema = StructType([StructField("id", id_type), StructField("match_id", id_type),
                          StructField("match_t", LongType()), StructField("match_sim", DoubleType())])
+    arrow_id = to_arrow_schema(schema).field("id").type
 
     def score(batches):
-        for pdf in batches:
-            out = []
-            for lids, lts, lflat, rids, rts, rflat in zip(pdf["lids"], pdf["lts"], pdf["lflat"],
-                                                          pdf["rids"], pdf["rts"], pdf["rflat"]):
-                lid, lt = np.asarray(lids, dtype=np.int64), np.asarray(lts, dtype=np.int64)
-                rid, rt = np.asarray(rids, dtype=np.int64), np.asarray(rts, dtype=np.int64)
-                q = np.asarray(lflat, dtype=np.float64).reshape(len(lid), -1)
-                e = np.asarray(rflat, dtype=np.float64).reshape(len(rid), -1)   # (t, id) order: ties keep the earliest
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lids, lts, lflat, rids, rts, rflat = (
+                    batch.column(c)[i].values for c in ("lids", "lts", "lflat", "rids", "rts", "rflat"))
+                lt, rt = lts.to_numpy(zero_copy_only=False), rts.to_numpy(zero_copy_only=False)
+                q = lflat.to_numpy(zero_copy_only=False).reshape(len(lt), -1)
+                e = rflat.to_numpy(zero_copy_only=False).reshape(len(rt), -1)   # (t, id) order: ties keep the earliest
+                # ids as places in one order of both sides, so any id type compares
+                both = pa.chunked_array([lids, rids]).combine_chunks()
+                place = pc.rank(both, tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
+                lid, rid = place[:len(lt)], place[len(lt):]
                 earlier = (rt[None, :] < lt[:, None]) | ((rt[None, :] == lt[:, None]) & (rid[None, :] < lid[:, None]))
-                allowed = earlier & (lt[:, None] - rt[None, :] <= win_us)
-                pos, sim = best_in_block(q, e, threshold, allowed)
-                hit = pos >= 0
-                if hit.any():
-                    out.append(pd.DataFrame({"id": lid[hit], "match_id": rid[pos[hit]], "match_t": rt[pos[hit]],
-                                             "match_sim": sim[hit]}))
-            yield (pd.concat(out, ignore_index=True) if out
-                   else pd.DataFrame({c: pd.Series(dtype=d) for c, d in
-                                      [("id", "int64"), ("match_id", "int64"), ("match_t", "int64"),
-                                       ("match_sim", "float64")]}))
-
-    cands = pairs.mapInPandas(score, schema)
+                pos, sim = best_in_block(q, e, threshold, earlier & (lt[:, None] - rt[None, :] <= win_us))
+                hit = np.flatnonzero(pos >= 0)
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays(
+                        [lids.take(pa.array(hit)).cast(arrow_id), rids.take(pa.array(pos[hit])).cast(arrow_id),
+                         pa.array(rt[pos[hit]]), pa.array(sim[hit])], ["id", "match_id", "match_t", "match_sim"])
+
+    cands = pairs.mapInArrow(score, schema)
     best = (cands.groupBy("id")
-            .agg(F.max_by(F.struct("match_id", "match_sim"),
-                          F.struct(F.col("match_sim"), (-F.col("match_t")).alias("nt"),
-                                   (-F.col("match_id")).alias("ni"))).alias("b")))
+            .agg(F.max("match_sim").alias("s"),
+                 F.min_by("match_id", F.struct(-F.col("match_sim"), "match_t", "match_id")).alias("match_id")))
     return (r.select("id").join(best, "id", "left")
-             .select(F.col("id").alias(id_col), F.col("b.match_id").alias("match_id"),
-                     F.col("b.match_sim").alias("match_sim")))
+             .select(F.col("id").alias(id_col), "match_id", F.col("s").alias("match_sim")))
