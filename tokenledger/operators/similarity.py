@@ -55,19 +55,38 @@ def cosine_matrix(q: np.ndarray, e: np.ndarray) -> np.ndarray:
     return dots / (np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(e, axis=1)) + K.SIMILARITY_EPS)
 
 
+def _pair_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """V1 row by row. Each value depends on its two vectors only, so equal vectors tie exactly,
+    whatever block they were scored in (a matrix product rounds by its shape)."""
+    dots, na, nb = ((x * y).sum(axis=1) for x, y in ((a, b), (a, a), (b, b)))
+    return dots / (np.sqrt(na) * np.sqrt(nb) + K.SIMILARITY_EPS)
+
+
+#: scores within this much of a row's best are compared again, pair by pair
+_NEAR = 1e-9
+
+
 def best_in_block(q: np.ndarray, e: np.ndarray, threshold: float, allowed: np.ndarray | None = None):
     """Per row of ``q``: (position of the best entry of ``e`` with sim >= threshold,
     sim), first position on ties; -1 when none. ``e`` rows are in entry order."""
+    pos, best = np.full(len(q), -1, dtype=np.int64), np.zeros(len(q))
     if len(e) == 0 or len(q) == 0:
-        return np.full(len(q), -1, dtype=np.int64), np.zeros(len(q))
+        return pos, best
     s = cosine_matrix(q, e)
     if allowed is not None:
         s = np.where(allowed, s, -np.inf)
-    s = np.where(s >= threshold, s, -np.inf)
-    pos = np.argmax(s, axis=1)                  # first maximum
-    best = s[np.arange(len(q)), pos]
-    pos = np.where(np.isfinite(best), pos, -1)
-    return pos.astype(np.int64), np.where(np.isfinite(best), best, 0.0)
+    top = s.max(axis=1)
+    rows = np.flatnonzero(top >= threshold - _NEAR)
+    near = s[rows] >= top[rows, None] - _NEAR
+    pos[rows] = near.argmax(axis=1)                  # first of them
+    best[rows] = _pair_cosine(q[rows], e[pos[rows]])
+    for r, n in zip(rows[near.sum(axis=1) > 1].tolist(), near[near.sum(axis=1) > 1]):
+        at = np.flatnonzero(n)
+        exact = _pair_cosine(np.broadcast_to(q[r], (len(at), q.shape[1])), e[at])
+        i = int(exact.argmax())                      # first maximum
+        pos[r], best[r] = at[i], exact[i]
+    hit = (pos >= 0) & (best >= threshold)
+    return np.where(hit, pos, -1), np.where(hit, best, 0.0)
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
