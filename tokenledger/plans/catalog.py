@@ -385,6 +385,47 @@ def q_scan_message_arrays(spark, sf):
     return msgs.select("conv_id", scan_messages("messages").alias("pattern"))
 
 
+@register("scan_message_parts", _with(O.planted_cte(), f"""
+sc AS (SELECT conv_id, turn, CASE WHEN turn % 3 <> 2 THEN {O.scan_sql('text')} END AS pattern FROM st)""") + """
+SELECT conv_id, arg_min(pattern, turn) FILTER (WHERE pattern IS NOT NULL) AS pattern
+FROM sc GROUP BY conv_id""")
+def q_scan_message_parts(spark, sf):
+    """P8 with list contents: by turn % 3, plain text, an image and a text part, an image part only (not scanned)."""
+    from tokenledger.functions.injection import scan_messages
+    t = _planted(spark, sf)
+    part = lambda kind, m: F.struct(F.lit(kind).alias("type"), m["text"].alias("text"))
+    msgs = (t.groupBy("conv_id")
+            .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_m"))
+            .select("conv_id", F.transform("_m", lambda m: F.struct(
+                m["role"].alias("role"), F.when(m["turn"] % 3 == 0, m["text"]).alias("content"),
+                F.when(m["turn"] % 3 == 1, F.array(part("image_url", m), part("text", m)))
+                 .when(m["turn"] % 3 == 2, F.array(part("image_url", m))).alias("parts"))).alias("messages")))
+    return msgs.select("conv_id", scan_messages("messages", with_parts=True).alias("pattern"))
+
+
+# ---------------------------------------------------------------- S7
+@register("column_defaults", """
+SELECT 'audit' AS t, CAST(event_id AS VARCHAR) AS k, FALSE AS cache_hit, CAST(NULL AS BIGINT) AS total_requests,
+       CAST(NULL AS BIGINT) AS cache_hits, CAST(value * 1000 AS BIGINT) - CASE WHEN CAST(value * 1000 AS BIGINT) > value * 1000
+       THEN 1 ELSE 0 END AS latency_ms, TRUE AS dated
+FROM events
+UNION ALL
+SELECT 'usage', 'user_' || CAST(user_id AS VARCHAR), NULL, COUNT(*), 0, NULL, NULL FROM events GROUP BY user_id""")
+def q_column_defaults(spark, sf):
+    """Audit and rollup rows with the columns an insert omits; milliseconds of a duration, cut toward zero."""
+    from tokenledger.functions.timeutil import millis
+    ev = read_table(spark, sf, "events")
+    audit = TN.conform(ev.select(F.col("event_id").cast("string").alias("k"), millis("value").alias("latency_ms")), TN.AUDIT_DEFAULTS)
+    usage = TN.conform(ev.groupBy("user_id").agg(F.count(F.lit(1)).alias("total_requests")), TN.USAGE_DEFAULTS)
+    none = F.lit(None)
+    return (audit.select(F.lit("audit").alias("t"), "k", "cache_hit", none.cast("bigint").alias("total_requests"),
+                         none.cast("bigint").alias("cache_hits"), "latency_ms", F.col("created_at").isNotNull().alias("dated"))
+            .unionByName(usage.select(
+                F.lit("usage").alias("t"), F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("k"),
+                none.cast("boolean").alias("cache_hit"), "total_requests", "cache_hits",
+                none.cast("bigint").alias("latency_ms"), none.cast("boolean").alias("dated"))))
+
+
 # ---------------------------------------------------------------- P6
 @register("prompt_text", """
 SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS prompt_text FROM conversations GROUP BY conv_id""")
