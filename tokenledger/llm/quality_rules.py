@@ -164,3 +164,32 @@ def quality_cascade(docs: DataFrame, order: list[str] | None = None) -> DataFram
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean"
     return docs.mapInArrow(judge, schema)
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                  list_filter(string_split(coalesce(text, ''), chr(10)),
+                              lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT row, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g
+      FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS p FROM d)),
+r AS (SELECT row, p FROM (SELECT *, count(*) OVER (PARTITION BY row, g) AS n FROM g) WHERE n > 1),
+n AS (SELECT row, count(DISTINCT q) AS n FROM (SELECT row, unnest([p, p + 1, p + 2]) AS q FROM r) GROUP BY row),
+b AS (SELECT row, max(c) AS top FROM (SELECT row, count(*) AS c FROM (
+          SELECT row, w[p] || ' ' || w[p + 1] AS g FROM (SELECT row, w, unnest(range(1, len(w))) AS p FROM d))
+      GROUP BY row, g) GROUP BY row),
+s AS (SELECT d.*, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+             coalesce(n.n, 0)::BIGINT AS n_repeat_words, coalesce(b.top, 0) AS top
+      FROM d LEFT JOIN n USING (row) LEFT JOIN b USING (row)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+            OR 10 * len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) < 6 * n_words
+            OR 2 * n_dup_lines > len(l) OR 2 * len(regexp_extract_all(t, '[A-Z]')) > word_chars
+            OR 5 * len(regexp_extract_all(t, '!')) > n_words
+            OR 10 * len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) > 3 * len(l)
+            OR 10 * len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*(- |\* |•)'))) > 9 * len(l)
+            OR 10 * top > 3 * n_words) AS kept
+FROM f
+"""

@@ -76,4 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op2_mix_sources": mixing.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
+    "op6_secrets": secrets.ORACLE_SQL,
+    "op9_quality_rules": quality_rules.ORACLE_SQL,
+    "op10_suffix_dedup": suffix_dedup.ORACLE_SQL,
 }

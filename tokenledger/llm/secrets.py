@@ -47,10 +47,10 @@ _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 #: formats that the method adds
 MORE = [
     ("pem", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"), 0, 0),
-    ("github", re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}"), 0, 0),
-    ("slack", re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}"), 0, 0),
-    ("stripe", re.compile(r"\b[rs]k_live_[A-Za-z0-9]{16,}"), 0, 0),
-    ("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 0),
+    ("github", re.compile(r"(?a)\bgh[pousr]_[A-Za-z0-9]{36,}"), 0, 0),
+    ("slack", re.compile(r"(?a)\bxox[abprs]-[A-Za-z0-9-]{10,}"), 0, 0),
+    ("stripe", re.compile(r"(?a)\b[rs]k_live_[A-Za-z0-9]{16,}"), 0, 0),
+    ("jwt", re.compile(r"(?a)\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 0),
 ]
 KINDS = [*[k[0] for k in BASE], *[k[0] for k in MORE], "live"]
 _HINTS = ("-----BEGIN", "gh", "xox", "k_live_", "eyJ")
@@ -178,3 +178,48 @@ def redact(docs: DataFrame, owner: Column, repository: Column, mask: str = "[SEC
         lambda a: F.concat(a["out"], F.substring(F.col("text"), a["to"] + 1, F.length("text"))))
     text = F.when(F.size("_live") > 0, cut).otherwise(F.col("text"))
     return clean.unionByName(dirty.join(live, "_row").withColumn("text", text).select(*columns))
+
+
+def _oracle() -> str:
+    """Each pattern's matches and the pieces between them give the places; the value is a match's last group."""
+    word = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+    tail = r"""["']?\x20*[:=]\x20*["']?"""
+    value = "[A-Za-z0-9+/_.=-]+"
+    patterns = [(f"{word}{tail}{value}", f"{word}{tail}({value})", 2, 6)]
+    patterns += [(p.pattern.removeprefix("(?a)"), None, 0, least) for _, p, _, least in [*BASE[1:], *MORE]]
+    parts = []
+    for kind, (whole, grouped, group, least) in enumerate(patterns):
+        w = whole.replace("'", "''")
+        v = "m" if grouped is None else f"regexp_extract_all(t, '{grouped.replace(chr(39), chr(39) * 2)}', {group})"
+        parts.append(f"""SELECT row, source, repository, {kind} AS kind, t, regexp_split_to_array(t, '{w}') AS pieces, m, {v} AS v,
+                         {least} AS least FROM (SELECT *, regexp_extract_all(t, '{w}') AS m FROM d) WHERE len(m) > 0""")
+    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, source,
+                  coalesce(source, '') || '/' || coalesce(lang, '') AS repository FROM documents),
+a AS ({" UNION ALL ".join(parts)}),
+e AS (SELECT row, source, repository, kind, m[i] AS m, v[i] AS v, least,
+             (list_sum(list_transform(pieces[1:i], lambda x: length(x)))
+              + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+      FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM a)),
+c AS (SELECT *, s + length(m) AS z FROM e WHERE length(v) >= least),
+o AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS owners, count(DISTINCT coalesce(source, chr(1)) || repository) AS repos
+      FROM c GROUP BY v),
+u AS (SELECT v, sum(n) AS len, -sum(n / len * log2(n / len)) AS entropy FROM (
+          SELECT v, length(v)::DOUBLE AS len, x, count(*) AS n FROM (SELECT v, unnest(string_split(v, '')) AS x FROM o) GROUP BY v, x)
+      GROUP BY v),
+live AS (SELECT DISTINCT row, z - length(v) AS s, {KINDS.index("live")} AS kind, z FROM c JOIN o USING (v) JOIN u USING (v)
+         WHERE owners = 1 AND repos <= {MAX_REPOSITORIES} AND length(v) >= 8 AND regexp_matches(v, '[0-9]')
+           AND regexp_matches(v, '[A-Za-z]') AND entropy >= {MIN_ENTROPY}),
+sp AS (SELECT DISTINCT row, s, kind, z FROM c UNION SELECT row, s, kind, z FROM live),
+g AS (SELECT row, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+             count(*) FILTER (WHERE kind = 2) AS n_hex,
+             string_agg({names}[kind + 1] || ':' || s || ':' || z, ',' ORDER BY s, kind, z) FILTER (WHERE kind < {len(BASE)}) AS base,
+             string_agg({names}[kind + 1] || ':' || s || ':' || z, ',' ORDER BY s, kind, z) AS spans FROM sp GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+       coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (row)
+"""
+
+
+ORACLE_SQL = _oracle()

@@ -383,3 +383,23 @@ def remove_repeated(docs: DataFrame, width: int = WIDTH, **options: int) -> Data
     found = repeated_spans(docs, width, **options)
     return found.select("doc_id", "n_bytes", _removed(F.col("spans")).alias("n_removed"),
                         F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(doc_id, 9223372036854775807) AS key,
+                  hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT row, key, p, substr(h, 2 * p + 1, 100) AS w
+      FROM (SELECT *, unnest(range(0, length(h) // 2 - 49)) AS p FROM d)),
+r AS (SELECT row, p FROM w JOIN (SELECT w, min(key) AS low FROM w GROUP BY w HAVING min(key) < max(key)) USING (w)
+      WHERE low < key),
+c AS (SELECT DISTINCT row, unnest(range(p, p + 50)) AS p FROM r),
+n AS (SELECT row, count(*) AS n_removed, count(*) FILTER (WHERE before IS NULL OR before < p - 1) AS n_spans
+      FROM (SELECT *, lag(p) OVER (PARTITION BY row ORDER BY p) AS before FROM c) GROUP BY row),
+k AS (SELECT row, string_agg(substr(h, 2 * p + 1, 2), '' ORDER BY p) AS kept
+      FROM (SELECT row, h, unnest(range(0, length(h) // 2)) AS p FROM d WHERE row IN (SELECT row FROM c)) ANTI JOIN c USING (row, p)
+      GROUP BY row)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n_removed IS NULL THEN h ELSE coalesce(kept, '') END)) AS kept_sha256
+FROM d LEFT JOIN n USING (row) LEFT JOIN k USING (row)
+"""
