@@ -29,7 +29,7 @@ from tokenledger.llm.staging import stage
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
-#: rows of one (source, range) that one task sorts, on average
+#: rows of one range of the whole key space, at most; otherwise as many rows as there are ranges (their root)
 ROWS_PER_RANGE = 50_000
 #: a per-source table of up to so many rows is broadcast (about 150 bytes a row)
 BROADCAST_SOURCES = 50_000
@@ -100,7 +100,8 @@ def source_cuts(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs
     """
     rows = sized.select("source", "doc_id", "size", hash_key(F.col("doc_id")).alias("key"))
     n = max(1, rows.count())
-    digits = max(0, math.ceil(math.log(n / ROWS_PER_RANGE, 16))) if n > ROWS_PER_RANGE else 0
+    per_range = max(1, min(ROWS_PER_RANGE, math.isqrt(n)))
+    digits = max(0, math.ceil(math.log(n / per_range, 16)))
     rows = rows.withColumn("range", F.substring("key", 1, digits) if digits else F.lit(""))
     sums = stage(rows.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "mix-ranges")
     sizes = sums.groupBy("source").agg(F.sum("range_size").alias("source_size"))
