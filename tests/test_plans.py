@@ -43,7 +43,7 @@ def test_scan_reads_only_used_columns(plan):
 
 def test_shipped_index_scores_queries_without_a_shuffle(plan):
     p = plan("semantic_match")
-    assert "MapInPandas" in p and "SortMergeJoin" not in p and "CartesianProduct" not in p
+    assert "MapInArrow" in p and "SortMergeJoin" not in p and "CartesianProduct" not in p
     # the prompts reach the scoring pass through the broadcast neighbour join only
     assert p.count("Exchange hashpartitioning") == 0
 
