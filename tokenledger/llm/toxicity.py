@@ -68,6 +68,14 @@ def features(b: Block) -> np.ndarray:
     return np.array(out, dtype=np.int32).reshape(len(out), len(s))
 
 
+def emissions(f: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Score of label 1 of each word, one feature at a time."""
+    out = np.zeros(f.shape[1])
+    for row in f:
+        out += weights[row]
+    return out
+
+
 def _scan(m: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Prefix products of 2x2 matrices applied to (1, 1): ratios v1 / v0 after each.
 
@@ -181,6 +189,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, sizes: dict[int, int]) -> Model:
         parts.append(features(b))
         counts.append(np.diff(b.word_bounds))
     f, n = np.concatenate(parts, axis=1), np.concatenate(counts)
+    del parts
     bounds = np.append(0, np.cumsum(n))
     y = _token_labels(f, np.repeat(toxic == 1, n))
     y1 = y.astype(float)
@@ -193,7 +202,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, sizes: dict[int, int]) -> Model:
     weights, start, trans = np.zeros(1 << BITS), 0.0, np.zeros((2, 2))
     size, rate = (np.zeros(1 << BITS), np.zeros(5)), 0.5
     for _ in range(ROUNDS):                                   # Adagrad on the log likelihood
-        scores = weights[f].sum(axis=0)
+        scores = emissions(f, weights)
         p, a, back = chain(scores, bounds, start, trans)
         g = np.zeros(1 << BITS)
         for row in f:
@@ -209,7 +218,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, sizes: dict[int, int]) -> Model:
         weights += rate * g / np.sqrt(size[0] + 1e-9)
         step = rate * gt / np.sqrt(size[1] + 1e-9)
         trans, start = trans + step[:4].reshape(2, 2), start + step[4]
-    p, _, _ = chain(weights[f].sum(axis=0), bounds, start, trans)
+    p, _, _ = chain(emissions(f, weights), bounds, start, trans)
     scale = np.where(toxic == 1, sizes.get(1, n1) / n1, sizes.get(0, n0) / n0)
     doc = _fit_logistic(document_features(p, bounds), toxic.astype(float), scale / scale.mean())
     return Model(weights.astype(np.float32), start, trans, doc)
@@ -254,10 +263,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
                     scores.append(np.full(b.n, m.constant))
                     spans.extend([[]] * b.n)
                     continue
-                emit = np.zeros(len(b.starts))
-                for row in features(b):
-                    emit += m.weights[row]
-                p, _, _ = chain(emit, b.word_bounds, m.start, m.trans)
+                p, _, _ = chain(emissions(features(b), m.weights), b.word_bounds, m.start, m.trans)
                 scores.append(sigmoid(document_features(p, b.word_bounds) @ m.doc))
                 spans.extend(_spans(b, p, i) for i in range(b.n))
             yield pa.RecordBatch.from_arrays(
