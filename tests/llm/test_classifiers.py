@@ -78,6 +78,7 @@ def test_chain_marginals_equal_sums_over_all_paths(monkeypatch):
             weight[path] = np.exp(sum(scores[lo + i] * y[i] for i in range(n)) + (start * y[0] if n else 0)
                                   + sum(trans[y[i], y[i + 1]] for i in range(n - 1)))
         for i in range(n):
+            assert X.chain_in_parts(scores, bounds, start, trans, 3)[0][lo + i] == pytest.approx(p[lo + i])
             on = sum(weight[path] for path in range(2 ** n) if path >> i & 1)
             assert p[lo + i] == pytest.approx(on / weight.sum())
 

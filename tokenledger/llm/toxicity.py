@@ -135,6 +135,17 @@ def chain(scores: np.ndarray, bounds: np.ndarray, start: float, trans: np.ndarra
     return q / (1 + q), forward, backward
 
 
+def chain_in_parts(scores: np.ndarray, bounds: np.ndarray, start: float, trans: np.ndarray, words: int = 1 << 17
+                   ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``chain`` over texts of about ``words`` words at a time, so that its working arrays stay small."""
+    out, i = [], 0
+    while i < len(bounds) - 1:
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + words, "right")) - 1)
+        out.append(chain(scores[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i], start, trans))
+        i = j
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else chain(scores, bounds, start, trans)
+
+
 def _token_labels(f: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Toxic tokens by distant supervision; ``toxic``: label of each word's document."""
     best = np.zeros(f.shape[1], dtype=bool)
@@ -203,7 +214,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, sizes: dict[int, int]) -> Model:
     size, rate = (np.zeros(1 << BITS), np.zeros(5)), 0.5
     for _ in range(ROUNDS):                                   # Adagrad on the log likelihood
         scores = emissions(f, weights)
-        p, a, back = chain(scores, bounds, start, trans)
+        p, a, back = chain_in_parts(scores, bounds, start, trans)
         g = np.zeros(1 << BITS)
         for row in f:
             g += np.bincount(row, weights=y1 - p, minlength=1 << BITS)
@@ -218,7 +229,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, sizes: dict[int, int]) -> Model:
         weights += rate * g / np.sqrt(size[0] + 1e-9)
         step = rate * gt / np.sqrt(size[1] + 1e-9)
         trans, start = trans + step[:4].reshape(2, 2), start + step[4]
-    p, _, _ = chain(emissions(f, weights), bounds, start, trans)
+    p, _, _ = chain_in_parts(emissions(f, weights), bounds, start, trans)
     scale = np.where(toxic == 1, sizes.get(1, n1) / n1, sizes.get(0, n0) / n0)
     doc = _fit_logistic(document_features(p, bounds), toxic.astype(float), scale / scale.mean())
     return Model(weights.astype(np.float32), start, trans, doc)
