@@ -70,6 +70,16 @@ def test_remaining(spark):
     assert [x[1] for x in got] == [0, 1, 2]    # limit 0 -> 0; inside window -> 1; past window -> full
 
 
+def test_remaining_as_of_with_null_keys_and_text_ids(spark):
+    rows = [(None, T0 + dt.timedelta(seconds=i), f"r{i}", 5) for i in range(3)] + [("a", T0, "x", 2), ("a", T0, "y", 2)]
+    rl = rate_limit(spark.createDataFrame(rows, "tenant_id string, ts timestamp, request_id string, limit_rpm int"), window_s=60)
+    probes = spark.createDataFrame([(None, T0 + dt.timedelta(seconds=1), 5), (None, T0 + dt.timedelta(seconds=61), 5), ("a", T0, 2)],
+                                   "tenant_id string, t timestamp, limit_rpm int")
+    for cap in (10**6, 1):
+        got = remaining_as_of(rl, probes, 60, max_bucket_rows=cap, bucket_s=1).collect()
+        assert sorted(r["remaining"] for r in got) == [0, 3, 5]
+
+
 def _loop_ttl(rows, ttl):
     out, state = {}, {}
     for key, ts, rid in sorted(rows, key=lambda r: (r[1], r[2])):

@@ -239,27 +239,31 @@ def remaining(limit_col: str = "limit_rpm", count_col: str = "window_count"):
 
 def remaining_as_of(limited: DataFrame, probes: DataFrame, window_s: int, keys=("tenant_id",),
                     ts: str = "ts", tie: str = "request_id", limit_col: str = "limit_rpm",
-                    bucket_s: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                    bucket_s: float = DEFAULT_BUCKET_SECONDS, max_bucket_rows: int = MAX_SEGMENT_ROWS) -> DataFrame:
     """W2 as-of: quota left at each probe time ``t`` (``probes`` has keys, ``t``
     and the limit). The live count is that of the last W1 row at or before t if
     t is still inside its window, else 0. Requests at exactly t count first.
 
     An as-of join done as a bucketed carry-forward over the union of W1 rows and
-    probes: no per-key partition, no pair enumeration.
+    probes: no per-key partition, no pair enumeration. The bucket width follows
+    the densest bucket; null keys are one key; ids may be of any ordered type.
     """
     keys = list(keys)
     window_us = int(window_s * US)
-    rows = limited.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_ts_us"),
-                          F.lit(0).alias("_kind"), F.col(tie).cast("bigint").alias("_tie"),
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_key")
+    tie_type = limited.schema[tie].dataType
+    rows = limited.select(key, *keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_ts_us"),
+                          F.lit(0).alias("_kind"), F.col(tie).alias("_tie"),
                           F.struct(F.unix_micros("window_start").alias("a"),
                                    F.col("window_count").alias("n")).alias("_state"),
                           F.lit(None).cast("timestamp").alias("t"), F.lit(None).cast("int").alias(limit_col))
-    pr = probes.select(*keys, F.unix_micros(F.col("t").cast("timestamp")).alias("_ts_us"), F.lit(1).alias("_kind"),
-                       F.lit(None).cast("bigint").alias("_tie"),
+    pr = probes.select(key, *keys, F.unix_micros(F.col("t").cast("timestamp")).alias("_ts_us"), F.lit(1).alias("_kind"),
+                       F.lit(None).cast(tie_type).alias("_tie"),
                        F.lit(None).cast("struct<a:bigint,n:bigint>").alias("_state"),
                        F.col("t").cast("timestamp").alias("t"), F.col(limit_col).cast("int").alias(limit_col))
-    both = with_bucket(rows.unionByName(pr).withColumn("_ord", F.struct("_kind", "_tie")), "_ts_us", bucket_s)
-    both = carry_last(both, keys, "_ts_us", "_ord", F.col("_state"), "_live")
+    both = rows.unionByName(pr).withColumn("_ord", F.struct("_kind", "_tie"))
+    both = with_bucket(both, "_ts_us", measured_bucket(both, ["_key"], "_ts_us", bucket_s, max_bucket_rows))
+    both = carry_last(both, ["_key"], "_ts_us", "_ord", F.col("_state"), "_live")
     out = both.filter(F.col("_kind") == 1)
     live = F.when(F.col("_live").isNotNull() & (F.col("_ts_us") < F.col("_live.a") + window_us),
                   F.col("_live.n")).otherwise(F.lit(0))
