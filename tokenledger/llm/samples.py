@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenledger.llm.textblocks import ALNUM_WORD, blocks
+
 
 def held_out(doc_id: Column) -> Column:
     """The fifth of documents that no model sees: crc32(id as text) mod 5 = 0 (a null id: false)."""
@@ -42,3 +45,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
             .join(F.broadcast(picked.distinct()), "doc_id")              # at most 2 x per_class ids
             .orderBy("doc_id", "text", "n_chars", "label").limit(2 * per_class))
     return rows.select("text", "n_chars", "label").toArrow(), sizes
+
+
+def without_copies(texts: pa.Array, sketch: int = 16) -> np.ndarray:
+    """Rows of a sample that are no near copies of an earlier one.
+
+    A text's sketch is its ``sketch`` smallest 5-gram hashes; a text that shares half of it with an earlier
+    text is a copy (its words would count once for every copy). Texts without 5-grams are kept.
+    """
+    owner: dict[int, int] = {}
+    keep, i = [], 0
+    for b in blocks(texts, ALNUM_WORD, lower=True):
+        at, h = b.gram_hashes(b.word_hashes(), 5)
+        cuts = np.searchsorted(b.doc[at], np.arange(b.n + 1))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            low = np.unique(h[lo:hi])[:sketch].tolist()
+            seen = [owner[x] for x in low if x in owner]
+            if not seen or 2 * max(map(seen.count, set(seen))) < len(low):
+                keep.append(i)
+                owner.update((x, i) for x in low if x not in owner)
+            i += 1
+    return np.array(keep, dtype=np.int64)

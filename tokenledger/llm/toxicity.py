@@ -4,7 +4,8 @@ Two states (clean, toxic) per word. Emission features are hashes of the word,
 its first 3 to 9 bytes and its last 2 to 4 bytes. Labelled tokens come from the
 labelled training documents: a word of a toxic document is a toxic token when
 one of its features is ``RATIO`` times as frequent in toxic documents as in
-clean ones (a lower confidence bound of the ratio); all words of clean documents
+clean ones (a lower confidence bound of the ratio) and occurs in ``MIN_DOCS`` toxic
+documents; near copies in the sample are left out; all words of clean documents
 are clean tokens. The model is fitted on the driver on a bounded sample
 (``TRAIN_DOCS`` documents a class, ``TRAIN_BYTES`` bytes each at most) and
 broadcast (2 MB).
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tokenledger.llm.samples import held_out, labelled_sample
+from tokenledger.llm.samples import held_out, labelled_sample, without_copies
 from tokenledger.llm.textblocks import ALNUM_WORD, _POWERS, Block, blocks, mix
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ TRAIN_BYTES = 16_384
 BITS = 18
 RATIO = 6.0
 MIN_COUNT = 8
+MIN_DOCS = 5
+CLIP = 3
 ROUNDS = 40
 CHUNK = 256
 PREFIXES = (3, 4, 5, 6, 7, 8, 9)
@@ -146,15 +149,24 @@ def chain_in_parts(scores: np.ndarray, bounds: np.ndarray, start: float, trans:
     return tuple(np.concatenate(x) for x in zip(*out)) if out else chain(scores, bounds, start, trans)
 
 
-def _token_labels(f: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Toxic tokens by distant supervision; ``toxic``: label of each word's document."""
+def _clipped(index: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(occurrences, at most CLIP a document; documents) of each feature."""
+    pair, n = np.unique(index * np.int64(n_docs) + doc, return_counts=True)
+    feature = pair // n_docs
+    return (np.bincount(feature, weights=np.minimum(n, CLIP), minlength=1 << BITS),
+            np.bincount(feature, minlength=1 << BITS))
+
+
+def _token_labels(f: np.ndarray, toxic: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Toxic tokens by distant supervision; ``toxic``: label of each word's document ``doc``."""
+    n_docs = np.int64(doc.max(initial=0) + 1)
     best = np.zeros(f.shape[1], dtype=bool)
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     for row in f:
-        a = np.bincount(row[toxic], minlength=1 << BITS).astype(float)
-        c = np.bincount(row[~toxic], minlength=1 << BITS).astype(float)
+        a, spread = _clipped(row[toxic], doc[toxic], n_docs)
+        c, _ = _clipped(row[~toxic], doc[~toxic], n_docs)
         low = np.log((a + 0.5) / n1) - np.log((c + 0.5) / n0) - 1.64 * np.sqrt(1 / (a + 0.5) + 1 / (c + 0.5))
-        best |= ((low > np.log(RATIO)) & (a >= MIN_COUNT))[row]
+        best |= ((low > np.log(RATIO)) & (a >= MIN_COUNT) & (spread >= MIN_DOCS))[row]
     return best & toxic
 
 
@@ -191,6 +203,10 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float =
 
 def fit(texts: pa.Array, toxic: np.ndarray, sizes: dict[int, int]) -> Model:
     """Fit the chain and the document score on a sample; ``sizes``: training labels of each class."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    own = without_copies(texts)
+    texts, toxic = texts.take(pa.array(own)), toxic[own]
     n0, n1 = int((toxic == 0).sum()), int((toxic == 1).sum())
     if not n0 or not n1:
         total = sizes.get(0, 0) + sizes.get(1, 0)
@@ -202,7 +218,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, sizes: dict[int, int]) -> Model:
     f, n = np.concatenate(parts, axis=1), np.concatenate(counts)
     del parts
     bounds = np.append(0, np.cumsum(n))
-    y = _token_labels(f, np.repeat(toxic == 1, n))
+    y = _token_labels(f, np.repeat(toxic == 1, n), np.repeat(np.arange(len(n)), n))
     y1 = y.astype(float)
     inner = np.ones(len(y), dtype=bool)
     inner[bounds[:-1][n > 0]] = False
@@ -231,7 +247,12 @@ def fit(texts: pa.Array, toxic: np.ndarray, sizes: dict[int, int]) -> Model:
         trans, start = trans + step[:4].reshape(2, 2), start + step[4]
     p, _, _ = chain_in_parts(emissions(f, weights), bounds, start, trans)
     scale = np.where(toxic == 1, sizes.get(1, n1) / n1, sizes.get(0, n0) / n0)
-    doc = _fit_logistic(document_features(p, bounds), toxic.astype(float), scale / scale.mean())
+    x = document_features(p, bounds)
+    doc = _fit_logistic(x, toxic.astype(float), scale / scale.mean())
+    # classes that lie apart: put one half midway between them, not where the few clean outliers of a sample leave it
+    low, high = np.quantile((x @ doc)[toxic == 1], 0.1), np.quantile((x @ doc)[toxic == 0], 0.995)
+    if low > high:
+        doc[0] -= max(0.0, (low + high) / 2)
     return Model(weights.astype(np.float32), start, trans, doc)
 
 
