@@ -10,6 +10,9 @@
 3. A value held by one owner in at most ``MAX_REPOSITORIES`` repositories that
    looks random enough is live-looking: its place is added as a span of kind
    ``live``. All base spans stay.
+4. Masking reads a private key's base64 body as the value, whatever it is broken
+   by (line ends, escapes, quotes), to its last base64 line if the END line is
+   missing. ``scan_secrets`` lists the header alone, as its SQL does.
 
 Defined cases: a null text is empty; a null owner or repository is one of its
 own; every row, repeated ones too, gives one row; spans are in code points, end
@@ -55,6 +58,16 @@ MORE = [
 KINDS = [*[k[0] for k in BASE], *[k[0] for k in MORE], "live"]
 _HINTS = ("-----BEGIN", "gh", "xox", "k_live_", "eyJ")
 
+#: what may stand between a private key's lines: white space, escapes, quotes, comment signs, a joining plus
+_BREAK = r"""(?:\\[nrt]|[\s"'`,>#*|\\]|//|(?<=[\s"'`])\+(?=\s))*+"""
+_BASE64 = r"(?:[A-Za-z0-9+/=]|\\/)"
+#: after a key's header: fields such as Proc-Type, lines of 16 base64 characters at least, and one shorter last line
+_KEY = re.compile(rf"""(?:{_BREAK}[A-Z][A-Za-z0-9-]{{0,40}}:\x20[^\r\n\\]{{0,200}})*+{_BREAK}
+    (?P<body>{_BASE64}{{16,}}+(?:{_BREAK}{_BASE64}{{16,}}+)*+
+        (?:{_BREAK}{_BASE64}{{1,15}}+(?=[\x20\t]*(?:[\r\n]|\Z)|\\[nr]|["'`]|{_BREAK}-----END))?)
+    (?:{_BREAK}-----END[ ][A-Z ]{{0,30}}PRIVATE[ ]KEY-----)?""", re.VERBOSE)
+_NOT_BASE64 = re.compile(r"""\\[nrt]|(?<=[\s"'`])\+(?=\s)|[^A-Za-z0-9+/=]""")
+
 
 def _entropy(value: str) -> float:
     n = len(value)
@@ -67,8 +80,11 @@ def looks_random(value: str) -> bool:
             and _entropy(value) >= MIN_ENTROPY)
 
 
-def find(text: str) -> list[tuple[int, int, int, int, int, str, bool]]:
-    """(kind, start, end, value start, value end, value hash, looks random) of the candidates of a text."""
+def find(text: str, keys: bool = False) -> list[tuple[int, int, int, int, int, str, bool]]:
+    """(kind, start, end, value start, value end, value hash, looks random) of the candidates of a text.
+
+    ``keys``: a private key's span runs through its END line and its value is the base64 body.
+    """
     out = []
 
     def add(kind: int, m: re.Match, group: int) -> None:
@@ -85,7 +101,13 @@ def find(text: str) -> list[tuple[int, int, int, int, int, str, bool]]:
     for kind, (_, pattern, group, _) in enumerate(MORE, len(BASE)):
         if _HINTS[kind - len(BASE)] in text:
             for m in pattern.finditer(text):
-                add(kind, m, group)
+                key = _KEY.match(text, m.end()) if keys and KINDS[kind] == "pem" else None
+                if key:
+                    value = _NOT_BASE64.sub("", key["body"])
+                    out.append((kind, m.start(), key.end(), *key.span("body"),
+                                hashlib.sha256(value.encode()).hexdigest(), looks_random(value)))
+                else:
+                    add(kind, m, group)
     return sorted(out)
 
 
@@ -94,8 +116,8 @@ _FIELDS = [("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("v
            ("value_end", pa.int64()), ("value", pa.string()), ("random", pa.bool_())]
 
 
-def with_candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``candidates`` added at the end."""
+def with_candidates(docs: DataFrame, keys: bool = False) -> DataFrame:
+    """``docs`` with ``candidates`` (see ``find``) added at the end."""
     docs = docs.drop("candidates")
     at = docs.columns.index("text")
     kind = pa.list_(pa.struct(_FIELDS))
@@ -103,7 +125,7 @@ def with_candidates(docs: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[dict(zip(names, c)) for c in find(t)] if t else [] for t in batch.column(at).to_pylist()]
+            found = [[dict(zip(names, c)) for c in find(t, keys)] if t else [] for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "candidates"])
 
     return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField("candidates", T.ArrayType(
@@ -161,7 +183,8 @@ def scan_secrets(docs: DataFrame, owner: Column, repository: Column) -> DataFram
 def redact(docs: DataFrame, owner: Column, repository: Column, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with live-looking values replaced by ``mask``; rows without candidates pass unread by a shuffle."""
     columns = docs.columns
-    scanned = with_candidates(docs.withColumns({"_owner": owner.cast("string"), "_repository": repository.cast("string")}))
+    scanned = with_candidates(docs.withColumns({"_owner": owner.cast("string"), "_repository": repository.cast("string")}),
+                              keys=True)
     clean = scanned.filter(F.size("candidates") == 0).select(*columns)
     dirty = stage(scanned.filter(F.size("candidates") > 0).withColumn("_row", F.monotonically_increasing_id()),
                   "secret-dirty")
