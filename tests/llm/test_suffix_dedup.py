@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.cases import SCHEMA, clashing, edge_docs, rows
 from tokenledger.llm import suffix_dedup as S
@@ -60,5 +61,19 @@ def test_shared_passages(spark, block_bytes):
     assert sum(r[2] > 0 for r in want) > 30 and any(r[3] > 1 for r in want)
 
 
+def test_a_hot_gram_is_split_over_the_buckets(spark):
+    rng = random.Random(3)
+    passage = "a passage that very many documents share, each between bytes of its own"
+    own = ["".join(rng.choices("abcdefgh", k=80)) for _ in range(600)]
+    docs = [(i // 2, (own[i - 1] if i % 9 == 0 else own[i])[:60] + passage + own[i][60:], "en", "s", 0) for i in range(600)]
+    df = spark.createDataFrame(docs, SCHEMA).repartition(4)
+    packed = S.pack_blocks(df, 4000)
+    largest = [max(r["n"] for r in S.run_entries(packed, 50, 64, hot).groupBy("bucket").agg(
+        F.sum(F.length("data") / 22).alias("n")).collect()) for hot in (S._NONE, S.hot_grams(packed, 50, 100))]
+    assert largest[0] > 500 and largest[1] < 200
+    want = check(df, buckets=64, block_bytes=4000, hot_entries=100)
+    assert sum(r[2] > 0 for r in want) > 500
+
+
 def test_whole_table(spark):
     check(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))

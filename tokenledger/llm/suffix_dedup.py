@@ -15,6 +15,13 @@ significant digit first, and a group that a digit leaves alone drops out:
   bytes next to the position on one side, without being equal: such runs give
   their windows to a second sort, whose equal groups are the repeated windows.
 
+A gram of very many different runs (at the border of a passage that a third of
+all documents share, each document's own bytes are in the run) is found first, by
+a count per block and gram that is summed over the blocks. Its runs are dealt by
+digits 1 and 2, and those that are not repeated give their windows without a
+look at their neighbours: under so many runs each finds another that shares a
+side.
+
 Digits travel as hashes (32 bits and the bucket for digit 1, 64 bits for digits
 2 and 3), so buckets are even. Texts move in compressed blocks of about 1 MB
 that are staged once. Inside a block equal runs and windows are one entry with
@@ -46,11 +53,17 @@ GRAM = 20
 BLOCK_BYTES = 1 << 20
 #: buckets of each sort for every shuffle partition of the session
 BUCKETS_PER_PARTITION = 4
+#: a gram of so many entries is split; counted over the blocks where it has ``HOT_IN_BLOCK`` at least
+HOT_ENTRIES = 1 << 16
+HOT_IN_BLOCK = 4
+#: only the grams of most entries are split, so another has at most a ``HOT_GRAMS``-th of all entries
+HOT_GRAMS = 1 << 16
 
 _LAST = np.int64(2**63 - 1)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0xFFFFFFFF)
 _ANY = np.ones(256, dtype=bool)
+_NONE = np.zeros(0, np.uint64)
 
 
 def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -70,7 +83,8 @@ class Runs:
 
     ``first`` / ``last``: first and last window start of each run; ``doc``: its
     text; ``entry``: its entry. Entries are ordered by bucket, digit 1, digit 2;
-    ``low`` is the smallest document key among an entry's runs.
+    ``low`` is the smallest document key among an entry's runs; ``hot``: its gram is
+    split over the buckets; ``digit1``: the gram's whole hash.
     """
     first: np.ndarray
     last: np.ndarray
@@ -82,6 +96,8 @@ class Runs:
     left: np.ndarray
     right: np.ndarray
     low: np.ndarray
+    hot: np.ndarray
+    digit1: np.ndarray
 
 
 class Text:
@@ -96,12 +112,14 @@ class Text:
     def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
-    def runs(self, buckets: int, gram: int = GRAM) -> Runs:
+    def runs(self, buckets: int, hot: np.ndarray = _NONE, gram: int = GRAM) -> Runs:
+        """``hot``: the hashes of the grams to split, ordered."""
         n, width = len(self.data), self.width
         sizes = np.diff(self.bounds)
         if n < width or not (sizes >= width).any():
             none, h = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-            return Runs(none, none, none, none, none, h, h, h.astype(np.uint8), h.astype(np.uint8), none)
+            return Runs(none, none, none, none, none, h, h, h.astype(np.uint8), h.astype(np.uint8), none,
+                        h.astype(bool), h)
         at = np.arange(n - gram + 1)
         h = self.hash(at, at + gram)
         best = _sliding_min((h & _HIGH) | at.astype(np.uint64), width - gram + 1)
@@ -117,7 +135,11 @@ class Text:
         half = (width - gram) // 2                                # a window reaches so far on one side at least
         left = self._side(place - half, place, place - half >= self.bounds[owner])
         right = self._side(place + gram, place + width - half, place + width - half <= self.bounds[owner + 1])
-        bucket = ((mix(digit1) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        split = np.zeros(len(digit1), dtype=bool)
+        if len(hot):
+            split = hot[np.minimum(np.searchsorted(hot, digit1), len(hot) - 1)] == digit1
+        dealt = np.where(split, mix(digit1) ^ digit2, digit1)
+        bucket = ((mix(dealt) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((self.keys[owner], digit2, digit1 & _LOW, bucket))
         b, g, r = bucket[order], (digit1 & _LOW)[order], digit2[order]
         fresh = np.append(True, (b[1:] != b[:-1]) | (g[1:] != g[:-1]) | (r[1:] != r[:-1]))
@@ -125,7 +147,7 @@ class Text:
         entry = np.empty(len(order), np.int64)
         entry[order] = np.cumsum(fresh) - 1
         return Runs(first, last, owner, entry, bucket[head], (digit1 & _LOW)[head], digit2[head], left[head],
-                    right[head], self.keys[owner[head]])
+                    right[head], self.keys[owner[head]], split[head], digit1[head])
 
     def _side(self, starts: np.ndarray, ends: np.ndarray, there: np.ndarray) -> np.ndarray:
         """A byte (1 to 255) of the range's hash; 0 where the text ends before."""
@@ -307,38 +329,58 @@ def _collected(answers: DataFrame, name: str) -> DataFrame:
     return answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
 
 
-def _open_windows(t: Text, row: dict, buckets: int) -> tuple[Runs, np.ndarray, tuple[np.ndarray, ...]]:
+def _open_windows(t: Text, row: dict, buckets: int, hot: np.ndarray) -> tuple[Runs, np.ndarray, tuple[np.ndarray, ...]]:
     """(runs, run is repeated, windows of the open runs) of a block and its first answers."""
-    runs = t.runs(buckets)
+    runs = t.runs(buckets, hot)
     repeated, wanted = _flags(row["runs"], runs.bucket)
     mine = t.keys[runs.doc] if len(runs.doc) else runs.doc
     gone = repeated[runs.entry] | (mine > runs.low[runs.entry])
-    return runs, gone, t.windows(runs, ~gone & wanted[runs.entry], buckets)
+    return runs, gone, t.windows(runs, ~gone & (wanted | runs.hot)[runs.entry], buckets)
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, block_bytes: int = BLOCK_BYTES
-                   ) -> DataFrame:
-    """doc_id, n_bytes, spans (start, end of maximal removed runs, in bytes) and kept (the other bytes)."""
-    spark = docs.sparkSession
-    n_buckets = buckets or BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = pack_blocks(docs, block_bytes)
+def hot_grams(packed: DataFrame, width: int = WIDTH, least: int = HOT_ENTRIES) -> np.ndarray:
+    """Hashes of the grams that ``least`` entries share, ordered; at most ``HOT_GRAMS``, those of most entries."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _each(batch):
+                gram, n = np.unique(_open(row, width).runs(1).digit1, return_counts=True)
+                many = n >= HOT_IN_BLOCK
+                yield pa.RecordBatch.from_arrays([pa.array(gram[many].view(np.int64)), pa.array(n[many], pa.int64())],
+                                                 ["gram", "n"])
+
+    counted = packed.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    top = counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(HOT_GRAMS).collect()
+    return np.sort(np.array([r["gram"] for r in top], np.int64).view(np.uint64))
 
-    def run_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def run_entries(packed: DataFrame, width: int, buckets: int, hot: np.ndarray) -> DataFrame:
+    """bucket, block, data: the run entries of the blocks, 22 bytes each."""
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _each(batch):
-                r, out = _open(row, width).runs(n_buckets), []
+                r, out = _open(row, width).runs(buckets, hot), []
                 for b, lo, hi in _slices(r.bucket):
                     out.append((b, row["block"], b"".join([
                         r.gram[lo:hi].astype("<u4").tobytes(), r.run[lo:hi].astype("<u8").tobytes(),
                         r.left[lo:hi].tobytes(), r.right[lo:hi].tobytes(), _planes(r.low[lo:hi])])))
                 yield _entry_rows(out)
 
-    runs = stage(_collected(_sort_buckets(packed.mapInArrow(run_entries, _ENTRIES), _answer_runs), "runs"), "suffix-runs")
+    return packed.mapInArrow(entries, _ENTRIES)
+
+
+def repeated_spans(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, block_bytes: int = BLOCK_BYTES,
+                   hot_entries: int = HOT_ENTRIES) -> DataFrame:
+    """doc_id, n_bytes, spans (start, end of maximal removed runs, in bytes) and kept (the other bytes)."""
+    spark = docs.sparkSession
+    n_buckets = buckets or BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = pack_blocks(docs, block_bytes)
+    hot = hot_grams(packed, width, hot_entries)
+    runs = stage(_collected(_sort_buckets(run_entries(packed, width, n_buckets, hot), _answer_runs), "runs"), "suffix-runs")
 
     def window_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _each(batch):
-                _, _, (_, _, _, bucket, h, low) = _open_windows(_open(row, width), row, n_buckets)
+                _, _, (_, _, _, bucket, h, low) = _open_windows(_open(row, width), row, n_buckets, hot)
                 yield _entry_rows([(b, row["block"], h[lo:hi].astype("<u8").tobytes() + _planes(low[lo:hi]))
                                    for b, lo, hi in _slices(bucket)])
 
@@ -351,7 +393,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, buckets: int | None = No
         for batch in batches:
             for row in _each(batch):
                 t = _open(row, width)
-                r, gone, (start, key, entry, bucket, _, low) = _open_windows(t, row, n_buckets)
+                r, gone, (start, key, entry, bucket, _, low) = _open_windows(t, row, n_buckets, hot)
                 elsewhere, _ = _flags(row["windows"], bucket)
                 hit = start[elsewhere[entry] | (key > low[entry])] if len(start) else start
                 edge = np.zeros(len(t.data) + 1, np.int64)
