@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenledger.llm import (decontaminate, licenses, mixing, quality_fm, quality_rules, secrets, simhash, suffix_dedup,
-                             tokens, toxicity)
+from tokenledger.llm import (decontaminate, lexical_search, licenses, mixing, quality_fm, quality_rules, secrets, simhash,
+                             suffix_dedup, tokens, toxicity, url_filter, whitening)
 from tokenledger.llm.staging import prepare
 
 
@@ -60,6 +60,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fm": op1_quality_fm,
     "op2_mix_sources": op2_mix_sources,
@@ -71,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_url_filter": op13_url_filter,
 }
 
 ORACLE: dict[str, str] = {
@@ -79,4 +94,6 @@ ORACLE: dict[str, str] = {
     "op6_secrets": secrets.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
     "op10_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    "op12_lexical_search": lexical_search.ORACLE_SQL,
+    "op13_url_filter": url_filter.ORACLE_SQL,
 }
