@@ -34,7 +34,10 @@ def edge_docs(spark):
 def clashing(df):
     """The same rows with extra columns named like those that the operators make."""
     from pyspark.sql import functions as F
-    for c in ("row", "size", "target", "taken", "score", "key", "hash", "fingerprint", "n_words", "kept", "class", "found"):
+    for c in ("row", "size", "target", "taken", "score", "key", "hash", "fingerprint", "n_words", "kept", "class", "found",
+              "rest", "whole", "cut_key", "_source", "_size", "source_size", "candidates", "_row", "_live", "live", "_owner",
+              "owner", "repository", "fp", "root", "low", "grams", "spans", "label", "held_out", "_digest", "digest", "block",
+              "serial", "wins", "count", "words", "n", "value", "range", "before", "upto", "a.b", "c0", "c1"):
         df = df.withColumn(c, F.lit("x"))
     return df
 

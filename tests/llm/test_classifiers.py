@@ -96,3 +96,19 @@ def test_spans_point_at_the_offending_words(spark):
 def test_fit_without_a_class():
     assert X.fit(pa.array(["a"]), np.array([1]), {1: 3}).constant == 1.0
     assert Q.fit(pa.array(["a"]), np.array([1.0]), np.array([0]), {0: 2}).constant == 0.0
+
+
+def test_a_repeated_labelled_id_does_not_crowd_out_a_class(spark):
+    """One low id with thousands of rows, and long texts among the labelled: both classes stay in the sample."""
+    from pyspark.sql import functions as F
+    from tokenledger.llm.samples import labelled_sample
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    docs = [(i, f"text of {i} " * (1 if i % 3 else 3000), "en", "a", 5) for i in train]
+    df = spark.createDataFrame(docs, SCHEMA).unionByName(spark.createDataFrame(docs[:1], SCHEMA).withColumn(
+        "n", F.explode(F.sequence(F.lit(1), F.lit(4500)))).withColumn("text", F.concat(F.lit("copy "), "n")).drop("n"))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in train] + [(train[0], 1, 1)], "doc_id long, quality int, toxic int")
+    sample, sizes = labelled_sample(df, labels, "toxic", 60, 16_384)
+    texts, got = sample.column("text").to_pylist(), sample.column("label").to_pylist()
+    assert got.count(0) == got.count(1) == 60 and max(map(len, texts)) <= 16_384
+    assert sum(t.startswith("copy") or t == f"text of {train[0]} " for t in texts) <= 1
+    assert sizes[1] + sizes[0] == len(train) + 1

@@ -55,3 +55,19 @@ def test_notices_survive_edits_but_not_shuffles(spark):
     assert [out[i]["labels"] for i in range(6)] == ["mit", "mit", "mit", "", "", "mit"]
     assert out[1]["spans"][0][0] == 30 and out[0]["score"] == 1.0 and 0.5 <= out[2]["score"] < 1
     assert len(out[5]["spans"]) == 2 and out[3]["score"] < 0.5
+
+
+def test_phrase_in_every_place_of_a_text_longer_than_a_block(spark):
+    docs = [(i, "cc by " * 200_000 if i == 7 else "word cc by " * 40, "en", "a", 0) for i in range(60)]
+    out = check(spark.createDataFrame(docs, SCHEMA))
+    spans = {r["doc_id"]: r["spans"] for r in out}
+    assert len(spans[7]) == 200_000 and tuple(spans[0][0]) == (1, 3, "cc-by")
+    thin = L.scan_licenses(spark.createDataFrame(docs, SCHEMA), spans=False)
+    assert thin.columns == [c for c in out[0].asDict() if c != "spans"]
+
+
+def test_a_copy_among_many_quotes_stays_one_chain():
+    """Ten quotes of one clause begin between a copy's stretch and its next one, two words on."""
+    quotes = [(22 + i, 1, 0, 0) for i in range(10)]
+    chains = L._merge([(0, 17, 0, 20), *quotes, (3, 40, 29, 70)])
+    assert [(0, 17, 0, 20), (3, 40, 29, 70)] in chains and len(chains) == 11

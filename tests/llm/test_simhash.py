@@ -127,3 +127,16 @@ def test_components_of_long_chains_and_stars(spark):
 
 def test_word_rule():
     assert re.fullmatch("[0-9a-f]{16}", f"{fingerprint('A b'):016x}") and fingerprint(" ") == 0
+
+
+def test_keep_one_of_repeated_rows_and_equal_ids(spark):
+    from pyspark.sql import functions as F
+    text = "alpha beta gamma delta epsilon zeta"
+    data = [(1, text, "en", "a", 1)] * 500 + [(1, text, "en", "b", 1)] * 2 + [(2, text, "en", "a", 1), (None, text, None, None, 1)]
+    data += [(7, "quite other words stand in this one", "en", "a", 1), (None, None, None, None, None)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(5)
+    out = S.keep_one(df).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in out) == [(False, 1), (False, 7), (True, None)]
+    assert all(tuple(r) in set(data) for r in out)
+    wide = df.withColumn("key", F.lit("x")).withColumn("wins", F.map_from_arrays(F.array(F.lit(1)), F.array(F.lit(2))))
+    assert [r["doc_id"] for r in S.keep_one(wide).collect()].count(1) == 1

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenledger.llm.staging import stage
+from tokenledger.llm.staging import stage, without
 from tokenledger.llm.textblocks import ALNUM_WORD, Block, blocks
 
 WINDOW = 13
@@ -236,12 +236,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM) -> DataFrame:
     """The rows of ``docs`` whose text is not contaminated, unchanged.
 
-    The verdict depends on the text alone, so it is joined back by the text's SHA-256.
+    The verdict depends on the text alone, so the texts' SHA-256 are what is taken out; texts stay in the scan.
+    Null and empty texts stay, repeated rows share their verdict, extra columns of any name pass through.
     """
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     bad = decontaminate(docs.select(digest.alias("doc_id"), "text"), benchmark, window, k).filter("contaminated")
-    marked = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("whole"), digest.alias("_digest"))
-    return marked.join(bad.select(F.col("doc_id").alias("_digest")).distinct(), "_digest", "left_anti").select("whole.*")
+    return without(docs, digest, stage(bad.select(F.col("doc_id").alias("key")).distinct(), "decon-gone"))
 
 
 ORACLE_SQL = r"""

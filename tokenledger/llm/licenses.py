@@ -12,7 +12,9 @@ verified: a phrase must be whole on one diagonal, a notice needs ``SHARE`` of it
 k-grams, each counted once, within a bounded length.
 
 Defined cases: a null or empty text has no words, places or labels and score 0;
-every row, repeated ones too, gives one row.
+every row, repeated ones and null ids too, gives one row; an empty table gives none;
+a long text is one block and its places are counted in Spark, however many; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenledger.llm.textblocks import ALNUM_WORD, blocks
 
@@ -30,6 +34,8 @@ PHRASE_GRAM = 2
 NOTICE_GRAM = 5
 SHIFT = 4
 SHARE = 0.5
+#: rows whose notice hits are read at a time
+JUDGED_ROWS = 512
 
 #: FIXED VALUES: the base phrases and their labels
 BASE_PHRASES = {
@@ -118,53 +124,60 @@ def document_grams(docs: DataFrame, ks: tuple[int, ...] = (PHRASE_GRAM, NOTICE_G
 def _merge(diagonals: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int, int, int]]]:
     """Chains of (diagonal, votes, first, last template position) of one template, in document order."""
     chains: list[list[tuple[int, int, int, int]]] = []
+    near: list[list[tuple[int, int, int, int]]] = []          # chains that a later diagonal can still follow
+    reach = 3 * NOTICE_GRAM + SHIFT
     for d in sorted(diagonals, key=lambda x: (x[0] + x[2], x[0])):
-        for chain in reversed(chains[-8:]):
-            end = chain[-1]
-            if abs(d[0] - end[0]) <= SHIFT and d[2] > end[2] and d[0] + d[2] <= end[0] + end[3] + 3 * NOTICE_GRAM + SHIFT:
+        near = [c for c in near if d[0] + d[2] <= c[-1][0] + c[-1][3] + reach]
+        for chain in reversed(near):
+            if abs(d[0] - chain[-1][0]) <= SHIFT and d[2] > chain[-1][2]:
                 chain.append(d)
                 break
         else:
             chains.append([d])
+            near.append(chains[-1])
     return chains
 
 
-def verify(hits: list[dict], templates: list[tuple[int, str, str, list[str]]]) -> dict:
-    """Places, labels and score of one document from its diagonals."""
-    by: dict[int, list[tuple[int, int, int, int]]] = {}
-    for h in hits:
-        by.setdefault(h["template"], []).append((h["diagonal"], h["votes"], h["first"], h["last"]))
-    places, base, labels, score, spans = [], set(), set(), 0.0, []
-    for t, found in by.items():
-        k, kind, label, words = templates[t]
-        need = len(words) - k + 1
-        if kind != "notice":
-            whole = sorted(d for d, votes, _, _ in found if votes == need)
-            score = max([score, 1.0 if whole else max(v for _, v, _, _ in found) / need * 0.5])
-            if whole:
-                labels.add(label)
-                spans += [(d, d + len(words), label) for d in whole]
-                if kind == "base":
-                    base.add(label)
-                    places += whole
-            continue
-        for chain in _merge(found):
-            votes = min(need, sum(v for _, v, _, _ in chain))
-            first, last = chain[0][0] + chain[0][2], max(d + hi for d, _, _, hi in chain) + k
-            share = votes / need
-            score = max(score, share)
-            if share >= SHARE and last - first <= 2 * len(words):
-                labels.add(label)
-                spans.append((first, last, label))
-    return {"n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None),
-            "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": float(min(1.0, score)),
-            "spans": sorted(spans)}
-
-
-def scan_licenses(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and spans of every row.
-
-    ``spans``: (first, last, label) of every verified place, in words, last exclusive.
+def verify_notice(found: list[tuple[int, int, int, int]], words: int) -> tuple[float, list[tuple[int, int]]]:
+    """(largest share of the notice's k-grams in one chain, verified stretches) of a notice of so many words."""
+    need, score, spans = words - NOTICE_GRAM + 1, 0.0, []
+    for chain in _merge(found):
+        share = min(need, sum(v for _, v, _, _ in chain)) / need
+        first, last = chain[0][0] + chain[0][2], max(d + hi for d, _, _, hi in chain) + NOTICE_GRAM
+        score = max(score, share)
+        if share >= SHARE and last - first <= 2 * words:
+            spans.append((first, last))
+    return score, spans
+
+
+_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("label", pa.string())]))
+
+
+def _notices(hits: pa.ListArray, templates: list[tuple[int, str, str, list[str]]]) -> list[pa.Array]:
+    """mask, score and spans of each row of notice hits (template, diagonal, votes, first, last)."""
+    sizes = pc.list_value_length(hits).fill_null(0).to_numpy(zero_copy_only=False)
+    flat = hits.flatten()
+    cols = [flat.field(i).to_numpy(zero_copy_only=False) for i in range(5)]
+    masks, scores, spans = np.zeros(len(sizes), np.int64), np.zeros(len(sizes)), {}
+    ends = np.cumsum(sizes)
+    for i in np.flatnonzero(sizes).tolist():
+        t, *rest = (c[ends[i] - sizes[i]:ends[i]] for c in cols)
+        for template in np.unique(t).tolist():
+            at = t == template
+            _, _, label, words = templates[template]
+            score, places = verify_notice(list(zip(*(c[at].tolist() for c in rest))), len(words))
+            scores[i] = max(scores[i], score)
+            if places:
+                masks[i] |= 1 << template
+                spans.setdefault(i, []).extend({"first": a, "last": z, "label": label} for a, z in places)
+    return [pa.array(masks), pa.array(scores), pa.array([spans.get(i, []) for i in range(len(sizes))], _SPANS)]
+
+
+def scan_licenses(docs: DataFrame, spans: bool = True) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and, if asked, spans of every row.
+
+    ``spans``: (first, last, label) of every verified place, in words, last exclusive. Phrases are decided by
+    Spark's aggregates; only the diagonals of notices reach Python.
     """
     templates = _templates()
     spark = docs.sparkSession
@@ -183,23 +196,53 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
              .groupBy("row", "template", F.when(F.col("template").isNotNull(), place - F.col("position")).alias("diagonal"))
              .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
                   F.count(F.lit(1)).alias("votes"), F.min("position").alias("first"), F.max("position").alias("last")))
-    per_row = votes.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-        F.collect_list(F.when(F.col("template").isNotNull(), F.struct(
-            "template", F.col("diagonal").cast("long").alias("diagonal"), F.col("votes"), "first", "last"))).alias("hits"))
+
+    def of_template(values: list) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), F.col("template"))
+
+    need = of_template([len(words) - k + 1 for k, _, _, words in templates])
+    phrase = of_template([kind != "notice" for _, kind, _, _ in templates])
+    base = of_template([kind == "base" for _, kind, _, _ in templates])
+    diagonal = F.col("diagonal").cast("long")
+    whole = phrase & (F.col("votes") == need)
+    place_of_base = F.when(whole & base, diagonal)
+    zero = F.lit(0).cast("long")
+    found = [F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+             F.count(place_of_base).alias("n_base"), F.min(place_of_base).alias("first_word"),
+             F.max(place_of_base).alias("last_word"),
+             F.coalesce(F.bit_or(F.when(whole, of_template([1 << t for t in range(len(templates))]))), zero)
+             .cast("long").alias("mask"),
+             F.coalesce(F.max(F.when(whole, 1.0).when(phrase, F.col("votes") / need * 0.5)), F.lit(0.0)).alias("score"),
+             F.collect_list(F.when(~phrase, F.struct("template", diagonal.alias("diagonal"), "votes", "first", "last"))
+                            ).alias("hits")]
+    if spans:
+        length, label = of_template([len(t[3]) for t in templates]), of_template([t[2] for t in templates])
+        found.append(F.collect_list(F.when(whole, F.struct(
+            diagonal.alias("first"), (diagonal + length).alias("last"), label.alias("label")))).alias("places"))
+    per_row = votes.groupBy("row").agg(*found).drop("row")
+    at = per_row.columns.index("hits")
+    kept = [i for i in range(len(per_row.columns)) if i != at]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("label", pa.string())]))
         for batch in batches:
-            found = [verify(h, templates) for h in batch.column(2).to_pylist()]
-            cols = [pa.array([f[c] for f in found], t) for c, t in
-                    [("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()),
-                     ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())]]
-            spans = pa.array([[{"first": a, "last": z, "label": x} for a, z, x in f["spans"]] for f in found], kind)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols, spans], names)
-
-    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return per_row.select("doc_id", "n_words", "hits").mapInArrow(
-        judge, f"doc_id {id_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, "
-               "labels string, score double, spans array<struct<first:bigint,last:bigint,label:string>>")
+            for lo in range(0, batch.num_rows, JUDGED_ROWS):
+                part = batch.slice(lo, JUDGED_ROWS)
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in kept], *_notices(part.column(at), templates)],
+                                                 [*[batch.schema.names[i] for i in kept], *more])
+
+    more = ["notice_mask", "notice_score", "notice_spans"]
+    schema = T.StructType([per_row.schema.fields[i] for i in kept] + [
+        T.StructField("notice_mask", T.LongType()), T.StructField("notice_score", T.DoubleType()),
+        T.StructField("notice_spans", T.ArrayType(T.StructType([
+            T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("label", T.StringType())])))])
+    judged = per_row.mapInArrow(judge, schema)
+
+    def labels(mask: Column, kinds: tuple[str, ...]) -> Column:
+        each = [F.when(mask.bitwiseAND(F.lit(1 << t)) != 0, F.lit(label))
+                for t, (_, kind, label, _) in enumerate(templates) if kind in kinds]
+        return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*each)))), ",")
+
+    mask = F.col("mask").bitwiseOR(F.col("notice_mask"))
+    out = ["doc_id", "n_words", "n_base", "first_word", "last_word", labels(mask, ("base",)).alias("base_labels"),
+           labels(mask, ("base", "phrase", "notice")).alias("labels"), F.greatest("score", "notice_score").alias("score")]
+    return judged.select(*out, *([F.array_sort(F.concat("places", "notice_spans")).alias("spans")] if spans else []))

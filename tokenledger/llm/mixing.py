@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenledger.llm.staging import stage
+from tokenledger.llm.staging import numbered, renamed, stage
 
 #: words ``[^\x20\x09-\x0D]+``
 WORD = r"[^\x20\x09-\x0D]+"
@@ -142,17 +142,18 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights: tuple[int,
     through (those named like an added column are replaced).
     """
     made = ("size", "source_size", "target", "taken")
-    docs = docs.withColumn("_size", word_count(F.col("text")) if size is None else size.cast("bigint"))
-    docs = docs.drop(*made).withColumnRenamed("_size", "size")
-    sized = stage(docs.select("doc_id", "source", "size"), "mix-sizes")
-    if set(docs.columns) == set(sized.columns):
-        docs = sized
+    passengers = [c for c in docs.columns if c not in made]
+    words = word_count(F.col("text")) if size is None else size.cast("bigint")
+    named = docs.select("doc_id", "source", words.alias("size"), *numbered(passengers))
+    sized = stage(named.select("doc_id", "source", "size"), "mix-sizes")
+    if set(passengers) == {"doc_id", "source"}:
+        named = sized.select("doc_id", "source", "size", *numbered(passengers))
     cuts = stage(source_cuts(sized, weights, max_epochs), "mix-cuts").select(
         F.col("source").alias("_source"), "source_size", "target", "whole", "rest",
         "cut_key", "cut_id", "cut_size", "cut_words")
     if cuts.count() <= BROADCAST_SOURCES:
         cuts = F.broadcast(cuts)
-    return apply_cuts(docs, cuts)
+    return apply_cuts(named, cuts).select(*renamed(passengers), *made)
 
 
 def apply_cuts(docs: DataFrame, cuts: DataFrame) -> DataFrame:

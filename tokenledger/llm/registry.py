@@ -49,7 +49,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"), spans=False)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

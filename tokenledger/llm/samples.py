@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenledger.llm.staging import stage
 from tokenledger.llm.textblocks import ALNUM_WORD, blocks
 
 
@@ -29,22 +30,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """(text, n_chars, label) of at most ``per_class`` training rows of each class,
     and the number of training labels of each class.
 
-    The ids come from the labels alone, by the smallest id hash; texts over
-    ``max_bytes`` are left out of the sample. At most 2 x per_class x max_bytes
-    bytes reach the driver, however often an id is repeated.
+    The ids come by the smallest id hash from those that have a text of at most
+    ``max_bytes``; an id gives one row, its text of the smallest hash, however often
+    it stands in the documents or the labels (with both labels it is of class 1). At
+    most 2 x per_class x max_bytes bytes reach the driver.
     """
     train = labels.filter(~held_out(F.col("doc_id")) & F.col(label).isin(0, 1)).select(
         "doc_id", F.col(label).cast("int").alias("label"))
     sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}       # two rows
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    fitting = docs.filter(F.octet_length("text") <= max_bytes)
+    once = train.groupBy("doc_id").agg(F.max("label").alias("label"))
+    there = stage(once.join(fitting.select("doc_id").distinct(), "doc_id"), "sample-ids")        # ids, no texts
     picked = None
     for value in (0, 1):
-        part = train.filter(F.col("label") == value).orderBy(*by_hash).limit(per_class)
+        part = there.filter(F.col("label") == value).orderBy(*by_hash).limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    rows = (docs.select("doc_id", "text", "n_chars").filter(F.octet_length("text") <= max_bytes)
-            .join(F.broadcast(picked.distinct()), "doc_id")              # at most 2 x per_class ids
-            .orderBy("doc_id", "text", "n_chars", "label").limit(2 * per_class))
-    return rows.select("text", "n_chars", "label").toArrow(), sizes
+    text = F.struct(F.xxhash64("text").alias("hash"), "text", "n_chars")
+    rows = (fitting.select("doc_id", "text", "n_chars").join(F.broadcast(picked), "doc_id")      # 2 x per_class ids
+            .groupBy("doc_id", "label").agg(F.min(text).alias("one")).orderBy("doc_id"))
+    return rows.select("one.text", "one.n_chars", "label").toArrow(), sizes
 
 
 def without_copies(texts: pa.Array, sketch: int = 16) -> np.ndarray:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenledger.llm.staging import stage
+from tokenledger.llm.staging import numbered, renamed, stage
 
 MAX_REPOSITORIES = 2
 MIN_ENTROPY = 2.5
@@ -183,24 +183,25 @@ def scan_secrets(docs: DataFrame, owner: Column, repository: Column) -> DataFram
 def redact(docs: DataFrame, owner: Column, repository: Column, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with live-looking values replaced by ``mask``; rows without candidates pass unread by a shuffle."""
     columns = docs.columns
-    scanned = with_candidates(docs.withColumns({"_owner": owner.cast("string"), "_repository": repository.cast("string")}),
-                              keys=True)
-    clean = scanned.filter(F.size("candidates") == 0).select(*columns)
-    dirty = stage(scanned.filter(F.size("candidates") > 0).withColumn("_row", F.monotonically_increasing_id()),
+    at = columns.index("text")
+    # the text goes under its own name, all other columns as c0, c1, ...
+    named = docs.select(*numbered(columns), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"))
+    scanned = with_candidates(named.withColumnRenamed(f"c{at}", "text"), keys=True)
+    back = [c if i != at else F.col("text").alias(f"c{at}") for i, c in enumerate(f"c{i}" for i in range(len(columns)))]
+    clean = scanned.filter(F.size("candidates") == 0).select(*back)
+    dirty = stage(scanned.filter(F.size("candidates") > 0).withColumn("row", F.monotonically_increasing_id()),
                   "secret-dirty")
-    found = judged(dirty.select(F.col("_row").alias("row"), "candidates", F.col("_owner").alias("owner"),
-                                F.col("_repository").alias("repository")))
-    live = found.select(F.col("row").alias("_row"), F.filter(
-        "spans", lambda s: s["kind"] == KINDS.index("live")).alias("_live"))
+    found = judged(dirty.select("row", "candidates", "owner", "repository"))
+    live = found.select("row", F.filter("spans", lambda s: s["kind"] == KINDS.index("live")).alias("live"))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("to"))
-    cut = F.aggregate(F.col("_live"), start, lambda a, s: F.struct(
+    cut = F.aggregate(F.col("live"), start, lambda a, s: F.struct(
         F.when(s["end"] <= a["to"], a["out"]).otherwise(F.concat(
             a["out"], F.substring(F.col("text"), a["to"] + 1, F.greatest(s["start"] - a["to"], F.lit(0))),
             F.lit(mask))).alias("out"),
         F.greatest(a["to"], s["end"]).alias("to")),
         lambda a: F.concat(a["out"], F.substring(F.col("text"), a["to"] + 1, F.length("text"))))
-    text = F.when(F.size("_live") > 0, cut).otherwise(F.col("text"))
-    return clean.unionByName(dirty.join(live, "_row").withColumn("text", text).select(*columns))
+    text = F.when(F.size("live") > 0, cut).otherwise(F.col("text"))
+    return clean.unionByName(dirty.join(live, "row").withColumn("text", text).select(*back)).select(*renamed(columns))
 
 
 def _oracle() -> str:

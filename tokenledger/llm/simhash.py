@@ -22,10 +22,13 @@ Components come from distributed star contractions over the edges.
 
 Defined cases: null, empty and blank texts have fingerprint zero and are linked
 like any other; null ids count last in ``component_id`` (null if no other is
-reachable); repeated rows give a row each.
+reachable); repeated rows give a row each; an empty table gives an empty result;
+a text of any length is fingerprinted whole; other columns are not read by
+``near_duplicates`` and pass through ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
+
 import itertools
 import math
 from collections.abc import Iterator
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenledger.llm.components import components
-from tokenledger.llm.staging import stage
+from tokenledger.llm.staging import numbered, renamed, row_key, stage, without
 from tokenledger.llm.textblocks import SPACE_WORD, Block, blocks
 from tokenledger.llm.xxh64 import hash_ranges
 
@@ -374,8 +377,9 @@ def links(unique: DataFrame, distance: int = DISTANCE, parts: int = PARTITIONS,
 
 def near_duplicate_groups(docs: DataFrame, k: int = SHINGLE, distance: int = DISTANCE, parts: int = PARTITIONS,
                           bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(rows, groups): doc_id and fp of every row; fp, root (a fingerprint), component_id of every fingerprint."""
-    rows = stage(with_fingerprint(docs.select("doc_id", "text"), k).select("doc_id", "fp"), "simhash-rows")
+    """(rows, groups): all columns but the text, and fp, of every row of ``docs`` (doc_id, text, more); fp, root (a
+    fingerprint), component_id of every fingerprint."""
+    rows = stage(with_fingerprint(docs, k).drop("text"), "simhash-rows")
     unique = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-unique")
     edges = stage(links(unique, distance, parts, bucket_rows), "simhash-links")
     roots = components(edges, "u", "v").select(F.col("node").alias("fp"), "root")
@@ -390,7 +394,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = SHINGLE, distance: int = DIS
 
 def near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of ``docs`` (doc_id, text)."""
-    rows, groups = near_duplicate_groups(docs, **options)
+    rows, groups = near_duplicate_groups(docs.select("doc_id", "text"), **options)
     return rows.join(groups.drop("root"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                                           "component_id")
 
@@ -398,16 +402,22 @@ def near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
 def keep_one(docs: DataFrame, **options: int) -> DataFrame:
     """One row of every group of near duplicates: that of the smallest id (null ids last), with all its columns.
 
-    Rows of one id and fingerprint are told apart by their text, language, source and character count.
+    Rows of one id in one group are told apart by ``row_key``; rows equal in it are repeated rows, and one of them
+    stays. Texts are read twice and not shuffled: the rows that go are taken out by their keys (see ``without``);
+    of a winner that is repeated, all rows are taken out and one is put back.
     """
-    rows, groups = near_duplicate_groups(docs, **options)
-    last = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("fp").alias("fp"))
-    kept = (rows.join(groups, "fp").groupBy("root").agg(F.min(last).alias("k"))
-            .select(F.col("k.fp").alias("_fp"), F.coalesce(F.col("k.id").cast("string"), F.lit("null")).alias("_key")))
-    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("whole")
-    marked = with_fingerprint(docs.select(whole, "text"), options.get("k", SHINGLE)).select(
-        "whole", F.col("fp").alias("_fp"))
-    marked = marked.withColumn("_key", F.coalesce(F.col("whole.doc_id").cast("string"), F.lit("null")))
-    order = F.struct(*[F.col(f"whole.{c}") for c in ("text", "lang", "source", "n_chars")])
-    return (marked.join(kept, ["_fp", "_key"]).groupBy("_fp", "_key").agg(F.min_by("whole", order).alias("whole"))
-            .select("whole.*"))
+    key = row_key(docs)
+    rows, groups = near_duplicate_groups(docs.select("doc_id", key.alias("key"), "text"), **options)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))
+    best = (rows.groupBy("fp").agg(F.min(first).alias("best")).join(groups, "fp")
+            .groupBy("root").agg(F.min("best").alias("best")).select("best.key", F.lit(True).alias("wins")))
+    verdict = stage(rows.groupBy("key").count().join(best, "key", "left"), "simhash-verdict")
+    gone = verdict.filter("wins is null or count > 1").select("key")
+    out = without(docs, key, gone)
+    again = verdict.filter("wins and count > 1").select("key")
+    if again.isEmpty():
+        return out
+    named = docs.select(*numbered(docs.columns), key.alias("key")).join(again, "key", "left_semi")
+    whole = F.struct(*[F.col(f"c{i}") for i in range(len(docs.columns))])
+    one = named.groupBy("key").agg(F.first(whole).alias("whole")).select("whole.*")
+    return out.unionByName(one.select(*renamed(docs.columns)))

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tokenledger.llm.samples import held_out, labelled_sample, without_copies
+from tokenledger.llm.staging import numbered, renamed
 from tokenledger.llm.textblocks import ALNUM_WORD, _POWERS, Block, blocks, mix
 from pyspark.sql import functions as F
 
@@ -273,6 +274,16 @@ def _spans(b: Block, p: np.ndarray, i: int) -> list[dict]:
             for r in np.split(bad, cuts)]
 
 
+def scored(texts: pa.Array, m: Model) -> Iterator[tuple[np.ndarray, np.ndarray | None, Block]]:
+    """(document scores, word marginals or None, block) of the texts, about 1 MB at a time."""
+    for b in blocks(texts, ALNUM_WORD, lower=True):
+        if m.constant is not None:
+            yield np.full(b.n, m.constant), None, b
+            continue
+        p, _, _ = chain(emissions(features(b), m.weights), b.word_bounds, m.start, m.trans)
+        yield sigmoid(document_features(p, b.word_bounds) @ m.doc), p, b
+
+
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with score and spans (byte offsets of offending runs) added at the end.
 
@@ -287,17 +298,11 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     arrow_kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
             scores, spans = [np.zeros(0)], []
-            for b in blocks(batch.column(at), ALNUM_WORD, lower=True):
-                if m.constant is not None:
-                    scores.append(np.full(b.n, m.constant))
-                    spans.extend([[]] * b.n)
-                    continue
-                p, _, _ = chain(emissions(features(b), m.weights), b.word_bounds, m.start, m.trans)
-                scores.append(sigmoid(document_features(p, b.word_bounds) @ m.doc))
-                spans.extend(_spans(b, p, i) for i in range(b.n))
+            for part, p, b in scored(batch.column(at), shared.value):
+                scores.append(part)
+                spans.extend([] if p is None else _spans(b, p, i) for i in range(b.n))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(np.concatenate(scores), pa.float64()), pa.array(spans, arrow_kind)],
                 [*batch.schema.names, "score", "spans"])
@@ -306,9 +311,21 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, unchanged."""
-    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("whole"), "text")
-    return score_toxicity(whole, train(docs, labels)).filter(F.col("score") < threshold).select("whole.*")
+    """The rows of ``docs`` that score below ``threshold``, unchanged, whatever their columns are called.
+
+    The rows pass the scorer once and are filtered there. Null and empty texts score like any other, repeated rows
+    share their verdict, an empty table gives an empty one.
+    """
+    at = docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [s for s, _, _ in scored(batch.column(at), shared.value)]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0), *scores]) < threshold))
+
+    named = docs.select(*numbered(docs.columns))
+    return named.mapInArrow(keep, named.schema).select(*renamed(docs.columns))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
