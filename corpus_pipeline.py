@@ -6,6 +6,9 @@ decontamination   documents with benchmark passages over the contract's share go
 secrets           live-looking credentials are masked; every document stays
 mix               sources are mixed to target weights: ``taken`` words of each document
 
+Defined cases, for every stage: null, empty and very long texts, null ids and columns, ties and repeated rows pass as the
+operators state; an empty table gives an empty one; extra columns of any name pass through unchanged.
+
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each result as Parquet and rereads it as the next stage's input. All stages but
 the last return the columns of their input.
