@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenledger.operators.admission import admit, rate_limit, remaining, remaining_as_of, ttl_counter
-from tokenledger.operators.sequences import measured_bucket, with_bucket
+from tokenledger.operators.sequences import ordered_buckets, scan_buckets
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -40,12 +40,12 @@ def _random_requests(seed, n=400, tenants=4):
     return rows
 
 
-@pytest.mark.parametrize("seed,max_rows,bucket", [(1, 1_000_000, 3600), (2, 1_000_000, 120), (3, 5, 300)])
-def test_rate_limit_matches_loop(spark, seed, max_rows, bucket):
+@pytest.mark.parametrize("seed,max_rows,fan", [(1, 1_000_000, 10_000), (2, 1_000_000, 3), (3, 5, 10_000), (3, 5, 3)])
+def test_rate_limit_matches_loop(spark, seed, max_rows, fan):
     rows = _random_requests(seed)
     df = spark.createDataFrame(rows, "tenant_id string, ts timestamp, request_id long, limit_rpm int")
     got = {r["request_id"]: (r["window_count"], r["allowed"])
-           for r in rate_limit(df, window_s=60, max_segment_rows=max_rows, bucket_s=bucket).collect()}
+           for r in rate_limit(df, window_s=60, max_segment_rows=max_rows, fan=fan).collect()}
     assert got == _loop_anchored(rows, 60)
 
 
@@ -76,7 +76,7 @@ def test_remaining_as_of_with_null_keys_and_text_ids(spark):
     probes = spark.createDataFrame([(None, T0 + dt.timedelta(seconds=1), 5), (None, T0 + dt.timedelta(seconds=61), 5), ("a", T0, 2)],
                                    "tenant_id string, t timestamp, limit_rpm int")
     for cap in (10**6, 1):
-        got = remaining_as_of(rl, probes, 60, max_bucket_rows=cap, bucket_s=1).collect()
+        got = remaining_as_of(rl, probes, 60, max_key_rows=cap, fan=2).collect()
         assert sorted(r["remaining"] for r in got) == [0, 3, 5]
 
 
@@ -99,7 +99,7 @@ def test_ttl_counter_matches_loop(spark, ttl, cap):
     rows.append(("g", T0 + dt.timedelta(seconds=60), 10_001))     # gap == ttl keeps counting
     rows.append(("g", T0 + dt.timedelta(seconds=120, microseconds=1), 10_002))
     df = spark.createDataFrame(rows, "k string, ts timestamp, event_id long")
-    got = {r["event_id"]: r["counter"] for r in ttl_counter(df, "k", ttl_s=ttl, bucket_s=90, max_key_rows=cap).collect()}
+    got = {r["event_id"]: r["counter"] for r in ttl_counter(df, "k", ttl_s=ttl, max_key_rows=cap, fan=4).collect()}
     assert got == _loop_ttl(rows, ttl)
 
 
@@ -114,7 +114,7 @@ def test_long_segment_by_pointer_doubling(spark):
     rows += [("cold", T0 + dt.timedelta(minutes=5 * i), 1000 + i, 1) for i in range(10)]
     df = spark.createDataFrame(rows, "tenant_id string, ts timestamp, request_id long, limit_rpm int")
     got = {r["request_id"]: (r["window_count"], r["allowed"])
-           for r in rate_limit(df, window_s=60, max_segment_rows=50, bucket_s=300).collect()}
+           for r in rate_limit(df, window_s=60, max_segment_rows=50, fan=4).collect()}
     assert got == _loop_anchored(rows, 60)
 
 
@@ -127,12 +127,12 @@ def test_hot_paths_equal_default_on_driver_tables(spark):
     req = C._rl_requests(spark, sf)
     cols = ["request_id", "window_count", "allowed"]
     base = sorted(tuple(r) for r in rate_limit(req, window_s=3600).select(*cols).collect())
-    hot = sorted(tuple(r) for r in rate_limit(req, window_s=3600, max_segment_rows=200, bucket_s=900)
+    hot = sorted(tuple(r) for r in rate_limit(req, window_s=3600, max_segment_rows=200)
                  .select(*cols).collect())
     assert base == hot
     ev = read_table(spark, sf, "events").select("event_id", "user_id", "ts")
     a = sorted(tuple(r) for r in ttl_counter(ev, "user_id", ttl_s=7200).select("event_id", "counter").collect())
-    b = sorted(tuple(r) for r in ttl_counter(ev, "user_id", ttl_s=7200, max_key_rows=20, bucket_s=3600)
+    b = sorted(tuple(r) for r in ttl_counter(ev, "user_id", ttl_s=7200, max_key_rows=20)
                .select("event_id", "counter").collect())
     assert a == b
 
@@ -166,7 +166,7 @@ def test_every_request_row_comes_back(spark, kind, cap):
     rows += [("a", T0, 9, 3, True, None, *payload(9)), ("z", T0, 10, 0, False, "x", *payload(10))]
     df = spark.createDataFrame(rows, "tenant_id string, ts timestamp, request_id long, limit_rpm int, stream boolean, "
                                      "scan_hit string" + extra)
-    out = admit(df, window_s=60, max_segment_rows=cap, bucket_s=20)
+    out = admit(df, window_s=60, max_segment_rows=cap, fan=2)
     got = sorted(((r["tenant_id"] or "", r["request_id"], r["window_count"], r["status"]) for r in out.collect()), key=repr)
     assert got == sorted([("", 1, 1, 200), ("", 1, 2, 200), ("", 2, 1, 200), ("a", 5, 1, 200), ("a", 5, 2, 200),
                           ("a", 6, 3, 200), ("a", 7, 1, 200), ("z", 8, 1, 200), ("a", 9, None, 501),
@@ -185,15 +185,73 @@ def test_ttl_counter_with_null_and_large_integer_keys(spark, kind, cap, ttl):
     df = spark.createDataFrame([(k, T0 + dt.timedelta(seconds=s), i, *payload(i)) for k, s, i in at],
                                "user_id long, ts timestamp, event_id long" + extra)
     got = sorted(((r["user_id"] or 0, r["event_id"], r["counter"]) for r in
-                  ttl_counter(df, "user_id", ttl_s=ttl, max_key_rows=cap, bucket_s=30).collect()))
+                  ttl_counter(df, "user_id", ttl_s=ttl, max_key_rows=cap, fan=2).collect()))
     assert got == sorted([(0, 1, 1), (0, 2, 2), (0, 2, 3), (big, 3, 1), (big, 5, 2), (big + 1, 4, 1),
                           (big + 1, 6, 1 if ttl else 2)])
 
 
-def test_bucket_width_follows_the_densest_hour(spark):
-    rows = [("hot", i * 3_600_000) for i in range(1000)] + [("hot", 7_200_000_000 + i) for i in range(400)]
-    df = spark.createDataFrame(rows, "k string, t long")
-    width = measured_bucket(df, ["k"], "t", 3600, 50)
-    assert with_bucket(df, "t", width).groupBy("k", "_bucket").count().agg(F.max("count")).first()[0] <= 50
-    assert measured_bucket(df, ["k"], "t", 3600, 5000) == 3600
-    assert measured_bucket(df.limit(0), ["k"], "t", 3600, 50) == 3600
+def _bursts():
+    """A key of regular rows with a burst in one microsecond, and a quiet key."""
+    rows = [("hot", i * 3_600_000_000, i) for i in range(1000)] + [("hot", 7_200_000_000, 10_000 + i) for i in range(3000)]
+    return rows + [("quiet", i * 10**12, 20_000 + i) for i in range(5)]
+
+
+def test_buckets_are_equi_depth_whatever_the_times(spark):
+    df = spark.createDataFrame(_bursts(), "k string, t long, id long")
+    out, buckets = ordered_buckets(df, ["k", "t", "id"], 100)
+    per = out.groupBy("_bucket").agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "id")).alias("a"),
+                                     F.max(F.struct("k", "t", "id")).alias("z")).orderBy("_bucket").collect()
+    assert max(r["n"] for r in per) <= 100 and len(per) <= buckets <= 4 * 4005 // 100
+    assert all(x["z"] < y["a"] for x, y in zip(per, per[1:])) and sum(r["n"] for r in per) == 4005
+    assert ordered_buckets(df.limit(0), ["k", "t", "id"], 100)[0].count() == 0
+
+
+@pytest.mark.parametrize("fan", [2, 3, 7, 100])
+def test_bucket_scan_over_several_levels(spark, fan):
+    rnd = random.Random(fan)
+    rows = [(k, b, rnd.randrange(9), rnd.choice([None, rnd.randrange(99)])) for k in "xy" for b in range(50) if rnd.random() < 0.8]
+    df = spark.createDataFrame(rows, "k string, _bucket long, n long, v long").withColumn("w", F.col("v"))
+    got = {(r["k"], r["_bucket"]): (r["n"], r["v"], r["w"]) for r in
+           scan_buckets(df, ["k"], 50, ("n",), ("v",), ("w",), fan).collect()}
+    want = {}
+    for k, b, *_ in rows:
+        before = sorted((c, n, v) for j, c, n, v in rows if j == k and c < b)
+        after = sorted((c, v) for j, c, _, v in rows if j == k and c > b and v is not None)
+        seen = [v for *_, v in before if v is not None]
+        want[k, b] = (sum(n for _, n, _ in before), seen[-1] if seen else None, after[0][1] if after else None)
+    assert got == want
+
+
+def test_no_window_of_a_hot_key_exceeds_its_bound(spark, monkeypatch):
+    """A burst in one instant and a long steady stream of one key: bucket and summary sizes stay bounded at every level."""
+    from tokenledger.operators import sequences as Q
+    cap, fan, levels = 100, 4, []
+    plain = Q.scan_buckets
+
+    def watched(stats, keys, buckets, *a, **kw):
+        group = [*keys, Q.floor_div(F.col("_bucket"), fan)] if buckets > fan else keys
+        levels.append(stats.groupBy(*group).count().agg(F.max("count")).first()[0])
+        return plain(stats, keys, buckets, *a, **kw)
+
+    monkeypatch.setattr(Q, "scan_buckets", watched)
+    rows = [(k, T0 + dt.timedelta(microseconds=t), i, 3) for k, t, i in _bursts()]
+    df = spark.createDataFrame(rows, "tenant_id string, ts timestamp, request_id long, limit_rpm int")
+    got = {r["request_id"]: (r["window_count"], r["allowed"])
+           for r in rate_limit(df, window_s=7200, max_segment_rows=cap, fan=fan).collect()}
+    assert got == _loop_anchored(rows, 7200)
+    assert levels and max(levels) <= fan
+
+
+def test_remaining_as_of_of_a_hot_key(spark):
+    rows = [("a", T0 + dt.timedelta(seconds=s), i // 2, 50) for i, s in enumerate(sorted(random.Random(3).choices(range(900), k=300)))]
+    rl = rate_limit(spark.createDataFrame(rows, "tenant_id string, ts timestamp, request_id long, limit_rpm int"), window_s=60)
+    probes = spark.createDataFrame([("a", T0 + dt.timedelta(seconds=s), 50) for s in range(0, 1000, 7)] + [("a", T0, 50)] * 40,
+                                   "tenant_id string, t timestamp, limit_rpm int")
+    cold = sorted((r["t"], r["live_count"]) for r in remaining_as_of(rl, probes, 60).collect())
+    hot = sorted((r["t"], r["live_count"]) for r in remaining_as_of(rl, probes, 60, max_key_rows=20, fan=3).collect())
+    counts = [(r["ts"], r["window_start"], r["window_count"]) for r in rl.collect()]
+    for t, n in cold:
+        past = [(s, a, c) for s, a, c in counts if s <= t]
+        s, a, c = max(past, key=lambda x: (x[1], x[2]), default=(None, None, 0))
+        assert n == (c if a is not None and t < a + dt.timedelta(seconds=60) else 0)
+    assert cold == hot

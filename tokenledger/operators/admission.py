@@ -13,12 +13,12 @@ The anchor chain is a sequential recurrence, so the plan is:
 2. Keys over ``max_segment_rows`` rows get a row id and a non-null text key and are
    staged once. ``gap_segments`` cuts their timeline wherever two consecutive
    requests are ``window`` or more apart: such a request always opens a window,
-   so segments are independent and take the same pass. That scan is bucketed by
-   time, and the bucket width follows the densest bucket (``measured_bucket``).
+   so segments are independent and take the same pass. That scan runs over
+   equi-depth buckets of (key, time, id), level by level (``sequences``).
 3. Longer segments (a tenant that never pauses for ``window``) are solved
    exactly without a single task holding the segment: each row's successor
-   anchor ``nxt(i)`` (first row at or after ts_i + window) is found with a
-   bucketed as-of scan, and the chain from the segment start is expanded by
+   anchor ``nxt(i)`` (first row at or after ts_i + window) is found with an
+   as-of scan over such buckets, and the chain from the segment start is expanded by
    pointer doubling -- O(log chain) joins, every level checkpointed to the
    shared checkpoint folder.
 
@@ -32,14 +32,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tokenledger import constants as K
 from tokenledger.operators.kernels import anchored_windows, refreshed_counter
-from tokenledger.operators.sequences import (DEFAULT_BUCKET_SECONDS, carry_last, gap_segments, measured_bucket,
-                                             with_bucket, with_neighbours)
+from tokenledger.operators.sequences import SCAN_FAN, carry_last, gap_segments, ordered_buckets, with_neighbours
 
 US = 1_000_000
 MAX_SEGMENT_ROWS = 1_000_000
@@ -91,7 +90,7 @@ def _ttl(ttl_us: int | None):
     return lambda ts, new, carry: refreshed_counter(ts, new, ttl_us, carry)
 
 
-def _successors(rows: DataFrame, keys: list[str], seg: str, window_us: int, bucket_s: float) -> DataFrame:
+def _successors(rows: DataFrame, keys: list[str], seg: str, window_us: int, max_rows: int, fan: int) -> DataFrame:
     """nxt(g): grank of the first row in the same segment with ts >= ts_g + window,
     as a bucketed carry over the union of rows and probes at ts_g + window."""
     none = F.lit(None).cast("bigint")
@@ -99,19 +98,21 @@ def _successors(rows: DataFrame, keys: list[str], seg: str, window_us: int, buck
                          F.col("_grank").alias("_src"), none.alias("_dst"))
     targets = rows.select(*keys, seg, F.col("_ts_us").alias("_t"), F.lit(1).alias("_kind"),
                           none.alias("_src"), F.col("_grank").alias("_dst"))
-    both = with_bucket(probes.unionByName(targets).withColumn("_ord", F.struct("_kind", "_dst")), "_t", bucket_s)
-    found = carry_last(both, [*keys, seg], "_t", "_ord", F.col("_dst"), "_nxt", reverse=True)
+    both = probes.unionByName(targets).withColumn("_ord", F.struct("_kind", "_dst", "_src"))
+    both, buckets = ordered_buckets(both, [*keys, seg, "_t", "_ord"], max_rows)
+    found = carry_last(both, [*keys, seg], "_t", "_ord", F.col("_dst"), "_nxt", buckets, reverse=True, fan=fan)
     return found.filter(F.col("_kind") == 0).select(*keys, F.col("_src").alias("g"), F.col("_nxt").alias("j"))
 
 
-def _anchors_by_doubling(rows: DataFrame, keys: list[str], seg: str, window_us: int, bucket_s: float) -> DataFrame:
+def _anchors_by_doubling(rows: DataFrame, keys: list[str], seg: str, window_us: int, max_rows: int, fan: int
+                         ) -> DataFrame:
     """Anchor granks of long segments, exactly, by pointer doubling."""
     span = rows.groupBy(*keys, seg).agg(((F.max("_ts_us") - F.min("_ts_us")) / window_us + 2).alias("w"))
     max_chain = span.agg(F.max("w")).first()[0]
     if max_chain is None:
         return rows.sparkSession.createDataFrame([], rows.select(*keys, F.col("_grank").alias("g")).schema)
     levels_needed = max(1, math.ceil(math.log2(max_chain)))
-    level = _successors(rows, keys, seg, window_us, bucket_s).filter(F.col("j").isNotNull()).checkpoint()
+    level = _successors(rows, keys, seg, window_us, max_rows, fan).filter(F.col("j").isNotNull()).checkpoint()
     levels = [level]
     for _ in range(levels_needed - 1):
         a, b = level.alias("a"), level.alias("b")
@@ -131,7 +132,7 @@ def _anchors_by_doubling(rows: DataFrame, keys: list[str], seg: str, window_us:
 
 def rate_limit(requests: DataFrame, window_s: int = K.RATE_WINDOW_SECONDS, keys=("tenant_id",),
                ts: str = "ts", tie: str = "request_id", limit_col: str = "limit_rpm",
-               bucket_s: float = DEFAULT_BUCKET_SECONDS, max_segment_rows: int = MAX_SEGMENT_ROWS,
+               max_segment_rows: int = MAX_SEGMENT_ROWS, fan: int = SCAN_FAN,
                counted: Column | None = None) -> DataFrame:
     """Per request, ``window_count`` (count in its window after this request,
     0 when bypassed), ``window_start`` and ``allowed``.
@@ -157,7 +158,7 @@ def rate_limit(requests: DataFrame, window_s: int = K.RATE_WINDOW_SECONDS, keys=
                     [*keys, "_seg"], tie, _windows(window_us), out).drop("_seg")
     if hot is not None:
         rows, narrow = numbered(hot, keys, tie)
-        counts = _segmented(narrow, ["_key"], "_tie", window_us, bucket_s, max_segment_rows)
+        counts = _segmented(narrow, ["_key"], "_tie", window_us, max_segment_rows, fan)
         res = res.unionByName(rows.join(counts.select(F.col("_tie._rid").alias("_rid"), *out), "_rid")
                               .select(*base.columns, *out))
     res = res.withColumns({
@@ -204,12 +205,12 @@ def numbered(hot: DataFrame, keys: list[str], tie: str) -> tuple[DataFrame, Data
     return rows, rows.select(key.alias("_key"), "_ts_us", F.struct(F.col(tie).alias("tie"), "_rid").alias("_tie"))
 
 
-def _segmented(narrow: DataFrame, keys: list[str], tie: str, window_us: int, bucket_s: float,
-               max_segment_rows: int) -> DataFrame:
+def _segmented(narrow: DataFrame, keys: list[str], tie: str, window_us: int, max_segment_rows: int, fan: int
+               ) -> DataFrame:
     """Keys too large for one task: bucketed gap segmentation, then one pass per
     segment, and pointer doubling for segments still over the cap."""
-    bucket_s = measured_bucket(narrow, keys, "_ts_us", bucket_s, max_segment_rows)
-    seg = gap_segments(narrow, keys, "_ts_us", tie, window_us, inclusive=True, bucket_s=bucket_s, with_len=True)
+    narrow, buckets = ordered_buckets(narrow, [*keys, "_ts_us", tie], max_segment_rows)
+    seg = gap_segments(narrow, keys, "_ts_us", tie, window_us, buckets, with_len=True, fan=fan)
     # written once to the shared checkpoint folder: the long-segment check and
     # both branches below read it (no recomputation, nothing pinned in memory)
     seg = seg.select(*keys, tie, "_ts_us", "_grank", "_bucket", F.col("seg_start.grank").alias("_seg"),
@@ -219,12 +220,13 @@ def _segmented(narrow: DataFrame, keys: list[str], tie: str, window_us: int, buc
     counts = counts.select(*keys, tie, "window_count", "anchor_us")
     if seg.filter(F.col("seg_len") > max_segment_rows).limit(1).count() > 0:
         big = seg.filter(F.col("seg_len") > max_segment_rows)
-        anchors = _anchors_by_doubling(big, keys, "_seg", window_us, bucket_s)
+        anchors = _anchors_by_doubling(big, keys, "_seg", window_us, max_segment_rows, fan)
         marked = big.join(anchors.withColumn("_is_anchor", F.lit(True)).withColumnRenamed("g", "_grank"),
                           [*keys, "_grank"], "left")
         marked = carry_last(marked, keys, "_ts_us", tie,
                             F.when(F.col("_is_anchor"),
-                                   F.struct(F.col("_grank").alias("g"), F.col("_ts_us").alias("t"))), "_anchor")
+                                   F.struct(F.col("_grank").alias("g"), F.col("_ts_us").alias("t"))), "_anchor",
+                            buckets, fan=fan)
         big_out = marked.select(*keys, tie, (F.col("_grank") - F.col("_anchor.g") + 1).alias("window_count"),
                                 F.col("_anchor.t").alias("anchor_us"))
         counts = counts.unionByName(big_out)
@@ -239,32 +241,39 @@ def remaining(limit_col: str = "limit_rpm", count_col: str = "window_count"):
 
 def remaining_as_of(limited: DataFrame, probes: DataFrame, window_s: int, keys=("tenant_id",),
                     ts: str = "ts", tie: str = "request_id", limit_col: str = "limit_rpm",
-                    bucket_s: float = DEFAULT_BUCKET_SECONDS, max_bucket_rows: int = MAX_SEGMENT_ROWS) -> DataFrame:
+                    max_key_rows: int = MAX_SEGMENT_ROWS, fan: int = SCAN_FAN) -> DataFrame:
     """W2 as-of: quota left at each probe time ``t`` (``probes`` has keys, ``t``
     and the limit). The live count is that of the last W1 row at or before t if
     t is still inside its window, else 0. Requests at exactly t count first.
 
-    An as-of join done as a bucketed carry-forward over the union of W1 rows and
-    probes: no per-key partition, no pair enumeration. The bucket width follows
-    the densest bucket; null keys are one key; ids may be of any ordered type.
+    An as-of join done as a carry-forward over the union of W1 rows and probes, no
+    pair enumeration: one window per key, and for keys over ``max_key_rows`` rows the
+    scan over equi-depth buckets. Null keys are one key; ids may be of any ordered
+    type; rows equal in time and id count in the order of their counts.
     """
     keys = list(keys)
     window_us = int(window_s * US)
     key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_key")
     tie_type = limited.schema[tie].dataType
-    rows = limited.select(key, *keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_ts_us"),
-                          F.lit(0).alias("_kind"), F.col(tie).alias("_tie"),
-                          F.struct(F.unix_micros("window_start").alias("a"),
-                                   F.col("window_count").alias("n")).alias("_state"),
+    state = F.struct(F.unix_micros("window_start").alias("a"), F.col("window_count").alias("n"))
+    rows = limited.select(key, *keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_ts_us"), state.alias("_state"),
+                          F.struct(F.lit(0).alias("kind"), F.col(tie).alias("tie"), state.alias("state"),
+                                   F.lit(0).cast("bigint").alias("id")).alias("_ord"),
                           F.lit(None).cast("timestamp").alias("t"), F.lit(None).cast("int").alias(limit_col))
-    pr = probes.select(key, *keys, F.unix_micros(F.col("t").cast("timestamp")).alias("_ts_us"), F.lit(1).alias("_kind"),
-                       F.lit(None).cast(tie_type).alias("_tie"),
-                       F.lit(None).cast("struct<a:bigint,n:bigint>").alias("_state"),
+    none = F.lit(None).cast("struct<a:bigint,n:bigint>")
+    pr = probes.select(key, *keys, F.unix_micros(F.col("t").cast("timestamp")).alias("_ts_us"), none.alias("_state"),
+                       F.struct(F.lit(1).alias("kind"), F.lit(None).cast(tie_type).alias("tie"), none.alias("state"),
+                                F.monotonically_increasing_id().alias("id")).alias("_ord"),
                        F.col("t").cast("timestamp").alias("t"), F.col(limit_col).cast("int").alias(limit_col))
-    both = rows.unionByName(pr).withColumn("_ord", F.struct("_kind", "_tie"))
-    both = with_bucket(both, "_ts_us", measured_bucket(both, ["_key"], "_ts_us", bucket_s, max_bucket_rows))
-    both = carry_last(both, ["_key"], "_ts_us", "_ord", F.col("_state"), "_live")
-    out = both.filter(F.col("_kind") == 1)
+    both = rows.unionByName(pr)
+    cold, hot = split_hot(both, ["_key"], hot_key_table(both, ["_key"], max_key_rows), F.lit(True))
+    w = Window.partitionBy("_key").orderBy("_ts_us", "_ord").rowsBetween(Window.unboundedPreceding, 0)
+    both = cold.withColumn("_live", F.last("_state", ignorenulls=True).over(w))
+    if hot is not None:
+        hot, buckets = ordered_buckets(hot, ["_key", "_ts_us", "_ord"], max_key_rows)
+        both = both.unionByName(carry_last(hot, ["_key"], "_ts_us", "_ord", F.col("_state"), "_live", buckets, fan=fan)
+                                .drop("_bucket"))
+    out = both.filter(F.col("_ord.kind") == 1)
     live = F.when(F.col("_live").isNotNull() & (F.col("_ts_us") < F.col("_live.a") + window_us),
                   F.col("_live.n")).otherwise(F.lit(0))
     return out.select(*keys, "t", limit_col, live.cast("bigint").alias("live_count"),
@@ -273,8 +282,7 @@ def remaining_as_of(limited: DataFrame, probes: DataFrame, window_s: int, keys=(
 
 
 def ttl_counter(events: DataFrame, key: str, ts: str = "ts", tie: str = "event_id",
-                ttl_s: int | None = None, bucket_s: float = DEFAULT_BUCKET_SECONDS,
-                max_key_rows: int = MAX_SEGMENT_ROWS) -> DataFrame:
+                ttl_s: int | None = None, max_key_rows: int = MAX_SEGMENT_ROWS, fan: int = SCAN_FAN) -> DataFrame:
     """Counter whose expiry is refreshed on every increment.
 
     With a ttl the count restarts after a gap strictly longer than ttl (a gap
@@ -289,12 +297,12 @@ def ttl_counter(events: DataFrame, key: str, ts: str = "ts", tie: str = "event_i
     res = _one_pass(cold, [key], tie, _ttl(ttl_us), ("counter", "_start_us"))
     if hot is not None:
         rows, narrow = numbered(hot, [key], tie)
-        width = measured_bucket(narrow, ["_key"], "_ts_us", bucket_s, max_key_rows)
+        narrow, buckets = ordered_buckets(narrow, ["_key", "_ts_us", "_tie"], max_key_rows)
         if ttl_us is None:
-            d = with_neighbours(with_bucket(narrow, "_ts_us", width), ["_key"], "_ts_us", "_tie")
+            d = with_neighbours(narrow, ["_key"], "_ts_us", "_tie", buckets, fan)
             d = d.select("_tie._rid", F.col("_grank").alias("counter"), F.lit(None).cast("bigint").alias("_start_us"))
         else:
-            d = gap_segments(narrow, ["_key"], "_ts_us", "_tie", ttl_us, inclusive=False, bucket_s=width)
+            d = gap_segments(narrow, ["_key"], "_ts_us", "_tie", ttl_us, buckets, inclusive=False, fan=fan)
             d = d.select("_tie._rid", F.col("seg_rank").alias("counter"), F.col("seg_start.ts").alias("_start_us"))
         d = d.select("_rid", F.col("counter").cast("bigint").alias("counter"), "_start_us")
         res = res.unionByName(rows.join(d, "_rid").select(*base.columns, "counter", "_start_us"))
