@@ -64,18 +64,24 @@ def _check_stream_admission(spark):
     assert out[1]["prompt_text"] == "Be brief.\n\nStay safe.\nhi"
 
 
-def test_state_expires_behind_the_watermark(spark):
+def _stream(spark, df, batches, key="request_id"):
+    """A file stream of ``df`` with one micro-batch for each (lowest, highest) key."""
+    base = scratch_path(spark, f"test_stream_in/{uuid.uuid4().hex}")
+    for i, (lo, hi) in enumerate(batches):
+        df.filter(F.col(key).between(lo, hi)).coalesce(1).write.parquet(f"{base}/in/part_{i}")
+    return file_stream(spark, f"{base}/in/part_*/*.parquet", df.schema)
+
+
+def test_silent_keys_leave_the_state(spark):
     """Keys that fall silent leave the state; their next request opens a window as it would have anyway."""
     from tokenledger.streaming.jobs import stream_rate_limit
     cfg = spark.createDataFrame([("k0", 1, True, None)], CFG)
     rows = [(i, T0 + dt.timedelta(seconds=i), f"k{i}") for i in range(40)]
     rows += [(100 + i, T0 + dt.timedelta(hours=2, seconds=i), "live") for i in range(3)]
     rows += [(200 + i, T0 + dt.timedelta(hours=4, seconds=i), "live") for i in range(3)] + [(300, T0 + dt.timedelta(hours=4), "k0")]
-    base = scratch_path(spark, f"test_expiry/{uuid.uuid4().hex}")
     df = spark.createDataFrame(rows, "request_id long, ts timestamp, tenant_id string")
-    for i, (lo, hi) in enumerate([(0, 99), (100, 199), (200, 399)]):
-        df.filter(F.col("request_id").between(lo, hi)).coalesce(1).write.parquet(f"{base}/in/part_{i}")
-    s = stream_rate_limit(file_stream(spark, f"{base}/in/part_*/*.parquet", df.schema), cfg, window_s=60, lateness="10 minutes")
+    s = stream_rate_limit(_stream(spark, df, [(0, 99), (100, 199), (200, 399)]), cfg, window_s=60, keep="1 millisecond", clock_skew="0 seconds")
+    base = scratch_path(spark, f"test_expiry/{uuid.uuid4().hex}")
     q = (s.writeStream.format("parquet").option("checkpointLocation", f"{base}/_checkpoint")
          .trigger(availableNow=True).start(f"{base}/out"))
     q.awaitTermination()
@@ -85,6 +91,57 @@ def test_state_expires_behind_the_watermark(spark):
     assert out == {**{i: 1 for i in range(40)}, 100: 1, 101: 2, 102: 3, 200: 1, 201: 2, 202: 3, 300: 1}
 
 
+def test_late_rows_come_out_marked(spark):
+    """A late row is not counted and not lost; one that is merely out of order counts in the open window."""
+    from tokenledger.streaming.jobs import split_late, stream_rate_limit, stream_ttl_counter
+    cfg = spark.createDataFrame([("free", 0, True, None)], CFG)
+    at = [(1, 0, "a"), (2, 10, "a"), (3, 0, "free"), (11, 3600, "a"), (12, 3601, "a"), (13, 3590, "a"), (14, 5, "a"),
+          (15, 5, "free"), (21, 3605, "a"), (22, 20, "a"), (23, 3700, "a")]
+    df = spark.createDataFrame([(i, T0 + dt.timedelta(seconds=s), k) for i, s, k in at],
+                               "request_id long, ts timestamp, tenant_id string")
+    batches = [(0, 9), (10, 19), (20, 29)]
+    s = stream_rate_limit(_stream(spark, df, batches), cfg, window_s=60, lateness="10 minutes")
+    done, late = split_late(run_to_parquet(s, spark, f"test_late_{uuid.uuid4().hex}"))
+    assert done.count() + late.count() == len(at)
+    assert {r["request_id"]: (r["window_count"], r["allowed"]) for r in late.collect()} == {22: (None, None)}
+    # 14 stands before 13 in its chunk and counts: lateness is measured against the newest row seen before it
+    got = {r["request_id"]: r["window_count"] for r in done.collect()}
+    assert {i: got[i] for i in (1, 2, 3, 15, 21, 23)} == {1: 1, 2: 2, 3: 0, 15: 0, 21: got[12] + 1, 23: 1}
+    t = stream_ttl_counter(_stream(spark, df, batches), "tenant_id", 60, tie="request_id", lateness="10 minutes")
+    out = {r["request_id"]: (r["counter"], r["late"]) for r in run_to_parquet(t, spark, f"test_late_{uuid.uuid4().hex}").collect()}
+    assert len(out) == len(at) and out[22] == (None, True) and out[23][0] == 1 and out[21][0] == out[12][0] + 1
+
+
+def test_a_key_is_counted_chunk_by_chunk(spark):
+    """A key with more rows than an Arrow batch holds: the record is carried from chunk to chunk."""
+    from tokenledger.streaming.jobs import stream_rate_limit
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        cfg = spark.createDataFrame([("k", 1, True, None)], CFG)
+        df = spark.createDataFrame([(i, T0 + dt.timedelta(seconds=i), "a") for i in range(100)],
+                                   "request_id long, ts timestamp, tenant_id string")
+        s = stream_rate_limit(_stream(spark, df, [(0, 59), (60, 99)]), cfg, window_s=30)
+        out = {r["request_id"]: r["window_count"] for r in run_to_parquet(s, spark, f"test_chunks_{uuid.uuid4().hex}").collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert out == {i: i % 30 + 1 for i in range(100)}
+
+
+def test_update_mode_state_falls_behind_the_watermark(spark):
+    from tokenledger.operators.rollup import usage_rollup
+    from tokenledger.streaming.jobs import run_usage_updates
+    rows = [(i, T0 + dt.timedelta(hours=6 * i), "a" if i % 3 else "b", "p", 1, 2, None, i % 2 == 0, None) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, created_at timestamp, tenant_id string, provider string, prompt_tokens long, "
+                                     "completion_tokens long, cost_usd decimal(12,6), cache_hit boolean, error_message string")
+    out, held = run_usage_updates(_stream(spark, df, [(0, 9), (10, 19), (20, 29), (30, 39)], "id"), spark,
+                                  f"test_updates_{uuid.uuid4().hex}", lateness="1 hour")
+    want = usage_rollup(df).select(*out.columns)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    assert want.count() >= 18 and max(held) < 12 and held[-1] <= 4
+
+
 def test_staging_cuts_chunks_by_rows(spark):
     from tokenledger.streaming.jobs import stage_time_ordered
     df = spark.range(500).select("id", (F.lit("2024-01-01").cast("timestamp")

@@ -7,7 +7,7 @@ row per key per map partition crosses the network, whatever the key skew.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenledger.functions.pricing import COST_SUM_TYPE
@@ -18,21 +18,24 @@ COUNTERS = ["total_requests", "total_prompt_tokens", "total_completion_tokens",
             "total_cost_usd", "cache_hits", "errors"]
 
 
-def usage_rollup(audit: DataFrame) -> DataFrame:
-    """A1: fold audit rows into (tenant_id, date, provider) counters.
+def rollup_aggregates() -> list[Column]:
+    """A1's counters over audit rows.
 
     Null cost counts as 0; an error counts when the message is truthy (an empty
     string is not an error here, unlike the dashboard's IS NOT NULL).
     """
-    return (audit
-            .groupBy("tenant_id", F.to_date("created_at").alias("date"), "provider")
-            .agg(F.count(F.lit(1)).alias("total_requests"),
-                 F.sum("prompt_tokens").cast("bigint").alias("total_prompt_tokens"),
-                 F.sum("completion_tokens").cast("bigint").alias("total_completion_tokens"),
-                 F.sum(F.coalesce(F.col("cost_usd"), F.lit(0).cast("decimal(12,6)")))
-                  .cast(COST_SUM_TYPE).alias("total_cost_usd"),
-                 F.count_if(F.col("cache_hit")).alias("cache_hits"),
-                 F.count_if(~is_falsy_str("error_message")).alias("errors")))
+    return [F.count(F.lit(1)).alias("total_requests"),
+            F.sum("prompt_tokens").cast("bigint").alias("total_prompt_tokens"),
+            F.sum("completion_tokens").cast("bigint").alias("total_completion_tokens"),
+            F.sum(F.coalesce(F.col("cost_usd"), F.lit(0).cast("decimal(12,6)")))
+             .cast(COST_SUM_TYPE).alias("total_cost_usd"),
+            F.count_if(F.col("cache_hit")).alias("cache_hits"),
+            F.count_if(~is_falsy_str("error_message")).alias("errors")]
+
+
+def usage_rollup(audit: DataFrame) -> DataFrame:
+    """A1: fold audit rows into (tenant_id, date, provider) counters."""
+    return audit.groupBy("tenant_id", F.to_date("created_at").alias("date"), "provider").agg(*rollup_aggregates())
 
 
 def merge_rollup(existing: DataFrame, delta: DataFrame) -> DataFrame:

@@ -984,6 +984,39 @@ def q_stream_ttl_counter(spark, sf):
     return out.select("event_id", "user_id", "counter")
 
 
+@register("stream_sessions", f"""
+WITH e AS (SELECT event_id, user_id, epoch_us(CAST(ts AS TIMESTAMP)) AS t FROM events),
+g AS (
+  SELECT *, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w > {TTL_S}::BIGINT * 1000000 THEN 1 ELSE 0 END AS brk
+  FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+s AS (SELECT *, SUM(brk) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+SELECT CAST(user_id AS VARCHAR) AS user_id, MIN(t) AS start_us, MAX(t) AS end_us, COUNT(*) AS events
+FROM s GROUP BY user_id, sid""")
+def q_stream_sessions(spark, sf):
+    """ST5: W3's sessions by a watermarked session window = the batch sessions.
+
+    A closing event (no user) far behind the last one moves the watermark past every session."""
+    import uuid
+    from tokenledger.session import scratch_path
+    from tokenledger.streaming.jobs import file_stream, run_to_parquet, stage_time_ordered, stream_sessions
+    ev = read_table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    close = ev.agg((F.max("ts") + F.make_dt_interval(secs=F.lit(2 * TTL_S + 86_400))).alias("ts"))
+    ev = ev.unionByName(close.select(F.lit(None).cast(ev.schema["user_id"].dataType).alias("user_id"), "ts"))
+    glob = stage_time_ordered(ev, "ts", scratch_path(spark, f"staged/stream_sessions/{uuid.uuid4().hex}"))
+    out = run_to_parquet(stream_sessions(file_stream(spark, glob, ev.schema), "user_id", TTL_S, "1 minute"), spark,
+                         "stream_sessions")
+    return out.filter("user_id is not null").select("user_id", F.unix_micros("session_start").alias("start_us"),
+                                                    F.unix_micros("session_end").alias("end_us"), "events")
+
+
+@register("stream_usage_updates", _with(O.AUDIT_CTE) + O.rollup_sql("audit"))
+def q_stream_usage_updates(spark, sf):
+    """ST3: the rollup as a watermarked streaming aggregate in update mode = batch rollup."""
+    from tokenledger.streaming.jobs import run_usage_updates
+    audit = FX.audit_from_events(_staged_events(spark, sf, "stream_usage_updates"))
+    return run_usage_updates(audit, spark, "stream_usage_updates")[0].select(*R.KEYS, *R.COUNTERS)
+
+
 # ---------------------------------------------------------------- J2 (table form), V3
 @register("price_lookup", _with(f"""
 m AS (SELECT {O.model_case()} AS model, COUNT(*) AS requests,

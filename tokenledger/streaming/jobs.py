@@ -4,14 +4,21 @@ ST1  requests -> tenant config (stream-static, ST4) -> anchored rate window
      per tenant as keyed state (applyInPandasWithState) -> counts / allowed;
      with the scan, prompt isolation and tool scoping -> admission status
 ST2  audit stream -> Parquet file sink partitioned by event date (S4)
-ST3  audit stream -> usage rollup deltas -> idempotent upsert (foreachBatch, S5)
-ST5  TTL counter per key as keyed state
-
-Rows are ordered inside a micro-batch by (ts, id); state carries across
-micro-batches, so the result equals the batch twin when files arrive in time
-order (the reference's own rule is arrival order). Stateful streams process
-a key's rows in one task per micro-batch: the state of a key is one record,
-and a micro-batch holds a trigger interval's worth of rows.
+ST3  audit stream -> usage rollup deltas -> idempotent upsert (foreachBatch, S5);
+     or a stateful aggregate with a watermark in update mode
+ST5  TTL counter per key as keyed state; or sessions of a watermarked
+     ``session_window``
+
+The rate window and the counter decide on arrival, as the service does: a key's
+rows are taken chunk by chunk as Spark hands them over (an Arrow batch at a time,
+sorted by (ts, id) inside the chunk), and the state of a key is one record carried
+from chunk to chunk and batch to batch. Nothing holds a key's whole micro-batch.
+The result equals the batch twin when rows arrive in time order. The watermark in
+front of this state is on the arrival clock and lets silent keys leave; no row is
+dropped by its event time: a row older than its key's newest
+by more than ``lateness`` is not counted and comes out marked ``late``; a younger
+one that comes out of order counts in the window that is open. Every row in gives
+one row out.
 """
 
 from __future__ import annotations
@@ -23,13 +30,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from tokenledger import constants as K
 from tokenledger.operators.kernels import anchored_windows, refreshed_counter
+from tokenledger.operators.rollup import COUNTERS as ROLLUP_COUNTERS
 from tokenledger.session import scratch_path
 
 US = 1_000_000
+_COUNTED = [StructField("window_count", LongType()), StructField("anchor_us", LongType()), StructField("late", BooleanType())]
 
 
 #: rows of one staged chunk, about: the most that one write task and one micro-batch get
@@ -71,89 +80,137 @@ def run_available(query) -> None:
 
 
 # ------------------------------------------------------------------ keyed state
-#: how late a row may come: keyed state is kept so much longer than its record can matter
+#: how much older than its key's newest row a row may be and still count
 LATENESS = "1 day"
+#: a key that is silent for so long (on the cluster's clock) leaves the state; longer than any window
+KEEP = "2 days"
+#: how far the clocks of successive drivers may lie apart
+CLOCK_SKEW = "1 hour"
+#: status and reason of late rows
+LATE_STATUS, LATE_REASON = 408, "late: older than the stream's lateness"
 
 
-def _expire(state, at_us: int) -> None:
-    """Let the key's record go once the watermark passes ``at_us``."""
-    state.setTimeoutTimestamp(max(at_us // 1000, state.getCurrentWatermarkMs()) + 1)
+def interval_us(text: str) -> int:
+    """Microseconds of an interval such as '10 minutes'."""
+    return int(pd.Timedelta(text).total_seconds() * US)
 
 
-def _anchored_state_fn(window_us: int, key: str, tie: str, extra=()):
-    """W1 per key over one micro-batch, state (anchor, n) carried across
-    batches; ``extra`` columns ride along with their rows. A record whose window
-    has ended cannot affect a later row, so it expires at anchor + window."""
+def _chunks(batches, tie: str, seen: int | None, lateness_us: int):
+    """(rows in (ts, tie) order, which are late, newest time so far) of each chunk of a key's rows."""
+    for pdf in batches:
+        pdf = pdf.sort_values(["_ts_us", tie], kind="stable")
+        ts = pdf["_ts_us"].to_numpy(dtype=np.int64)
+        newest = np.maximum.accumulate(ts if seen is None else np.maximum(ts, seen))
+        if len(ts):
+            seen = int(newest[-1])
+        yield pdf, ts < newest - lateness_us, seen
+
+
+def _on_arrival(df: DataFrame, clock_skew: str) -> DataFrame:
+    """The stream with the time of its micro-batch, under a watermark: state expires on the arrival clock, and since
+    every row has just arrived, none is behind."""
+    return (df.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", clock_skew)
+            .withColumn("_arrived_ms", F.unix_millis("_arrived")))
+
+
+def _expire(state, arrived_ms: int | None, keep_ms: int) -> None:
+    """Let the key's record go once nothing of the key has arrived for ``keep_ms``."""
+    if arrived_ms is not None:
+        state.setTimeoutTimestamp(max(arrived_ms + keep_ms, state.getCurrentWatermarkMs() + 1))
+
+
+def _whole(values: np.ndarray, late: np.ndarray) -> pd.Series:
+    """The counted rows' values in place, null for late rows."""
+    out = pd.Series(pd.NA, index=range(len(late)), dtype="Int64")
+    out[~late] = values
+    return out
+
+
+def _anchored_state_fn(window_us: int, key: str, tie: str, lateness_us: int, keep_ms: int, extra=()):
+    """W1 per key, chunk by chunk, state (anchor, n, newest time); ``extra`` columns ride along with their rows."""
     def fn(k, batches, state):
         if state.hasTimedOut:
             state.remove()
             return
-        carry = state.get if state.exists else None
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["_ts_us", tie], kind="stable")
-        new = np.zeros(len(pdf), dtype=bool)
-        new[0] = carry is None
-        counts, anchors, carry = anchored_windows(pdf["_ts_us"].to_numpy(dtype=np.int64), new, window_us, carry)
-        state.update(carry)
-        _expire(state, int(carry[0]) + window_us)
-        out = {key: pdf[key].to_numpy(), tie: pdf[tie].to_numpy(), "window_count": counts, "anchor_us": anchors}
-        out.update({c: pdf[c].to_numpy() for c in extra})
-        yield pd.DataFrame(out)
+        anchor, n, seen = state.get if state.exists else (None, None, None)
+        carry = None if anchor is None else (anchor, n)
+        arrived = None
+        for pdf, late, seen in _chunks(batches, tie, seen, lateness_us):
+            arrived = int(pdf["_arrived_ms"].max()) if len(pdf) else arrived
+            ts = pdf["_ts_us"].to_numpy(dtype=np.int64)[~late]
+            new = np.zeros(len(ts), dtype=bool)
+            new[:1] = carry is None
+            counts, anchors, carry = anchored_windows(ts, new, window_us, carry)
+            out = {key: pdf[key].to_numpy(), tie: pdf[tie].to_numpy(), "window_count": _whole(counts, late),
+                   "anchor_us": _whole(anchors, late), "late": late}
+            out.update({c: pdf[c].to_numpy() for c in extra})
+            yield pd.DataFrame(out)
+        state.update((*(carry or (None, None)), seen))
+        _expire(state, arrived, keep_ms)
     return fn
 
 
-def _ttl_state_fn(ttl_us: int | None, key: str, tie: str):
-    """W3 per key; with a ttl the record expires at last + ttl, without one it never does."""
+def _ttl_state_fn(ttl_us: int | None, key: str, tie: str, lateness_us: int, keep_ms: int):
+    """W3 per key, state (last, n, newest time); without a ttl the record never expires."""
     def fn(k, batches, state):
         if state.hasTimedOut:
             state.remove()
             return
-        carry = None
-        if state.exists:
-            last, n = state.get
-            carry = (last, n, 0)
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["_ts_us", tie], kind="stable")
-        new = np.zeros(len(pdf), dtype=bool)
-        new[0] = carry is None
-        counts, _, (last, n, _) = refreshed_counter(pdf["_ts_us"].to_numpy(dtype=np.int64), new, ttl_us, carry)
-        state.update((last, n))
+        last, n, seen = state.get if state.exists else (None, None, None)
+        carry = None if last is None else (last, n, 0)
+        arrived = None
+        for pdf, late, seen in _chunks(batches, tie, seen, lateness_us):
+            arrived = int(pdf["_arrived_ms"].max()) if len(pdf) else arrived
+            ts = pdf["_ts_us"].to_numpy(dtype=np.int64)[~late]
+            if carry is not None:
+                ts = np.maximum(ts, carry[0])             # an increment out of order refreshes the expiry now
+            new = np.zeros(len(ts), dtype=bool)
+            new[:1] = carry is None
+            counts, _, carry = refreshed_counter(ts, new, ttl_us, carry)
+            yield pd.DataFrame({key: pdf[key].to_numpy(), tie: pdf[tie].to_numpy(), "counter": _whole(counts, late),
+                                "late": late})
+        state.update((*(carry[:2] if carry else (None, None)), seen))
         if ttl_us is not None:
-            _expire(state, int(last) + ttl_us)
-        yield pd.DataFrame({key: pdf[key].to_numpy(), tie: pdf[tie].to_numpy(), "counter": counts})
+            _expire(state, arrived, keep_ms)
     return fn
 
 
-def _timed(df: DataFrame, lateness: str) -> DataFrame:
-    """The stream with its event-time watermark; rows later than ``lateness`` are
-    dropped by Spark, as their key's record may be gone."""
-    return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+def split_late(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that were counted or need no count, late rows) of a stream's output."""
+    return decided.filter(~F.col("late")), decided.filter("late")
 
 
 def stream_rate_limit(requests: DataFrame, config: DataFrame, window_s: int = K.RATE_WINDOW_SECONDS,
-                      key: str = "tenant_id", tie: str = "request_id", lateness: str = LATENESS) -> DataFrame:
-    """ST1 + ST4: streaming W1. ``requests`` is a streaming DataFrame (key, tie, ts)."""
+                      key: str = "tenant_id", tie: str = "request_id", lateness: str = LATENESS, keep: str = KEEP,
+                      clock_skew: str = CLOCK_SKEW) -> DataFrame:
+    """ST1 + ST4: streaming W1. ``requests`` is a streaming DataFrame (key, tie, ts).
+
+    Late rows have a true ``late`` and no count, window or verdict.
+    """
     from tokenledger.operators.tenants import with_tenant_config
-    j = with_tenant_config(_timed(requests, lateness), config)
+    j = with_tenant_config(requests, config)
     j = j.withColumn("_ts_us", F.unix_micros(F.col("ts").cast("timestamp")))
     limited = j.filter(F.col("limit_rpm") > 0)
-    counted = limited.select(key, tie, "_ts_us", "ts").groupBy(key).applyInPandasWithState(
-        _anchored_state_fn(window_s * US, key, tie),
-        outputStructType=StructType([j.schema[key], j.schema[tie], StructField("window_count", LongType()),
-                                     StructField("anchor_us", LongType())]),
-        stateStructType="anchor long, n long", outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
+    counted = _on_arrival(limited.select(key, tie, "_ts_us"), clock_skew).groupBy(key).applyInPandasWithState(
+        _anchored_state_fn(window_s * US, key, tie, interval_us(lateness), interval_us(keep) // 1000),
+        outputStructType=StructType([j.schema[key], j.schema[tie], *_COUNTED]),
+        stateStructType="anchor long, n long, seen long", outputMode="append",
+        timeoutConf=GroupStateTimeout.EventTimeTimeout)
     # stream-stream join avoided: the per-request limit is recomputed from the
     # config (a static broadcast lookup) on the counted output
     cfg_cols = with_tenant_config(counted, config)
     out = cfg_cols.select(key, tie, "limit_rpm", "window_count",
                           F.timestamp_micros("anchor_us").alias("window_start"),
-                          (F.col("window_count") <= F.col("limit_rpm")).alias("allowed"))
+                          (F.col("window_count") <= F.col("limit_rpm")).alias("allowed"), "late")
     bypass = j.filter(F.col("limit_rpm") <= 0).select(
         key, tie, "limit_rpm", F.lit(0).cast("bigint").alias("window_count"),
-        F.lit(None).cast("timestamp").alias("window_start"), F.lit(True).alias("allowed"))
+        F.lit(None).cast("timestamp").alias("window_start"), F.lit(True).alias("allowed"), F.lit(False).alias("late"))
     return out.unionByName(bypass)
 
 
 def stream_admission(requests: DataFrame, config: DataFrame, window_s: int = K.RATE_WINDOW_SECONDS,
-                     key: str = "tenant_id", tie: str = "request_id", lateness: str = LATENESS) -> DataFrame:
+                     key: str = "tenant_id", tie: str = "request_id", lateness: str = LATENESS, keep: str = KEEP,
+                     clock_skew: str = CLOCK_SKEW) -> DataFrame:
     """ST1 (+ST4): admission over a request stream.
 
     ``requests`` is a streaming DataFrame with key, tie, ``ts``, ``stream`` and
@@ -161,48 +218,82 @@ def stream_admission(requests: DataFrame, config: DataFrame, window_s: int = K.R
     config (J1); the message scan (P8), system prompt isolation (P11, then P6
     prompt text) and tool scoping (P10) are column expressions evaluated before
     the keyed W1 state and carried through it; P16 decides. Streamed requests
-    (501) never reach the counter; tenants with limit <= 0 bypass it.
+    (501) never reach the counter; tenants with limit <= 0 bypass it. Late
+    requests are marked ``late`` and have a status of their own (408).
     """
     from tokenledger.functions.injection import scan_messages
     from tokenledger.functions.messages import isolate_system_prompt, prompt_text
     from tokenledger.operators.admission import admission_decision
     from tokenledger.operators.tenants import scope_tools, with_tenant_config
-    j = with_tenant_config(_timed(requests, lateness), config)
-    j = j.select(key, tie, F.coalesce(F.col("stream"), F.lit(False)).alias("stream"), "limit_rpm", "ts",
-                 F.unix_micros("ts").alias("_ts_us"),
+    j = with_tenant_config(requests, config)
+    j = j.select(key, tie, F.coalesce(F.col("stream"), F.lit(False)).alias("stream"), "limit_rpm",
+                 F.unix_micros(F.col("ts").cast("timestamp")).alias("_ts_us"),
                  scan_messages("messages").alias("scan_hit"),
                  prompt_text(isolate_system_prompt("messages", "system_prompt_override")).alias("prompt_text"),
                  (scope_tools(tools="tools") if "tools" in requests.columns
                   else F.lit(None).cast("string")).alias("tools"))
     extra = ["stream", "limit_rpm", "scan_hit", "prompt_text", "tools"]
     base = j.filter(~F.col("stream"))
-    state_out = StructType([j.schema[key], j.schema[tie], StructField("window_count", LongType()),
-                            StructField("anchor_us", LongType())] + [j.schema[c] for c in extra])
-    counted = (base.filter(F.col("limit_rpm") > 0).groupBy(key).applyInPandasWithState(
-        _anchored_state_fn(window_s * US, key, tie, extra), outputStructType=state_out,
-        stateStructType="anchor long, n long", outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
+    state_out = StructType([j.schema[key], j.schema[tie], *_COUNTED, *[j.schema[c] for c in extra]])
+    counted = (_on_arrival(base.filter(F.col("limit_rpm") > 0), clock_skew).groupBy(key).applyInPandasWithState(
+        _anchored_state_fn(window_s * US, key, tie, interval_us(lateness), interval_us(keep) // 1000, extra),
+        outputStructType=state_out, stateStructType="anchor long, n long, seen long", outputMode="append",
+        timeoutConf=GroupStateTimeout.EventTimeTimeout)
         .withColumn("allowed", F.col("window_count") <= F.col("limit_rpm"))
         .withColumn("window_start", F.timestamp_micros("anchor_us")).drop("anchor_us"))
-    bypass = (base.filter(F.col("limit_rpm") <= 0).drop("_ts_us", "ts")
+    bypass = (base.filter(F.col("limit_rpm") <= 0).drop("_ts_us").withColumn("late", F.lit(False))
               .withColumn("window_count", F.lit(0).cast("bigint")).withColumn("allowed", F.lit(True))
               .withColumn("window_start", F.lit(None).cast("timestamp")))
-    streamed = (j.filter(F.col("stream")).drop("_ts_us", "ts")
+    streamed = (j.filter(F.col("stream")).drop("_ts_us").withColumn("late", F.lit(False))
                 .withColumn("window_count", F.lit(None).cast("bigint"))
                 .withColumn("allowed", F.lit(None).cast("boolean"))
                 .withColumn("window_start", F.lit(None).cast("timestamp")))
-    return admission_decision(counted.unionByName(bypass).unionByName(streamed))
+    decided = admission_decision(counted.unionByName(bypass).unionByName(streamed))
+    return decided.withColumns({"status": F.when(F.col("late"), F.lit(LATE_STATUS)).otherwise(F.col("status")),
+                                "reason": F.when(F.col("late"), F.lit(LATE_REASON)).otherwise(F.col("reason"))})
 
 
 def stream_ttl_counter(events: DataFrame, key: str, ttl_s: int | None, tie: str = "event_id",
-                       lateness: str = LATENESS) -> DataFrame:
-    """ST5: streaming W3, one counter value per event."""
-    e = _timed(events, lateness).withColumn("_ts_us", F.unix_micros("ts")).select(
-        F.col(key).cast("string").alias(key), tie, "_ts_us", "ts")
+                       lateness: str = LATENESS, keep: str = KEEP, clock_skew: str = CLOCK_SKEW) -> DataFrame:
+    """ST5: streaming W3, one counter value per event (none for late ones, which are marked)."""
+    e = events.select(F.col(key).cast("string").alias(key), tie, F.unix_micros(F.col("ts").cast("timestamp")).alias("_ts_us"))
     timeout = GroupStateTimeout.NoTimeout if ttl_s is None else GroupStateTimeout.EventTimeTimeout
-    return e.groupBy(key).applyInPandasWithState(
-        _ttl_state_fn(None if ttl_s is None else ttl_s * US, key, tie),
-        outputStructType=StructType([e.schema[key], e.schema[tie], StructField("counter", LongType())]),
-        stateStructType="last long, n long", outputMode="append", timeoutConf=timeout)
+    keep_ms = max(interval_us(keep), 2 * US * (ttl_s or 0)) // 1000
+    return _on_arrival(e, clock_skew).groupBy(key).applyInPandasWithState(
+        _ttl_state_fn(None if ttl_s is None else ttl_s * US, key, tie, interval_us(lateness), keep_ms),
+        outputStructType=StructType([e.schema[key], e.schema[tie], StructField("counter", LongType()),
+                                     StructField("late", BooleanType())]),
+        stateStructType="last long, n long, seen long", outputMode="append", timeoutConf=timeout)
+
+
+def stream_sessions(events: DataFrame, key: str, ttl_s: int, lateness: str = LATENESS) -> DataFrame:
+    """ST5 as sessions: (key, session_start, session_end, events), a row for each run of events no more than
+    ``ttl_s`` apart, once the watermark has passed its end.
+
+    ``session_end`` is the last event's time. Spark keeps the open sessions as state and drops events that come
+    later than ``lateness``; ``stream_ttl_counter`` keeps a row for each event.
+    """
+    # a session window ends, exclusive, one gap after its last event; a pause of exactly ttl_s still belongs to it
+    gap = ttl_s * US + 1
+    timed = events.select(F.col(key).cast("string").alias(key), F.col("ts").cast("timestamp").alias("ts"))
+    held = timed.withWatermark("ts", lateness).groupBy(key, F.session_window("ts", f"{gap} microseconds").alias("w"))
+    return held.agg(F.count(F.lit(1)).alias("events")).select(
+        key, F.col("w.start").alias("session_start"),
+        F.timestamp_micros(F.unix_micros("w.end") - F.lit(gap)).alias("session_end"), "events")
+
+
+def stream_usage_updates(audit_stream: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """ST3 in update mode: the rollup (A1) as a streaming aggregate over days of event time.
+
+    Every micro-batch puts out the keys it changed with their new totals. A day leaves the state once the watermark
+    (``lateness`` behind the newest row) has passed its end; rows for a day that has left are dropped by Spark, so
+    where every row must count, ``run_usage_upserts`` is the job to use.
+    """
+    from tokenledger.operators.rollup import rollup_aggregates
+    day = F.window("created_at", "1 day").alias("_day")
+    return (audit_stream.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", lateness)
+            .groupBy("tenant_id", day, "provider").agg(*rollup_aggregates())
+            .select("tenant_id", F.to_date("_day.start").alias("date"), "provider", *ROLLUP_COUNTERS))
 
 
 # ------------------------------------------------------------------ runners
@@ -216,6 +307,26 @@ def run_to_parquet(stream: DataFrame, spark: SparkSession, name: str, mode: str
     return spark.read.parquet(f"{base}/out")
 
 
+def run_usage_updates(audit_stream: DataFrame, spark: SparkSession, name: str, lateness: str = LATENESS
+                      ) -> tuple[DataFrame, list[int]]:
+    """Run ``stream_usage_updates`` to the end: (the last totals of every key, state rows after each batch).
+
+    A batch overwrites its own folder, so a retried one leaves the same rows.
+    """
+    base = scratch_path(spark, f"streams/{name}/{uuid.uuid4().hex}")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(int(batch_id)).cast("bigint")).write.mode("overwrite").parquet(f"{base}/b={batch_id}")
+
+    q = (stream_usage_updates(audit_stream, lateness).writeStream.foreachBatch(each).outputMode("update")
+         .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start())
+    run_available(q)
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    latest = F.max_by(F.struct(*ROLLUP_COUNTERS), "batch_id").alias("_c")
+    rows = spark.read.parquet(f"{base}/b=*").groupBy("tenant_id", "date", "provider").agg(latest)
+    return rows.select("tenant_id", "date", "provider", "_c.*"), held
+
+
 def run_usage_upserts(audit_stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     """ST3: every micro-batch's rollup delta is upserted (S5); returns the usage table."""
     from tokenledger.operators.rollup import usage_rollup
