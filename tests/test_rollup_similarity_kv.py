@@ -151,6 +151,23 @@ def test_upsert_folds_touch_only_their_dates_and_survive_retries(spark):
     assert len([m for m in marks if m[0] == T0.date()]) == 1                     # the first date was folded once only
 
 
+def test_usage_store_does_not_grow_with_its_history(spark):
+    import uuid
+    from tokenledger.session import scratch_path
+    from tokenledger.sources import sinks
+    base = scratch_path(spark, f"test_flat/{uuid.uuid4().hex}")
+    d, u, rows, sizes = f"{base}/deltas", f"{base}/usage", [], []
+    for b in range(12):
+        rows.append((T0, "t", "openai", "gpt-4", b, 1, 5, Decimal("0.5"), False, None))
+        delta = R.usage_rollup(spark.createDataFrame(rows[-1:], AUDIT))
+        for _ in range(2 if b == 7 else 1):
+            sinks.upsert_usage(spark, delta, d, u, b, fold_every=2)
+        sizes.append([len(sinks._numbered(spark, p, m)) for p, m in ((d, "batch_id"), (u, "upto"), (f"{u}/_manifest", "v"))])
+    assert max(n for n, _, _ in sizes) <= 4 and max(n for _, n, _ in sizes) <= 3 and max(n for *_, n in sizes) <= 2
+    assert sizes[-1] == sizes[-3] == sizes[-5]                                   # flat, batch after batch
+    assert _raw(sinks.read_usage(spark, u, d)) == _raw(R.usage_rollup(spark.createDataFrame(rows, AUDIT)))
+
+
 def _raw(df):
     return [tuple(r) for r in df.select(*R.KEYS, *R.COUNTERS).collect()]
 

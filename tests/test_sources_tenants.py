@@ -142,3 +142,41 @@ def test_dashboard_row_order(spark):
         rows = [(r["provider"], r["model"]) for r in report(audit.repartition(4)).collect()]
         assert rows == sorted(rows) and len(rows) == 6
         assert [(r["provider"], r["model"]) for r in report(audit.repartition(4), limit=4).collect()] == rows[:4]
+
+
+def test_request_files_are_sorted_out_in_one_pass(spark):
+    import json
+    import uuid
+    from tokenledger.session import scratch_path
+    from tokenledger.sources.requests import (read_request_files, read_requests, stream_request_files, stream_requests_sink,
+                                              write_requests)
+    base = scratch_path(spark, f"test_request_files/{uuid.uuid4().hex}")
+    good = {"messages": [{"role": "user", "content": "hi"}]}
+    lines = [json.dumps({"request_id": "a", "ts": "2024-01-01 00:00:00", "headers": {"x-tenant-id": "t1"}, "body": json.dumps(good)}),
+             json.dumps({"request_id": "b", "headers": {}, "body": json.dumps({"messages": "no list"})}),
+             json.dumps({"request_id": "c", "body": None}), "no json at all {", "",
+             json.dumps({"request_id": "d", "body": json.dumps({**good, "model": "claude-3"}), "more": 1})]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(2).write.text(f"{base}/in")
+    write_requests(read_request_files(spark, f"{base}/in"), f"{base}/batch")
+    q = stream_requests_sink(stream_request_files(spark, f"{base}/in/*.txt", files_per_trigger=1), f"{base}/stream", f"{base}/_c")
+    q.awaitTermination(120)
+    for where in ("batch", "stream"):
+        ok, bad = read_requests(spark, f"{base}/{where}")
+        assert {(r["request_id"], r["tenant_id"], r["model"]) for r in ok.collect()} == {
+            ("a", "t1", "gpt-4"), ("d", "default", "claude-3")}
+        assert ok.count() + bad.count() == len(lines)
+        texts = {r["request_id"]: r["raw_body"] for r in bad.collect()}
+        assert texts["b"] == json.dumps({"messages": "no list"}) and "no json at all {" in {r["raw_body"] for r in bad.collect()}
+
+
+def test_measuring_a_lookup_moves_no_rows(spark):
+    """The size is added up from one row a task: no exchange of the dimension's rows, no global limit."""
+    from unittest import mock
+    from tokenledger.operators import dimensions
+    dim = spark.range(1000, numPartitions=8).withColumn("text", F.repeat(F.lit("x"), 50))
+    plans = []
+    real = type(dim).first
+    with mock.patch.object(type(dim), "first", lambda df: plans.append(
+            df._jdf.queryExecution().executedPlan().toString()) or real(df)):
+        assert dimensions.fits_broadcast(dim)
+    assert "Limit" not in plans[0].replace("CollectLimit", "") and "partial_count" in plans[0]

@@ -1,8 +1,8 @@
 """Dimension lookups (J1 tenant config, J2 price, J3 fallback, J6 seed).
 
-A dimension is broadcast only when its size is measured: one bounded aggregate
-(``limit(n + 1)``, so at most n + 1 rows are read) counts its rows and the bytes
-its values take as JSON text, free text included. Beyond either limit the join is
+A dimension is broadcast only when its size is measured: every task counts the
+rows of its partition and the bytes their values take as JSON text, free text
+included, and one row a task is added up; no rows move. Beyond either limit the join is
 left to Catalyst/AQE as a shuffle join on the key, which is the right plan when
 the dimension itself is large.
 """
@@ -20,7 +20,7 @@ def fits_broadcast(dim: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
                    max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
     """True when ``dim`` has at most ``max_rows`` rows whose values take at most ``max_bytes`` bytes."""
     size = F.sum(F.octet_length(F.to_json(F.struct(*dim.columns))).cast("bigint"))
-    rows, found = dim.limit(max_rows + 1).agg(F.count(F.lit(1)), size).first()
+    rows, found = dim.agg(F.count(F.lit(1)), size).first()
     return rows <= max_rows and (found or 0) <= max_bytes
 
 

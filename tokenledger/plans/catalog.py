@@ -509,6 +509,31 @@ def q_request_ingest(spark, sf):
                     prompt_text("messages").alias("prompt_text"))
 
 
+@register("request_files", f"""
+SELECT conv_id AS request_id,
+       CASE conv_id % 5 WHEN 0 THEN 'default' WHEN 1 THEN '' ELSE 'tenant_' || CAST(conv_id % 10 AS VARCHAR) END
+         AS tenant_id,
+       COUNT(*) AS n_messages,
+       conv_id % 17 <> 16 AND conv_id % 23 NOT IN (1, 3, 9) AND NOT (conv_id % 23 = 8 AND conv_id % 4 = 0)
+         AND NOT (conv_id % 23 = 7 AND bool_or(role = 'user')) AS valid
+FROM conversations GROUP BY conv_id""")
+def q_request_files(spark, sf):
+    """S1 as a source: JSON request files read as a stream, sorted into the accepted and the quarantine in one pass."""
+    import uuid
+    from tokenledger.session import scratch_path
+    from tokenledger.sources.requests import read_requests, stream_request_files, stream_requests_sink
+    from tokenledger.streaming.jobs import run_available
+    base = scratch_path(spark, f"request_files/{uuid.uuid4().hex}")
+    raw = FX.request_json_from_conversations(read_table(spark, sf, "conversations"))
+    raw.select("request_id", F.lit("2024-01-01 00:00:00").alias("ts"), "headers", "body").write.json(f"{base}/in")
+    lines = stream_request_files(spark, f"{base}/in/*.json", "request_id long, ts timestamp, headers map<string,string>, body string")
+    run_available(stream_requests_sink(lines, f"{base}/out", f"{base}/_checkpoint"))
+    ok, quarantine = read_requests(spark, f"{base}/out")
+    cols = ["request_id", "tenant_id", F.size("messages").cast("bigint").alias("n_messages")]
+    return (ok.select(*cols, F.lit(True).alias("valid"))
+            .unionByName(quarantine.select(*cols, F.lit(False).alias("valid"))))
+
+
 # ---------------------------------------------------------------- W1, W2, W3, P16
 RL_WINDOW_S = 3600          # FIXTURES §2.3: W=3600 s with ten tenants at sf0.01
 TTL_S = 7200
@@ -656,15 +681,15 @@ def q_index_retention(spark, sf):
 
 
 _MATCH_SQL = f""",
-pairs AS (
-  SELECT qv.query_id, idx.response_id, idx.seq, {O.sim_sql('qv.q', 'idx.v')} AS sim
-  FROM qv, idx),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, seq) AS rk
-  FROM pairs WHERE sim >= 0.95),
+qn AS MATERIALIZED (SELECT query_id, q, {O.norm_sql('q')} AS nq FROM qv),
+xn AS MATERIALIZED (SELECT response_id, seq, v, {O.norm_sql('v')} AS nv FROM idx),
+pairs AS MATERIALIZED (
+  SELECT * FROM (SELECT query_id, response_id, seq, list_dot_product(q, v) / (nq * nv + 1e-9) AS sim FROM qn, xn)
+  WHERE sim >= 0.95),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, seq) AS rk FROM pairs),
 best AS (
-  SELECT qv.query_id, r.response_id, r.seq, r.sim
-  FROM qv LEFT JOIN ranked r ON r.query_id = qv.query_id AND r.rk = 1)"""
+  SELECT qn.query_id, r.response_id, r.seq, r.sim
+  FROM qn LEFT JOIN ranked r ON r.query_id = qn.query_id AND r.rk = 1)"""
 
 
 @register("semantic_match", _with(O.EMB_CTE) + _MATCH_SQL + """
@@ -714,14 +739,15 @@ tcur AS (
   WHERE (s.inserted_at, s.seq) >= tb.st AND (SELECT as_of FROM asof_t) < tb.last + INTERVAL 7 DAY),
 tidx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY seq DESC) AS rn FROM tcur)
          WHERE rn <= 500),
-tq AS (SELECT query_id, q,
+tq AS MATERIALIZED (SELECT query_id, q, """ + O.norm_sql('q') + """ AS nq,
               'tenant_' || CAST((query_id + CASE WHEN query_id % 4 = 3 THEN 1 ELSE 0 END) % 3 AS VARCHAR) AS tenant_id
        FROM qv),
-tpairs AS (
-  SELECT tq.query_id, i.response_id, i.seq, """ + O.sim_sql('tq.q', 'i.v') + """ AS sim
-  FROM tq JOIN tidx i ON i.tenant_id = tq.tenant_id),
-tranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, seq) AS rk FROM tpairs WHERE sim >= 0.95)"""
+tn AS MATERIALIZED (SELECT tenant_id, response_id, seq, v, """ + O.norm_sql('v') + """ AS nv FROM tidx),
+tpairs AS MATERIALIZED (
+  SELECT * FROM (SELECT tq.query_id, tn.response_id, tn.seq, list_dot_product(q, v) / (nq * nv + 1e-9) AS sim
+                 FROM tq JOIN tn ON tn.tenant_id = tq.tenant_id)
+  WHERE sim >= 0.95),
+tranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, seq) AS rk FROM tpairs)"""
 
 
 @register("semantic_match_tenant", _with(O.EMB_CTE) + ",\n" + _TENANT_SQL.strip() + """
@@ -744,18 +770,19 @@ def q_semantic_match_tenant(spark, sf):
 
 
 @register("saved_calls", _with(O.EMB_CTE) + """,
-reqs AS (
-  SELECT query_id AS request_id, ts, q AS v FROM qv
-  UNION ALL
-  SELECT vec_id + 1000000000, TIMESTAMP '2024-01-01 00:00:30' + to_minutes(CAST(vec_id AS BIGINT)), v FROM emb),
-pairs AS (
-  SELECT a.request_id, b.request_id AS match_id, b.ts AS mts, """ + O.sim_sql('a.v', 'b.v') + """ AS sim
-  FROM reqs a JOIN reqs b
-    ON (b.ts < a.ts OR (b.ts = a.ts AND b.request_id < a.request_id))
-   AND a.ts - b.ts <= INTERVAL 1 HOUR),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sim DESC, mts, match_id) AS rk
-  FROM pairs WHERE sim >= 0.95)
+reqs AS MATERIALIZED (
+  SELECT *, epoch_us(ts) AS t, epoch_us(ts) // 3600000000 AS hour, """ + O.norm_sql('v') + """ AS n FROM (
+    SELECT query_id AS request_id, ts, q AS v FROM qv
+    UNION ALL
+    SELECT vec_id + 1000000000, TIMESTAMP '2024-01-01 00:00:30' + to_minutes(CAST(vec_id AS BIGINT)), v FROM emb)),
+earlier AS (SELECT *, hour + unnest([0, 1]) AS meets FROM reqs),
+pairs AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT a.request_id, b.request_id AS match_id, b.t AS mts, list_dot_product(a.v, b.v) / (a.n * b.n + 1e-9) AS sim
+    FROM reqs a JOIN earlier b ON b.meets = a.hour
+    WHERE (b.t < a.t OR (b.t = a.t AND b.request_id < a.request_id)) AND a.t - b.t <= 3600000000)
+  WHERE sim >= 0.95),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sim DESC, mts, match_id) AS rk FROM pairs)
 SELECT r.request_id, k.match_id, ROUND(k.sim, 6) AS match_sim
 FROM reqs r LEFT JOIN ranked k ON k.request_id = r.request_id AND k.rk = 1""")
 def q_saved_calls(spark, sf):

@@ -227,10 +227,14 @@ def sim_sql(a: str, b: str) -> str:
             f" + 1e-9))")
 
 
+def norm_sql(a: str) -> str:
+    return f"sqrt(list_dot_product({a}, {a}))"
+
+
 EMB_CTE = """
-emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+emb AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 nmax AS (SELECT MAX(vec_id) + 1 AS n FROM embeddings),
-qv AS (
+qv AS MATERIALIZED (
   SELECT a.vec_id AS query_id, a.v AS self_vec, b.v AS next_vec,
          list_transform(list_zip(a.v, b.v),
            lambda p: (1.0::DOUBLE - 0.1::DOUBLE * CAST(a.vec_id % 5 AS DOUBLE)) * p[1]

@@ -12,7 +12,7 @@ are routed to a quarantine output instead of failing the job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenledger import constants as K
@@ -137,3 +137,52 @@ def ingest_requests(raw: DataFrame, body_col: str = "body", headers_col: str | N
 def split_valid(ingested: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, quarantine) -- the same scan, two filters."""
     return ingested.filter("valid").drop("raw_body"), ingested.filter(~F.col("valid"))
+
+
+# ------------------------------------------------------------------ request files
+def _file_columns(lines: DataFrame, envelope: str) -> DataFrame:
+    """One row per line of JSON text: ``envelope`` columns and the body as text."""
+    line = F.from_json("value", envelope, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = lines.select("value", line.alias("_r"))
+    return rows.select("_r.*", F.col("value").alias("raw_line"))
+
+
+#: a request line: an id, the arrival time, the headers, and the body as the client sent it
+REQUEST_LINE = "request_id string, ts timestamp, headers map<string,string>, body string"
+
+
+def read_request_files(spark: SparkSession, path: str, envelope: str = REQUEST_LINE) -> DataFrame:
+    """S1 as a source: requests in text files, a JSON object a line. A line that is no such object becomes a request
+    without a body, which the type rules quarantine; its text is kept in ``raw_line``."""
+    return _file_columns(spark.read.text(path), envelope)
+
+
+def stream_request_files(spark: SparkSession, path: str, envelope: str = REQUEST_LINE, files_per_trigger: int = 1000
+                         ) -> DataFrame:
+    """``read_request_files`` as a stream of the files that arrive in the folder."""
+    return _file_columns(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path), envelope)
+
+
+def _sorted_out(raw: DataFrame) -> DataFrame:
+    keep = ("request_id", "ts", "raw_line")
+    r = ingest_requests(raw, keep=keep)
+    return r.withColumn("raw_body", F.when(~F.col("valid"), F.coalesce("raw_body", "raw_line"))).drop("raw_line")
+
+
+def write_requests(raw: DataFrame, path: str) -> None:
+    """Parse requests and write them in one pass: ``valid=true`` holds the accepted, ``valid=false`` the quarantine
+    with the text of each request."""
+    _sorted_out(raw).write.mode("append").partitionBy("valid").parquet(path)
+
+
+def stream_requests_sink(raw: DataFrame, path: str, checkpoint: str):
+    """``write_requests`` for a stream: a file sink, exactly once through its checkpoint."""
+    return (_sorted_out(raw).writeStream.format("parquet").outputMode("append").partitionBy("valid")
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path))
+
+
+def read_requests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(accepted, quarantine) of what ``write_requests`` or its stream wrote."""
+    rows = spark.read.parquet(path)                       # a folder's name is text
+    quarantine = rows.filter("valid = 'false'").withColumn("valid", F.lit(False))
+    return rows.filter("valid = 'true'").drop("valid", "raw_body"), quarantine

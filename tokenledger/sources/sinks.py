@@ -6,16 +6,20 @@ Parquet has no MERGE, so the rollup is kept exactly-once without one:
   partition overwrite -- a retried batch rewrites its own partition and never
   adds twice. That is all the work of most batches, whatever came before;
 * every ``fold_every`` batches the deltas since the last fold are added to the
-  base of the dates they touch, as ``usage/date=D/upto=B``; other dates are not
-  read. A base is never read and written under the same ``upto``, so a retried
-  fold gives the same files;
-* a reader takes each date's latest base and the deltas behind the last fold.
-  Bases and deltas before the last two folds are never read again.
+  base of the dates they touch, as ``usage/upto=B/date=D``; other dates are not
+  read;
+* a fold ends with a manifest, ``usage/_manifest/v=B``: which fold holds each
+  date's base. It counts once its ``_SUCCESS`` file stands, so readers see the
+  old state or the new one. A fold reads the manifest before it and writes under
+  its own number only, so a retried fold gives the same files;
+* bases that neither this manifest nor the one before names, deltas that the one
+  before had folded, and older manifests are then removed. So what a batch or a
+  reader lists and reads follows the number of dates and ``fold_every``, not the
+  history.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,26 +48,57 @@ def audit_stream_sink(audit_stream: DataFrame, path: str, checkpoint: str, trigg
     return w.start(path)
 
 
-def _stored(spark: SparkSession, path: str, marker: str) -> DataFrame:
-    """A stored rollup with its partition marker; empty before the first write."""
-    schema = f"{_ROLLUP}, {marker} long"
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder, wherever it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _latest_base(base: DataFrame, before: int | None = None) -> tuple[DataFrame, int]:
-    """(each date's latest base, the last fold). The marks come from partition values."""
-    if before is not None:
-        base = base.filter(F.col("upto") < before)
-    marks = base.groupBy("date").agg(F.max("upto").alias("_last"))
-    last = marks.agg(F.max("_last")).first()[0]
-    marks = marks.withColumnRenamed("date", "_date")
-    rows = base.join(marks, F.col("date").eqNullSafe(F.col("_date")) & (F.col("upto") == F.col("_last")), "left_semi")
-    return rows.select(*KEYS, *COUNTERS), -1 if last is None else int(last)
+def _numbered(spark: SparkSession, path: str, marker: str, committed: bool = False) -> list[int]:
+    """The numbers of the sub-folders ``marker=N``, rising; ``committed``: of those with a _SUCCESS file."""
+    fs, p = _folder(spark, path)
+    if not fs.exists(p):
+        return []
+    found = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith(f"{marker}=")]
+    if committed:
+        found = [x for x in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    return sorted(int(x.getName().split("=")[1]) for x in found)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, p = _folder(spark, path)
+    fs.delete(p, True)
+
+
+def _manifest(spark: SparkSession, usage_path: str, before: int | None = None) -> tuple[int, dict]:
+    """(number, {date: fold that holds its base}) of the last manifest (before a batch); (-1, {}) if there is none."""
+    known = [v for v in _numbered(spark, f"{usage_path}/_manifest", "v", committed=True) if before is None or v < before]
+    if not known:
+        return -1, {}
+    rows = spark.read.schema("date date, upto long").parquet(f"{usage_path}/_manifest/v={known[-1]}").collect()   # a row a date
+    return known[-1], {r["date"]: r["upto"] for r in rows}
+
+
+def _base_folder(usage_path: str, date, upto: int) -> str:
+    return f"{usage_path}/upto={upto}/date={'__HIVE_DEFAULT_PARTITION__' if date is None else date.isoformat()}"
+
+
+def _bases(spark: SparkSession, usage_path: str, held: dict) -> DataFrame:
+    """The bases that a manifest names, read by their folders."""
+    if not held:
+        return spark.createDataFrame([], _ROLLUP)
+    paths = [_base_folder(usage_path, date, upto) for date, upto in held.items()]
+    return (spark.read.schema(f"{_ROLLUP}, upto long").option("basePath", usage_path).parquet(*paths)
+            .select(*KEYS, *COUNTERS))
+
+
+def _deltas(spark: SparkSession, deltas_path: str, after: int, upto: int | None = None) -> DataFrame:
+    """The deltas behind a fold, up to a batch."""
+    ids = [b for b in _numbered(spark, deltas_path, "batch_id") if b > after and (upto is None or b <= upto)]
+    if not ids:
+        return spark.createDataFrame([], _ROLLUP)
+    paths = [f"{deltas_path}/batch_id={b}" for b in ids]
+    return spark.read.schema(_ROLLUP).parquet(*paths).select(*KEYS, *COUNTERS)
 
 
 def upsert_usage(spark: SparkSession, delta: DataFrame, deltas_path: str, usage_path: str, batch_id: int,
@@ -74,17 +109,34 @@ def upsert_usage(spark: SparkSession, delta: DataFrame, deltas_path: str, usage_
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(deltas_path))
     if (batch_id + 1) % fold_every:
         return
-    base, last = _latest_base(_stored(spark, usage_path, "upto"), batch_id)
-    news = (_stored(spark, deltas_path, "batch_id")
-            .filter((F.col("batch_id") > last) & (F.col("batch_id") <= batch_id)).select(*KEYS, *COUNTERS))
-    touched = news.select(F.col("date").alias("_date")).distinct()          # one row a date
-    old = base.join(F.broadcast(touched), F.col("date").eqNullSafe(F.col("_date")), "left_semi")
-    (merge_rollup(old, news).withColumn("upto", F.lit(int(batch_id)).cast("bigint"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "upto").parquet(usage_path))
+    last, held = _manifest(spark, usage_path, batch_id)
+    news = _deltas(spark, deltas_path, last, batch_id)
+    touched = {r["date"] for r in news.select("date").distinct().collect()}                     # a row a date
+    old = _bases(spark, usage_path, {d: v for d, v in held.items() if d in touched})
+    merge_rollup(old, news).write.mode("overwrite").partitionBy("date").parquet(f"{usage_path}/upto={batch_id}")
+    now = {**held, **{d: batch_id for d in touched}}
+    (spark.createDataFrame(list(now.items()), "date date, upto long").coalesce(1)
+     .write.mode("overwrite").parquet(f"{usage_path}/_manifest/v={batch_id}"))
+    _clean_up(spark, deltas_path, usage_path, last, held, now)
+
+
+def _clean_up(spark: SparkSession, deltas_path: str, usage_path: str, last: int, held: dict, now: dict) -> None:
+    """Remove what neither the last two manifests nor a retry of the last fold can read."""
+    older, before = _manifest(spark, usage_path, last)
+    for date, upto in before.items():
+        if upto not in (held.get(date), now.get(date)):
+            _remove(spark, _base_folder(usage_path, date, upto))
+    for v in {u for u in before.values()} - {*held.values(), *now.values()}:
+        _remove(spark, f"{usage_path}/upto={v}")
+    for b in _numbered(spark, deltas_path, "batch_id"):
+        if b <= last:
+            _remove(spark, f"{deltas_path}/batch_id={b}")
+    for v in _numbered(spark, f"{usage_path}/_manifest", "v"):
+        if v < last:
+            _remove(spark, f"{usage_path}/_manifest/v={v}")
 
 
 def read_usage(spark: SparkSession, usage_path: str, deltas_path: str) -> DataFrame:
-    """The usage table: each date's latest base plus the deltas behind the last fold."""
-    base, last = _latest_base(_stored(spark, usage_path, "upto"))
-    news = _stored(spark, deltas_path, "batch_id").filter(F.col("batch_id") > last).select(*KEYS, *COUNTERS)
-    return merge_rollup(base, news)
+    """The usage table: each date's base plus the deltas behind the last fold."""
+    last, held = _manifest(spark, usage_path)
+    return merge_rollup(_bases(spark, usage_path, held), _deltas(spark, deltas_path, last))
