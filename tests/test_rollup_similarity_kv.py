@@ -209,3 +209,35 @@ def test_index_oversize_is_rejected(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
     with pytest.raises(ValueError):
         best_match(q, idx, max_index_rows=3)           # apply retained_index() first
+
+
+def test_kv_store_is_compacted_and_purged(spark):
+    """Log and snapshot against all writes read at once; retries change nothing; old folders go."""
+    import random
+    import uuid
+    from tokenledger.session import scratch_path
+    from tokenledger.sources import folders
+    from tokenledger.sources.kv import _table, kv_append, kv_compact, kv_latest_live, kv_table, kv_write
+    path, rnd, everything, counts = scratch_path(spark, f"test_kv/{uuid.uuid4().hex}"), random.Random(4), [], []
+    t0 = dt.datetime(2024, 1, 1)
+    assert kv_table(spark, path).count() == 0
+    for b in range(9):
+        rows = [(rnd.choice("abcdefgh") if b < 6 else "a", f"v{b}.{i}", t0 + dt.timedelta(minutes=10 * b + i % 3),
+                 rnd.choice([60, 900, 36_000]), 100 * b + i) for i in range(12)]
+        everything += rows
+        df = spark.createDataFrame(rows, "key string, value string, written_at timestamp, ttl_seconds long, write_id long")
+        for _ in range(2 if b == 4 else 1):
+            kv_append(spark, path, df, b)
+        now = t0 + dt.timedelta(minutes=10 * b + 1)
+        if b % 2:
+            for _ in range(2 if b == 5 else 1):
+                kv_compact(spark, path, now, b)
+        full = kv_write(None, spark.createDataFrame(everything, df.schema))
+        for at in (now, now + dt.timedelta(minutes=7), now + dt.timedelta(hours=5)):
+            assert sorted(map(repr, kv_latest_live(kv_table(spark, path), at).drop("json").collect())) == sorted(
+                map(repr, kv_latest_live(full, at).drop("json").collect()))
+        counts.append((len(folders.numbered(spark, f"{path}/log", "batch_id")),
+                       len(folders.numbered(spark, f"{path}/snapshot", "v"))))
+    assert max(n for n, _ in counts) <= 4 and max(n for _, n in counts) <= 2
+    held = _table(spark, path, 7, 7).filter(F.col("written_at") <= t0 + dt.timedelta(minutes=71))
+    assert held.groupBy("key").count().filter("count > 1").count() == 0 and held.count() <= 8

@@ -929,6 +929,27 @@ def q_kv_latest_live(spark, sf):
                       F.unix_micros("written_at").alias("written_us"))
 
 
+@register("kv_store", ORACLE["kv_latest_live"])
+def q_kv_store(spark, sf):
+    """S9 in batches to the log, compacted on the way, S8 from the snapshot and the log behind it."""
+    import uuid
+    from tokenledger.functions.timeutil import ts_lit
+    from tokenledger.session import scratch_path
+    from tokenledger.sources.kv import kv_append, kv_compact, kv_latest_live, kv_table
+    path = scratch_path(spark, f"kv_store/{uuid.uuid4().hex}")
+    writes = FX.kv_writes_from_events(read_table(spark, sf, "events"))
+    # four batches in the order of time, cut three, two and one hours before the read
+    cuts = [ts_lit(KV_AS_OF) - F.make_dt_interval(hours=F.lit(h)) for h in (3, 2, 1)]
+    batch = sum(F.when(F.col("written_at") > c, 1).otherwise(0) for c in cuts)
+    for b in range(4):
+        kv_append(spark, path, writes.filter(batch == b), b)
+        if b == 2:
+            kv_compact(spark, path, cuts[-1], b)
+    out = kv_latest_live(kv_table(spark, path), KV_AS_OF)
+    return out.select("key", F.try_variant_get("json", "$.k", "int").alias("k"), "raw",
+                      F.unix_micros("written_at").alias("written_us"))
+
+
 # ---------------------------------------------------------------- ST1-ST5, S4, S5
 def _staged_events(spark, sf, name):
     """Events split into four time-ordered files (derived, under the checkpoint

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tokenledger.functions.pricing import COST_SUM_TYPE
 from tokenledger.operators.rollup import COUNTERS, KEYS, merge_rollup
+from tokenledger.sources.folders import numbered as _numbered, remove as _remove
 
 FOLD_EVERY = 16
 _ROLLUP = ("tenant_id string, date date, provider string, total_requests long, total_prompt_tokens long, "
@@ -48,28 +49,6 @@ def audit_stream_sink(audit_stream: DataFrame, path: str, checkpoint: str, trigg
     return w.start(path)
 
 
-def _folder(spark: SparkSession, path: str):
-    """(file system, path) of a folder, wherever it is."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def _numbered(spark: SparkSession, path: str, marker: str, committed: bool = False) -> list[int]:
-    """The numbers of the sub-folders ``marker=N``, rising; ``committed``: of those with a _SUCCESS file."""
-    fs, p = _folder(spark, path)
-    if not fs.exists(p):
-        return []
-    found = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith(f"{marker}=")]
-    if committed:
-        found = [x for x in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
-    return sorted(int(x.getName().split("=")[1]) for x in found)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    fs, p = _folder(spark, path)
-    fs.delete(p, True)
-
-
 def _manifest(spark: SparkSession, usage_path: str, before: int | None = None) -> tuple[int, dict]:
     """(number, {date: fold that holds its base}) of the last manifest (before a batch); (-1, {}) if there is none."""
     known = [v for v in _numbered(spark, f"{usage_path}/_manifest", "v", committed=True) if before is None or v < before]
