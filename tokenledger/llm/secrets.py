@@ -2,17 +2,18 @@
 
 1. Every whole text is searched for candidates: the base kinds (assignments,
    access keys, long hex strings) and further credential formats. A candidate's
-   value is carried as its SHA-256, never in the clear.
-2. Candidate hashes are aggregated over the corpus by distinct repository and
-   owner: first to one row per (hash, repository, owner), partially before the
-   shuffle, then to counts per hash. An example that many copy is told from a
-   credential that one owner holds.
-3. A value held by one owner in at most ``MAX_REPOSITORIES`` repositories that
-   looks random enough is live-looking: its place is added as a span of kind
-   ``live``. All base spans stay.
-4. Masking reads a private key's base64 body as the value, whatever it is broken
-   by (line ends, escapes, quotes), to its last base64 line if the END line is
-   missing. ``scan_secrets`` lists the header alone, as its SQL does.
+   value is carried as its SHA-256, never in the clear. A private key's value is
+   its base64 body, whatever it is broken by (line ends, escapes, quotes), to its
+   last base64 line if the END line is missing; a header without a body stands for
+   itself.
+2. The hashes of candidates that look random are aggregated over the corpus: first
+   to one row per (hash, distinct text), so copies of a document count once, for
+   its smallest (owner, repository); then to one row per (hash, owner, repository)
+   and to counts per hash. Each step adds up before it shuffles.
+3. A value of one owner, in at most ``MAX_REPOSITORIES`` repositories and at most
+   ``MAX_TEXTS`` different texts, is live-looking: its place is added as a span of
+   kind ``live``. More owners, repositories or texts make it a widely copied
+   example. All base spans stay.
 
 Defined cases: a null text is empty; a null owner or repository is one of its
 own; every row, repeated ones too, gives one row; spans are in code points, end
@@ -32,10 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenledger.llm.staging import numbered, renamed, stage
+from tokenledger.llm.staging import BROADCAST_KEYS, numbered, renamed, stage
 
 MAX_REPOSITORIES = 2
+MAX_TEXTS = 5
 MIN_ENTROPY = 2.5
+#: beyond a list of a size that is broadcast, live values are joined by shuffle in so many copies
+SALTS = 16
 
 #: FIXED VALUES: the base patterns; (kind, pattern, group that holds the value, least length)
 BASE = [
@@ -53,7 +57,8 @@ MORE = [
     ("github", re.compile(r"(?a)\bgh[pousr]_[A-Za-z0-9]{36,}"), 0, 0),
     ("slack", re.compile(r"(?a)\bxox[abprs]-[A-Za-z0-9-]{10,}"), 0, 0),
     ("stripe", re.compile(r"(?a)\b[rs]k_live_[A-Za-z0-9]{16,}"), 0, 0),
-    ("jwt", re.compile(r"(?a)\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 0),
+    # a run of these characters is tried from its begin alone and never given back: linear in the text
+    ("jwt", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"), 0, 0),
 ]
 KINDS = [*[k[0] for k in BASE], *[k[0] for k in MORE], "live"]
 _HINTS = ("-----BEGIN", "gh", "xox", "k_live_", "eyJ")
@@ -80,11 +85,8 @@ def looks_random(value: str) -> bool:
             and _entropy(value) >= MIN_ENTROPY)
 
 
-def find(text: str, keys: bool = False) -> list[tuple[int, int, int, int, int, str, bool]]:
-    """(kind, start, end, value start, value end, value hash, looks random) of the candidates of a text.
-
-    ``keys``: a private key's span runs through its END line and its value is the base64 body.
-    """
+def find(text: str) -> list[tuple[int, int, int, int, int, str, bool]]:
+    """(kind, start, end, value start, value end, value hash, looks random) of the candidates of a text."""
     out = []
 
     def add(kind: int, m: re.Match, group: int) -> None:
@@ -101,7 +103,7 @@ def find(text: str, keys: bool = False) -> list[tuple[int, int, int, int, int, s
     for kind, (_, pattern, group, _) in enumerate(MORE, len(BASE)):
         if _HINTS[kind - len(BASE)] in text:
             for m in pattern.finditer(text):
-                key = _KEY.match(text, m.end()) if keys and KINDS[kind] == "pem" else None
+                key = _KEY.match(text, m.end()) if KINDS[kind] == "pem" else None
                 if key:
                     value = _NOT_BASE64.sub("", key["body"])
                     out.append((kind, m.start(), key.end(), *key.span("body"),
@@ -116,39 +118,62 @@ _FIELDS = [("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("v
            ("value_end", pa.int64()), ("value", pa.string()), ("random", pa.bool_())]
 
 
-def with_candidates(docs: DataFrame, keys: bool = False) -> DataFrame:
-    """``docs`` with ``candidates`` (see ``find``) added at the end."""
-    docs = docs.drop("candidates")
+def with_candidates(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``candidates`` (see ``find``) and ``digest`` (SHA-256 of a text that has any) added at the end."""
+    docs = docs.drop("candidates", "digest")
     at = docs.columns.index("text")
     kind = pa.list_(pa.struct(_FIELDS))
     names = [f[0] for f in _FIELDS]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[dict(zip(names, c)) for c in find(t, keys)] if t else [] for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "candidates"])
+            found, digests = [], []
+            for t in batch.column(at).to_pylist():
+                some = find(t) if t else []
+                found.append([dict(zip(names, c)) for c in some])
+                digests.append(hashlib.sha256(t.encode()).hexdigest() if some else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind), pa.array(digests, pa.string())],
+                                             [*batch.schema.names, "candidates", "digest"])
 
-    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField("candidates", T.ArrayType(
-        T._parse_datatype_string(_SPAN)))]))
+    return docs.mapInArrow(scan, T.StructType([
+        *docs.schema.fields, T.StructField("candidates", T.ArrayType(T._parse_datatype_string(_SPAN))),
+        T.StructField("digest", T.StringType())]))
 
 
 def ownership(rows: DataFrame) -> DataFrame:
-    """value, n_owners, n_repositories of every candidate value; ``rows``: candidates, owner, repository."""
-    each = rows.select(F.explode(F.array_distinct(F.col("candidates.value"))).alias("value"), "owner", "repository")
-    holders = each.groupBy("value", "owner", "repository").agg(F.lit(1).alias("one"))
-    repos = holders.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n"))
-    return repos.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"))
+    """value, n_owners, n_repositories, n_texts of every value that looks random.
+
+    ``rows``: candidates, digest, owner, repository. Copies of a text are one text, held by its smallest
+    (owner, repository), nulls first.
+    """
+    values = F.array_distinct(F.transform(F.filter("candidates", lambda c: c["random"]), lambda c: c["value"]))
+    each = rows.select(F.explode(values).alias("value"), "digest", F.struct("owner", "repository").alias("holder"))
+    texts = each.groupBy("value", "digest").agg(F.min("holder").alias("holder"))
+    held = (texts.select("value", "holder.*").groupBy("value", "owner", "repository")
+            .agg(F.count(F.lit(1)).alias("n_texts")))
+    owners = held.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n_repositories"), F.sum("n_texts").alias("n_texts"))
+    return owners.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n_repositories").alias("n_repositories"),
+                                       F.sum("n_texts").alias("n_texts"))
 
 
-def judged(rows: DataFrame) -> DataFrame:
-    """row and spans (start, kind, end, value_start, value_end) of rows with candidates, live ones included."""
-    verdict = ownership(rows).select("value", ((F.col("n_owners") == 1) & (F.col("n_repositories") <= MAX_REPOSITORIES))
-                                     .alias("single"))
-    each = rows.select("row", F.inline("candidates")).join(verdict, "value")
-    live = each.filter("single and random").select(
-        "row", F.col("value_start").alias("start"), F.lit(KINDS.index("live")).alias("kind"), F.col("value_end").alias("end"))
-    spans = each.select("row", "start", "kind", "end").unionByName(live).distinct()
-    return spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
+def live_places(rows: DataFrame) -> DataFrame:
+    """row and live (start, kind, end) of the rows that hold live-looking values.
+
+    ``rows``: row, candidates, digest, owner, repository. Only live values are sent to the rows, and only
+    candidates that look random are joined to them.
+    """
+    live = stage(ownership(rows).filter((F.col("n_owners") == 1) & (F.col("n_repositories") <= MAX_REPOSITORIES)
+                                        & (F.col("n_texts") <= MAX_TEXTS)).select("value"), "secret-live")
+    each = rows.select("row", F.explode(F.filter("candidates", lambda c: c["random"])).alias("c")).select(
+        "row", F.col("c.value").alias("value"), F.struct(
+            F.col("c.value_start").alias("start"), F.lit(KINDS.index("live")).alias("kind"),
+            F.col("c.value_end").alias("end")).alias("place"))
+    if live.count() <= BROADCAST_KEYS:
+        found = each.join(F.broadcast(live), "value")
+    else:                                          # a text of very many copies is one value in very many rows
+        live = live.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = each.withColumn("salt", F.pmod(F.hash("row"), F.lit(SALTS))).join(live, ["value", "salt"])
+    return found.groupBy("row").agg(F.sort_array(F.collect_set("place")).alias("live"))
 
 
 def _digest(spans: Column) -> Column:
@@ -167,9 +192,11 @@ def scan_secrets(docs: DataFrame, owner: Column, repository: Column) -> DataFram
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text",
                        owner.cast("string").alias("owner"), repository.cast("string").alias("repository"))
     rows = stage(with_candidates(rows).drop("text"), "secret-rows")
-    found = judged(rows.filter(F.size("candidates") > 0))
+    found = live_places(rows.filter(F.size("candidates") > 0))
+    places = F.transform("candidates", lambda c: F.struct(c["start"], c["kind"], c["end"]))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    out = rows.select("row", "doc_id").join(found, "row", "left").withColumn("all", F.coalesce("spans", none))
+    out = rows.select("row", "doc_id", places.alias("places")).join(found, "row", "left").withColumn(
+        "all", F.sort_array(F.array_distinct(F.concat("places", F.coalesce("live", none)))))
     base = F.filter("all", lambda s: s["kind"] < len(BASE))
 
     def count(kind: int) -> Column:
@@ -186,13 +213,12 @@ def redact(docs: DataFrame, owner: Column, repository: Column, mask: str = "[SEC
     at = columns.index("text")
     # the text goes under its own name, all other columns as c0, c1, ...
     named = docs.select(*numbered(columns), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"))
-    scanned = with_candidates(named.withColumnRenamed(f"c{at}", "text"), keys=True)
+    scanned = with_candidates(named.withColumnRenamed(f"c{at}", "text"))
     back = [c if i != at else F.col("text").alias(f"c{at}") for i, c in enumerate(f"c{i}" for i in range(len(columns)))]
     clean = scanned.filter(F.size("candidates") == 0).select(*back)
     dirty = stage(scanned.filter(F.size("candidates") > 0).withColumn("row", F.monotonically_increasing_id()),
                   "secret-dirty")
-    found = judged(dirty.select("row", "candidates", "owner", "repository"))
-    live = found.select("row", F.filter("spans", lambda s: s["kind"] == KINDS.index("live")).alias("live"))
+    live = live_places(dirty.select("row", "candidates", "digest", "owner", "repository"))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("to"))
     cut = F.aggregate(F.col("live"), start, lambda a, s: F.struct(
         F.when(s["end"] <= a["to"], a["out"]).otherwise(F.concat(
@@ -201,40 +227,59 @@ def redact(docs: DataFrame, owner: Column, repository: Column, mask: str = "[SEC
         F.greatest(a["to"], s["end"]).alias("to")),
         lambda a: F.concat(a["out"], F.substring(F.col("text"), a["to"] + 1, F.length("text"))))
     text = F.when(F.size("live") > 0, cut).otherwise(F.col("text"))
-    return clean.unionByName(dirty.join(live, "row").withColumn("text", text).select(*back)).select(*renamed(columns))
+    return clean.unionByName(dirty.join(live, "row", "left").withColumn("text", text).select(*back)).select(*renamed(columns))
 
 
 def _oracle() -> str:
-    """Each pattern's matches and the pieces between them give the places; the value is a match's last group."""
+    """Each pattern's matches and the pieces between them give the places; ``v`` is the value, ``lead`` what is before it.
+
+    SQL's patterns have no look-around: a jwt is taken with the character before it, and a private key is stated for lines
+    between white space, escapes and quotes that end in an END line. Keys broken otherwise or without END have a test.
+    """
     word = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     tail = r"""["']?\x20*[:=]\x20*["']?"""
     value = "[A-Za-z0-9+/_.=-]+"
-    patterns = [(f"{word}{tail}{value}", f"{word}{tail}({value})", 2, 6)]
-    patterns += [(p.pattern.removeprefix("(?a)"), None, 0, least) for _, p, _, least in [*BASE[1:], *MORE]]
+    gap = r"""(?:\\[nrt]|[\s"'`,>#*|\\]|//)*"""
+    end = "-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    body = f"[A-Za-z0-9+/=]{{16,}}(?:{gap}[A-Za-z0-9+/=]{{16,}})*(?:{gap}[A-Za-z0-9+/=]{{1,15}})?"
+    fields = rf"(?:{gap}[A-Z][A-Za-z0-9-]{{0,40}}:\x20[^\r\n\\]{{0,200}})*"
+    plain = {KINDS.index(name): (p.pattern.removeprefix("(?a)"), None, 0, least)
+             for name, p, _, least in [*BASE[1:], *MORE]}
+    pem, jwt = KINDS.index("pem"), KINDS.index("jwt")
+    key = f"{plain[pem][0]}(?:{fields}{gap}({body}){gap}{end})?"
+    token = "eyJ" + r"\.".join(["[A-Za-z0-9_-]{8,}"] * 3)
+    patterns = {0: (f"{word}{tail}{value}", f"{word}{tail}({value})", 2, 6), **plain, pem: (key, key, 1, 0),
+                jwt: (f"(?:^|[^A-Za-z0-9_-]){token}", f"(?:^|[^A-Za-z0-9_-])({token})", 1, 0)}
     parts = []
-    for kind, (whole, grouped, group, least) in enumerate(patterns):
+    for kind, (whole, grouped, group, least) in patterns.items():
         w = whole.replace("'", "''")
         v = "m" if grouped is None else f"regexp_extract_all(t, '{grouped.replace(chr(39), chr(39) * 2)}', {group})"
         parts.append(f"""SELECT row, source, repository, {kind} AS kind, t, regexp_split_to_array(t, '{w}') AS pieces, m, {v} AS v,
                          {least} AS least FROM (SELECT *, regexp_extract_all(t, '{w}') AS m FROM d) WHERE len(m) > 0""")
     names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
-    return f"""
+    return rf"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, source,
                   coalesce(source, '') || '/' || coalesce(lang, '') AS repository FROM documents),
 a AS ({" UNION ALL ".join(parts)}),
-e AS (SELECT row, source, repository, kind, m[i] AS m, v[i] AS v, least,
+p AS (SELECT row, t, source, repository, kind, m[i] AS m, coalesce(v[i], '') AS raw, least,
              (list_sum(list_transform(pieces[1:i], lambda x: length(x)))
               + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
       FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM a)),
-c AS (SELECT *, s + length(m) AS z FROM e WHERE length(v) >= least),
-o AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS owners, count(DISTINCT coalesce(source, chr(1)) || repository) AS repos
-      FROM c GROUP BY v),
+q AS (SELECT *, CASE WHEN kind = {pem} AND raw = '' THEN m ELSE raw END AS body FROM p WHERE length(raw) >= least),
+c AS (SELECT row, t, source, repository, kind, CASE WHEN kind = {jwt} THEN s + length(m) - length(body) ELSE s END AS s,
+             s + length(m) AS z, CASE WHEN kind = {pem} THEN s + strpos(m, body) - 1 ELSE s + length(m) - length(body) END AS vs,
+             length(body) AS n, CASE WHEN kind = {pem} AND raw <> '' THEN regexp_replace(body, '\\[nrt]|[^A-Za-z0-9+/=]', '', 'g')
+                                ELSE body END AS v FROM q),
+h AS (SELECT v, t, source, repository FROM (SELECT DISTINCT v, t, source, repository FROM c)
+      QUALIFY row_number() OVER (PARTITION BY v, t ORDER BY source NULLS FIRST, repository) = 1),
+o AS (SELECT v, count(*) AS texts, count(DISTINCT coalesce(source, chr(1))) AS owners,
+             count(DISTINCT coalesce(source, chr(1)) || repository) AS repos FROM h GROUP BY v),
 u AS (SELECT v, sum(n) AS len, -sum(n / len * log2(n / len)) AS entropy FROM (
           SELECT v, length(v)::DOUBLE AS len, x, count(*) AS n FROM (SELECT v, unnest(string_split(v, '')) AS x FROM o) GROUP BY v, x)
       GROUP BY v),
-live AS (SELECT DISTINCT row, z - length(v) AS s, {KINDS.index("live")} AS kind, z FROM c JOIN o USING (v) JOIN u USING (v)
-         WHERE owners = 1 AND repos <= {MAX_REPOSITORIES} AND length(v) >= 8 AND regexp_matches(v, '[0-9]')
-           AND regexp_matches(v, '[A-Za-z]') AND entropy >= {MIN_ENTROPY}),
+live AS (SELECT DISTINCT row, vs AS s, {KINDS.index("live")} AS kind, vs + n AS z FROM c JOIN o USING (v) JOIN u USING (v)
+         WHERE owners = 1 AND repos <= {MAX_REPOSITORIES} AND texts <= {MAX_TEXTS} AND length(v) >= 8
+           AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND entropy >= {MIN_ENTROPY}),
 sp AS (SELECT DISTINCT row, s, kind, z FROM c UNION SELECT row, s, kind, z FROM live),
 g AS (SELECT row, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
              count(*) FILTER (WHERE kind = 2) AS n_hex,
