@@ -66,3 +66,22 @@ def test_edge_documents(spark):
     check(clashing(edge_docs(spark)).drop("x"), b.withColumn("class", b.text))
     check(edge_docs(spark), b.limit(0))
     check(spark.createDataFrame([], SCHEMA), b)
+
+
+def test_a_passage_of_many_items_costs_a_row_a_window(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    docs = spark.createDataFrame([(i, f"d{i} x {passage} y e{i}", "en", "s", 0) for i in range(40)], SCHEMA)
+    joined = []
+    for n in (1, 30):
+        b = spark.createDataFrame([(i, f"a{i} b{i} {passage} c{i}") for i in range(n)], "item_id long, text string")
+        joined.append(D.find_overlaps(docs, b)[1].count())
+        assert all(r[2] == 20 and r[3] == n for r in check(docs, b))
+    assert joined == [40 * 8, 40 * 8]
+
+
+def test_a_text_of_several_blocks(spark):
+    span = " ".join(f"s{i}" for i in range(13))
+    text = "Filler word " * 150_000 + span + " and on" * 100_000
+    d = spark.createDataFrame([(1, text, "en", "s", 0), (2, span, "en", "s", 0)], SCHEMA)
+    got = rows(D.decontaminate(d, spark.createDataFrame([(5, f"q {span} r")], "item_id long, text string")))
+    assert [(r[0], r[1], r[2], r[3], r[5]) for r in got] == [(1, 500_013, 13, 1, False), (2, 13, 13, 1, True)]

@@ -1,23 +1,27 @@
 """Benchmark decontamination by winnowing.
 
 A span counts when ``window`` consecutive item words (a shorter item: all its
-words) stand in a document. Both sides are fingerprinted with the minimum of
-every ``window - k + 1`` consecutive k-word hashes, so every shared span of
-``window`` words has a fingerprint at the same place on both sides. Each
-fingerprint carries the words around it that a shared window through it can
-reach; after the join on the hash, a hit is extended left and right over these
-words and kept if the shared run is long enough. Equal hashes of different words
-are thereby dropped, and no text is joined.
-
-Documents keep only fingerprints that are set in a bitmap of fixed size
-(``BITMAP_BITS``) of the benchmark's fingerprints; a larger benchmark fills the
-bitmap and only lets more rows through. Items with the same words are one class;
-documents are linked to classes, and each distinct set of classes is expanded to
-item ids once.
+words) stand in a document. Both sides are fingerprinted by winnowing: a window's
+fingerprint is the minimum of its ``window - k + 1`` k-word hashes, so a shared
+window has one fingerprint at one place on both sides. Documents keep only windows
+whose fingerprint is set in a bitmap of the benchmark's, with 128 bits of BLAKE2b
+of the window's words. The join is on fingerprint and words, so equal hashes of
+different words are dropped, and hits that follow each other extend to the whole
+shared span. No text is joined.
+
+The benchmark is pre-aggregated before the join: each distinct window is one row,
+with the name of the set of items that hold it. A passage of many items thus costs
+a document one row a window, not one an item. Items with the same words are one
+class; sets are named by sums over their classes, never gathered, and each distinct
+union of sets is expanded to item ids once.
+
+The bitmap has 64 bits a benchmark window, ``BITMAP_BITS`` at most; a larger
+benchmark fills it and only lets more rows through.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,41 +34,40 @@ from tokenledger.llm.textblocks import ALNUM_WORD, Block, blocks
 
 WINDOW = 13
 GRAM = 5
-BITMAP_BITS = 1 << 24
-#: benchmark fingerprints up to this many rows (under 400 bytes each) are broadcast
-BROADCAST_ROWS = 100_000
+#: bits of the benchmark's bitmap: at least, at most (32 MB)
+LEAST_BITS = 1 << 20
+BITMAP_BITS = 1 << 28
+#: up to so many benchmark windows (some 110 bytes each) are broadcast; more are joined by shuffle, salted
+BROADCAST_ROWS = 200_000
+SALTS = 16
 
-_FOUND = "array<struct<hash:bigint,gram:int,at:int,lead:int,words:string>>"
+_WINDOW = "hash:bigint,window:binary,at:int,n:int"
+_FOUND = pa.struct([("hash", pa.int64()), ("window", pa.binary()), ("at", pa.int32()), ("n", pa.int32())])
 
 
 def winnow(b: Block, words: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of the minimum k-gram of every ``window`` words of a text."""
+    """(first word, minimum k-gram hash) of every ``window`` words of a text."""
     at, h = b.gram_hashes(words, k)
     w = window - k + 1
     if len(h) < w:
         return at[:0], h[:0]
-    view = np.lib.stride_tricks.sliding_window_view(h, w)
-    full = np.flatnonzero(b.doc[at[:len(view)]] == b.doc[at[w - 1:]])
-    pick = np.unique(full + view[full].argmin(axis=1))
-    return at[pick], h[pick]
+    low = np.lib.stride_tricks.sliding_window_view(h, w).min(axis=1)
+    full = np.flatnonzero(b.doc[at[:len(low)]] == b.doc[at[w - 1:]])
+    return at[full], low[full]
 
 
-def _grams(b: Block, words: np.ndarray, k: int, window: int, short: list[int]) -> Iterator[tuple]:
-    """(gram length, first words, hashes): winnowed k-grams, and all grams of the short items' lengths."""
-    yield (0, *winnow(b, words, k, window))
+def _windows(b: Block, k: int, window: int, short: list[int]) -> Iterator[tuple]:
+    """(length, first words, fingerprints): all windows, and all runs of the short items' lengths."""
+    words = b.word_hashes()
+    yield (window, *winnow(b, words, k, window))
     for m in short:
         yield (m, *b.gram_hashes(words + np.uint64(m), m))
 
 
-def _context(b: Block, first: int, gram: int, k: int, window: int) -> tuple[int, str]:
-    """Words before the gram within reach, and the text of all words in reach."""
-    doc = b.doc[first]
-    reach = window - k if gram == 0 else 0
-    length = k if gram == 0 else gram
-    lo = max(first - reach, b.word_bounds[doc])
-    hi = min(first + length + reach, b.word_bounds[doc + 1])
-    parts = [b.data[b.starts[i]:b.ends[i]].tobytes() for i in range(lo, hi)]
-    return first - lo, b" ".join(parts).decode()
+def _digest(b: Block, first: int, n: int) -> bytes:
+    """128 bits of the words ``first .. first + n - 1``."""
+    parts = [b.data[i:j].tobytes() for i, j in zip(b.starts[first:first + n].tolist(), b.ends[first:first + n].tolist())]
+    return hashlib.blake2b(b" ".join(parts), digest_size=16).digest()
 
 
 def _item_words(benchmark: DataFrame) -> DataFrame:
@@ -84,36 +87,37 @@ def _item_words(benchmark: DataFrame) -> DataFrame:
     return items.mapInArrow(split, "item_id string, words string, n long").filter("n > 0")
 
 
-def _class_prints(classes: DataFrame, k: int, window: int) -> DataFrame:
+def _class_windows(classes: DataFrame, k: int, window: int) -> DataFrame:
+    """class, hash, window of every window of each class."""
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
             for b in blocks(batch.column(1), ALNUM_WORD, lower=True):
-                h = b.word_hashes()
                 n = np.diff(b.word_bounds)
-                short = sorted({int(x) for x in n if x < window})
-                for gram, at, hs in _grams(b, h, k, window, short):
-                    for first, g in zip(at.tolist(), hs.view(np.int64).tolist()):
-                        doc = b.doc[first]
-                        if gram and n[doc] != gram:          # only an item's whole text is its short window
-                            continue
-                        lead, text = _context(b, first, gram, k, window)
-                        rows.append((batch.column(0)[b.first + int(doc)].as_py(), g, gram, lead, text))
-            cols = list(zip(*rows)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string()))],
-                ["class", "hash", "gram", "item_lead", "item_words"])
+                for length, at, hs in _windows(b, k, window, sorted({int(x) for x in n if x < window})):
+                    doc = b.doc[at]
+                    own = np.flatnonzero((n[doc] == length) | (length == window))     # a short item: its whole text
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column(0).take(pa.array(b.first + doc[own])), pa.array(hs[own].view(np.int64)),
+                        pa.array([_digest(b, i, length) for i in at[own].tolist()], pa.binary())], ["class", "hash", "window"])
+
+    return classes.mapInArrow(prints, "class string, hash long, window binary").distinct()
 
-    return classes.mapInArrow(prints, "class string, hash long, gram int, item_lead int, item_words string")
 
+def _sets(prints: DataFrame) -> DataFrame:
+    """hash, window, set of every distinct window; ``set`` names the classes that hold it, whatever their order."""
+    number = [F.xxhash64(F.lit(i), "class") for i in range(2)]
+    name = F.concat_ws(":", F.count(F.lit(1)), F.sum(number[0].cast("decimal(20,0)")), F.bit_xor(number[0]),
+                       F.bit_xor(number[1]))
+    return prints.groupBy("hash", "window").agg(F.unhex(F.md5(name)).alias("set"))
 
-def _bitmap(prints: DataFrame) -> np.ndarray:
-    """Bits ``hash mod BITMAP_BITS`` of all fingerprints: at most BITMAP_BITS / 64 rows reach the driver."""
-    bit = F.col("hash").bitwiseAND(F.lit(BITMAP_BITS - 1))
+
+def _bitmap(prints: DataFrame, bits: int) -> np.ndarray:
+    """Bits ``hash mod bits`` of all fingerprints: at most bits / 64 rows reach the driver."""
+    bit = F.col("hash").bitwiseAND(F.lit(bits - 1))
     rows = (prints.select(F.shiftright(bit, 6).alias("i"), F.call_function(
         "shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
         .groupBy("i").agg(F.bit_or("b").alias("b")).toArrow())
-    out = np.zeros(BITMAP_BITS // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     out[rows.column("i").to_numpy()] = rows.column("b").to_numpy()
     return out.view(np.uint64)
 
@@ -123,34 +127,26 @@ def _has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _run(a: list[str], i: int, b: list[str], j: int, length: int) -> tuple[int, int]:
-    """Shared words before and after position i of ``a`` and j of ``b``; (0, -1): the grams differ."""
-    if a[i:i + length] != b[j:j + length]:
-        return 0, -1
-    left = 0
-    while left < min(i, j) and a[i - left - 1] == b[j - left - 1]:
-        left += 1
-    right = 0
-    i, j = i + length, j + length
-    while i + right < len(a) and j + right < len(b) and a[i + right] == b[j + right]:
-        right += 1
-    return left, right
-
-
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM
-                  ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, hits, members).
+                  ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, hits, sets, members).
 
-    rows: row, doc_id, n_words of every document row; hits: row, class, first,
-    last (words of a shared run, last exclusive); members: class, item_id.
+    rows: row, doc_id, n_words of every document row; hits: row, first, last
+    (words of a shared window, last exclusive), set; sets: set, class; members:
+    class, item_id.
     """
     items = stage(_item_words(benchmark), "decon-items")
     members = items.select(F.sha2("words", 256).alias("class"), "item_id").distinct()
     lengths = [r["n"] for r in items.filter(F.col("n") < window).select("n").distinct().collect()]   # < window rows
     short = sorted(int(x) for x in lengths)
     classes = items.select(F.sha2("words", 256).alias("class"), "words").distinct()
-    prints = stage(_class_prints(classes, k, window), "decon-prints")
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(prints))
+    prints = stage(_class_windows(classes, k, window), "decon-prints")
+    held = stage(_sets(prints), "decon-windows")
+    one = held.groupBy("set").agg(F.min(F.struct("hash", "window")).alias("w")).select("set", "w.*")
+    sets = stage(one.join(prints, ["hash", "window"]).select("set", "class"), "decon-sets")
+    n_held = held.count()
+    bits = min(BITMAP_BITS, max(LEAST_BITS, 1 << (64 * n_held).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(held, bits))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
@@ -158,45 +154,30 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
             n_words, found = [], []
             for b in blocks(batch.column(2), ALNUM_WORD, lower=True):
                 n_words.append(np.diff(b.word_bounds))
-                hashes = b.word_hashes()
                 per_doc: list[list[dict]] = [[] for _ in range(b.n)]
-                for gram, at, hs in _grams(b, hashes, k, window, short):
+                for length, at, hs in _windows(b, k, window, short):
                     hit = np.flatnonzero(_has(bitmap, hs))
                     for first, g in zip(at[hit].tolist(), hs[hit].view(np.int64).tolist()):
-                        lead, text = _context(b, first, gram, k, window)
                         doc = b.doc[first]
-                        per_doc[doc].append({"hash": g, "gram": gram, "at": first - int(b.word_bounds[doc]),
-                                             "lead": int(lead), "words": text})
+                        per_doc[doc].append({"hash": g, "window": _digest(b, first, length),
+                                             "at": first - int(b.word_bounds[doc]), "n": length})
                 found.extend(per_doc)
-            kind = pa.list_(pa.struct([("hash", pa.int64()), ("gram", pa.int32()), ("at", pa.int32()),
-                                       ("lead", pa.int32()), ("words", pa.string())]))
             counts = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()),
-                                              pa.array(found, kind)], ["row", "doc_id", "n_words", "found"])
+                                              pa.array(found, pa.list_(_FOUND))], ["row", "doc_id", "n_words", "found"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     scanned = stage(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
-        scan, f"row long, doc_id {id_type}, n_words long, found {_FOUND}"), "decon-docs")
+        scan, f"row long, doc_id {id_type}, n_words long, found array<struct<{_WINDOW}>>"), "decon-docs")
     cand = scanned.filter(F.size("found") > 0).select("row", F.inline("found"))
-    if prints.count() <= BROADCAST_ROWS:
-        prints = F.broadcast(prints)
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                a, b = r["words"].split(" "), r["item_words"].split(" ")
-                length = r["gram"] or k
-                left, right = _run(a, r["lead"], b, r["item_lead"], length)
-                if right >= 0 and (r["gram"] or left + length + right >= window):
-                    rows.append((r["row"], r["class"], r["at"] - left, r["at"] + length + right))
-            cols = list(zip(*rows)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()),
-                                              pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
-                                             ["row", "class", "first", "last"])
-
-    hits = cand.join(prints, ["hash", "gram"]).mapInArrow(extend, "row long, class string, first long, last long")
-    return scanned.select("row", "doc_id", "n_words"), hits, members
+    if n_held <= BROADCAST_ROWS:
+        joined = cand.join(F.broadcast(held), ["hash", "window"])
+    else:                                          # a window may stand in a third of all documents
+        held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = cand.withColumn("salt", F.pmod(F.hash("row"), F.lit(SALTS))).join(held, ["hash", "window", "salt"])
+    hits = joined.select("row", F.col("at").cast("bigint").alias("first"), (F.col("at") + F.col("n")).cast("bigint").alias("last"),
+                         "set")
+    return scanned.select("row", "doc_id", "n_words"), hits, sets, members
 
 
 def covered(spans: Column) -> Column:
@@ -213,19 +194,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 
     Defined cases: a null text has no words; an item without words has no window;
     items with equal ids count once, a null id as the empty string; repeated
-    document rows give a row each; an empty benchmark leaves every row clean.
+    document rows give a row each; an empty benchmark leaves every row clean, an
+    empty table gives no row; texts of any length are read whole; other columns of
+    any name are not read.
     """
-    rows, hits, members = find_overlaps(docs, benchmark, window, k)
-    per_row = stage(hits.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("spans"),
-                                            F.sort_array(F.collect_set("class")).alias("classes"))
-                    .select("row", covered(F.col("spans")).alias("n_hit"), "classes",
-                            F.sha2(F.concat_ws(",", "classes"), 256).alias("set")), "decon-hits")
-    sets = per_row.groupBy("set").agg(F.first("classes").alias("classes"))
-    ids = (sets.select("set", F.explode("classes").alias("class")).join(members, "class")
-           .groupBy("set").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
-           .select("set", F.size("ids").cast("bigint").alias("n_items"),
+    rows, hits, sets, members = find_overlaps(docs, benchmark, window, k)
+    per_row = stage(hits.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"),
+                                            F.sort_array(F.collect_set("set")).alias("sets"))
+                    .select("row", covered(F.col("spans")).alias("n_hit"), "sets",
+                            F.sha2(F.array_join(F.transform("sets", F.hex), ","), 256).alias("union")), "decon-hits")
+    unions = per_row.groupBy("union").agg(F.first("sets").alias("sets"))
+    ids = (unions.select("union", F.explode("sets").alias("set")).join(sets, "set").select("union", "class").distinct()
+           .join(members, "class").groupBy("union").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
+           .select("union", F.size("ids").cast("bigint").alias("n_items"),
                    F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256")))
-    flagged = per_row.select("row", "n_hit", "set").join(ids, "set")
+    flagged = per_row.select("row", "n_hit", "union").join(ids, "union")
     none = F.lit(0).cast("bigint")
     out = rows.join(flagged, "row", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("n_items", none).alias("n_items"),
