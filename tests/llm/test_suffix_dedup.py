@@ -75,5 +75,41 @@ def test_a_hot_gram_is_split_over_the_buckets(spark):
     assert sum(r[2] > 0 for r in want) > 500
 
 
+@pytest.mark.parametrize("counters", [S.COUNTERS, 64])
+def test_a_gram_that_stands_once_a_block_is_found(spark, counters, monkeypatch):
+    rng = random.Random(4)
+    passage = "one passage that four hundred documents share, one document in each block"
+    docs = [(i, "".join(rng.choices("abcdefgh", k=60)) + passage + "".join(rng.choices("abcdefgh", k=60)), "en", "s", 0)
+            for i in range(400)]
+    df = spark.createDataFrame(docs, SCHEMA).repartition(4)
+    packed = S.pack_blocks(df, 1)
+    assert packed.count() == 400
+    hot = S.hot_grams(packed, 50, 100, counters)                 # a task's few thousand entries cost some dozens of a count
+    largest = [max(r["n"] for r in S.run_entries(packed, 50, 64, h).groupBy("bucket").agg(
+        F.sum(F.length("data") / 22).alias("n")).collect()) for h in (S._NONE, hot)]
+    assert 0 < len(hot) < 60 and largest[0] > 400 > 250 > largest[1]
+    check(df, buckets=64, block_bytes=1, hot_entries=100)
+
+
+def test_counters_fall_short_by_their_share_at_most():
+    rng = random.Random(6)
+    grams = [rng.choice([1, 2, 3, rng.randrange(10**6)]) for _ in range(20_000)]
+    have = S._NONE, S._NONE.astype("int64")
+    for i in range(0, len(grams), 1000):
+        part = S.np.unique(S.np.array(grams[i:i + 1000], S.np.uint64), return_counts=True)
+        have = S._add_up([have[0], part[0]], [have[1], part[1]], 100)
+    found = dict(zip(have[0].tolist(), have[1].tolist()))
+    assert len(found) <= 100 and all(grams.count(g) - 200 <= found[g] <= grams.count(g) for g in (1, 2, 3))
+
+
+def test_buckets_follow_the_text(spark, monkeypatch):
+    packed = S.pack_blocks(edge_docs(spark))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert S._n_buckets(packed) == parts
+    monkeypatch.setattr(S, "BUCKET_BYTES", 100)
+    assert S._n_buckets(packed) > max(parts, 1000)
+    assert S._n_buckets(S.pack_blocks(spark.createDataFrame([], SCHEMA))) == parts
+
+
 def test_whole_table(spark):
     check(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))

@@ -17,7 +17,7 @@ significant digit first, and a group that a digit leaves alone drops out:
 
 A gram of very many different runs (at the border of a passage that a third of
 all documents share, each document's own bytes are in the run) is found first, by
-a count per block and gram that is summed over the blocks. Its runs are dealt by
+bounded counters a task that are summed over the tasks. Its runs are dealt by
 digits 1 and 2, and those that are not repeated give their windows without a
 look at their neighbours: under so many runs each finds another that shares a
 side.
@@ -30,7 +30,8 @@ costs one entry a block. A bucket answers each block with two bits an entry.
 
 Defined cases: a null text is empty; texts shorter than ``width`` lose nothing; a
 null id counts as larger than every id; rows of equal ids do not remove each
-other's bytes; every row gives one row.
+other's bytes; every row gives one row, an empty table none; ids are integers;
+other columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -51,11 +52,15 @@ from tokenledger.llm.textblocks import _POWERS, blocks, mix
 WIDTH = 50
 GRAM = 20
 BLOCK_BYTES = 1 << 20
-#: buckets of each sort for every shuffle partition of the session
+#: buckets of each sort: so many for every shuffle partition of the session, and more if one would have more text
 BUCKETS_PER_PARTITION = 4
-#: a gram of so many entries is split; counted over the blocks where it has ``HOT_IN_BLOCK`` at least
+BUCKET_BYTES = 1 << 27
+#: a gram of so many entries is split. A task keeps ``COUNTERS`` grams, so a gram's count falls short by at most one
+#: entry in ``COUNTERS``, however thinly its entries lie over the blocks
 HOT_ENTRIES = 1 << 16
-HOT_IN_BLOCK = 4
+COUNTERS = 1 << 18
+#: entries that a task holds back before it adds them to its counters
+PENDING = 1 << 20
 #: only the grams of most entries are split, so another has at most a ``HOT_GRAMS``-th of all entries
 HOT_GRAMS = 1 << 16
 
@@ -338,21 +343,44 @@ def _open_windows(t: Text, row: dict, buckets: int, hot: np.ndarray) -> tuple[Ru
     return runs, gone, t.windows(runs, ~gone & (wanted | runs.hot)[runs.entry], buckets)
 
 
-def hot_grams(packed: DataFrame, width: int = WIDTH, least: int = HOT_ENTRIES) -> np.ndarray:
-    """Hashes of the grams that ``least`` entries share, ordered; at most ``HOT_GRAMS``, those of most entries."""
+def _add_up(grams: list[np.ndarray], counts: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, count) of the ``size`` most frequent grams, less the count of the next one; the others drop out."""
+    gram, place = np.unique(np.concatenate(grams), return_inverse=True)
+    n = np.bincount(place, np.concatenate(counts), len(gram)).astype(np.int64)
+    if len(gram) > size:
+        n -= np.partition(n, len(n) - size - 1)[len(n) - size - 1]
+    return gram[n > 0], n[n > 0]
+
+
+def hot_grams(packed: DataFrame, width: int = WIDTH, least: int = HOT_ENTRIES, counters: int = COUNTERS) -> np.ndarray:
+    """Hashes of the grams that ``least`` entries share, ordered; at most ``HOT_GRAMS``, those of most entries.
+
+    Each task counts its blocks' entries in ``counters`` counters: when there are more grams, the count of the first
+    one left out is taken from all, which costs a gram at most one in ``counters`` of the task's entries.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, n = [_NONE], [np.zeros(0, np.int64)]
         for batch in batches:
             for row in _each(batch):
-                gram, n = np.unique(_open(row, width).runs(1).digit1, return_counts=True)
-                many = n >= HOT_IN_BLOCK
-                yield pa.RecordBatch.from_arrays([pa.array(gram[many].view(np.int64)), pa.array(n[many], pa.int64())],
-                                                 ["gram", "n"])
+                for held, more in zip((gram, n), np.unique(_open(row, width).runs(1).digit1, return_counts=True)):
+                    held.append(more)
+                if sum(map(len, gram[1:])) >= PENDING:
+                    gram, n = ([x] for x in _add_up(gram, n, counters))
+        kept, many = _add_up(gram, n, counters)
+        yield pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64)), pa.array(many)], ["gram", "n"])
 
     counted = packed.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     top = counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(HOT_GRAMS).collect()
     return np.sort(np.array([r["gram"] for r in top], np.int64).view(np.uint64))
 
 
+def _n_buckets(packed: DataFrame) -> int:
+    """Enough buckets for the session's shuffle partitions and for ``BUCKET_BYTES`` of text in each."""
+    size = packed.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
+    parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(BUCKETS_PER_PARTITION * parts, -(-size // BUCKET_BYTES))
+
+
 def run_entries(packed: DataFrame, width: int, buckets: int, hot: np.ndarray) -> DataFrame:
     """bucket, block, data: the run entries of the blocks, 22 bytes each."""
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,9 +399,8 @@ def run_entries(packed: DataFrame, width: int, buckets: int, hot: np.ndarray) ->
 def repeated_spans(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, block_bytes: int = BLOCK_BYTES,
                    hot_entries: int = HOT_ENTRIES) -> DataFrame:
     """doc_id, n_bytes, spans (start, end of maximal removed runs, in bytes) and kept (the other bytes)."""
-    spark = docs.sparkSession
-    n_buckets = buckets or BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = pack_blocks(docs, block_bytes)
+    n_buckets = buckets or _n_buckets(packed)
     hot = hot_grams(packed, width, hot_entries)
     runs = stage(_collected(_sort_buckets(run_entries(packed, width, n_buckets, hot), _answer_runs), "runs"), "suffix-runs")
 
