@@ -43,6 +43,15 @@ def test_a_small_table_and_cache_give_the_same(spark):
     assert a.exceptAll(b).count() == 0 and a.agg(F.sum("n_tokens")).first()[0] > 0
 
 
+def test_long_pretokens_are_counted_and_not_kept(spark):
+    texts = [("word " * 300_000 + "y" * 100_000), "z" * 65 + " " + "z" * 64]
+    with open(PATH, encoding="utf-8") as f:
+        counter = tokens.Counter2(f.read(), {})
+    assert [counter.count(t) for t in texts] == library(texts)
+    assert "z" * 65 not in counter.lengths and max(map(len, counter.lengths)) <= 64
+    assert max(map(len, tokens.frequent_lengths(texts, counter.tokenizer.to_str()))) <= 64
+
+
 @pytest.mark.parametrize("low, high", [(0, 0x80), (0x80, 0x250), (0x250, 0x3000)])
 def test_every_character_splits_as_the_library_splits_it(low, high):
     with open(PATH, encoding="utf-8") as f:

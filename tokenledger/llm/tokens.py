@@ -3,8 +3,9 @@
 Tier 1: a table of frequent pre-tokens and their token counts, built from a
 bounded sample of documents (``SAMPLE_DOCS``, ``TABLE_SIZE``) and broadcast.
 Tier 2: a miss is encoded by the tokenizer library itself and kept in the
-worker's cache, which is emptied when it reaches ``CACHE_SIZE`` entries. The
-sample only decides which look-ups are fast, never a result.
+worker's cache, which is emptied when it reaches ``CACHE_SIZE`` entries; a
+pre-token of more than ``CACHE_CHARS`` characters is encoded each time, so table
+and cache are bounded in bytes. The sample only decides which look-ups are fast, never a result.
 
 A byte-level BPE token never crosses a pre-token, so a text's count is the sum
 over its pre-tokens. The splitting pattern is applied here only to texts whose
@@ -13,7 +14,8 @@ tested range); any other text is encoded whole by the library.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; special strings
 inside a text count as the library's default treats them (one token); texts are
-never cut; every input row gives one output row.
+never cut; every input row gives one output row, an empty table none; other columns
+of any name are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from tokenledger.llm.samples import some_texts
 SAMPLE_DOCS = 2_000
 TABLE_SIZE = 1 << 16
 CACHE_SIZE = 1 << 18
+CACHE_CHARS = 64
 
 #: FIXED VALUES: the byte-level pre-token pattern of the vocabulary, and the same for ASCII texts
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -56,6 +59,8 @@ class Counter2:
         class Lengths(dict):
             def __missing__(self, piece: str) -> int:
                 n = len(encode(piece, add_special_tokens=False).ids)
+                if len(piece) > CACHE_CHARS:
+                    return n
                 if len(self) >= len(base) + CACHE_SIZE:
                     self.clear()
                     self.update(base)
@@ -101,7 +106,7 @@ def frequent_lengths(texts: list[str], tokenizer_json: str, table_size: int = TA
     """Token counts of the ``table_size`` most frequent pre-tokens of some texts."""
     counter, seen = Counter2(tokenizer_json, {}), Counter()
     for text in texts:
-        seen.update(counter.pieces(text) or ())
+        seen.update(p for p in counter.pieces(text) or () if len(p) <= CACHE_CHARS)
     return {piece: counter.whole(piece) for piece, _ in seen.most_common(table_size)}
 
 
