@@ -119,25 +119,28 @@ _FIELDS = [("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("v
 
 
 def with_candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``candidates`` (see ``find``) and ``digest`` (SHA-256 of a text that has any) added at the end."""
+    """``docs`` with ``candidates`` (see ``find``) and ``digest`` (SHA-256 of a text that has any) in place of its text."""
     docs = docs.drop("candidates", "digest")
     at = docs.columns.index("text")
     kind = pa.list_(pa.struct(_FIELDS))
     names = [f[0] for f in _FIELDS]
+    others = [i for i in range(len(docs.columns)) if i != at]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, digests = [], []
-            for t in batch.column(at).to_pylist():
+            for value in batch.column(at):                   # one text at a time
+                t = value.as_py()
                 some = find(t) if t else []
                 found.append([dict(zip(names, c)) for c in some])
                 digests.append(hashlib.sha256(t.encode()).hexdigest() if some else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind), pa.array(digests, pa.string())],
-                                             [*batch.schema.names, "candidates", "digest"])
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(i) for i in others], pa.array(found, kind), pa.array(digests, pa.string())],
+                [*[batch.schema.names[i] for i in others], "candidates", "digest"])
 
     return docs.mapInArrow(scan, T.StructType([
-        *docs.schema.fields, T.StructField("candidates", T.ArrayType(T._parse_datatype_string(_SPAN))),
-        T.StructField("digest", T.StringType())]))
+        *[docs.schema.fields[i] for i in others],
+        T.StructField("candidates", T.ArrayType(T._parse_datatype_string(_SPAN))), T.StructField("digest", T.StringType())]))
 
 
 def ownership(rows: DataFrame) -> DataFrame:
@@ -156,15 +159,15 @@ def ownership(rows: DataFrame) -> DataFrame:
                                        F.sum("n_texts").alias("n_texts"))
 
 
-def live_places(rows: DataFrame) -> DataFrame:
-    """row and live (start, kind, end) of the rows that hold live-looking values.
+def live_places(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """row and live (start, kind, end) of the rows of ``places`` that hold live-looking values.
 
-    ``rows``: row, candidates, digest, owner, repository. Only live values are sent to the rows, and only
-    candidates that look random are joined to them.
+    ``rows``: candidates, digest, owner, repository, which tell the live values; ``places``: row, candidates. Only live
+    values are sent to the places, and only candidates that look random are joined to them.
     """
     live = stage(ownership(rows).filter((F.col("n_owners") == 1) & (F.col("n_repositories") <= MAX_REPOSITORIES)
                                         & (F.col("n_texts") <= MAX_TEXTS)).select("value"), "secret-live")
-    each = rows.select("row", F.explode(F.filter("candidates", lambda c: c["random"])).alias("c")).select(
+    each = places.select("row", F.explode(F.filter("candidates", lambda c: c["random"])).alias("c")).select(
         "row", F.col("c.value").alias("value"), F.struct(
             F.col("c.value_start").alias("start"), F.lit(KINDS.index("live")).alias("kind"),
             F.col("c.value_end").alias("end")).alias("place"))
@@ -191,8 +194,9 @@ def scan_secrets(docs: DataFrame, owner: Column, repository: Column) -> DataFram
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row of ``docs``."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text",
                        owner.cast("string").alias("owner"), repository.cast("string").alias("repository"))
-    rows = stage(with_candidates(rows).drop("text"), "secret-rows")
-    found = live_places(rows.filter(F.size("candidates") > 0))
+    rows = stage(with_candidates(rows), "secret-rows")
+    some = rows.filter(F.size("candidates") > 0)
+    found = live_places(some, some)
     places = F.transform("candidates", lambda c: F.struct(c["start"], c["kind"], c["end"]))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     out = rows.select("row", "doc_id", places.alias("places")).join(found, "row", "left").withColumn(
@@ -208,26 +212,36 @@ def scan_secrets(docs: DataFrame, owner: Column, repository: Column) -> DataFram
 
 
 def redact(docs: DataFrame, owner: Column, repository: Column, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with live-looking values replaced by ``mask``; rows without candidates pass unread by a shuffle."""
+    """``docs`` with live-looking values replaced by ``mask``; every row stays, with its other columns.
+
+    A text's places depend on the text alone, so they are found once a distinct text and brought to the rows by the
+    text's SHA-256. Places of a checked number are broadcast and the texts stay in the scan; more are joined by shuffle,
+    salted, as one text may be a third of all rows.
+    """
     columns = docs.columns
     at = columns.index("text")
-    # the text goes under its own name, all other columns as c0, c1, ...
-    named = docs.select(*numbered(columns), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"))
-    scanned = with_candidates(named.withColumnRenamed(f"c{at}", "text"))
-    back = [c if i != at else F.col("text").alias(f"c{at}") for i, c in enumerate(f"c{i}" for i in range(len(columns)))]
-    clean = scanned.filter(F.size("candidates") == 0).select(*back)
-    dirty = stage(scanned.filter(F.size("candidates") > 0).withColumn("row", F.monotonically_increasing_id()),
-                  "secret-dirty")
-    live = live_places(dirty.select("row", "candidates", "digest", "owner", "repository"))
+    scanned = with_candidates(docs.select("text", owner.cast("string").alias("owner"),
+                                          repository.cast("string").alias("repository")))
+    dirty = stage(scanned.filter(F.exists("candidates", lambda c: c["random"])), "secret-dirty")
+    texts = dirty.groupBy(F.col("digest").alias("row")).agg(F.first("candidates").alias("candidates"))
+    live = stage(live_places(dirty, texts).withColumnRenamed("row", "digest"), "secret-places")
+    n = live.agg(F.coalesce(F.sum(F.size("live")), F.lit(0))).first()[0]
+    rows = docs.select(*numbered(columns), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    if n <= BROADCAST_KEYS:
+        marked = rows.join(F.broadcast(live), "digest", "left")
+    else:
+        plain = [F.col(f"c{i}") for i, f in enumerate(docs.schema.fields) if i != at and isinstance(f.dataType, T.AtomicType)]
+        live = live.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        marked = rows.withColumn("salt", F.pmod(F.hash(F.lit(0), *plain), F.lit(SALTS))).join(live, ["digest", "salt"], "left")
+    whole = F.col(f"c{at}")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("to"))
     cut = F.aggregate(F.col("live"), start, lambda a, s: F.struct(
         F.when(s["end"] <= a["to"], a["out"]).otherwise(F.concat(
-            a["out"], F.substring(F.col("text"), a["to"] + 1, F.greatest(s["start"] - a["to"], F.lit(0))),
+            a["out"], F.substring(whole, a["to"] + 1, F.greatest(s["start"] - a["to"], F.lit(0))),
             F.lit(mask))).alias("out"),
         F.greatest(a["to"], s["end"]).alias("to")),
-        lambda a: F.concat(a["out"], F.substring(F.col("text"), a["to"] + 1, F.length("text"))))
-    text = F.when(F.size("live") > 0, cut).otherwise(F.col("text"))
-    return clean.unionByName(dirty.join(live, "row", "left").withColumn("text", text).select(*back)).select(*renamed(columns))
+        lambda a: F.concat(a["out"], F.substring(whole, a["to"] + 1, F.length(whole))))
+    return marked.withColumn(f"c{at}", F.when(F.size("live") > 0, cut).otherwise(whole)).select(*renamed(columns))
 
 
 def _oracle() -> str:
