@@ -91,17 +91,19 @@ def fingerprints(b: Block, k: int = SHINGLE) -> np.ndarray:
 
 
 def with_fingerprint(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """``docs`` with ``fp`` (the fingerprint's 64 bits as a signed long) added at the end."""
+    """``docs`` with ``fp`` (the fingerprint's 64 bits as a signed long) in place of the text, which is not sent back."""
     docs = docs.drop("fp")
     at = docs.columns.index("text")
+    others = [i for i in range(len(docs.columns)) if i != at]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = [np.zeros(0, np.uint64), *[fingerprints(b, k) for b in blocks(batch.column(at), SPACE_WORD, lower=True)]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(fp).view(np.int64))],
-                                             [*batch.schema.names, "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(i) for i in others], pa.array(np.concatenate(fp).view(np.int64))],
+                [*[batch.schema.names[i] for i in others], "fp"])
 
-    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
+    return docs.mapInArrow(add, T.StructType([*[docs.schema.fields[i] for i in others], T.StructField("fp", T.LongType())]))
 
 
 # -- partitions and thresholds ------------------------------------------------------------------------------------
@@ -379,7 +381,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = SHINGLE, distance: int = DIS
                           bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): all columns but the text, and fp, of every row of ``docs`` (doc_id, text, more); fp, root (a
     fingerprint), component_id of every fingerprint."""
-    rows = stage(with_fingerprint(docs, k).drop("text"), "simhash-rows")
+    rows = stage(with_fingerprint(docs, k), "simhash-rows")
     unique = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-unique")
     edges = stage(links(unique, distance, parts, bucket_rows), "simhash-links")
     roots = components(edges, "u", "v").select(F.col("node").alias("fp"), "root")
