@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +92,39 @@ def test_a_gram_that_stands_once_a_block_is_found(spark, counters, monkeypatch):
     check(df, buckets=64, block_bytes=1, hot_entries=100)
 
 
+def most(entries, n_bytes, before):
+    """The most entries of one string; its hash follows ``before`` bytes an entry in a row's data."""
+    n = Counter()
+    for r in entries.collect():
+        parts = len(r["data"]) // n_bytes
+        at = before * parts
+        n.update((r["bucket"], r["data"][at + 8 * i:at + 8 * i + 8]) for i in range(parts))
+    return max(n.values())
+
+
+@pytest.mark.parametrize("ids", ["own", "third without"])
+def test_hot_runs_and_windows_stay_in_their_blocks(spark, ids):
+    rng = random.Random(5)
+    passage = "".join(rng.choices("abcdefghijklmnop ", k=300))                # its inner runs are equal everywhere
+    own = ["".join(rng.choices("qrstuvwxyz", k=60)) for _ in range(300)]
+    docs = [(None if ids != "own" and i % 3 == 0 else i, o[:30] + passage + o[30:], "en", "s", 0) for i, o in enumerate(own)]
+    df = spark.createDataFrame(docs, SCHEMA).repartition(4)
+    packed = S.pack_blocks(df, 1)
+    hot = S.hot_grams(packed, 50, 100)
+    shared = S.shared_runs(packed, 50, hot, 100)
+    assert len(shared.hashes) and set(shared.low.tolist()) <= {0, 1}
+    before, after = (most(S.run_entries(packed, 50, 16, hot, s), 22, 4) for s in (S.NOTHING, shared))
+    assert before == 300 and after < 100
+    answers = S._collected(S._sort_buckets(S.run_entries(packed, 50, 16, hot, shared), S._answer_runs), "runs")
+    first = packed.join(answers, "block", "left").cache()
+    same = S.shared_windows(first, 50, 16, hot, shared, 100)
+    before, after = (most(S.window_entries(first, 50, 16, hot, shared, s), 16, 0) for s in (S.NOTHING, same))
+    first.unpersist()
+    assert len(same.hashes) and before > 250 and after < 100
+    want = check(df, buckets=16, block_bytes=1, hot_entries=100)
+    assert sum(r[2] >= 300 for r in want) >= 299
+
+
 def test_counters_fall_short_by_their_share_at_most():
     rng = random.Random(6)
     grams = [rng.choice([1, 2, 3, rng.randrange(10**6)]) for _ in range(20_000)]

@@ -22,6 +22,11 @@ digits 1 and 2, and those that are not repeated give their windows without a
 look at their neighbours: under so many runs each finds another that shares a
 side.
 
+A run or window that very many blocks share has such a gram, so both are looked
+for under those grams alone: Spark adds up, a row a distinct string and task, how
+many entries each string has and their smallest id. Strings of very many entries
+are then decided in the block from this bounded list and are not sent to a bucket.
+
 Digits travel as hashes (32 bits and the bucket for digit 1, 64 bits for digits
 2 and 3), so buckets are even. Texts move in compressed blocks of about 1 MB
 that are staged once. Inside a block equal runs and windows are one entry with
@@ -71,6 +76,23 @@ _ANY = np.ones(256, dtype=bool)
 _NONE = np.zeros(0, np.uint64)
 
 
+@dataclass(frozen=True)
+class Shared:
+    """Hashes, ordered, of the strings of very many entries, and the smallest document key of each."""
+    hashes: np.ndarray
+    low: np.ndarray
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(is one of them, its smallest key) of every hash."""
+        if not len(self.hashes):
+            return np.zeros(len(h), dtype=bool), np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return self.hashes[at] == h, self.low[at]
+
+
+NOTHING = Shared(_NONE, np.zeros(0, np.int64))
+
+
 def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every ``w`` neighbours, by doubling."""
     width = 1
@@ -104,6 +126,14 @@ class Runs:
     hot: np.ndarray
     digit1: np.ndarray
 
+    def shared(self, runs: Shared) -> tuple[np.ndarray, np.ndarray]:
+        """(is a run of very many entries, its smallest key) of every entry."""
+        known, low = runs.find(self.string())
+        return known & self.hot, low
+
+    def string(self) -> np.ndarray:
+        return mix(self.digit1) ^ self.run
+
 
 class Text:
     """A block: bytes, text bounds, document keys, and hashes of any byte range."""
@@ -334,13 +364,15 @@ def _collected(answers: DataFrame, name: str) -> DataFrame:
     return answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
 
 
-def _open_windows(t: Text, row: dict, buckets: int, hot: np.ndarray) -> tuple[Runs, np.ndarray, tuple[np.ndarray, ...]]:
-    """(runs, run is repeated, windows of the open runs) of a block and its first answers."""
+def _opened(t: Text, row: dict, buckets: int, hot: np.ndarray, shared: Shared) -> tuple[Runs, np.ndarray, np.ndarray]:
+    """(runs; run is repeated; run is open) of a block and its first answers."""
     runs = t.runs(buckets, hot)
-    repeated, wanted = _flags(row["runs"], runs.bucket)
+    known, least = runs.shared(shared)
+    repeated, wanted = known & (runs.low > least), np.zeros(len(known), dtype=bool)
+    repeated[~known], wanted[~known] = _flags(row["runs"], runs.bucket[~known])
     mine = t.keys[runs.doc] if len(runs.doc) else runs.doc
     gone = repeated[runs.entry] | (mine > runs.low[runs.entry])
-    return runs, gone, t.windows(runs, ~gone & (wanted | runs.hot)[runs.entry], buckets)
+    return runs, gone, ~gone & (wanted | runs.hot)[runs.entry]
 
 
 def _add_up(grams: list[np.ndarray], counts: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -381,47 +413,100 @@ def _n_buckets(packed: DataFrame) -> int:
     return max(BUCKETS_PER_PARTITION * parts, -(-size // BUCKET_BYTES))
 
 
-def run_entries(packed: DataFrame, width: int, buckets: int, hot: np.ndarray) -> DataFrame:
-    """bucket, block, data: the run entries of the blocks, 22 bytes each."""
+def _most_shared(strings: DataFrame, least: int) -> Shared:
+    """The strings (hash, low: a row for each entry) of ``least`` entries; at most ``HOT_GRAMS``, those of most entries."""
+    found = strings.groupBy("hash").agg(F.count("*").alias("n"), F.min("low").alias("low")).filter(F.col("n") >= least)
+    top = sorted((r["hash"] % 2**64, r["low"]) for r in found.orderBy(F.desc("n"), "hash").limit(HOT_GRAMS).collect())
+    return Shared(np.array([h for h, _ in top], np.uint64), np.array([low for _, low in top], np.int64))
+
+
+def _strings(h: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(low)], ["hash", "low"])
+
+
+def shared_runs(packed: DataFrame, width: int, hot: np.ndarray, least: int = HOT_ENTRIES) -> Shared:
+    """Runs of ``least`` entries; without a hot gram there is none, and the texts are not read."""
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _each(batch):
+                r = _open(row, width).runs(1, hot)
+                yield _strings(r.string()[r.hot], r.low[r.hot])
+
+    return _most_shared(packed.mapInArrow(strings, "hash long, low long"), least) if len(hot) else NOTHING
+
+
+def shared_windows(first: DataFrame, width: int, buckets: int, hot: np.ndarray, shared: Shared,
+                   least: int = HOT_ENTRIES) -> Shared:
+    """Windows of ``least`` entries, from the open runs of hot grams in ``first`` (blocks with their first answers)."""
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _each(batch):
+                t = _open(row, width)
+                runs, _, opened = _opened(t, row, buckets, hot, shared)
+                _, _, _, _, h, low = t.windows(runs, opened & runs.hot[runs.entry], 1)
+                yield _strings(h, low)
+
+    return _most_shared(first.mapInArrow(strings, "hash long, low long"), least) if len(hot) else NOTHING
+
+
+def run_entries(packed: DataFrame, width: int, buckets: int, hot: np.ndarray, shared: Shared = NOTHING) -> DataFrame:
+    """bucket, block, data: the run entries of the blocks, 22 bytes each, but for those of ``shared`` runs."""
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _each(batch):
                 r, out = _open(row, width).runs(buckets, hot), []
-                for b, lo, hi in _slices(r.bucket):
+                sent = ~r.shared(shared)[0]
+                gram, run, left, right, low = (x[sent] for x in (r.gram, r.run, r.left, r.right, r.low))
+                for b, lo, hi in _slices(r.bucket[sent]):
                     out.append((b, row["block"], b"".join([
-                        r.gram[lo:hi].astype("<u4").tobytes(), r.run[lo:hi].astype("<u8").tobytes(),
-                        r.left[lo:hi].tobytes(), r.right[lo:hi].tobytes(), _planes(r.low[lo:hi])])))
+                        gram[lo:hi].astype("<u4").tobytes(), run[lo:hi].astype("<u8").tobytes(),
+                        left[lo:hi].tobytes(), right[lo:hi].tobytes(), _planes(low[lo:hi])])))
                 yield _entry_rows(out)
 
     return packed.mapInArrow(entries, _ENTRIES)
 
 
+def window_entries(first: DataFrame, width: int, buckets: int, hot: np.ndarray, shared: Shared = NOTHING,
+                   same: Shared = NOTHING) -> DataFrame:
+    """bucket, block, data: the window entries of the open runs, 16 bytes each, but for the windows of ``same``."""
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _each(batch):
+                t = _open(row, width)
+                runs, _, opened = _opened(t, row, buckets, hot, shared)
+                _, _, _, bucket, h, low = t.windows(runs, opened, buckets)
+                sent = ~same.find(h)[0]
+                h, low = h[sent], low[sent]
+                yield _entry_rows([(b, row["block"], h[lo:hi].astype("<u8").tobytes() + _planes(low[lo:hi]))
+                                   for b, lo, hi in _slices(bucket[sent])])
+
+    return first.mapInArrow(entries, _ENTRIES)
+
+
 def repeated_spans(docs: DataFrame, width: int = WIDTH, buckets: int | None = None, block_bytes: int = BLOCK_BYTES,
                    hot_entries: int = HOT_ENTRIES) -> DataFrame:
     """doc_id, n_bytes, spans (start, end of maximal removed runs, in bytes) and kept (the other bytes)."""
     packed = pack_blocks(docs, block_bytes)
     n_buckets = buckets or _n_buckets(packed)
     hot = hot_grams(packed, width, hot_entries)
-    runs = stage(_collected(_sort_buckets(run_entries(packed, width, n_buckets, hot), _answer_runs), "runs"), "suffix-runs")
-
-    def window_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _each(batch):
-                _, _, (_, _, _, bucket, h, low) = _open_windows(_open(row, width), row, n_buckets, hot)
-                yield _entry_rows([(b, row["block"], h[lo:hi].astype("<u8").tobytes() + _planes(low[lo:hi]))
-                                   for b, lo, hi in _slices(bucket)])
-
+    shared = shared_runs(packed, width, hot, hot_entries)
+    entries = run_entries(packed, width, n_buckets, hot, shared)
+    runs = stage(_collected(_sort_buckets(entries, _answer_runs), "runs"), "suffix-runs")
     first = packed.join(runs, "block", "left")
-    windows = stage(_collected(_sort_buckets(first.mapInArrow(window_entries, _ENTRIES), _answer_windows), "windows"),
-                    "suffix-windows")
+    same = shared_windows(first, width, n_buckets, hot, shared, hot_entries)
+    entries = window_entries(first, width, n_buckets, hot, shared, same)
+    windows = stage(_collected(_sort_buckets(entries, _answer_windows), "windows"), "suffix-windows")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             for row in _each(batch):
                 t = _open(row, width)
-                r, gone, (start, key, entry, bucket, _, low) = _open_windows(t, row, n_buckets, hot)
-                elsewhere, _ = _flags(row["windows"], bucket)
+                r, gone, opened = _opened(t, row, n_buckets, hot, shared)
+                start, key, entry, bucket, h, low = t.windows(r, opened, n_buckets)
+                known, least = same.find(h)
+                elsewhere = known & (low > least)
+                elsewhere[~known], _ = _flags(row["windows"], bucket[~known])
                 hit = start[elsewhere[entry] | (key > low[entry])] if len(start) else start
                 edge = np.zeros(len(t.data) + 1, np.int64)
                 np.add.at(edge, r.first[gone], 1)
