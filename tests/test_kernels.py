@@ -69,6 +69,29 @@ def test_refreshed_counter_equals_loop(seed, ttl):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(30))
+@pytest.mark.parametrize("ttl", [None, 60])
+def test_refreshed_counters_equal_loop(seed, ttl):
+    """Batches of many groups, each group carried on from the last batch that had it."""
+    from tokenledger.operators.kernels import refreshed_counters
+    rng = np.random.default_rng(200 + seed)
+    last, count, held = np.zeros(9, dtype=np.int64), np.zeros(9, dtype=np.int64), {}
+    for _ in range(5):
+        n = int(rng.integers(0, 60))
+        group, ts = rng.integers(0, 9, n), rng.integers(-300, 300, n).astype(np.int64)
+        order = np.lexsort((ts, group))
+        group, ts = group[order], ts[order]
+        want = []
+        for g, t in zip(group.tolist(), ts.tolist()):
+            before, c = held.get(g, (t, 0))
+            t = max(t, before)
+            held[g] = (t, 1 if ttl is not None and t - before > ttl else c + 1)
+            want.append(held[g][1])
+        counts, last, count = refreshed_counters(ts, group, last, count, ttl)
+        assert counts.tolist() == want
+    assert {g: (int(last[g]), int(count[g])) for g in held} == held
+
+
 def test_axis_overflow_falls_back_per_group():
     ts = np.array([0, 3 * 10**18, 3 * 10**18 + 5, 6 * 10**18], dtype=np.int64)   # one axis would overflow
     new = np.array([True, True, False, True])

@@ -165,3 +165,78 @@ def test_staging_one_file_per_chunk(spark):
     assert len(files) == 4
     spans = [spark.read.parquet(f).agg(F.min("id"), F.max("id")).first() for f in files]
     assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))      # chunks are consecutive time ranges
+
+
+def test_staged_chunks_stand_in_time_order(spark):
+    """A chunk's rows stand in (ts, tie) order, whatever order they came in; rows without a time are left out."""
+    import glob as G
+    from tokenledger.streaming.jobs import stage_time_ordered
+    at = [(i, T0 + dt.timedelta(seconds=(i * 7919) % 101)) for i in range(600, 0, -1)] + [(1000, None)]
+    df = spark.createDataFrame(at, "id long, ts timestamp").repartition(5)
+    pattern = stage_time_ordered(df, "ts", scratch_path(spark, f"test_stage/{uuid.uuid4().hex}"), n_files=4, tie="id")
+    got = [(r["ts"], r["id"]) for f in sorted(G.glob(pattern)) for r in spark.read.parquet(f).collect()]
+    assert got == sorted((t, i) for i, t in at if t is not None)
+
+
+def test_staging_no_rows(spark):
+    from tokenledger.streaming.jobs import stage_time_ordered
+    df = spark.createDataFrame([], "id long, ts timestamp")
+    glob = stage_time_ordered(df, "ts", scratch_path(spark, f"test_stage/{uuid.uuid4().hex}"), tie="id")
+    assert run_to_parquet(file_stream(spark, glob, df.schema), spark, f"test_none_{uuid.uuid4().hex}").count() == 0
+
+
+def _counted(spark, df, batches, **how):
+    """({event: counter}, state rows after each batch) of the TTL counter over ``df``."""
+    from tokenledger.streaming.jobs import stream_ttl_counter
+    base = scratch_path(spark, f"test_ttl/{uuid.uuid4().hex}")
+    s = stream_ttl_counter(_stream(spark, df, batches, "event_id"), "k", **how)
+    q = (s.writeStream.format("parquet").option("checkpointLocation", f"{base}/_checkpoint")
+         .trigger(availableNow=True).start(f"{base}/out"))
+    q.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    rows = spark.read.parquet(f"{base}/out").collect()
+    out = {r["event_id"]: r["counter"] for r in rows}
+    assert len(out) == len(rows)
+    return out, held
+
+
+@pytest.mark.parametrize("ttl", [None, 60])
+@pytest.mark.parametrize("chunk_rows", [7, 100_000])
+def test_ttl_counter_takes_many_keys_in_one_call(spark, ttl, chunk_rows):
+    """Calls and state records are bounded by the buckets, not by the keys; every key, null too, counts for itself."""
+    rows, want, seen = [], {}, {}
+    for i in range(900):
+        k = None if i % 89 == 0 else f"k{i * i % 151}"
+        t = T0 + dt.timedelta(seconds=i // 3 + (600 if i >= 700 else 0))
+        last, n = seen.get(k, (t, 0))
+        seen[k] = (t, 1 if ttl is not None and (t - last).total_seconds() > ttl else n + 1)
+        rows.append((i, t, k))
+        want[i] = seen[k][1]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, k string")
+    got, held = _counted(spark, df, [(0, 299), (300, 650), (651, 899)], ttl_s=ttl, buckets=8, chunk_rows=chunk_rows)
+    assert got == want
+    assert len(seen) > 50 and max(held) <= 8
+
+
+def test_silent_keys_leave_their_bucket(spark):
+    """A key that fell silent leaves the bucket's record, one that did not stays in it; without a ttl all stay."""
+    rows = [(i, T0, f"k{i}") for i in range(40)] + [(100 * i + j, T0, f"k{j}") for i in (1, 2) for j in (0, 1)]
+    rows += [(300 + j, T0, f"k{j}") for j in range(3)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, k string")
+    batches, now = [(0, 99), (100, 199), (200, 299), (300, 399)], dict(keep="1 millisecond", clock_skew="0 seconds")
+    got, held = _counted(spark, df, batches, ttl_s=0, buckets=1, **now)
+    assert (got[300], got[301], got[302]) == (4, 4, 1) and max(held) == 1
+    got, held = _counted(spark, df, batches, ttl_s=0, **now)
+    assert max(held) >= 30 and held[-1] <= 3
+    got, held = _counted(spark, df, batches, ttl_s=None, **now)
+    assert (got[300], got[301], got[302]) == (4, 4, 2) and held[-1] >= 30
+
+
+def test_ttl_counter_out_of_order_late_and_without_a_tie(spark):
+    """In a bucket of many keys a late row of one key is judged by that key's newest time; big ids stay exact."""
+    big = 2 ** 60 + 1
+    at = [(big, 0, "a"), (big + 1, 7200, "b"), (big + 2, 7200, "a"), (big + 10, 30, "a"), (big + 11, 7190, "b"), (big + 12, 7201, "b"),
+          (big + 13, 20, "c")]
+    df = spark.createDataFrame([(i, T0 + dt.timedelta(seconds=s), k) for i, s, k in at], "event_id long, ts timestamp, k string")
+    got, _ = _counted(spark, df, [(big, big + 9), (big + 10, big + 19)], ttl_s=60, lateness="10 minutes", buckets=1)
+    assert got == {big: 1, big + 1: 1, big + 2: 1, big + 10: None, big + 11: 2, big + 12: 3, big + 13: 1}

@@ -102,3 +102,30 @@ def refreshed_counter(ts: np.ndarray, new_group: np.ndarray, ttl, carry=None):
         counts[:first] = int(carry[1]) + np.arange(1, first + 1)
         starts[:first] = int(carry[2])
     return counts, starts, (int(ts[-1]), int(counts[-1]), int(starts[-1]))
+
+
+def refreshed_counters(ts: np.ndarray, group: np.ndarray, last: np.ndarray, count: np.ndarray, ttl):
+    """W3 over rows sorted by (group, ts), every group with a carry of its own: the row before had time ``last[g]``
+    and count ``count[g]`` (0: there was none). A row older than that counts as of ``last[g]``.
+
+    ``group`` holds places in ``last`` and ``count``. Returns (counts, last, count), the last two for the next batch.
+    """
+    last, count = last.copy(), count.copy()
+    if not len(ts):
+        return np.empty(0, dtype=np.int64), last, count
+    known = count[group] > 0
+    ts = np.where(known, np.maximum(ts, last[group]), ts)
+    new = np.append(True, group[1:] != group[:-1])
+    brk = new.copy()
+    goes_on = new & known
+    if ttl is not None:
+        over = ts - np.where(new, last[group], np.append(ts[:1], ts[:-1])) > ttl
+        brk |= over
+        goes_on &= ~over
+    pos = np.flatnonzero(brk)
+    before = np.where(goes_on[pos], count[group[pos]], 0)
+    seg = np.cumsum(brk) - 1
+    counts = np.arange(len(ts), dtype=np.int64) - pos[seg] + 1 + before[seg]
+    ends = np.flatnonzero(np.append(new[1:], True))
+    last[group[ends]], count[group[ends]] = ts[ends], counts[ends]
+    return counts, last, count

@@ -958,7 +958,7 @@ def _staged_events(spark, sf, name):
     from tokenledger.session import scratch_path
     from tokenledger.streaming.jobs import file_stream, stage_time_ordered
     ev = read_table(spark, sf, "events")
-    glob = stage_time_ordered(ev, "ts", scratch_path(spark, f"staged/{name}/{uuid.uuid4().hex}"))
+    glob = stage_time_ordered(ev, "ts", scratch_path(spark, f"staged/{name}/{uuid.uuid4().hex}"), tie="event_id")
     return file_stream(spark, glob, ev.schema)
 
 
@@ -1009,7 +1009,7 @@ def q_stream_admission(spark, sf):
     from tokenledger.session import scratch_path
     from tokenledger.streaming.jobs import file_stream, run_to_parquet, stage_time_ordered, stream_admission
     base = _admission_base(spark, sf)
-    glob = stage_time_ordered(base, "ts", scratch_path(spark, f"staged/stream_admission/{uuid.uuid4().hex}"))
+    glob = stage_time_ordered(base, "ts", scratch_path(spark, f"staged/stream_admission/{uuid.uuid4().hex}"), tie="request_id")
     s = stream_admission(file_stream(spark, glob, base.schema), FX.tenant_config(spark), window_s=RL_WINDOW_S)
     out = run_to_parquet(s, spark, "stream_admission")
     return out.select("request_id", "tenant_id", "status", "reason", "window_count")

@@ -13,6 +13,8 @@ The rate window and the counter decide on arrival, as the service does: a key's
 rows are taken chunk by chunk as Spark hands them over (an Arrow batch at a time,
 sorted by (ts, id) inside the chunk), and the state of a key is one record carried
 from chunk to chunk and batch to batch. Nothing holds a key's whole micro-batch.
+The counter, whose keys are many and have few rows each, takes the keys of a hash
+bucket together: larger chunks of the bucket, and one record with a place per key.
 The result equals the batch twin when rows arrive in time order. The watermark in
 front of this state is on the arrival clock and lets silent keys leave; no row is
 dropped by its event time: a row older than its key's newest
@@ -30,10 +32,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegralType, LongType, StringType, StructField, StructType
 
 from tokenledger import constants as K
-from tokenledger.operators.kernels import anchored_windows, refreshed_counter
+from tokenledger.operators.kernels import anchored_windows, refreshed_counters
 from tokenledger.operators.rollup import COUNTERS as ROLLUP_COUNTERS
 from tokenledger.session import scratch_path
 
@@ -45,27 +47,33 @@ _COUNTED = [StructField("window_count", LongType()), StructField("anchor_us", Lo
 CHUNK_ROWS = 1_000_000
 
 
-def stage_time_ordered(df: DataFrame, ts: str, path: str, n_files: int = 4, chunk_rows: int = CHUNK_ROWS) -> str:
+def stage_time_ordered(df: DataFrame, ts: str, path: str, n_files: int = 4, chunk_rows: int = CHUNK_ROWS,
+                       tie: str | None = None) -> str:
     """Write ``df`` as time-ordered chunks, one file each and one job per chunk, so
     file modification times follow event time: ``n_files`` chunks, or more where
-    these would hold over ``chunk_rows`` rows. Chunks are cut at quantiles of the
-    time, and no instant is cut apart. This stages derived test input to replay as
-    arrivals; it is not part of the stream operators. Returns a glob for readStream."""
+    these would hold over about ``chunk_rows`` rows. Chunks are ranges of the time,
+    and no instant is cut apart; a chunk's rows stand in (ts, tie) order. All rows
+    are cut in one job, and a chunk's job reads that chunk alone. This stages
+    derived test input to replay as arrivals; it is not part of the stream
+    operators. Returns a glob for readStream."""
     t = F.unix_micros(F.col(ts).cast("timestamp"))
-    df = df.persist()                     # one evaluation for the cuts and the writes
-    n = max(n_files, -(-df.count() // chunk_rows))
-    cuts = df.select(F.percentile_approx(t, [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] or []
-    bounds = [None, *sorted(set(cuts)), None]
-    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-        chunk = df
-        if a is not None:
-            chunk = chunk.filter(t > a)
-        if b is not None:
-            chunk = chunk.filter(t <= b)
+    df = df.persist()                     # one evaluation for the ranges and the write
+    n_rows, n_timed = df.agg(F.count(F.lit(1)), F.count(t)).first()
+    n = max(n_files, -(-n_rows // chunk_rows))
+    rows = df.filter(t.isNotNull()) if n_timed else df
+    cut = rows.repartitionByRange(n, t).withColumn("_chunk", F.spark_partition_id())
+    cut.write.partitionBy("_chunk").mode("overwrite").parquet(f"{path}/cut")
+    df.unpersist()
+    if not n_rows:
+        df.coalesce(1).write.mode("overwrite").parquet(f"{path}/chunk_0000")
+        return f"{path}/chunk_*/*.parquet"
+    cut = df.sparkSession.read.schema(cut.schema).parquet(f"{path}/cut")
+    order = [t, tie] if tie else [t]
+    for i in sorted(r["_chunk"] for r in cut.select("_chunk").distinct().collect()):
         # the file source takes one file per trigger in modification-time order,
         # so a chunk split over several files could arrive out of time order
-        chunk.coalesce(1).write.mode("overwrite").parquet(f"{path}/chunk_{i:04d}")
-    df.unpersist()
+        chunk = cut.filter(F.col("_chunk") == i).drop("_chunk")
+        chunk.coalesce(1).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/chunk_{i:04d}")
     return f"{path}/chunk_*/*.parquet"
 
 
@@ -88,6 +96,8 @@ KEEP = "2 days"
 CLOCK_SKEW = "1 hour"
 #: status and reason of late rows
 LATE_STATUS, LATE_REASON = 408, "late: older than the stream's lateness"
+#: buckets of the TTL counter's keys, and rows of a bucket, about, that are put in order at once
+COUNTER_BUCKETS, COUNTER_ROWS = 1024, 100_000
 
 
 def interval_us(text: str) -> int:
@@ -150,28 +160,60 @@ def _anchored_state_fn(window_us: int, key: str, tie: str, lateness_us: int, kee
     return fn
 
 
-def _ttl_state_fn(ttl_us: int | None, key: str, tie: str, lateness_us: int, keep_ms: int):
-    """W3 per key, state (last, n, newest time); without a ttl the record never expires."""
+def _collected(batches, rows: int):
+    """A group's Arrow batches put together to chunks of about ``rows`` rows."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _ttl_state_fn(ttl_us: int | None, key: str, tie: str, lateness_us: int, keep_ms: int, chunk_rows: int):
+    """W3 for the keys of a bucket together, chunk by chunk, state (keys; last, n, newest time and last arrival of each).
+
+    A key's numbers leave the bucket's record as a record of its own would; without a ttl they never do.
+    """
+    def put(state, keys, nums):
+        if ttl_us is not None:
+            held = nums[3] + keep_ms >= state.getCurrentWatermarkMs()
+            keys, nums = keys[held], nums[:, held]
+            if not len(keys):
+                state.remove()
+                return
+        state.update((keys.tolist(), *nums.tolist()))
+        if ttl_us is not None:
+            _expire(state, int(nums[3].min()), keep_ms)
+
     def fn(k, batches, state):
+        keys, *nums = state.get if state.exists else ([], [], [], [], [])
+        keys, nums = np.array(keys, dtype=object), np.array(nums, dtype=np.int64)
         if state.hasTimedOut:
-            state.remove()
+            put(state, keys, nums)
             return
-        last, n, seen = state.get if state.exists else (None, None, None)
-        carry = None if last is None else (last, n, 0)
-        arrived = None
-        for pdf, late, seen in _chunks(batches, tie, seen, lateness_us):
-            arrived = int(pdf["_arrived_ms"].max()) if len(pdf) else arrived
-            ts = pdf["_ts_us"].to_numpy(dtype=np.int64)[~late]
-            if carry is not None:
-                ts = np.maximum(ts, carry[0])             # an increment out of order refreshes the expiry now
-            new = np.zeros(len(ts), dtype=bool)
-            new[:1] = carry is None
-            counts, _, carry = refreshed_counter(ts, new, ttl_us, carry)
-            yield pd.DataFrame({key: pdf[key].to_numpy(), tie: pdf[tie].to_numpy(), "counter": _whole(counts, late),
-                                "late": late})
-        state.update((*(carry[:2] if carry else (None, None)), seen))
-        if ttl_us is not None:
-            _expire(state, arrived, keep_ms)
+        for pdf in _collected(batches, chunk_rows):
+            known = len(keys)
+            code, keys = pd.factorize(np.concatenate([keys, pdf[key].to_numpy(dtype=object)]), use_na_sentinel=False)
+            keys[pd.isna(keys)] = None
+            last, n, seen, arrived = (np.pad(x, (0, len(keys) - known)) for x in nums)
+            pdf = pdf.assign(_code=code[known:]).sort_values(["_code", "_ts_us", "_no_tie", tie], kind="stable")
+            code = pdf["_code"].to_numpy()
+            arrived_ms = int(pdf["_arrived_ms"].max())
+            arrived[code] = arrived_ms if ttl_us is None else max(arrived_ms, state.getCurrentWatermarkMs())
+            ts = pdf["_ts_us"].fillna(0).to_numpy(dtype=np.int64)
+            late = pdf["_ts_us"].isna().to_numpy() | ((n[code] > 0) & (ts < seen[code] - lateness_us))
+            ts, code = ts[~late], code[~late]
+            seen[code[n[code] == 0]] = np.iinfo(np.int64).min          # the first rows of a key
+            np.maximum.at(seen, code, ts)
+            counts, last, n = refreshed_counters(ts, code, last, n, ttl_us)
+            nums = np.stack([last, n, seen, arrived])
+            yield pd.DataFrame({key: pdf[key].to_numpy(), tie: pdf[tie].to_numpy(), "_no_tie": pdf["_no_tie"].to_numpy(),
+                                "counter": _whole(counts, late), "late": late})
+        put(state, keys, nums)
     return fn
 
 
@@ -254,16 +296,28 @@ def stream_admission(requests: DataFrame, config: DataFrame, window_s: int = K.R
 
 
 def stream_ttl_counter(events: DataFrame, key: str, ttl_s: int | None, tie: str = "event_id",
-                       lateness: str = LATENESS, keep: str = KEEP, clock_skew: str = CLOCK_SKEW) -> DataFrame:
-    """ST5: streaming W3, one counter value per event (none for late ones, which are marked)."""
-    e = events.select(F.col(key).cast("string").alias(key), tie, F.unix_micros(F.col("ts").cast("timestamp")).alias("_ts_us"))
+                       lateness: str = LATENESS, keep: str = KEEP, clock_skew: str = CLOCK_SKEW,
+                       buckets: int = COUNTER_BUCKETS, chunk_rows: int = COUNTER_ROWS) -> DataFrame:
+    """ST5: streaming W3, one counter value per event (none for late ones, which are marked).
+
+    Keys are counted by buckets of their hash, a bucket's keys in one call: a micro-batch costs by its rows, not by a
+    Python call for each key in it. ``buckets`` belongs to the state and stays for the life of a checkpoint.
+    """
+    kind = events.schema[tie].dataType
+    # whole numbers pass through pandas without nulls, which would make them floats
+    tied = F.coalesce(F.col(tie), F.lit(0).cast(kind)) if isinstance(kind, IntegralType) else F.col(tie)
+    e = events.select(F.col(key).cast("string").alias(key), tied.alias(tie), F.col(tie).isNull().alias("_no_tie"),
+                      F.unix_micros(F.col("ts").cast("timestamp")).alias("_ts_us"),
+                      F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).alias("_bucket"))
     timeout = GroupStateTimeout.NoTimeout if ttl_s is None else GroupStateTimeout.EventTimeTimeout
     keep_ms = max(interval_us(keep), 2 * US * (ttl_s or 0)) // 1000
-    return _on_arrival(e, clock_skew).groupBy(key).applyInPandasWithState(
-        _ttl_state_fn(None if ttl_s is None else ttl_s * US, key, tie, interval_us(lateness), keep_ms),
-        outputStructType=StructType([e.schema[key], e.schema[tie], StructField("counter", LongType()),
-                                     StructField("late", BooleanType())]),
-        stateStructType="last long, n long, seen long", outputMode="append", timeoutConf=timeout)
+    counted = _on_arrival(e, clock_skew).groupBy("_bucket").applyInPandasWithState(
+        _ttl_state_fn(None if ttl_s is None else ttl_s * US, key, tie, interval_us(lateness), keep_ms, chunk_rows),
+        outputStructType=StructType([StructField(key, StringType()), StructField(tie, kind), StructField("_no_tie", BooleanType()),
+                                     StructField("counter", LongType()), StructField("late", BooleanType())]),
+        stateStructType="keys array<string>, last array<long>, n array<long>, seen array<long>, arrived array<long>",
+        outputMode="append", timeoutConf=timeout)
+    return counted.select(key, F.when(~F.col("_no_tie"), F.col(tie)).alias(tie), "counter", "late")
 
 
 def stream_sessions(events: DataFrame, key: str, ttl_s: int, lateness: str = LATENESS) -> DataFrame:
